@@ -21,13 +21,14 @@ def plan_batches(
     seed: int,
     epoch: int = 0,
     drop_last: bool = True,
+    drop_short: bool = False,
     shuffle: bool = True,
 ) -> DataFrame:
     """Assign each row its rank, batch and slot for one epoch.
 
     Rows are numbered in shuffled order and dealt round-robin to ranks. ``drop_last`` cuts
-    to whole rounds of ``world`` rows and then to whole batches; otherwise the last round is
-    filled by repeating rows from the start and the last batch may be short.
+    to whole rounds of ``world`` rows; otherwise the last round is filled by repeating rows
+    from the start. ``drop_short`` leaves out a rank's last batch when it is short.
     """
     if shuffle:
         keyed = df.withColumn("_key", shuffle_key(F.col(row_id), seed, epoch))
@@ -35,11 +36,12 @@ def plan_batches(
     else:
         placed = number_rows(df, row_id, "_pos")
     count = df.agg(F.count(F.lit(1)).alias("n")).select("n")
-    if drop_last:
-        per_rank = int_div(int_div(count.scalar(), world), batch) * batch
-        dealt = placed.where(F.col("_pos") < per_rank * world)
-    else:
-        dealt = _wrap(placed, count.scalar(), world)
+    n = count.scalar()
+    dealt = placed if drop_last else _wrap(placed, n, world)
+    per_rank = int_div(n if drop_last else n + F.lit(world - 1), world)
+    if drop_short:
+        per_rank = int_div(per_rank, batch) * batch
+    dealt = dealt.where(F.col("_pos") < per_rank * world)
     slot = int_div(F.col("_pos"), world)
     return dealt.select(
         *df.columns,

@@ -128,6 +128,20 @@ def carry(
     return joined.select(*df.columns, F.coalesce("_l", "_carry").alias(name))
 
 
+def running_max(
+    df: DataFrame, order: str, value: Column, name: str, by: Sequence[str] | str | None = None, bits: int = SPAN_BITS
+) -> DataFrame:
+    """Largest ``value`` strictly before each row within ``by``; null on the first row."""
+    keys = _by(by)
+    rows = df.withColumn("_b", span_bucket(order, bits)).withColumn("_v", value)
+    tops = rows.groupBy(*keys, "_b").agg(F.max("_v").alias("_top"))
+    across = Window.partitionBy(*keys, F.lit(0)).orderBy("_b").rowsBetween(*_UP)
+    tops = tops.select(*keys, "_b", F.max("_top").over(across).alias("_base"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(*_UP)
+    joined = _join_null_safe(rows.withColumn("_p", F.max("_v").over(inside)), tops, [*keys, "_b"])
+    return joined.select(*df.columns, F.greatest("_p", "_base").alias(name))
+
+
 def number_rows(
     df: DataFrame,
     order: str,

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import remaining_length
 from corpusloom.functions.rewards import CLIP_RATIO, GAMMA, clipped_objective, suffix_returns
-from corpusloom.operators.ordered import int_div
+from corpusloom.operators.ordered import carry, int_div, running_max
 
 WHITEN_EPS = 1e-8
 THRESHOLD_STEP = 0.1
-MAX_EVALUATIONS = 100_000
 
 
 def whiten(df: DataFrame, column: str, shift_mean: bool = True, ddof: int = 0, name: str | None = None) -> DataFrame:
@@ -106,36 +106,45 @@ def log_intervals(
 
 
 def adaptive_threshold(
-    df: DataFrame, run: str, order: str, loss: str, eps: float, start: float = 0.0, first_loss: float = 0.0,
-    max_evaluations: int = MAX_EVALUATIONS,
+    df: DataFrame, run: str, order: str, loss: str, eps: float, start: float = 0.0,
+    first_loss: float | None = None,
 ) -> DataFrame:
     """Replay the threshold rule over each run's evaluations in order.
 
     Threshold (+0.1, at most 1.0) and reference loss move only when the loss is at least the
-    reference plus ``eps``. It is a non-associative recurrence, so each run is folded
-    in order; runs with more than ``max_evaluations`` evaluations are refused by an error.
+    reference plus ``eps``; the first evaluation sets the reference unless ``first_loss``
+    does. With ``eps >= 0`` such a row exceeds every earlier loss, so
+    only running-maximum rows, found by a bucketed scan, pass through the sequential
+    fold; their state is then carried to the rows between them.
     """
-    start_state = F.struct(
-        F.lit(float(start)).alias("threshold"),
-        F.lit(float(first_loss)).alias("prev"),
-        F.array().cast("array<struct<ord:bigint,loss:double,threshold:double,prev:double>>").alias("out"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        up = e["loss"] >= acc["prev"] + eps
-        threshold = F.when(up, F.least(acc["threshold"] + THRESHOLD_STEP, F.lit(1.0))).otherwise(acc["threshold"])
-        prev = F.when(up, e["loss"]).otherwise(acc["prev"])
-        row = F.struct(e["ord"].alias("ord"), e["loss"].alias("loss"), threshold.alias("threshold"), prev.alias("prev"))
-        return F.struct(threshold.alias("threshold"), prev.alias("prev"), F.array_append(acc["out"], row).alias("out"))
-
-    events = df.select(run, F.struct(F.col(order).cast("long").alias("ord"), F.col(loss).cast("double").alias("loss")).alias("e"))
-    counted = df.groupBy(run).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(run, "_run")
-    bounded = events.join(counted, F.col(run).eqNullSafe(F.col("_run")))
-    legal = F.when(F.col("_n") <= max_evaluations, F.lit(True)).otherwise(
-        F.raise_error(F.lit("a run has too many evaluations to replay")).cast("boolean")
-    )
-    folded = bounded.where(legal).groupBy(run).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    replay = F.aggregate("es", start_state, step, lambda acc: acc["out"])
-    return folded.select(run, F.explode(replay).alias("r")).select(
-        run, F.col("r.ord").alias(order), F.col("r.loss").alias(loss), "r.threshold", F.col("r.prev").alias("reference_loss")
+    if eps < 0:
+        raise ValueError("eps must not be negative")
+    rows = running_max(df.select(run, order, loss), order, F.col(loss), "_top", by=run)
+    records = rows.where(F.col("_top").isNull() | (F.col(loss) > F.col("_top"))).select(
+        run, F.col(order).cast("long").alias(order), F.col(loss).cast("double").alias(loss)
     )
+    in_order = records.repartition(run).sortWithinPartitions(run, order)
+    run_type = dict(records.dtypes)[run]
+
+    def fold(batches):
+        current, threshold, prev = None, start, first_loss
+        for pdf in batches:
+            moved = []
+            for key, value in zip(pdf[run], pdf[loss]):
+                if key != current:
+                    current, threshold, prev = key, start, first_loss
+                if prev is None:
+                    prev = value
+                elif value >= prev + eps:
+                    threshold, prev = min(threshold + THRESHOLD_STEP, 1.0), value
+                moved.append((threshold, prev))
+            yield pd.DataFrame(
+                {"_run": pdf[run], "_ord": pdf[order],
+                 "threshold": [m[0] for m in moved], "reference_loss": [m[1] for m in moved]}
+            )
+
+    states = in_order.mapInPandas(fold, f"_run {run_type}, _ord long, threshold double, reference_loss double")
+    joined = df.join(states, (F.col(run) == F.col("_run")) & (F.col(order) == F.col("_ord")), "left")
+    state = F.when(F.col("threshold").isNotNull(), F.struct("threshold", "reference_loss"))
+    carried = carry(joined, order, state, "_state", by=run, inclusive=True)
+    return carried.select(*df.columns, "_state.threshold", "_state.reference_loss")
