@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,24 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusloom_shipped", False):
+        return spark
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(home):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    context._corpusloom_shipped = True
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
