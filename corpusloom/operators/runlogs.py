@@ -122,18 +122,20 @@ def near_in_log(
     only its outermost positions, and only neighbouring cells are compared. Nothing
     is paired and no log is gathered.
     """
-    where = span_bucket(order, PIECE_BITS + LINES_PER_BUCKET_BITS)
-    placed = prefix_sum(lines, order, F.length(raw).cast("long") + 1, "_at", by=keys, bucket=where, levels=2)
     phrases = [anchor, *others]
     present = F.lit(False)
     for phrase in phrases:
         present = present | F.col(raw).contains(phrase)
+    # Only the lengths of the other lines matter, so their text is not shuffled.
+    slim = lines.select(*keys, order, F.length(raw).cast("long").alias("_n"), F.when(present, F.col(raw)).alias("_text"))
+    where = span_bucket(order, PIECE_BITS + LINES_PER_BUCKET_BITS)
+    placed = prefix_sum(slim, order, F.col("_n") + 1, "_at", by=keys, bucket=where, levels=2)
 
     def occurrences(kind: int) -> Column:
         entry = lambda i: F.struct(F.lit(kind).alias("kind"), (i + F.col("_at")).alias("pos"))
-        return F.transform(_starts(F.col(raw), phrases[kind]), entry)
+        return F.transform(_starts(F.col("_text"), phrases[kind]), entry)
 
-    matches = placed.where(present)
+    matches = placed.where(F.col("_text").isNotNull())
     found = F.concat(*[occurrences(k) for k in range(len(phrases))])
     hits = matches.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
     width = distance + 1
@@ -213,36 +215,44 @@ def classification_lines(
 
 
 def _phrases() -> list[str]:
-    flat = [p for _, groups in RULES for group in groups for entry in group for p in entry]
-    return sorted({p for p in flat if ":" not in p})
+    """Every phrase a rule asks for; its place in the list is its bit in the mask."""
+    named = {p for _, groups in RULES for group in groups for entry in group for p in entry}
+    return sorted(named | {NEAR_ANCHOR, "cuda", "killed"})
+
 
+def _bit(phrase: str) -> int:
+    return 1 << _phrases().index(phrase)
 
-def _flag(phrase: str) -> str:
-    return "_f_" + "".join(c if c.isalnum() else "_" for c in phrase)
+
+def phrase_mask(text: str) -> Column:
+    """Phrases found in one line as the bits of a long; ``bit_or`` combines lines.
+
+    One mergeable column per attempt, over tasks and over micro-batches alike. Proximity
+    bits are left open.
+    """
+    tests = []
+    for phrase in _phrases():
+        if phrase.startswith("near:"):
+            continue
+        if phrase.startswith("word:"):
+            found = f"{text} RLIKE r'(^|[^{WORD_CHAR}]){phrase[5:]}($|[^{WORD_CHAR}])'"
+        else:
+            found = f"contains({text}, '{phrase}')"
+        tests.append(f"IF({found}, {_bit(phrase)}L, 0L)")
+    return F.expr(" | ".join(tests))
 
 
-def line_flags(text: Column) -> list[Column]:
-    """One 0/1 maximum per phrase: combinable over tasks and over micro-batches."""
-    flags = [F.max(text.contains(p).cast("int")).alias(_flag(p)) for p in _phrases()]
-    return [*flags, F.max(whole_word(text, "nan").cast("int")).alias(_flag("word:nan"))]
+def verdict(mask: str) -> Column:
+    """First rule whose phrases are all in the mask, else ``other``."""
 
+    def any_of(phrases: tuple[str, ...]) -> str:
+        return f"({mask} & {sum(_bit(p) for p in phrases)}L) <> 0"
 
-def verdict() -> Column:
-    """First rule whose phrases are present, over the flag columns."""
-    on = lambda p: F.coalesce(F.col(_flag(p)), F.lit(0)) == 1
-    chosen = None
+    whens = []
     for name, groups in RULES:
-        test = None
-        for group in groups:
-            every = None
-            for entry in group:
-                some = on(entry[0])
-                for phrase in entry[1:]:
-                    some = some | on(phrase)
-                every = some if every is None else every & some
-            test = every if test is None else test | every
-        chosen = F.when(test, name) if chosen is None else chosen.when(test, name)
-    return chosen.otherwise("other")
+        test = " OR ".join("(" + " AND ".join(any_of(entry) for entry in group) + ")" for group in groups)
+        whens.append(f"WHEN {test} THEN '{name}'")
+    return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")
 
 
 def classify_failures(
@@ -250,14 +260,19 @@ def classify_failures(
 ) -> DataFrame:
     """Failure class of each attempt: the first matching rule, else ``other``."""
     cleaned = classification_lines(lines, keys, raw, order, mode)
-    flags = cleaned.groupBy(*keys).agg(*line_flags(F.col("text")))
-    close = near_in_log(cleaned, keys, "_order", "text", NEAR_ANCHOR, ["cuda", "killed"])
-    renamed = close.select(
+    flags = cleaned.groupBy(*keys).agg(F.bit_or(phrase_mask("text")).alias("mask"))
+    # Positions are worked out only where they can change the verdict.
+    has = lambda *ps: F.col("mask").bitwiseAND(F.lit(sum(_bit(p) for p in ps))) != 0
+    unsettled = flags.where(has(NEAR_ANCHOR) & has("cuda", "killed") & ~has("cuda out of memory"))
+    suspects = unsettled.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    close = near_in_log(cleaned.join(suspects, same, "left_semi"), keys, "_order", "text", NEAR_ANCHOR, ["cuda", "killed"])
+    placed = close.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[F.col(f"`near:{p}`").cast("int").alias(_flag(f"near:{p}")) for p in ("cuda", "killed")],
+        sum((F.when(F.col(f"`near:{p}`"), F.lit(_bit(f"near:{p}"))).otherwise(0) for p in ("cuda", "killed")), F.lit(0)).alias("_near"),
     )
-    joined = flags.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left")
-    found = joined.select(*keys, verdict().alias("reason"))
+    known = flags.join(placed, same, "left").withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("_near", F.lit(0))))
+    found = known.select(*keys, verdict("mask").alias("reason"))
     # Attempts whose lines were all noise still get a verdict.
     every = lines.groupBy(*keys).agg(F.lit(1).alias("_one")).drop("_one")
     return every.join(found, keys, "left").select(*keys, F.coalesce("reason", F.lit("other")).alias("reason"))

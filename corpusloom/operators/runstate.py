@@ -113,16 +113,17 @@ def stale_report(view: DataFrame) -> DataFrame:
     )
 
 
-def hang_report(samples: DataFrame, run: str, ts: str, size: str, timeout: int) -> DataFrame:
+def hang_report(samples: DataFrame, run: str, ts: str, size: str, timeout: int, order: str | None = None) -> DataFrame:
     """Samples at which a log had been silent for longer than ``timeout`` seconds.
 
-    ``ts`` is epoch seconds (or finer, cast to long seconds by the caller). The clock restarts
-    when the size changes, and at an unreadable (null) sample.
+    ``ts`` is epoch seconds; ``order`` an integer that orders the samples of a run (``ts``
+    itself by default). The clock restarts when the size changes, and at an unreadable
+    (null) sample.
     """
-    rows = samples
-    known = carry(rows, ts, F.col(size), "_prev", by=run)
+    order = order or ts
+    known = carry(samples, order, F.col(size), "_prev", by=run)
     restart = F.col(size).isNull() | F.col("_prev").isNull() | (F.col(size) != F.col("_prev"))
-    since = carry(known, ts, F.when(restart, F.col(ts)), "_since", by=run, inclusive=True)
+    since = carry(known, order, F.when(restart, F.col(ts)), "_since", by=run, inclusive=True)
     silent = F.col(ts) - F.col("_since")
     out = since.withColumn("silent_seconds", silent).where(F.col(size).isNotNull() & (F.col("silent_seconds") > timeout))
     return out.select(*samples.columns, "silent_seconds")

@@ -113,13 +113,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _state_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    options = {"multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
-    # ``path`` may be a glob: the files are found by Spark's own listing.
-    raw = spark.read.options(**options).schema(schema).json(path)
-    parts = F.split("_metadata.file_path", "/")
-    return raw.withColumn("run_dir", F.element_at(parts, -2)).withColumn(
-        "file_path", F.col("_metadata.file_path")
-    ).withColumn("file_time", F.col("_metadata.file_modification_time"))
+    """One row per JSON file; ``path`` may be a glob, so Spark's own listing finds the files."""
+    raw = spark.read.text(path, wholetext=True)
+    placed = raw.select("value", F.col("_metadata.file_path").alias("file_path"),
+                        F.col("_metadata.file_modification_time").alias("file_time"))
+    run_dir = F.element_at(F.split("file_path", "/"), -2)
+    return _from_json(placed.withColumn("run_dir", run_dir), schema, ["run_dir", "file_path", "file_time"])
 
 
 def read_run_states(spark: SparkSession, queue: str, runs: str) -> dict[str, DataFrame]:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.operators.prepare import prepare_corpus
-from corpusloom.operators.runlogs import is_noise, line_flags
+from corpusloom.operators.runlogs import is_noise, phrase_mask
 from corpusloom.operators.runstate import status_summary
 from corpusloom.session import checkpoint_root
 
+# The stateful processors below also run in a Python process of the driver that does not get
+# the files sent to executors, so they travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -71,7 +77,7 @@ class SilenceDetector(StatefulProcessor):
         self._last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(pdf["_ms"].max()) for pdf in rows)
+        newest = max(int(pdf["event_ms"].max()) for pdf in rows)
         known = self._last.get()[0] if self._last.exists() else None
         if known is None or newest > known:
             for timer in list(self._handle.listTimers()):
@@ -91,9 +97,9 @@ class SilenceDetector(StatefulProcessor):
 
 def stream_hang(samples: DataFrame, key: str, ts: str, timeout_seconds: int, late: str = "0 seconds") -> DataFrame:
     """Keys that stay silent for ``timeout_seconds`` of event time, with their last event."""
-    marked = samples.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts))
+    marked = samples.withWatermark(ts, late).withColumn("event_ms", F.unix_millis(ts))
     return (
-        marked.select(key, ts, "_ms")
+        marked.select(key, ts, "event_ms")
         .groupBy(key)
         .transformWithStateInPandas(
             SilenceDetector(timeout_seconds * 1000), "key string, last_ms long", "append", "EventTime"
@@ -115,7 +121,7 @@ class ReplayBuffer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(r) for r in self._items.get()]
         for pdf in rows:  # each chunk is trimmed at once, so memory stays at capacity + chunk
-            held += list(zip(pdf["_seq"].tolist(), pdf["_payload"].tolist()))
+            held += list(zip(pdf["arrival_seq"].tolist(), pdf["body"].tolist()))
             held = sorted(held, key=lambda r: r[0])[-self._capacity :]
         self._items.put(held)
         yield pd.DataFrame(
@@ -128,19 +134,19 @@ class ReplayBuffer(StatefulProcessor):
 
 def stream_replay(examples: DataFrame, key: str, arrival: str, payload: str, capacity: int) -> DataFrame:
     """Buffer contents of each key after every trigger; sample them with ``draw_replay``."""
-    shaped = examples.select(key, F.col(arrival).cast("long").alias("_seq"), F.col(payload).cast("string").alias("_payload"))
+    shaped = examples.select(key, F.col(arrival).cast("long").alias("arrival_seq"), F.col(payload).cast("string").alias("body"))
     return shaped.groupBy(key).transformWithStateInPandas(
         ReplayBuffer(capacity), "key string, seq long, payload string", "update", "None"
     )
 
 
 def stream_classify(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """Running phrase flags of each attempt; ``verdict`` over them is the class so far.
+    """Running phrase mask of each attempt; ``verdict`` over it is the class so far.
 
     Proximity rules need positions and are settled by the batch operator.
     """
     kept = lines.where(~is_noise(F.col(raw))).withColumn("text", F.lower(raw))
-    return kept.groupBy(*keys).agg(*line_flags(F.col("text")))
+    return kept.groupBy(*keys).agg(F.bit_or(phrase_mask("text")).alias("mask"))
 
 
 def stream_latest(generations: DataFrame, key: str, text: str, seq: str, name: str = "gen_answer") -> DataFrame:
@@ -174,7 +180,7 @@ def run_to_table(stream: DataFrame, mode: str, merge: Callable[[DataFrame], Data
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    schema = stream.schema if mode == "append" else stream.schema.add("_batch", "int")
+    schema = stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
     reader = spark.read.schema(schema)
     rows = reader.parquet(f"{base}/out") if mode == "append" else reader.parquet(f"{base}/out/*")
     return merge(rows) if merge else rows.drop("_batch")
