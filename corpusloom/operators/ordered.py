@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import checkpointed
 
-SPAN_BITS = 16  # a bucket of an integer key covers 65,536 key values
-SUPER_BITS = 12  # buckets per super-bucket
+SPAN_BITS = 12  # key values a bucket of a prefix sum covers, as a power of two
+SUPER_BITS = 12  # buckets per super-bucket: their totals are what one task sees of a whole table
+CARRY_BITS = 16  # the same for carried values, whose summaries form one level
 _UP = (Window.unboundedPreceding, -1)
 
 
@@ -36,7 +37,7 @@ def int_div(a: Column, b: Column | int) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def hex_bucket(key: Column, digits: int = 3) -> Column:
+def hex_bucket(key: Column, digits: int = 4) -> Column:
     """Bucket of a hex digest: its leading digits, in digest order."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
@@ -100,7 +101,7 @@ def carry(
     by: Sequence[str] | str | None = None,
     inclusive: bool = False,
     backward: bool = False,
-    bits: int = SPAN_BITS,
+    bits: int = CARRY_BITS,
 ) -> DataFrame:
     """Last non-null ``value`` before each row (or next after it, ``backward``) within ``by``.
 
@@ -129,7 +130,7 @@ def carry(
 
 
 def running_max(
-    df: DataFrame, order: str, value: Column, name: str, by: Sequence[str] | str | None = None, bits: int = SPAN_BITS
+    df: DataFrame, order: str, value: Column, name: str, by: Sequence[str] | str | None = None, bits: int = CARRY_BITS
 ) -> DataFrame:
     """Largest ``value`` strictly before each row within ``by``; null on the first row."""
     keys = _by(by)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ordered import int_div, prefix_sum
+from corpusloom.operators.ordered import int_div, prefix_sum, span_bucket
+
+DOCUMENT_BITS = 8  # documents are wide rows: 256 share a bucket
 
 
 def pack(
@@ -32,7 +34,8 @@ def pack(
     """
     size = F.size(ids) if size is None else size
     docs = df.select(F.col(order).alias("_o"), F.col(ids).alias("_ids"), size.cast("long").alias("_n"))
-    placed = prefix_sum(docs, "_o", F.col("_n"), "_start")
+    where = span_bucket("_o", DOCUMENT_BITS)
+    placed = prefix_sum(docs, "_o", F.col("_n"), "_start", bucket=where, levels=2)
     last_chunk = None
     if train_num >= 0:
         budget = (dev_num + train_num) * max_length

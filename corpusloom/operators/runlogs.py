@@ -64,10 +64,16 @@ def whole_word(text: Column, words: str) -> Column:
     return text.rlike(rf"(^|[^{WORD_CHAR}])({words})($|[^{WORD_CHAR}])")
 
 
+def _noisy(lower: Column) -> Column:
+    # The plain search settles nearly every line before the expression is tried.
+    mentioned = lower.contains("warning") | lower.contains("info")
+    return mentioned & whole_word(lower, NOISE_WORDS)
+
+
 def is_noise(raw: Column) -> Column:
     """A line that mentions warning or info and no error-level word."""
-    lower = F.lower(strip(raw))
-    return whole_word(lower, NOISE_WORDS) & ~whole_word(lower, KEEP_WORDS)
+    lower = F.lower(raw)
+    return _noisy(lower) & ~whole_word(lower, KEEP_WORDS)
 
 
 def filter_noise(lines: DataFrame, raw: str = "raw") -> DataFrame:
@@ -75,14 +81,11 @@ def filter_noise(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def noise_report(lines: DataFrame, raw: str = "raw", by: tuple[str, ...] = ()) -> DataFrame:
-    """Lines dropped, lines rescued by an error word, and lines kept."""
-    lower = F.lower(strip(F.col(raw)))
-    noisy, saved = whole_word(lower, NOISE_WORDS), whole_word(lower, KEEP_WORDS)
-    return lines.groupBy(*by).agg(
-        F.count_if(noisy & ~saved).alias("dropped"),
-        F.count_if(noisy & saved).alias("rescued"),
-        F.count_if(~noisy).alias("plain"),
-    )
+    """Lines dropped, lines rescued by an error word, and lines without a noise word."""
+    lower = F.lower(F.col(raw))
+    kind = F.when(~_noisy(lower), "plain").when(whole_word(lower, KEEP_WORDS), "rescued").otherwise("dropped")
+    counted = lines.select(*by, kind.alias("kind")).groupBy(*by)
+    return counted.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("dropped", "rescued", "plain")])
 
 
 def near(text: Column, a: str, b: str, distance: int = NEAR_DISTANCE) -> Column:

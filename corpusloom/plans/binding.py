@@ -11,13 +11,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import checkpoint_root
+from corpusloom.session import checkpoint_root, spread
 
 TABLES = ("documents", "conversations", "embeddings", "events", "labels")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -57,3 +57,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder so later branches read the very same rows."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that yields fewer partitions than there are cores.
+
+    Small files cannot be split, and everything after them would run on a few tasks. A scan
+    with enough partitions, as any large table has, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
