@@ -32,9 +32,9 @@ def span_bucket(key: Column | str, bits: int = SPAN_BITS) -> Column:
 
 
 def int_div(a: Column, b: Column | int) -> Column:
-    """Floor division of integers, exact beyond the range of a double's quotient."""
+    """Floor division of integers, exact over the whole range of a long."""
     b = b if isinstance(b, Column) else F.lit(b)
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def hex_bucket(key: Column, digits: int = 4) -> Column:
