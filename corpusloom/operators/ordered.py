@@ -42,19 +42,27 @@ def hex_bucket(key: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
-def _summary_offsets(totals: DataFrame, by: list[str], levels: int) -> DataFrame:
-    """Exclusive running sum over bucket totals, itself cut into super-buckets."""
+def _summary_offsets(totals: DataFrame, by: list[str], count: int, levels: int) -> DataFrame:
+    """Exclusive running sums ``_base{i}`` over bucket totals ``_t{i}``.
+
+    With two levels the totals are themselves cut into super-buckets, and only those are
+    summed in one task per group.
+    """
     if levels <= 1:
         window = Window.partitionBy(*by, F.lit(0)).orderBy("_b").rowsBetween(*_UP)
-        return totals.withColumn("_base", F.coalesce(F.sum("_t").over(window), F.lit(0)))
+        return totals.select(*by, "_b", *[_running(f"_t{i}", window).alias(f"_base{i}") for i in range(count)])
     outer = totals.withColumn("_s", span_bucket("_b", SUPER_BITS))
-    supers = outer.groupBy(*by, "_s").agg(F.sum("_t").alias("_st"))
-    carry = Window.partitionBy(*by, F.lit(0)).orderBy("_s").rowsBetween(*_UP)
-    supers = supers.select(*by, "_s", F.coalesce(F.sum("_st").over(carry), F.lit(0)).alias("_sb"))
+    supers = outer.groupBy(*by, "_s").agg(*[F.sum(f"_t{i}").alias(f"_st{i}") for i in range(count)])
+    across = Window.partitionBy(*by, F.lit(0)).orderBy("_s").rowsBetween(*_UP)
+    supers = supers.select(*by, "_s", *[_running(f"_st{i}", across).alias(f"_sb{i}") for i in range(count)])
     inner = Window.partitionBy(*by, "_s").orderBy("_b").rowsBetween(*_UP)
-    placed = outer.withColumn("_in", F.coalesce(F.sum("_t").over(inner), F.lit(0)))
+    placed = outer.select(*by, "_s", "_b", *[_running(f"_t{i}", inner).alias(f"_in{i}") for i in range(count)])
     joined = _join_null_safe(placed, supers, [*by, "_s"])
-    return joined.select(*by, "_b", (F.col("_in") + F.col("_sb")).alias("_base"))
+    return joined.select(*by, "_b", *[(F.col(f"_in{i}") + F.col(f"_sb{i}")).alias(f"_base{i}") for i in range(count)])
+
+
+def _running(column: str, window: Window) -> Column:
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
 def prefix_sum(
@@ -66,7 +74,19 @@ def prefix_sum(
     bucket: Column | None = None,
     levels: int | None = None,
 ) -> DataFrame:
-    """Exclusive prefix sum of ``value`` in the order of ``order`` within ``by``.
+    """Exclusive prefix sum of ``value`` in the order of ``order`` within ``by``."""
+    return prefix_sums(df, order, {name: value}, by, bucket, levels)
+
+
+def prefix_sums(
+    df: DataFrame,
+    order: str,
+    values: dict[str, Column],
+    by: Sequence[str] | str | None = None,
+    bucket: Column | None = None,
+    levels: int | None = None,
+) -> DataFrame:
+    """Exclusive prefix sums, one column per entry of ``values``, in one pass.
 
     ``bucket`` must be monotone in ``order`` and a function of the row alone, so that the
     summary branch and the row branch always agree; the default cuts integer keys by
@@ -75,13 +95,16 @@ def prefix_sum(
     keys = _by(by)
     if bucket is None:
         bucket, levels = span_bucket(order), levels or 2
-    rows = df.withColumn("_b", bucket).withColumn("_v", value)
-    totals = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    offsets = _summary_offsets(totals, keys, levels or 1).select(*keys, "_b", "_base")
+    named = list(values.items())
+    rows = df.withColumns({"_b": bucket, **{f"_v{i}": v for i, (_, v) in enumerate(named)}})
+    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(named))])
+    offsets = _summary_offsets(totals, keys, len(named), levels or 1)
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(*_UP)
-    local = rows.withColumn("_p", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    local = rows.withColumns({f"_p{i}": _running(f"_v{i}", inside) for i in range(len(named))})
     joined = _join_null_safe(local, offsets, [*keys, "_b"])
-    return joined.select(*df.columns, (F.col("_p") + F.col("_base")).alias(name))
+    return joined.select(
+        *df.columns, *[(F.col(f"_p{i}") + F.col(f"_base{i}")).alias(name) for i, (name, _) in enumerate(named)]
+    )
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -165,7 +188,7 @@ def number_sorted(df: DataFrame, *order: Column | str, name: str = "row_id") ->
     placed = placed.withColumn("_b", F.shiftright("_m", 33)).withColumn(
         "_p", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_t"))
-    offsets = _summary_offsets(totals, [], 1).select("_b", "_base")
+    totals = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_t0"))
+    offsets = _summary_offsets(totals, [], 1, 1)
     joined = _join_null_safe(placed, offsets, ["_b"])
-    return joined.select(*df.columns, (F.col("_p") + F.col("_base")).alias(name))
+    return joined.select(*df.columns, (F.col("_p") + F.col("_base0")).alias(name))

@@ -60,6 +60,7 @@ def _normalize(spark, folder):
 
 def _align(spark, folder):
     rows = replies(spark, folder)
+    # Both sides lack some ids, as real files do.
     predictions = rows.where("idx % 7 <> 0").select("idx", "text")
     references = rows.where("idx % 5 <> 0").select("idx", F.size("references").cast("long").alias("n"))
     return metrics.align(predictions, references).select("idx", F.md5("text").alias("text_md5"), "n")
@@ -72,6 +73,7 @@ def _audit(spark, folder):
 
 def _attach(spark, folder):
     origin = pairs(spark, folder).select("pair_id", "conv_id")
+    # Some conversations were never generated for and must not appear.
     generated = table(spark, folder, "conversations").where("conv_id % 3 <> 0")
     found = metrics.attach_generations(origin, generated, "conv_id", "text", "turn")
     return found.select("pair_id", F.md5("gen_answer").alias("gen_md5"))

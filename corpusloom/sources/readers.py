@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions.text import expand_newlines, strip, unescape_newlines
-from corpusloom.operators.ordered import prefix_sum
+from corpusloom.operators.ordered import prefix_sum, prefix_sums
 from corpusloom.operators.prepare import cap
 
 
@@ -31,10 +31,9 @@ def _block() -> Column:
     return F.struct("_file", "_start")
 
 
-def number_lines(lines: DataFrame, name: str = "row_id", by_file: bool = False) -> DataFrame:
-    """0-based line number over all files, or within each file."""
-    by = ["_file"] if by_file else []
-    return prefix_sum(lines, "_seq", F.lit(1).cast("long"), name, by=by, bucket=_block())
+def number_lines(lines: DataFrame, name: str = "row_id") -> DataFrame:
+    """0-based line number over all files."""
+    return prefix_sum(lines, "_seq", F.lit(1).cast("long"), name, bucket=_block())
 
 
 def read_corpus(spark: SparkSession, path: str, max_docs: int = -1) -> DataFrame:
@@ -87,9 +86,8 @@ def read_eval(spark: SparkSession, folder: str, split: str, family: str | None =
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log lines with run (file path), line number and byte offset; line ends are one byte."""
-    numbered = number_lines(read_lines(spark, path), "line_no", by_file=True)
-    size = F.octet_length("value").cast("long") + 1
-    placed = prefix_sum(numbered, "_seq", size, "byte_offset", by=["_file"], bucket=_block())
+    sums = {"line_no": F.lit(1).cast("long"), "byte_offset": F.octet_length("value").cast("long") + 1}
+    placed = prefix_sums(read_lines(spark, path), "_seq", sums, by=["_file"], bucket=_block())
     return placed.select(F.col("_file").alias("run_id"), "line_no", "byte_offset", F.col("value").alias("raw"))
 
 
