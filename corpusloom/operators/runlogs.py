@@ -196,7 +196,7 @@ def log_regions(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFram
 def classification_lines(
     lines: DataFrame, keys: list[str], raw: str = "raw", order: str = "line_no", mode: str = "full"
 ) -> DataFrame:
-    """Cleaned lines a verdict looks at: ``(keys, _order, text)``, lower-cased, noise removed.
+    """What a verdict looks at: ``(keys, _order, text)``, lower-cased, text null on noise lines.
 
     ``mode='sampled'`` looks at the byte windows, in the order tail, mid, low; ``'full'`` at
     the whole log in file order.
@@ -212,9 +212,9 @@ def classification_lines(
     # Progress bars leave several screen lines in one file line.
     parts = F.split(F.col(raw), LINE_ENDS)
     pieces = seen.select(*keys, "_order", F.posexplode(parts).alias("_i", "text"))
-    kept = pieces.where(~is_noise(F.col("text")))
     place = F.shiftleft("_order", PIECE_BITS) + F.col("_i")
-    return kept.select(*keys, place.alias("_order"), F.lower("text").alias("text"))
+    kept = F.when(~is_noise(F.col("text")), F.lower("text"))
+    return pieces.select(*keys, place.alias("_order"), kept.alias("text"))
 
 
 def _phrases() -> list[str]:
@@ -263,22 +263,21 @@ def classify_failures(
 ) -> DataFrame:
     """Failure class of each attempt: the first matching rule, else ``other``."""
     cleaned = classification_lines(lines, keys, raw, order, mode)
+    # A null text sets no bit, so an attempt of noise alone keeps its row.
     flags = cleaned.groupBy(*keys).agg(F.bit_or(phrase_mask("text")).alias("mask"))
     # Positions are worked out only where they can change the verdict.
     has = lambda *ps: F.col("mask").bitwiseAND(F.lit(sum(_bit(p) for p in ps))) != 0
     unsettled = flags.where(has(NEAR_ANCHOR) & has("cuda", "killed") & ~has("cuda out of memory"))
     suspects = unsettled.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    close = near_in_log(cleaned.join(suspects, same, "left_semi"), keys, "_order", "text", NEAR_ANCHOR, ["cuda", "killed"])
+    kept = cleaned.where(F.col("text").isNotNull()).join(suspects, same, "left_semi")
+    close = near_in_log(kept, keys, "_order", "text", NEAR_ANCHOR, ["cuda", "killed"])
     placed = close.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         sum((F.when(F.col(f"`near:{p}`"), F.lit(_bit(f"near:{p}"))).otherwise(0) for p in ("cuda", "killed")), F.lit(0)).alias("_near"),
     )
     known = flags.join(placed, same, "left").withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("_near", F.lit(0))))
-    found = known.select(*keys, verdict("mask").alias("reason"))
-    # Attempts whose lines were all noise still get a verdict.
-    every = lines.groupBy(*keys).agg(F.lit(1).alias("_one")).drop("_one")
-    return every.join(found, keys, "left").select(*keys, F.coalesce("reason", F.lit("other")).alias("reason"))
+    return known.select(*keys, verdict("mask").alias("reason"))
 
 
 def outcome_reason(exit_code: Column, classified: Column) -> Column:
@@ -306,6 +305,7 @@ def error_fingerprint(
         is_error = is_error | text.contains(mark)
     for mark in BOILERPLATE:
         is_error = is_error & ~text.contains(mark)
+    # A null text is no error.
     errors = classification_lines(lines, keys, raw, order, mode).where(is_error)
     errors = errors.withColumn("text", F.regexp_replace(strip(text), RANK_PREFIX, ""))
     latest = Window.partitionBy(*keys).orderBy(F.desc("_order"))

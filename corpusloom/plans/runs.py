@@ -137,7 +137,8 @@ def training_log(spark, folder) -> DataFrame:
         F.lit(1), F.lit(10), F.pmod(n, F.lit(50)), F.lit(50), F.lit(0), F.lit(4), n, n + 7, v, -v, v / 3, F.lit(64.0), v / 10)
     final = F.format_string("eval | rougeL: %.3f | exact_match: %.3f | rev_kl: %.3f | lens: 12.000 | pt_loss: 1.000 | lm_loss: %.3f | kd_loss: 0.500 ", v, v / 2, v / 3, v / 7)
     other = F.lit("loading | something: else")
-    raw = F.element_at(F.array(train, dev, bench, policy, final, other), (F.pmod(n, F.lit(6)) + 1).cast("int"))
+    kind = F.pmod(n, F.lit(6))
+    raw = F.when(kind == 0, train).when(kind == 1, dev).when(kind == 2, bench).when(kind == 3, policy).when(kind == 4, final).otherwise(other)
     return table(spark, folder, "events").select("event_id", raw.alias("raw"))
 
 
@@ -448,7 +449,7 @@ ORACLES = {
           CASE k WHEN 0 THEN round(CAST(printf('%.4f', v / 2) AS DOUBLE), 3) END AS ds_loss, CASE k WHEN 1 THEN v4 END AS avg_loss,
           CASE WHEN k IN (0, 3) THEN CAST(0 AS DOUBLE) END AS lr, CAST(CASE k WHEN 0 THEN 1024 WHEN 3 THEN 64 END AS DOUBLE) AS scale,
           CASE WHEN k IN (0, 3) THEN CAST(printf('%.3f', v / 10) AS DOUBLE) END AS step_time, CAST(CASE k WHEN 1 THEN 0.3 END AS DOUBLE) AS threshold,
-          CASE k WHEN 3 THEN -v4 END AS reward, CASE k WHEN 3 THEN round(CAST(printf('%.4f', v / 3) AS DOUBLE), 3) WHEN 4 THEN CAST(printf('%.3f', v / 3) AS DOUBLE) END AS rev_kl,
+          CASE k WHEN 3 THEN 0.0 - v4 END AS reward, CASE k WHEN 3 THEN round(CAST(printf('%.4f', v / 3) AS DOUBLE), 3) WHEN 4 THEN CAST(printf('%.3f', v / 3) AS DOUBLE) END AS rev_kl,
           CASE k WHEN 2 THEN round(CAST(printf('%.4f', v / 7) AS DOUBLE), 3) WHEN 4 THEN CAST(printf('%.3f', v / 7) AS DOUBLE) END AS lm_loss,
           CASE WHEN k IN (1, 2) THEN round(CAST(printf('%.4f', v / 10) AS DOUBLE), 3) WHEN k = 4 THEN CAST(printf('%.3f', v) AS DOUBLE) END AS "rougeL",
           CASE k WHEN 1 THEN 2.5 WHEN 2 THEN 1.0 WHEN 4 THEN CAST(printf('%.3f', v / 2) AS DOUBLE) END AS exact_match,
