@@ -98,7 +98,7 @@ def short_count(n: Column) -> Column:
     size = F.abs(n.cast("double"))
 
     def shown(divisor: float, unit: str) -> Column:
-        number = F.round(n / F.lit(divisor), 2).cast("string")
+        number = F.bround(n / F.lit(divisor), 2).cast("string")
         return F.concat(F.regexp_replace(number, r"\.?0+$", ""), F.lit(unit))
 
     return (

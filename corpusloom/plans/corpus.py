@@ -288,9 +288,11 @@ ORACLES = {
     "agg8_throughput": """SELECT count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
         round(count(*) / (sum(length(text)) / 1000.0), 6) AS documents_per_s,
         round(sum(strlen(text)) / 1048576.0 / (sum(length(text)) / 1000.0), 9) AS mb_per_s FROM documents""",
+    # Half to even, in whole hundredths of the unit.
     "fmt_short_count": """WITH n AS (SELECT doc_id, doc_id * doc_id * 500 AS v FROM documents),
-        s AS (SELECT doc_id, v, CASE WHEN v < 1e6 THEN v / 1e3 WHEN v < 1e9 THEN v / 1e6 ELSE v / 1e9 END AS x,
-              CASE WHEN v < 1e6 THEN 'K' WHEN v < 1e9 THEN 'M' ELSE 'B' END AS u FROM n)
-        SELECT doc_id, CASE WHEN v < 1000 THEN CAST(v AS VARCHAR)
-          ELSE regexp_replace(CAST(CAST(round(x, 2) AS DOUBLE) AS VARCHAR), '\\.?0+$', '') || u END AS shown FROM s""",
+        u AS (SELECT doc_id, v, CASE WHEN v < 1000000 THEN 10 WHEN v < 1000000000 THEN 10000 ELSE 10000000 END AS u,
+              CASE WHEN v < 1000000 THEN 'K' WHEN v < 1000000000 THEN 'M' ELSE 'B' END AS name FROM n),
+        h AS (SELECT *, v // u + CASE WHEN v % u * 2 > u OR (v % u * 2 = u AND v // u % 2 = 1) THEN 1 ELSE 0 END AS h FROM u)
+        SELECT doc_id, CASE WHEN v < 1000 THEN CAST(v AS VARCHAR) ELSE concat(h // 100,
+          CASE WHEN h % 100 = 0 THEN '' WHEN h % 10 = 0 THEN concat('.', h % 100 // 10) ELSE concat('.', lpad(CAST(h % 100 AS VARCHAR), 2, '0')) END, name) END AS shown FROM h""",
 }
