@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, mixing, packing, quality, token_counts, topk
+from corpusloom.llm import chat, mixing, near_dups, packing, quality, token_counts, topk
 from corpusloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path())
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -47,7 +51,7 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules, op10_chat_rotation,
+    op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules, op10_chat_rotation,
 )}
 
 _TOP_K = """
@@ -167,7 +171,27 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(line, '' ORDE
 FROM f GROUP BY conv_id, perspective, part
 """
 
+_NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
 ORACLES = {
+    "op2_circulant_minhash": _NEAR,
     "op5_exact_top_k": _TOP_K,
     "op7_source_mix": _MIX,
     "op8_quality_rules": _QUALITY,
