@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, mixing, near_dups, packing, quality, token_counts, topk
+from corpusloom.llm import chat, langid, mixing, near_dups, packing, quality, token_counts, topk
 from corpusloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,12 +46,23 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in names])
 
 
+def _remainder(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op9_byte_recurrent_langid(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    named = langid.identify(table(spark, folder, "documents"), _remainder(4) != 2)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules, op10_chat_rotation,
+    op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules,
+    op9_byte_recurrent_langid, op10_chat_rotation,
 )}
 
 _TOP_K = """
