@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, langid, mixing, near_dups, packing, quality, token_counts, topk
+from corpusloom.llm import chat, langid, lm_score, mixing, near_dups, packing, quality, token_counts, topk
 from corpusloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _remainder(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(5) == 1, F.lit(False))
+    scored = lm_score.score(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
@@ -46,10 +56,6 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in names])
 
 
-def _remainder(divisor: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
-
-
 def op9_byte_recurrent_langid(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
     named = langid.identify(table(spark, folder, "documents"), _remainder(4) != 2)
@@ -61,7 +67,7 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules,
+    op1_context_mixing, op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules,
     op9_byte_recurrent_langid, op10_chat_rotation,
 )}
 
