@@ -119,10 +119,10 @@ def slots(buckets: list[np.ndarray], chosen: list[np.ndarray]) -> list[np.ndarra
 
 def choose(counts: np.ndarray) -> np.ndarray:
     """The buckets whose contexts are modelled: the lowest threshold that leaves at most CONTEXTS of them."""
-    sizes = np.bincount(np.minimum(counts, 1 << 16).astype(np.int64))
+    sizes = np.bincount(counts.astype(np.int64))
     above = np.cumsum(sizes[::-1])[::-1]  # buckets with at least this count
     fits = np.flatnonzero(above[1:] <= CONTEXTS)
-    return counts >= (max(int(fits[0]) + 1, 2) if len(fits) else 1 << 16)
+    return counts >= max(int(fits[0]) + 1 if len(fits) else len(above), 2)
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
