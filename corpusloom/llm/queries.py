@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, langid, lm_score, mixing, near_dups, packing, quality, token_counts, topk
+from corpusloom.llm import chat, langid, lm_score, mixing, near_dups, packing, quality, repeats, token_counts, topk
 from corpusloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,11 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"), outputs=("spans", "kept_sha256"))
+    return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), "repeats.kept_sha256")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,7 +72,7 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_context_mixing, op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op7_source_mix, op8_quality_rules,
+    op1_context_mixing, op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op6_run_length_index, op7_source_mix, op8_quality_rules,
     op9_byte_recurrent_langid, op10_chat_rotation,
 )}
 
