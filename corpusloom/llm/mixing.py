@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import count_words, digest_long
+from corpusloom.llm.common import count_words, digest_long, text_or_empty
 from corpusloom.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
@@ -76,7 +76,9 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS,
     seed: int = 7, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, most: int = MAX_EPOCHS,
 ) -> DataFrame:
-    """Words taken from every document: ``id, source, size, source_size, target, taken``.
+    """Words taken from every document: ``id, source, size, source_size, target, taken, rounds, parts``.
+
+    ``taken = rounds * size`` and the words of ``parts``, the ranges (from inclusive, to exclusive) of its last round.
 
     Sources in code-point order, null last, weigh ``weights`` in turn. All words together are the budget; a source's
     target stops at ``most`` times its size. Documents are dealt to shards of a source by digest and laid end to end in
@@ -85,7 +87,7 @@ def mix(
     their own; null ids are spread by their text. An empty table gives an empty mix. Reruns agree.
     """
     source = F.col(source_col).cast("string")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("~"))))
+    key = _key(seed, id_col, text_col)
     sized = checkpointed(docs.select(F.col(id_col).alias("_id"), source.alias("_source"), count_words(F.col(text_col)).alias("size"), key.alias("_key")))
 
     everything = Window.partitionBy(F.lit(0))
@@ -110,22 +112,48 @@ def mix(
 
     line = Window.partitionBy("place", "_shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("_end", F.sum("size").over(line)).join(won, ["place", "_shard"])
-    return laid.select(
+    walked = laid.withColumn("rounds", F.coalesce(F.floor(F.col("_won") / F.col("_blocks")), F.lit(0)).cast("long"))
+    walked = walked.withColumn("parts", _parts(seed, block_words))
+    part = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return walked.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target",
-        F.when(F.col("size") > 0, _taken(seed, block_words)).otherwise(0).cast("long").alias("taken"),
+        (F.col("rounds") * F.col("size") + part).alias("taken"), "rounds", "parts", "_key",
     )
 
 
-def _taken(seed: int, block: int) -> Column:
-    """Whole rounds of the shard, and the overlap with blocks that the seeded walk reaches before the quota ends."""
+def _key(seed: int, id_col: str, text_col: str) -> Column:
+    """What orders a document: MD5 of seed, id and text."""
+    shown = [F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(x, F.lit("~")) for x in shown]))
+
+
+def _parts(seed: int, block: int) -> Column:
+    """Word ranges of the document in the blocks that the seeded walk reaches before the quota ends."""
     first = F.col("_end") - F.col("size")
-    rest = F.col("_won") - F.floor(F.col("_won") / F.col("_blocks")) * F.col("_blocks")
+    rest = F.col("_won") - F.col("rounds") * F.col("_blocks")
     turn = digest_long(F.lit(seed), F.col("place"), F.col("_shard"))
     step = F.when(F.col("_blocks") % STRIDE == 0, F.lit(1)).otherwise(F.lit(STRIDE))
-    overlap = lambda b: F.least(F.col("_end"), (b + 1) * block) - F.greatest(first, b * block)
-    chosen = F.aggregate(
-        F.sequence(F.floor(first / block), F.floor((F.col("_end") - 1) / block)), F.lit(0).cast("long"),
-        lambda n, b: n + F.when(F.pmod(b * step + turn, F.col("_blocks")) < rest, overlap(b)).otherwise(0).cast("long"),
+    reached = F.filter(
+        F.sequence(F.floor(first / block), F.floor((F.col("_end") - 1) / block)),
+        lambda b: F.pmod(b * step + turn, F.col("_blocks")) < rest,
     )
-    return F.floor(F.col("_won") / F.col("_blocks")) * F.col("size") + chosen
+    ranges = F.transform(reached, lambda b: F.struct(
+        (F.greatest(first, b * block) - first).alias("a"), (F.least(F.col("_end"), (b + 1) * block) - first).alias("b")))
+    return F.when(F.col("size") > 0, ranges).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, **options) -> DataFrame:
+    """The rows that the mix trains on, in the columns of the input: whole documents once a round, then the taken parts.
+
+    The white space behind each word stays with it. Documents of which nothing is taken give no row.
+    """
+    mixed = mix(docs, id_col, text_col, seed=seed, **options).where("taken > 0")
+    turns = mixed.groupBy("_key").agg(F.collect_list(F.struct("rounds", "parts")).alias("_turns"))
+    # Equal rows share a key: one of them meets the turns of all.
+    rows = docs.withColumn("_key", _key(seed, id_col, text_col)).dropDuplicates(["_key"]).join(turns, "_key")
+    rows = rows.withColumn("_turn", F.explode("_turns"))
+    pieces = F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("_turn.parts", lambda x: F.slice("_pieces", x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")))), "")
+    whole = rows.where("_turn.rounds > 0").withColumn("_round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_turn.rounds"))))
+    cut = rows.where("size(_turn.parts) > 0").withColumn("_pieces", pieces).withColumn(text_col, part)
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(cut.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -144,6 +144,16 @@ def near_duplicates(
     )
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group, that with the smallest id, in the columns of the input; equal rows become one.
+
+    Rows with a null id stay as they are.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(id_col).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(docs.columns).dropDuplicates()
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _close(percent: int):
     """Sizes and one-bit minima leave the threshold possible."""
     agree = 128 - F.bit_count(F.col("b1").bitwiseXOR(F.col("h_b1"))) - F.bit_count(F.col("b2").bitwiseXOR(F.col("h_b2")))

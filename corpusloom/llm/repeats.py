@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels
-from corpusloom.llm.common import text_or_empty, written
+from corpusloom.llm.common import WORD, text_or_empty, written
 
 LENGTH = 400
 GRAM = 24  # bytes of an anchor
@@ -346,3 +346,10 @@ def remove_repeats(
     results = written(judged.select("u", F.struct("n_bytes", removed.alias("n_removed"), *[forms[o].alias(o) for o in outputs]).alias("repeats")))
     rows = docs.select(digest.alias("_u"), *[F.col(f"`{c}`") for c in columns])
     return rows.join(results, F.col("_u") == F.col("u")).drop("_u", "u")
+
+
+def cut_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """Documents without their repeated strings, in the columns of the input; those without a word left go."""
+    cut = remove_repeats(docs, text_col, outputs=("text",), **options)
+    shown = cut.select(*[F.col("repeats.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return shown.where(F.col(text_col).rlike(WORD))
