@@ -60,7 +60,7 @@ def _cuts(data: np.ndarray, is_start: np.ndarray) -> list[int]:
     while at < len(data):
         at = min(at + PIECE, len(data))
         while at < len(data):
-            ahead = slice(at, at + 4096)
+            ahead = slice(at, min(at + 4096, len(data)))
             free = np.flatnonzero(IS_SPACE[data[ahead]] | is_start[ahead])
             if len(free):
                 at += int(free[0])
