@@ -16,7 +16,10 @@ from corpusloom.session import checkpointed
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at the threshold is missed with probability (1 - 0.75**4)**32, five in a million
-SKETCH_AGREE = 90  # of 128 one-bit minima; a pair at the threshold agrees in 112 on average, so 5.9 deviations away
+SKETCH_BITS = 4  # low bits kept of each of the 128 minima
+SKETCH_AGREE = 74  # of 128; a pair at the threshold agrees in 98 on average, so this is five deviations away
+WANTED_BITS = 26  # bitmap of documents to verify: 8 MB at any size
+SKETCH = [f"b{i}" for i in range(8)]
 _BATCH = 1 << 22
 _CHUNK = 1 << 15
 
@@ -70,15 +73,21 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
                 keys = kernels.mix(keys ^ wide[:, :, r])
             # Sums of two spreads of the members stand for the whole set.
             sums = [np.add.reduceat(kernels.mix(sets ^ np.uint64(c)), bounds[:-1]) if len(full) else np.empty(0, np.uint64) for c in (1, 2)]
-            bits = np.packbits((minima & 1).astype(np.uint8)[:, :128], axis=1)
-            bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, 16 - bits.shape[1])))).view(np.int64)
+            sketch = _nibbles(minima)
             spread = lambda v, n=b - a, at=full: _placed(v, n, at)
             every = np.zeros(b - a + 1, np.int64)
             every[1:] = np.cumsum(np.where(n > 0, bands, 0))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *[pa.array(spread(s.view(np.int64))) for s in sums],
-                *[pa.array(spread(bits[:, i])) for i in (0, 1)], kernels.binaries(keys.view(np.int64).ravel(), every),
-            ], names=["id", "n", "s1", "s2", "b1", "b2", "keys"])
+                *[pa.array(spread(sketch[:, i])) for i in range(len(SKETCH))], kernels.binaries(keys.view(np.int64).ravel(), every),
+            ], names=["id", "n", "s1", "s2", *SKETCH, "keys"])
+
+
+def _nibbles(minima: np.ndarray) -> np.ndarray:
+    """Low bits of up to 128 minima of a set in eight longs."""
+    low = np.zeros((len(minima), 128), np.uint8)
+    low[:, : minima.shape[1]] = (minima & ((1 << SKETCH_BITS) - 1)).astype(np.uint8)[:, :128]
+    return np.ascontiguousarray(low[:, ::2] | (low[:, 1::2] << 4)).view(np.int64)
 
 
 def _placed(values: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -91,10 +100,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, len(batch), 2048):
             part = batch.slice(at, 2048)
-            data, _ = kernels.text_bytes(part.column(4))
+            data, _ = kernels.text_bytes(part.column(1))
             repeat = np.repeat(np.arange(len(part)), bands)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(data.view(np.int64)), *[part.column(i).take(pa.array(repeat)) for i in range(4)]], names=["key", "rep", "n", "b1", "b2"])
+                [pa.array(data.view(np.int64)), part.column(0).take(pa.array(repeat))], names=["key", "rep"])
 
 
 def near_duplicates(
@@ -117,16 +126,18 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     signed = written(source.mapInArrow(
-        lambda it: _signed(it, size, bands, rows), "id long, n long, s1 long, s2 long, b1 long, b2 long, keys binary"))
+        lambda it: _signed(it, size, bands, rows), f"id long, n long, s1 long, s2 long, {', '.join(f'{b} long' for b in SKETCH)}, keys binary"))
     linked = signed.where("id is not null and n > 0")
     of_set = ["n", "s1", "s2"]
-    classes = written(linked.groupBy(*of_set).agg(F.min(F.struct("id", "b1", "b2", "keys")).alias("m")).select(*of_set, F.col("m.id").alias("rep"), "m.b1", "m.b2", "m.keys"))
+    classes = written(
+        linked.groupBy(*of_set).agg(F.min(F.struct("id", *SKETCH, "keys")).alias("m")).select(*of_set, F.col("m.id").alias("rep"), *[f"m.{b}" for b in SKETCH], "m.keys"))
     # Rows of one id may have several texts; the id then joins their classes.
-    banded = classes.select("rep", "n", "b1", "b2", "keys").mapInArrow(lambda it: _band_rows(it, bands), "key long, rep long, n long, b1 long, b2 long")
-    crowded = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-    members = written(banded.join(crowded, "key").select("key", "rep", "n", "b1", "b2", "hub"))
+    banded = classes.select("rep", "keys").mapInArrow(lambda it: _band_rows(it, bands), "key long, rep long")
+    crowded = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").select("key", "hub")
+    members = written(banded.join(crowded, "key"))
+    members = written(members.join(classes.select("rep", "n", *SKETCH), "rep"))
 
-    hubs = members.where("rep = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", "b1", "b2")]).distinct()
+    hubs = members.where("rep = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)]).distinct()
     star = written(members.where("rep <> hub").join(hubs, "key").where(_close(percent)).select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct())
     first = written(_verified(star, source, size, percent))
 
@@ -155,10 +166,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _close(percent: int):
-    """Sizes and one-bit minima leave the threshold possible."""
-    agree = 128 - F.bit_count(F.col("b1").bitwiseXOR(F.col("h_b1"))) - F.bit_count(F.col("b2").bitwiseXOR(F.col("h_b2")))
+    """Sizes and low bits of the minima leave the threshold possible."""
+    differ = F.lit(0)
+    for b in SKETCH:
+        x = F.col(b).bitwiseXOR(F.col(f"h_{b}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
     small, large = F.least("n", "h_n"), F.greatest("n", "h_n")
-    return (agree >= SKETCH_AGREE) & (small * 100 >= large * percent)
+    return (small * 100 >= large * percent) & (differ <= 128 - SKETCH_AGREE)
 
 
 def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +183,7 @@ def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: in
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("major")).where("comps > 1").drop("comps")
     open_rows = written(placed.join(mixed, "key"))
-    minor = open_rows.where("comp <> major").select("key", F.col("comp").alias("h_comp"), *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", "b1", "b2")])
+    minor = open_rows.where("comp <> major").select("key", F.col("comp").alias("h_comp"), *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)])
     pairs = open_rows.join(minor, "key").where((F.col("comp") != F.col("h_comp")) & ((F.col("comp") == F.col("major")) | (F.col("rep") < F.col("h_rep")))).where(_close(percent))
     pairs = pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
@@ -176,9 +192,17 @@ def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: in
 def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS))
+    bitmap = np.zeros(1 << (WANTED_BITS - 5), np.int64)
+    cells = wanted.select(F.shiftright(place, 5).alias("w"), F.pmod(place, F.lit(32)).cast("int").alias("o")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("m")).toPandas()
+    bitmap[cells["w"].to_numpy()] = cells["m"].to_numpy()
+    held = source.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
             for a, b, sets, ends in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kernels.binaries(sets.view(np.int64), ends)], names=["id", "members"])
 
@@ -191,7 +215,9 @@ def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(source.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(pack, "id long, members binary"))
+    # The bitmap lets through all documents that are wanted and few others; the join is exact.
+    sets = source.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(pack, "id long, members binary")
+    sets = written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "members"]))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(confirm, "a long, b long").distinct()
