@@ -343,9 +343,9 @@ def remove_repeats(
         "text": F.decode(_without(F.col("raw"), _whole_characters(F.col("raw"), F.col("spans"))), "UTF-8"),
     }
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    results = written(judged.select("u", F.struct("n_bytes", removed.alias("n_removed"), *[forms[o].alias(o) for o in outputs]).alias("repeats")))
+    results = written(judged.select(F.col("u").alias("_of"), F.struct("n_bytes", removed.alias("n_removed"), *[forms[o].alias(o) for o in outputs]).alias("repeats")))
     rows = docs.select(digest.alias("_u"), *[F.col(f"`{c}`") for c in columns])
-    return rows.join(results, F.col("_u") == F.col("u")).drop("_u", "u")
+    return rows.join(results, F.col("_u") == F.col("_of")).drop("_u", "_of")
 
 
 def cut_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

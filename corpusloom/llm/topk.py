@@ -29,7 +29,7 @@ def top_k(
     one task, which keeps only ``k`` rows a query. Ties go to the smaller id. A query never gets rows of its
     own id; with fewer candidates it gets all. Rows with a null id, a null or empty vector, or null or
     non-finite components take no part, nor do candidates of another length than the query. Repeated
-    candidate rows count each; a query id with several vectors ranks over all of them.
+    candidate rows count each; a query id with several different vectors ranks over all of them.
     """
     # Digest over the vector too, so that a repeated id is spread like any other rows.
     rows = (
@@ -41,7 +41,7 @@ def top_k(
     stripes, blocks = -(-seen.n // candidate_rows) or 1, -(-seen.q // query_rows) or 1
     base = rows.select("_id", "_v", F.pmod("_h", F.lit(stripes)).cast("int").alias("_s"), F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int").alias("_b"), "_q")
     candidates = base.select("_id", "_v", "_s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    queries = base.where("_q").select("_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("_s"), "_b")
+    queries = base.where("_q").dropDuplicates(["_id", "_v"]).select("_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("_s"), "_b")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         return search(left.column("_id").to_numpy(), left.column("_v"), right.column("_id").to_numpy(), right.column("_v"), k, dims)
