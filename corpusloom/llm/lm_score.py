@@ -28,7 +28,8 @@ RATE = 2.0
 FIRST_BLOCK, LAST_BLOCK = 256, 4096  # bytes between refinements of the weights: doubling from the first to the last
 END = 10  # byte that ends a text; white space never occurs inside words
 _PAD = 4
-_GROUP = 1 << 19
+_GROUP = 1 << 20
+_COUNTED = 1 << 19
 END_WORD = np.uint64(0x1234567ABCDEF01)
 _GRID = 128
 
@@ -38,8 +39,8 @@ class Code:
     """Binary decomposition of bytes: the path of each through a Huffman tree of the training bytes."""
 
     length: np.ndarray
-    nodes: np.ndarray  # byte, depth
-    signs: np.ndarray  # byte, depth: +1 or -1
+    nodes: np.ndarray  # depth, byte
+    signs: np.ndarray  # depth, byte: +1 or -1
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Code:
@@ -60,10 +61,10 @@ class Code:
                 path.append((made - 1 - at, sign))  # the root is node 0 and frequent nodes lie close together
             paths.append(path[::-1])
         deep = max(map(len, paths))
-        nodes, signs = np.zeros((NODES, deep), np.int32), np.ones((NODES, deep), np.float32)
+        nodes, signs = np.zeros((deep, NODES), np.int32), np.ones((deep, NODES), np.float32)
         for b, path in enumerate(paths):
             for d, (node, sign) in enumerate(path):
-                nodes[b, d], signs[b, d] = node, sign
+                nodes[d, b], signs[d, b] = node, sign
         return cls(np.array([len(p) for p in paths], np.int32), nodes, signs)
 
 
@@ -114,7 +115,7 @@ def contexts(out: np.ndarray) -> list[np.ndarray]:
 
 def slots(buckets: list[np.ndarray], chosen: list[np.ndarray]) -> list[np.ndarray]:
     """First slot of each context; contexts that were not chosen share a range of empty slots past the end."""
-    return [np.where(own[b], b >> (BUCKET_BITS - SLOT_BITS), np.int32(_EMPTY)) for b, own in zip(buckets, chosen, strict=True)]
+    return [np.where(own[b], b >> (BUCKET_BITS - SLOT_BITS), _EMPTY) for b, own in zip(buckets, chosen, strict=True)]
 
 
 def choose(counts: np.ndarray) -> np.ndarray:
@@ -144,7 +145,7 @@ def _live(out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def count_contexts(out: np.ndarray, bounds: np.ndarray, counts: list[np.ndarray]) -> None:
     at = _live(out, bounds)
     for own, bucket in zip(counts, contexts(out), strict=True):
-        own += np.bincount(bucket[at], minlength=len(own)).astype(np.uint32)
+        np.add.at(own, bucket[at], np.uint32(1))
 
 
 def count_bits(out: np.ndarray, bounds: np.ndarray, code: Code, chosen: list[np.ndarray], counts: list[np.ndarray]) -> None:
@@ -155,12 +156,12 @@ def count_bits(out: np.ndarray, bounds: np.ndarray, code: Code, chosen: list[np.
         symbols, base, keys = out[known], bucket[known] >> (BUCKET_BITS - SLOT_BITS), []
         lengths, depth = code.length[symbols], 0
         while len(symbols):
-            keys.append(((base + code.nodes[:, depth][symbols]) << 1) | (code.signs[:, depth][symbols] > 0))
+            keys.append(2 * base + (2 * code.nodes[depth] + (code.signs[depth] > 0))[symbols])
             depth += 1
             more = np.flatnonzero(lengths > depth)
             symbols, lengths, base = symbols[more], lengths[more], base[more]
         if keys:
-            total += np.bincount(np.concatenate(keys), minlength=len(total)).astype(np.uint32)
+            np.add.at(total, np.concatenate(keys), np.uint32(1))
 
 
 class Mixer:
@@ -178,7 +179,7 @@ class Mixer:
         """Bits of every text. Weights hold a set for each depth of the tree; a block is scored, then learned from."""
         n = len(bounds) - 1
         total, bases = np.zeros(n), slots(contexts(out), self.chosen)
-        weights = np.repeat(self.start[None, :, None], self.code.nodes.shape[1], 0).repeat(n, 2)
+        weights = np.repeat(self.start[None, :, None], len(self.code.nodes), 0).repeat(n, 2)
         begin, stop, size = bounds[:-1] + _PAD, bounds[1:], FIRST_BLOCK
         active = np.arange(n)
         while len(active):
@@ -195,22 +196,30 @@ class Mixer:
     def _block(self, symbols, bases, owner, active, weights, total) -> None:
         lengths, depth = self.code.length[symbols], 0
         while len(symbols):
-            node, sign = self.code.nodes[:, depth][symbols], self.code.signs[:, depth][symbols]
-            cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-            firsts = np.concatenate([[0], cut])
+            node, sign = self.code.nodes[depth][symbols], self.code.signs[depth][symbols]
+            firsts = np.flatnonzero(owner[1:] != owner[:-1])
+            firsts = np.concatenate([[0], firsts + 1])
             docs = active[owner[firsts]]
             runs = np.diff(np.append(firsts, len(owner)))
-            inputs = [table[base + node] for table, base in zip(self.tables, bases, strict=True)]
-            margin = np.zeros(len(symbols), np.float32)
-            for k, x in enumerate(inputs):
-                margin += np.repeat(weights[depth, k, docs], runs) * x
+            margin, inputs = None, []
+            for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
+                x = table[base + node].astype(np.float32)
+                part = np.repeat(weights[depth, k, docs], runs)
+                part *= x
+                margin = part if margin is None else np.add(margin, part, out=margin)
+                inputs.append(x)
             margin *= sign
-            cell = np.rint(np.clip(margin, -12, 12) * _GRID).astype(np.int32) + 12 * _GRID
+            np.clip(margin, -12, 12, out=margin)
+            margin *= _GRID
+            cell = np.rint(margin, out=margin).astype(np.int64)
+            cell += 12 * _GRID
             total[docs] += np.add.reduceat(self.cost[cell], firsts)
-            error = self.error[cell] * sign
+            error = self.error[cell]
+            error *= sign
             step = np.float32(RATE / LOGIT_STEP**2) / (runs + 32).astype(np.float32)
             for k, x in enumerate(inputs):
-                weights[depth, k, docs] += step * np.add.reduceat(error * x, firsts)
+                x *= error
+                weights[depth, k, docs] += step * np.add.reduceat(x, firsts)
             depth += 1
             more = np.flatnonzero(lengths > depth)
             symbols, lengths, owner, bases = symbols[more], lengths[more], owner[more], [b[more] for b in bases]
@@ -242,7 +251,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held, texts = [], 0
-        for a, b, data, offsets in _groups(batch.column(0), 1 << 21):
+        for a, b, data, offsets in _groups(batch.column(0), _COUNTED):
             held.append(kernels.word_hashes(data, offsets)[0])
             texts += b - a
             out, bounds = canonical(data, offsets)
@@ -274,7 +283,7 @@ def _unique(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bit_counts(batches: Iterator[pa.RecordBatch], code: Code, chosen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     counts, seen = [np.zeros(2 * _SLOTS, np.uint32) for _ in range(PREDICTORS)], False
     for batch in batches:
-        for _, _, data, offsets in _groups(batch.column(0), 1 << 21):
+        for _, _, data, offsets in _groups(batch.column(0), _COUNTED):
             count_bits(*canonical(data, offsets), code, chosen, counts)
             seen = True
     if seen:
@@ -327,6 +336,48 @@ class Model:
     heavy: tuple[np.ndarray, np.ndarray]  # hashes in order, counts
 
 
+def _heavy(counts: DataFrame) -> DataFrame:
+    """Words above the lowest threshold on a fixed scale of counts that at most HEAVY_WORDS reach."""
+    grade = F.floor(F.log2("c") * 64).cast("int")
+    grades = sorted(((r.g, r.n) for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    left, least = HEAVY_WORDS, 1 << 20
+    for g, n in grades:  # 64 steps a doubling: a few thousand rows at any size
+        left -= n
+        if left < 0:
+            break
+        least = g
+    return counts.where(grade >= least)
+
+
+class Heavy:
+    """Counts of the most frequent words: their hashes in order, and where each leading part of a hash begins."""
+
+    LEAD = 20
+
+    def __init__(self, keys: np.ndarray, gain: np.ndarray):
+        self.keys = np.concatenate([keys, np.zeros(1, np.int64)])
+        self.gain = np.concatenate([gain, np.zeros(1)])
+        lead = self._lead(keys)
+        self.begin = np.searchsorted(lead, np.arange((1 << self.LEAD) + 1)).astype(np.int32)
+        self.steps = int(np.diff(self.begin).max(initial=0))
+
+    def _lead(self, words: np.ndarray) -> np.ndarray:
+        return (words >> (64 - self.LEAD)) + (1 << (self.LEAD - 1))
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it is not here."""
+        at = np.full(len(words), -1, np.int64)
+        lead = self._lead(words)
+        ask, place, end = np.arange(len(words)), self.begin[lead], self.begin[lead + 1]
+        for _ in range(self.steps):
+            more = np.flatnonzero(place < end)
+            ask, place, end = ask[more], place[more], end[more]
+            hit = self.keys[place] == words[ask]
+            at[ask[hit]] = place[hit]
+            place = place + 1
+        return at
+
+
 def train(texts: DataFrame) -> Model:
     """Learn from a table with one column ``text``."""
     partial = written(texts.mapInArrow(_first_pass, "kind int, h long, c long, packed binary"))
@@ -336,7 +387,7 @@ def train(texts: DataFrame) -> Model:
     code = Code.from_counts(seen)
     counts = written(partial.where("kind = 0").groupBy("h").agg(F.sum("c").alias("c")))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAVY_WORDS).toPandas().sort_values("h")
+    top = _heavy(counts).toPandas().sort_values("h")
     buckets = partial.where("kind = 2").select(F.col("h").cast("int").alias("block"), F.col("packed").alias("counts"))
     chosen = [choose(c) for c in _merged(buckets, _steps, 1 << BUCKET_BITS, np.uint16)]
     bits = texts.mapInArrow(lambda it: _bit_counts(it, code, chosen), "block int, counts binary")
@@ -367,15 +418,15 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, chosen, tables, (keys, freq) = shared.value
         mixer = Mixer(code, chosen, tables)
-        gain = np.log10((freq + 0.5) / scale)
+        heavy = Heavy(keys, np.log10((freq + 0.5) / scale))
         for batch in batches:
             for a, b, data, offsets in _groups(batch.column(1)):
                 words, bounds = kernels.word_hashes(data, offsets)
                 words = np.insert(words, bounds[1:], END_WORD).view(np.int64)
                 bounds = bounds + np.arange(len(bounds))
-                at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
-                known = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-                base = np.add.reduceat(np.where(known, gain[at] if len(keys) else 0.0, 0.0), bounds[:-1])
+                at = heavy.find(words)
+                known = at >= 0
+                base = np.add.reduceat(heavy.gain[at], bounds[:-1])
                 n_known = np.add.reduceat(known.astype(np.int64), bounds[:-1])
                 rest = words[~known]
                 rest_bounds = np.concatenate([[0], np.cumsum(np.add.reduceat((~known).astype(np.int64), bounds[:-1]))])
