@@ -32,8 +32,13 @@ def pack(
     as one array before the explode, so cost is linear in its length, and a chunk gathers
     at most ``max_length`` tokens.
     """
+    tokens = F.col(ids)
+    if size is not None:
+        kind = df.schema[ids].dataType.simpleString()
+        wrong = F.raise_error(F.concat(F.lit("size is not the number of ids at "), F.col(order).cast("string"))).cast(kind)
+        tokens = F.when(F.size(ids) == size, tokens).otherwise(wrong)
     size = F.size(ids) if size is None else size
-    docs = df.select(F.col(order).alias("_o"), F.col(ids).alias("_ids"), size.cast("long").alias("_n"))
+    docs = df.select(F.col(order).alias("_o"), tokens.alias("_ids"), size.cast("long").alias("_n"))
     where = span_bucket("_o", DOCUMENT_BITS)
     placed = prefix_sum(docs, "_o", F.col("_n"), "_start", bucket=where, levels=2)
     last_chunk = None

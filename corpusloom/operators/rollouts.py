@@ -113,14 +113,16 @@ def adaptive_threshold(
 
     Threshold (+0.1, at most 1.0) and reference loss move only when the loss is at least the
     reference plus ``eps``; the first evaluation sets the reference unless ``first_loss``
-    does. With ``eps >= 0`` such a row exceeds every earlier loss, so
+    does. A null or NaN loss never moves them; as the first of a run it leaves a reference (null) that no loss reaches. With ``eps >= 0`` such a row exceeds every earlier loss, so
     only running-maximum rows, found by a bucketed scan, pass through the sequential
     fold; their state is then carried to the rows between them.
     """
     if eps < 0:
         raise ValueError("eps must not be negative")
-    rows = running_max(df.select(run, order, loss), order, F.col(loss), "_top", by=run)
-    records = rows.where(F.col("_top").isNull() | (F.col(loss) > F.col("_top"))).select(
+    # NaN ranks above every number in Spark, so it is kept out of the maximum.
+    number = F.when(~F.isnan(F.col(loss).cast("double")), F.col(loss))
+    rows = running_max(df.select(run, order, loss), order, number, "_top", by=run)
+    records = rows.where(F.col("_top").isNull() | (number > F.col("_top"))).select(
         run, F.col(order).cast("long").alias(order), F.col(loss).cast("double").alias(loss)
     )
     in_order = records.repartition(run).sortWithinPartitions(run, order)

@@ -28,8 +28,8 @@ def latest_checkpoint(df: DataFrame, run: str = "run") -> DataFrame:
 
 
 def best_checkpoint(df: DataFrame, metric: str, largest: bool = True, run: str = "run", step: str = "step") -> DataFrame:
-    """Best row per run by a metric; the earlier step wins a tie."""
-    scored = df.where(F.col(metric).isNotNull())
+    """Best row per run by a metric; the earlier step wins a tie. Null and NaN are no scores."""
+    scored = df.where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
     if largest:
         return _pick(scored, run, F.struct(F.col(metric), -F.col(step)), True)
     return _pick(scored, run, F.struct(F.col(metric), F.col(step)), False)

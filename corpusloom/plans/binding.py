@@ -129,25 +129,23 @@ ids AS (SELECT pair_id, conv_id, {words_of('instruction')} AS prompt_ids, {words
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    """A reply is the prediction; the replies before and after it are its references."""
+    """A reply is the prediction; all other replies of its conversation, in their order, are its references."""
     turns = table(spark, folder, "conversations").where("role = 'assistant'")
     base = turns.select("conv_id", "turn", "text")
-    near = lambda step, name: base.select("conv_id", (F.col("turn") - step).alias("turn"), F.col("text").alias(name))
-    joined = base.join(near(-2, "before"), ["conv_id", "turn"], "left").join(near(2, "after"), ["conv_id", "turn"], "left")
-    return joined.select(
+    others = base.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
+    rest = F.filter("all", lambda x: x["turn"] != F.col("turn"))
+    return base.join(others, "conv_id").select(
         (F.col("conv_id") * 10000 + F.col("turn")).alias("idx"), "text",
-        F.array_compact(F.array("before", "after")).alias("references"),
-        F.pmod("conv_id", F.lit(5)).alias("grp"),
+        F.transform(rest, lambda x: x["text"]).alias("references"), F.pmod("conv_id", F.lit(5)).alias("grp"),
     )
 
 
 REPLIES = """
 replies AS (SELECT p.conv_id * 10000 + p.turn AS idx, p.text,
-       list_filter([b.text, n.text], lambda x: x IS NOT NULL) AS refs, p.conv_id % 5 AS grp
+       coalesce(list(o.text ORDER BY o.turn) FILTER (WHERE o.turn IS NOT NULL), []) AS refs, p.conv_id % 5 AS grp
   FROM conversations p
-  LEFT JOIN conversations b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2 AND b.role = 'assistant'
-  LEFT JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.turn + 2 AND n.role = 'assistant'
-  WHERE p.role = 'assistant')"""
+  LEFT JOIN conversations o ON o.conv_id = p.conv_id AND o.turn <> p.turn AND o.role = 'assistant'
+  WHERE p.role = 'assistant' GROUP BY p.conv_id, p.turn, p.text)"""
 
 
 def normalized(column: str) -> str:

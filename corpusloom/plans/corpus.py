@@ -46,15 +46,17 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """Token sequences by dense id; every tenth document is left empty."""
-    docs = documents(spark, folder)
-    text = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit("")).otherwise(F.col("text"))
-    rows = ordered.number_rows(docs.select("doc_id", "lang", text.alias("text")), "doc_id", "seq_id")
+    """Token sequences of all documents by dense id."""
+    return _sequences(documents(spark, folder))
+
+
+def _sequences(docs: DataFrame) -> DataFrame:
+    rows = ordered.number_rows(docs.select("doc_id", "lang", "text"), "doc_id", "seq_id")
     return rows.select("seq_id", "lang", tokens.hashed_word_ids(F.col("text")).alias("ids"))
 
 
 SEQUENCES = f"""seqs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, lang, {HASHED_IDS} AS ids
-  FROM (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text FROM documents))"""
+  FROM documents)"""
 
 STREAM = f"""stream AS (SELECT id, (row_number() OVER (ORDER BY doc_id, pos) - 1) AS n FROM (
   SELECT doc_id, unnest(list_append({HASHED_IDS}, 16777216)) AS id,
@@ -140,7 +142,10 @@ def _index(spark, folder):
 
 
 def _document_index(spark, folder):
-    return packing.document_index(numbered_sequences(spark, folder), "ids")
+    """An empty sequence, added behind every document, ends it."""
+    docs = documents(spark, folder)
+    ends = docs.select((F.col("doc_id") * 2 + 1).alias("doc_id"), "lang", F.lit("").alias("text"))
+    return packing.document_index(_sequences(docs.withColumn("doc_id", F.col("doc_id") * 2).select("doc_id", "lang", "text").unionByName(ends)), "ids")
 
 
 def _merge(spark, folder):
@@ -256,7 +261,8 @@ ORACLES = {
         len(ids) AS size, {md5_ids('ids')} AS ids_md5 FROM seqs""",
     "snk3_token_index": f"""WITH {SEQUENCES} SELECT seq_id, len(ids) AS size,
         CAST(coalesce(sum(len(ids) * 2) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pointer FROM seqs""",
-    "snk3_document_index": f"WITH {SEQUENCES} SELECT seq_id + 1 AS doc_start FROM seqs WHERE len(ids) = 0 UNION ALL SELECT 0",
+    "snk3_document_index": f"""WITH {SEQUENCES}, ends AS (SELECT seq_id * 2 AS seq_id, len(ids) AS n FROM seqs UNION ALL SELECT seq_id * 2 + 1, 0 FROM seqs)
+        SELECT seq_id + 1 AS doc_start FROM ends WHERE n = 0 UNION ALL SELECT 0""",
     "snk4_merge_token_datasets": f"""SELECT row_number() OVER (ORDER BY lang <> 'en', doc_id) - 1 AS seq_id, doc_id,
         len({HASHED_IDS}) AS n FROM documents""",
     "snk5_write_corpus": f"SELECT md5({_LINE}) AS line_md5, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1",

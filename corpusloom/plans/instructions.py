@@ -38,6 +38,7 @@ from corpusloom.plans.binding import (
 from corpusloom.sources import readers, writers
 
 MAX_LENGTH, MAX_PROMPT, PAD = 64, 16, 0
+SAMPLE_LENGTH = 4096  # above any prompt and response of the tables together
 
 
 def size_of(ids):
@@ -58,7 +59,7 @@ def _template(spark, folder):
 def _read_instructions(spark, folder):
     path = scratch(spark, "raw")
     pairs(spark, folder).orderBy("pair_id").select("instruction", "input", "output").write.json(path)
-    rows = readers.read_instructions(spark, path, limit=300)
+    rows = readers.read_instructions(spark, path)
     return rows.where("_corrupt IS NULL").select(
         "row_id", F.md5("instruction").alias("instruction_md5"), "input", F.md5("output").alias("output_md5"))
 
@@ -151,16 +152,16 @@ def _left_pad(spark, folder):
 
 
 def _padded(spark, folder) -> DataFrame:
-    ids = pair_ids(spark, folder)
-    query = arrays.pad_left(arrays.tail(F.col("prompt_ids"), MAX_PROMPT), MAX_PROMPT, PAD)
-    rest = arrays.pad_right(arrays.head(F.col("response_ids"), 32), 32, PAD)
-    return ids.select("pair_id", query.alias("query"), rest.alias("rest"))
+    """Prompts and responses padded to the longest of their batch of conversations."""
+    ids = pair_ids(spark, folder).select("pair_id", F.pmod("conv_id", F.lit(16)).alias("grp"), F.col("prompt_ids").alias("query"), F.col("response_ids").alias("rest"))
+    return examples.pad_to_group_max(ids, "grp", left={"query": PAD}, right={"rest": PAD}).drop("grp")
 
 
-PADDED = f"""{PAIR_IDS}, padded AS (SELECT pair_id,
-    list_concat(list_transform(range(greatest(16 - len(prompt_ids), 0)), lambda i: 0), prompt_ids[greatest(len(prompt_ids) - 15, 1):]) AS query,
-    list_concat(response_ids[1:32], list_transform(range(greatest(32 - len(response_ids), 0)), lambda i: 0)) AS rest FROM ids),
-whole AS (SELECT pair_id, query, rest, list_concat(query, rest) AS x FROM padded)"""
+PADDED = f"""{PAIR_IDS}, wide AS (SELECT *, max(len(prompt_ids)) OVER g AS nq, max(len(response_ids)) OVER g AS nr FROM ids WINDOW g AS (PARTITION BY conv_id % 16)),
+padded AS (SELECT pair_id, nq, nr,
+    list_concat(list_transform(range(nq - len(prompt_ids)), lambda i: 0), prompt_ids) AS query,
+    list_concat(response_ids, list_transform(range(nr - len(response_ids)), lambda i: 0)) AS rest FROM wide),
+whole AS (SELECT pair_id, query, rest, nq, nr, list_concat(query, rest) AS x FROM padded)"""
 
 
 def _prompt_response(spark, folder):
@@ -175,7 +176,7 @@ def _positions(spark, folder):
 
 
 def _compact(spark, folder):
-    made = examples.compact_sample(_padded(spark, folder), "query", "rest", PAD, MAX_LENGTH)
+    made = examples.compact_sample(_padded(spark, folder), "query", "rest", PAD, SAMPLE_LENGTH)
     return made.select("pair_id", *[joined_ids(c).alias(c) for c in ("input_ids", "attention_mask", "position_ids", "label")])
 
 
@@ -209,7 +210,7 @@ def _cap(spark, folder):
 def _sources(spark, folder) -> dict[str, DataFrame]:
     docs = documents(spark, folder).select("doc_id", "lang")
     part = lambda lang: ordered.number_rows(docs.where(F.col("lang") == lang), "doc_id")
-    return {lang: part(lang).drop("lang") for lang in ("en", "fr", "de")}
+    return {lang: part(lang).drop("lang") for lang in ("en", "fr", "de", "es")}
 
 
 def _combine(spark, folder):
@@ -217,9 +218,10 @@ def _combine(spark, folder):
 
 
 def _split_from(spark, folder):
-    parts = _sources(spark, folder)
-    own, donor = prepare.split_head(parts["fr"], 10), prepare.split_head(parts["en"], 25)
-    return prepare.with_split_from(own, donor)
+    """The valid split of one half of the documents replaces that of the other."""
+    docs = documents(spark, folder).select("doc_id", "lang")
+    half = lambda english: ordered.number_rows(docs.where((F.col("lang") == "en") == english), "doc_id").drop("lang")
+    return prepare.with_split_from(prepare.split_head(half(False), 10), prepare.split_head(half(True), 25))
 
 
 def _batches(spark, folder, **kwargs):
@@ -319,7 +321,7 @@ def _prompt_sql(family: str) -> str:
     )
 
 
-def _listed(expression: str, n: int) -> str:
+def _listed(expression: str, n: int | str) -> str:
     return md5_ids(f"list_transform(range({n}), lambda i: {expression})")
 
 
@@ -331,7 +333,7 @@ _LABELS = "CASE WHEN i < greatest(len(prompt_ids), 1) - 1 OR i >= n - 1 THEN -10
 
 ORACLES = {
     "src1_read_instructions": f"""WITH {NUMBERED} SELECT row_id, md5(instruction) AS instruction_md5, input, md5(output) AS output_md5
-        FROM numbered WHERE row_id < 300""",
+        FROM numbered""",
     "src2_read_eval": f"""WITH {NUMBERED} SELECT row_id AS idx, md5(instruction) AS prompt_md5,
         CASE row_id % 3 WHEN 0 THEN CAST(2 AS BIGINT) WHEN 1 THEN 1 ELSE 0 END AS n,
         CASE row_id % 3 WHEN 0 THEN md5(concat(output, '|', instruction)) WHEN 1 THEN md5(output) END AS references_md5 FROM numbered""",
@@ -364,18 +366,18 @@ ORACLES = {
         SELECT pair_id, {_listed('CASE WHEN i < 16 - len(shown) THEN 0 ELSE shown[i - 15 + len(shown)] END', 16)} AS input_ids,
           {_listed('CASE WHEN i < 16 - len(shown) THEN 0 ELSE 1 END', 16)} AS attention_mask,
           greatest(len(prompt_ids) - 16, 0) AS rest FROM s""",
-    "prj13_prompt_response_example": f"""WITH {PADDED} SELECT pair_id, {md5_ids('x[1:47]')} AS input_ids,
-        {_listed('CASE WHEN i < 15 OR x[i + 2] = 0 THEN -100 ELSE x[i + 2] END', 47)} AS label,
-        {_listed('CASE WHEN x[i + 1] <> 0 THEN 1 ELSE 0 END', 47)} AS attention_mask,
-        {_listed('CASE WHEN i < 15 OR x[i + 2] = 0 THEN 0 ELSE 1 END', 47)} AS loss_mask FROM whole""",
+    "prj13_prompt_response_example": f"""WITH {PADDED} SELECT pair_id, {md5_ids('x[1:len(x) - 1]')} AS input_ids,
+        {_listed('CASE WHEN i < nq - 1 OR x[i + 2] = 0 THEN -100 ELSE x[i + 2] END', 'len(x) - 1')} AS label,
+        {_listed('CASE WHEN x[i + 1] <> 0 THEN 1 ELSE 0 END', 'len(x) - 1')} AS attention_mask,
+        {_listed('CASE WHEN i < nq - 1 OR x[i + 2] = 0 THEN 0 ELSE 1 END', 'len(x) - 1')} AS loss_mask FROM whole""",
     "prj14_position_ids": f"""WITH {PADDED} SELECT pair_id,
-        {_listed('CASE WHEN x[i + 1] = 0 THEN 0 ELSE len(list_filter(x[1:i + 1], lambda v: v <> 0)) - 1 END', 47)} AS position_ids FROM whole""",
+        {_listed('CASE WHEN x[i + 1] = 0 THEN 0 ELSE len(list_filter(x[1:i + 1], lambda v: v <> 0)) - 1 END', 'len(x) - 1')} AS position_ids FROM whole""",
     "prj15_compact_sample": f"""WITH {PADDED}, c AS (SELECT pair_id, list_filter(query, lambda v: v <> 0) AS q, list_filter(rest, lambda v: v <> 0) AS r FROM padded),
         d AS (SELECT pair_id, q, list_concat(q, r) AS x FROM c)
-        SELECT pair_id, {_listed('CASE WHEN i < len(x) THEN x[i + 1] ELSE 0 END', 64)} AS input_ids,
-          {_listed('CASE WHEN i < len(x) THEN 1 ELSE 0 END', 64)} AS attention_mask,
-          {_listed('CASE WHEN i < len(x) THEN i ELSE 0 END', 64)} AS position_ids,
-          {_listed('CASE WHEN i >= len(q) AND i < len(x) THEN x[i + 1] ELSE -100 END', 64)} AS label FROM d""",
+        SELECT pair_id, {_listed('CASE WHEN i < len(x) THEN x[i + 1] ELSE 0 END', SAMPLE_LENGTH)} AS input_ids,
+          {_listed('CASE WHEN i < len(x) THEN 1 ELSE 0 END', SAMPLE_LENGTH)} AS attention_mask,
+          {_listed('CASE WHEN i < len(x) THEN i ELSE 0 END', SAMPLE_LENGTH)} AS position_ids,
+          {_listed('CASE WHEN i >= len(q) AND i < len(x) THEN x[i + 1] ELSE -100 END', SAMPLE_LENGTH)} AS label FROM d""",
     "prj17_as_reference_list": f"""WITH {PAIRS} SELECT pair_id, CASE conv_id % 3 WHEN 0 THEN CAST(2 AS BIGINT) WHEN 1 THEN 1 END AS n,
         CASE conv_id % 3 WHEN 0 THEN md5(concat(output, '|', instruction)) WHEN 1 THEN md5(output) END AS references_md5 FROM pairs""",
     "prj19_label_map": f"""WITH {PAIRS}, t AS (SELECT pair_id, output, ({words_of('output')})[1] AS token FROM pairs)
@@ -383,16 +385,16 @@ ORACLES = {
     "prj21_in_active_window": """WITH e AS (SELECT event_id, event_id % 5 AS w, hour(ts) * 60 + minute(ts) AS m FROM events)
         SELECT event_id, CASE w WHEN 0 THEN m >= 1320 OR m < 480 WHEN 1 THEN m >= 570 AND m < 1065
           WHEN 4 THEN m < 375 ELSE true END AS active FROM e""",
-    "prj25_response_mask": f"""WITH {PADDED} SELECT pair_id, {_listed('CASE WHEN x[i + 16] <> 0 THEN 1 ELSE 0 END', 32)} AS mask,
-        len(list_filter(x[16:47], lambda v: v <> 0)) AS lens FROM whole""",
+    "prj25_response_mask": f"""WITH {PADDED} SELECT pair_id, {_listed('CASE WHEN x[i + nq] <> 0 THEN 1 ELSE 0 END', 'nr')} AS mask,
+        len(list_filter(x[nq:nq + nr - 1], lambda v: v <> 0)) AS lens FROM whole""",
     "spl2_split_head": f"WITH {NUMBERED} SELECT pair_id, row_id, CASE WHEN row_id < 40 THEN 'valid' ELSE 'train' END AS split FROM numbered",
     "spl3_cap": f"WITH {NUMBERED} SELECT pair_id, row_id FROM numbered WHERE row_id < 100",
     "spl4_rollout_quota": """SELECT doc_id, rank FROM (SELECT doc_id, doc_id % 4 AS rank,
         row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS n FROM documents) WHERE n <= 50""",
     "set1_combine_sources": """SELECT doc_id, row_id, CASE WHEN source = 'en' AND row_id < 30 THEN 'valid' ELSE 'train' END AS split, source FROM (
-        SELECT doc_id, lang AS source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_id FROM documents WHERE lang IN ('en', 'fr', 'de'))""",
-    "set2_with_split_from": """WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_id FROM documents)
-        SELECT doc_id, row_id, 'train' AS split FROM n WHERE lang = 'fr' AND row_id >= 10
+        SELECT doc_id, lang AS source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_id FROM documents)""",
+    "set2_with_split_from": """WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) - 1 AS row_id FROM documents)
+        SELECT doc_id, row_id, 'train' AS split FROM n WHERE lang <> 'en' AND row_id >= 10
         UNION ALL SELECT doc_id, row_id, 'valid' FROM n WHERE lang = 'en' AND row_id < 25""",
     "bat1_plan_batches": f"WITH {_SHUFFLED} SELECT {_DEALT} FROM k WHERE pos < n // 3 * 3",
     "bat1_plan_batches_short": f"WITH {_SHUFFLED} SELECT {_DEALT} FROM k WHERE pos < n // 3 // 16 * 16 * 3",

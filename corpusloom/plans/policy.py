@@ -93,7 +93,8 @@ def _global_step(spark, folder):
 
 
 def _threshold(spark, folder):
-    evaluations = table(spark, folder, "events").where("event_type = 'error'").select("user_id", "event_id", (F.col("value") / 100).alias("loss"))
+    loss = F.when(F.col("event_id") % 10 == 3, F.lit(float("nan"))).otherwise(F.col("value") / 100)
+    evaluations = table(spark, folder, "events").select("user_id", "event_id", loss.alias("loss"))
     found = ro.adaptive_threshold(evaluations, "user_id", "event_id", "loss", EPS)
     return found.select("user_id", "event_id", rounded(F.col("threshold")).alias("threshold"), rounded(F.col("reference_loss")).alias("reference_loss"))
 
@@ -189,8 +190,8 @@ ORACLES = {
     "win3_log_intervals_exact": _interval_sql(ACCUMULATION, "count(*)"),
     "win3_log_intervals_plain": _interval_sql(1, str(float(INTERVAL))),
     "win4_global_step": STEPS + " SELECT user_id, step, step AS plain, step // 4 + 1 AS accumulated FROM steps",
-    "win6_adaptive_threshold": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value / 100 AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
-          FROM events WHERE event_type = 'error'),
+    "win6_adaptive_threshold": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_id % 10 <> 3 THEN value / 100 END AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+          FROM events),
         s AS (SELECT user_id, event_id, n, CAST(0.0 AS DOUBLE) AS th, loss AS prev FROM e WHERE n = 1
           UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.loss >= s.prev + {EPS} THEN least(s.th + CAST(0.1 AS DOUBLE), 1.0) ELSE s.th END,
             CASE WHEN e.loss >= s.prev + {EPS} THEN e.loss ELSE s.prev END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)

@@ -49,8 +49,9 @@ def event_lines(spark, folder) -> DataFrame:
     """Events as JSON lines with a time stamp, a source and further keys."""
     stamped = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.lit("scheduler").alias("source"),
                                  F.col("event_type").alias("event"), F.get_json_object("props", "$.k").alias("k")))
-    broken = F.when(F.pmod("event_id", F.lit(50)) == 0, F.lit("{broken")).otherwise(stamped)
-    return table(spark, folder, "events").select("event_id", broken.alias("raw"))
+    whole = table(spark, folder, "events").select("event_id", stamped.alias("raw"))
+    # A line cut short is added behind each.
+    return whole.unionByName(whole.select("event_id", F.expr("left(raw, length(raw) - 7)").alias("raw")))
 
 
 def _events(spark, folder):
@@ -191,12 +192,14 @@ RUNS_SQL = """states AS (SELECT concat('run', user_id) AS exp_id, user_id, ['pen
 
 
 def state_tables(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queue definitions, run copies (some with a wrong id) and statuses (some missing)."""
+    """Queue definitions, run copies (some with a wrong id) and statuses. ``new`` ids have no status, ``idle`` ones no run either."""
     rows = run_states(spark, folder)
-    queue = rows.select("exp_id", F.lit("pending").alias("status"), F.lit(0).alias("attempt"), F.lit(3).alias("max_retries"))
+    named = lambda prefix: rows.withColumn("exp_id", F.concat(F.lit(prefix), "exp_id"))
+    started = rows.unionByName(named("new"))
+    queue = started.unionByName(named("idle")).select("exp_id", F.lit("pending").alias("status"), F.lit(0).alias("attempt"), F.lit(3).alias("max_retries"))
     own = F.when(F.pmod("user_id", F.lit(11)) == 0, F.lit("other")).otherwise(F.col("exp_id"))
-    runs = rows.where("user_id % 5 <> 0").select(F.col("exp_id").alias("run_dir"), own.alias("exp_id"), "status", "attempt", "consecutive_failures")
-    status = rows.where("user_id % 3 <> 0").select(F.col("exp_id").alias("run_dir"), "status", "attempt")
+    runs = started.select(F.col("exp_id").alias("run_dir"), own.alias("exp_id"), "status", "attempt", "consecutive_failures")
+    status = rows.select(F.col("exp_id").alias("run_dir"), "status", "attempt")
     return queue, runs, status
 
 
@@ -221,7 +224,7 @@ def _repeats(spark, folder):
 
 
 def _retry(spark, folder):
-    rows = run_states(spark, folder).where("status = 'failed'").withColumn("retry_sleep", F.lit(200)).withColumn("max_retries", F.lit(2))
+    rows = run_states(spark, folder).withColumn("retry_sleep", F.lit(200)).withColumn("max_retries", F.lit(2))
     found = runstate.retry_report(rows, F.col("last_seen") + 700)
     return found.select("exp_id", F.col("wait_seconds"), "retry_state")
 
@@ -366,9 +369,11 @@ _VERDICTS = f"""WITH {LOG_SQL}, every AS (SELECT DISTINCT run_id, attempt FROM l
     texts AS (SELECT run_id, attempt, string_agg(lower(raw), chr(10) ORDER BY line_no) AS x FROM log WHERE NOT {_NOISE} GROUP BY 1, 2),
     verdicts AS (SELECT run_id, CAST(attempt AS BIGINT) AS attempt, coalesce({_case()}, 'other') AS reason FROM every LEFT JOIN texts USING (run_id, attempt))"""
 _STATE_TABLES = f"""{RUNS_SQL},
-    queue AS (SELECT exp_id, 'pending' AS status, 0 AS attempt, 3 AS max_retries FROM states),
-    runs AS (SELECT * FROM states WHERE user_id % 5 <> 0 AND user_id % 11 <> 0),
-    stat AS (SELECT * FROM states WHERE user_id % 3 <> 0)"""
+    started AS (SELECT * FROM states UNION ALL SELECT * REPLACE (concat('new', exp_id) AS exp_id) FROM states),
+    queue AS (SELECT exp_id, 'pending' AS status, 0 AS attempt, 3 AS max_retries FROM started
+      UNION ALL SELECT concat('idle', exp_id), 'pending', 0, 3 FROM states),
+    runs AS (SELECT * FROM started WHERE user_id % 11 <> 0),
+    stat AS (SELECT * FROM states)"""
 _REGION = f"""WITH {DOCUMENT_LINES}, b AS (SELECT doc_id % 2 AS run_id, line_no, raw, strlen(raw) AS n,
     sum(strlen(raw) + 1) OVER (PARTITION BY doc_id % 2 ORDER BY line_no) - strlen(raw) - 1 AS lo FROM lines),
     t AS (SELECT run_id, sum(n + 1) AS total FROM b GROUP BY 1),
@@ -382,7 +387,7 @@ ORACLES = {
         SELECT run, row_number() OVER w - 1 AS line_no, CAST(sum(strlen(raw) + 1) OVER w - strlen(raw) - 1 AS BIGINT) AS byte_offset, md5(raw) AS raw_md5
         FROM r WINDOW w AS (PARTITION BY run ORDER BY o)""",
     "src9_read_events": """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, 'scheduler' AS source, event_type AS event,
-        props->>'$.k' AS k FROM events WHERE event_id % 50 <> 0""",
+        props->>'$.k' AS k FROM events""",
     "src10_read_run_states": f"""WITH {RUNS_SQL} SELECT exp_id, CASE WHEN user_id % 13 = 0 THEN 'pending' ELSE status END AS status,
         CASE WHEN user_id % 13 = 0 THEN 0 ELSE attempt END AS attempt, '1e-4' AS lr, 2 AS batches, user_id % 13 <> 0 AS has_run, status AS status_status FROM states""",
     "src10_load_failures": f"WITH {RUNS_SQL} SELECT 'load_exp_failed' AS event, exp_id FROM states WHERE user_id % 13 = 0",
@@ -408,7 +413,7 @@ ORACLES = {
         SELECT run_id, attempt_no, error_hash, repeats, coalesce(error_hash = prior AND repeats >= 2, false) AS hard_failure FROM a WHERE failed""",
     "win7_failure_streak": f"""WITH {ATTEMPTS_SQL}, i AS (SELECT run_id, attempt_no, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY attempt_no) AS island FROM attempts)
         SELECT run_id, attempt_no, failed, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, island ORDER BY attempt_no) AS BIGINT) AS streak FROM i""",
-    "win8_retry_report": f"""WITH {RUNS_SQL}, w AS (SELECT *, least(200.0 * pow(2, consecutive_failures), 900.0) AS wait FROM states WHERE status = 'failed')
+    "win8_retry_report": f"""WITH {RUNS_SQL}, w AS (SELECT *, least(200.0 * pow(2, consecutive_failures), 900.0) AS wait FROM states)
         SELECT exp_id, CAST(wait AS DOUBLE) AS wait_seconds, CASE WHEN coalesce(last_seen + 700 - last_failed_at < wait, false) THEN 'cooling_down'
           WHEN attempt > 2 THEN 'exhausted' ELSE 'ready' END AS retry_state FROM w""",
     "win10_stale_report": f"""WITH {_STATE_TABLES}, v AS (SELECT r.exp_id, r.user_id AS n, r.consecutive_failures AS f,

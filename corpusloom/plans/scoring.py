@@ -27,6 +27,7 @@ from corpusloom.sources import writers
 
 PLAIN = {"exact_match": metrics.exact_match, "rougeL": partial(rouge_l, stem=False)}
 LANGS = ["de", "en", "es", "fr"]
+FOREIGN = 1 << 50  # ids beyond those of the tables
 
 
 def _generated(spark, folder) -> DataFrame:
@@ -60,21 +61,24 @@ def _normalize(spark, folder):
 
 def _align(spark, folder):
     rows = replies(spark, folder)
-    # Both sides lack some ids, as real files do.
-    predictions = rows.where("idx % 7 <> 0").select("idx", "text")
-    references = rows.where("idx % 5 <> 0").select("idx", F.size("references").cast("long").alias("n"))
+    # Both sides have ids of their own besides, as real files do.
+    predictions = rows.select("idx", "text").unionByName(rows.select((-1 - F.col("idx")).alias("idx"), "text"))
+    counted = rows.select("idx", F.size("references").cast("long").alias("n"))
+    references = counted.unionByName(counted.select((F.col("idx") + FOREIGN).alias("idx"), "n"))
     return metrics.align(predictions, references).select("idx", F.md5("text").alias("text_md5"), "n")
 
 
 def _audit(spark, folder):
     rows = replies(spark, folder).select("idx")
-    return metrics.alignment_audit(rows.where("idx % 7 <> 0"), rows.where("idx % 5 <> 0"))
+    unmatched = rows.select((F.col("idx") + FOREIGN).alias("idx")).where("idx % 2 = 0")
+    return metrics.alignment_audit(rows.unionByName(rows.select((-1 - F.col("idx")).alias("idx"))), rows.unionByName(unmatched))
 
 
 def _attach(spark, folder):
     origin = pairs(spark, folder).select("pair_id", "conv_id")
-    # Some conversations were never generated for and must not appear.
-    generated = table(spark, folder, "conversations").where("conv_id % 3 <> 0")
+    # Rows of conversations that were never generated for are added and must not appear.
+    origin = origin.unionByName(origin.select("pair_id", (-1 - F.col("conv_id")).alias("conv_id")))
+    generated = table(spark, folder, "conversations")
     found = metrics.attach_generations(origin, generated, "conv_id", "text", "turn")
     return found.select("pair_id", F.md5("gen_answer").alias("gen_md5"))
 
@@ -142,9 +146,10 @@ def _matrix(spark, folder):
 
 
 def _compare(spark, folder):
-    means = board(spark, folder).groupBy("run", "benchmark").agg(F.avg("rougeL").alias("rougeL"))
-    side = lambda b: means.where(F.col("benchmark") == b).select("run", "rougeL")
-    found = metrics.compare_runs(side("fr"), side("es").where("run <> 'src3'"), key="run")
+    scores = board(spark, folder)
+    side = lambda bs: scores.where(F.col("benchmark").isin(bs)).groupBy("run").agg(F.avg("rougeL").alias("rougeL"))
+    alone = scores.select(F.lit("only second").alias("run"), F.lit(1.0).alias("rougeL")).distinct()
+    found = metrics.compare_runs(side(["fr", "de"]), side(["es", "en"]).unionByName(alone), key="run")
     return found.select("run", *[rounded(F.col(c)).alias(c) for c in ("first", "second", "ratio", "delta")])
 
 
@@ -223,13 +228,12 @@ ORACLES = {
         UNION ALL SELECT 'answers', md5(text) FROM cleaned) GROUP BY ALL""",
     "prj16_clean_generation": f"WITH {GENERATED} SELECT idx, md5(text) AS text_md5 FROM cleaned",
     "prj18_normalize_answer": f"SELECT doc_id, md5({normalized('text')}) AS text_md5 FROM documents",
-    "jon1_align": f"WITH {REPLIES} SELECT idx, md5(text) AS text_md5, len(refs) AS n FROM replies WHERE idx % 7 <> 0 AND idx % 5 <> 0",
-    "jon1_alignment_audit": f"""WITH {REPLIES} SELECT count_if(idx % 7 <> 0 AND idx % 5 <> 0)::BIGINT AS matched,
-        count_if(idx % 7 <> 0 AND idx % 5 = 0)::BIGINT AS only_prediction, count_if(idx % 7 = 0 AND idx % 5 <> 0)::BIGINT AS only_reference FROM replies""",
-    "jon2_attach_generations": f"""WITH {PAIRS}, g AS (SELECT conv_id, max_by(text, turn) AS t FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1)
+    "jon1_align": f"WITH {REPLIES} SELECT idx, md5(text) AS text_md5, len(refs) AS n FROM replies",
+    "jon1_alignment_audit": f"""WITH {REPLIES} SELECT count(*) AS matched, count(*) AS only_prediction, count_if(idx % 2 = 0)::BIGINT AS only_reference FROM replies""",
+    "jon2_attach_generations": f"""WITH {PAIRS}, g AS (SELECT conv_id, max_by(text, turn) AS t FROM conversations GROUP BY 1)
         SELECT pair_id, md5(t) AS gen_md5 FROM pairs JOIN g USING (conv_id)""",
-    "jon7_compare_runs": f"""WITH {BOARD}, m AS (SELECT run, benchmark, avg(rougeL) AS v FROM board GROUP BY ALL),
-        a AS (SELECT run, v FROM m WHERE benchmark = 'fr'), b AS (SELECT run, v FROM m WHERE benchmark = 'es' AND run <> 'src3')
+    "jon7_compare_runs": f"""WITH {BOARD}, a AS (SELECT run, avg(rougeL) AS v FROM board WHERE benchmark IN ('fr', 'de') GROUP BY 1),
+        b AS (SELECT run, avg(rougeL) AS v FROM board WHERE benchmark IN ('es', 'en') GROUP BY 1 UNION ALL SELECT 'only second', 1.0)
         SELECT coalesce(a.run, b.run) AS run, round(a.v, 6) AS first, round(b.v, 6) AS second, round(a.v / nullif(b.v, 0), 6) AS ratio,
         round(a.v - b.v, 6) + 0.0 AS delta FROM a FULL JOIN b ON a.run = b.run""",
     "agg1_exact_match": f"""WITH {PAIRS}, o AS (SELECT pair_id, output, CASE WHEN pair_id % 3 = 0 THEN concat(' ', replace(output, 'e', 'E'), ' !?') ELSE instruction END AS other FROM pairs)

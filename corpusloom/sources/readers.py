@@ -28,7 +28,9 @@ def read_lines(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFram
 
 
 def _block() -> Column:
-    return F.struct("_file", "_start")
+    """Order of blocks: part files by their number, however many digits it has, then by path, then by place in the file."""
+    part = F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    return F.struct(F.regexp_replace("_file", r"[^/]*$", "").alias("folder"), part.alias("part"), F.col("_file"), F.col("_start"))
 
 
 def number_lines(lines: DataFrame, name: str = "row_id") -> DataFrame:
@@ -68,15 +70,17 @@ def read_eval(spark: SparkSession, folder: str, split: str, family: str | None =
     if family:
         try:
             lines = read_lines(spark, f"{folder}/{split}_{family}.jsonl")
-        except AnalysisException:
-            lines = None
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     if lines is None:
         lines = read_lines(spark, generic)
     rows = number_lines(lines, "idx")
-    # Whether the value is a list is told from its JSON form, which a string type would lose.
+    # Whether the top-level value is a list is told by its elements, as a path into a string finds none.
     value = F.get_json_object("value", "$.output")
-    is_list = F.regexp_like(F.col("value"), F.lit(r'"output"\s*:\s*\['))
-    answers = F.when(is_list, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value))
+    listed = F.from_json("value", "output array<string>")["output"]
+    is_list = F.get_json_object("value", "$.output[0]").isNotNull() | (value == "[]")
+    answers = F.when(is_list, listed).when(value.isNotNull(), F.array(value))
     return rows.select(
         "idx",
         expand_newlines(F.get_json_object("value", "$.prompt")).alias("prompt"),
@@ -111,8 +115,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _state_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One row per JSON file; ``path`` may be a glob, so Spark's own listing finds the files."""
-    raw = spark.read.text(path, wholetext=True)
+    """One row per JSON file; ``path`` may be a glob, so Spark's own listing finds the files. None found: no rows."""
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = spark.createDataFrame([], "run_dir string, file_path string, file_time timestamp, value string")
+        return _from_json(empty, schema, ["run_dir", "file_path", "file_time"])
     placed = raw.select("value", F.col("_metadata.file_path").alias("file_path"),
                         F.col("_metadata.file_modification_time").alias("file_time"))
     run_dir = F.element_at(F.split("file_path", "/"), -2)
