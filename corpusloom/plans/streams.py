@@ -95,8 +95,9 @@ ORACLES = {
     "str2_stream_status": f"SELECT {_DAY} AS window_start, event_type, count(*) AS n, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2",
     "str2_stream_status_report": f"""SELECT {_DAY} AS window_start, count_if(event_type NOT IN ('error', 'signup'))::BIGINT AS running, count_if(event_type = 'signup')::BIGINT AS done,
         count_if(event_type = 'error')::BIGINT AS pending, CAST(0 AS BIGINT) AS other, count(*) AS total FROM events GROUP BY 1""",
-    "str3_stream_hang": f"""SELECT user_id, max(epoch_us(ts)) // 1000 AS last_ms FROM events GROUP BY 1
-        HAVING max(epoch_us(ts)) // 1000 + {HOUR * 1000} <= (SELECT max(epoch_us(ts)) // 1000 FROM events)""",
+    "str3_stream_hang": f"""WITH t AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ms FROM events),
+        n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS following, max(ms) OVER () AS newest FROM t)
+        SELECT user_id, ms AS last_ms FROM n WHERE coalesce(following > ms + {HOUR * 1000}, true) AND ms + {2 * HOUR * 1000} <= newest""",
     "str4_stream_replay": f"WITH {_RANKED} SELECT user_id, event_id, event_type AS payload FROM r WHERE n <= {CAPACITY}",
     "str4_stream_replay_sample": f"""WITH {_RANKED}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat(event_id, '|3|0'))) AS m FROM r WHERE n <= {CAPACITY})
         SELECT user_id, event_id FROM k WHERE m <= {DRAW}""",

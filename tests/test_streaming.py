@@ -49,6 +49,30 @@ def test_replay_buffer_across_batches(spark, table):
     assert {k: sorted(v) for k, v in found.items()} == {k: [i for i in range(600) if i % 7 == k][-4:] for k in range(7)}
 
 
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_silence_whatever_the_cut(spark, tmp_path, files):
+    # Out of order by less than the lateness; a silence may begin and end inside one batch.
+    import random
+
+    draw = random.Random(files)
+    times = sorted({("a" if draw.random() < 0.5 else "b", draw.randrange(0, 40_000)) for _ in range(40)}, key=lambda x: x[1])
+    mixed = sorted(times, key=lambda x: x[1] + draw.randrange(0, 1500))
+    step = -(-len(mixed) // files)
+    folder = str(tmp_path / "in")
+    schema = "key string, s long"
+    for at in range(0, len(mixed), step):
+        rows = spark.createDataFrame(mixed[at : at + step], schema).coalesce(1)
+        rows.select("key", (F.lit(1_700_000_000) + F.col("s")).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+    stored = spark.read.parquet(folder)
+    live = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = {(r.key, r.last_ms // 1000 - 1_700_000_000) for r in jobs.run_to_table(jobs.stream_hang(live, "key", "ts", 2000, "1 hour"), "append").collect()}
+    newest, want = max(t for _, t in times), set()
+    for key in "ab":
+        own = [t for k, t in times if k == key]
+        want |= {(key, t) for t in own if not any(t < x <= t + 2000 for x in own) and t + 2000 <= newest - 3600}
+    assert found == want and want
+
+
 def test_silence(spark, table):
     # Keys 0..6 take turns each minute; only the last events are followed by silence.
     silent = jobs.stream_hang(stream(spark, table).where("key <> 3 OR id < 300"), "key", "ts", 1800)
