@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 4  # a pair at the threshold is missed with probability (1 - 0
 SKETCH_BITS = 4  # low bits kept of each of the 128 minima
 SKETCH_AGREE = 74  # of 128; a pair at the threshold agrees in 98 on average, so this is five deviations away
 WANTED_BITS = 26  # bitmap of documents to verify: 8 MB at any size
+CROWDED = 2000  # pairs across components above which a bucket is compared in blocks
+BLOCK = 512  # documents of a block
 SKETCH = [f"b{i}" for i in range(8)]
 _BATCH = 1 << 22
 _CHUNK = 1 << 15
@@ -143,8 +145,7 @@ def near_duplicates(
 
     twins = linked.join(classes.select(*of_set, "rep"), of_set).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     roots = components(first)
-    across = written(_across(members, roots, star, percent))
-    second = written(_verified(across, source, size, percent))
+    second = written(_across(members, roots, star, source, size, percent))
     own = written(twins)
     roots = components(first.unionByName(second).unionByName(own))
     return (
@@ -177,21 +178,30 @@ def _close(percent: int):
     return (small * 100 >= large * percent) & (differ <= 128 - SKETCH_AGREE)
 
 
-def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in one bucket: all members against those outside its largest component."""
+def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components of one bucket: all members against those outside its largest component.
+
+    Buckets with few such pairs give them as rows; crowded ones are compared in blocks.
+    """
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root", "hub")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("major")).where("comps > 1").drop("comps")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
+    minors = F.col("all") - F.col("top.m")
+    mixed = mixed.select("key", F.col("top.comp").alias("major"), (F.col("all") * minors > CROWDED).alias("crowded"),
+                         F.ceil(F.col("all") / BLOCK).alias("many"), F.ceil(minors / BLOCK).alias("few"))
     open_rows = written(placed.join(mixed, "key"))
-    minor = open_rows.where("comp <> major").select("key", F.col("comp").alias("h_comp"), *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)])
-    pairs = open_rows.join(minor, "key").where((F.col("comp") != F.col("h_comp")) & ((F.col("comp") == F.col("major")) | (F.col("rep") < F.col("h_rep")))).where(_close(percent))
+    calm = open_rows.where("not crowded")
+    minor = calm.where("comp <> major").select("key", F.col("comp").alias("h_comp"), *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)])
+    pairs = calm.join(minor, "key").where((F.col("comp") != F.col("h_comp")) & ((F.col("comp") == F.col("major")) | (F.col("rep") < F.col("h_rep")))).where(_close(percent))
     pairs = pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
+    crowded = open_rows.where("crowded").select("key", "rep", "comp", "major", "many", "few")
+    return _verified(pairs, source, size, percent).unionByName(_crowded_links(crowded, source, size, percent))
 
 
-def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _packed_sets(ids: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """``id, members``: the full set of each document named in ``ids``, sorted digests."""
+    wanted = ids.distinct()
     place = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS))
     bitmap = np.zeros(1 << (WANTED_BITS - 5), np.int64)
     cells = wanted.select(F.shiftright(place, 5).alias("w"), F.pmod(place, F.lit(32)).cast("int").alias("o")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("m")).toPandas()
@@ -206,6 +216,14 @@ def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> D
             for a, b, sets, ends in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kernels.binaries(sets.view(np.int64), ends)], names=["id", "members"])
 
+    # The bitmap lets through all documents that are wanted and few others; the join is exact.
+    sets = source.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(pack, "id long, members binary")
+    return written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "members"]))
+
+
+def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -215,14 +233,71 @@ def _verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # The bitmap lets through all documents that are wanted and few others; the join is exact.
-    sets = source.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(pack, "id long, members binary")
-    sets = written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "members"]))
+    sets = _packed_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), source, size)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
 
+def _crowded_links(rows: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of crowded buckets, block against block.
+
+    The members of a bucket are dealt to blocks, those outside its largest component to blocks of their own; every two
+    blocks meet in one task, which intersects the full sets and returns a single link for a document and a component.
+    A pair that shares several such buckets is tested in the one of least key.
+    """
+    sets = _packed_sets(rows.select(F.col("rep").alias("id")), source, size)
+    shared = rows.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    docs = shared.join(sets.withColumnRenamed("id", "rep"), "rep")
+    place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    count = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    kept = ["key", "rep", "comp", "major", "i", "j"]
+    every = rows.withColumn("i", place(0, "many")).withColumn("j", F.explode(count("few"))).select(kept)
+    minor = rows.where("comp <> major").withColumn("j", place(1, "few")).withColumn("i", F.explode(count("many"))).select(kept)
+    # Both sides come from the same rows, so their columns are named anew.
+    whole = lambda side: side.join(docs, "rep").select(*[F.col(c).alias(c) for c in (*kept, "keys", "members")]).groupBy("key", "i", "j")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _links_between(left.to_pylist(), right.to_pylist(), percent)
+        return pa.table({n: pa.array([x[i] for x in found], pa.int64()) for i, n in enumerate(("a", "b"))})
+
+    return whole(every).cogroup(whole(minor)).applyInArrow(meet, "a long, b long").distinct()
+
+
+def _links_between(every: list[dict], minor: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links of minor documents with others of other components, one for each document and component."""
+    if not every or not minor:
+        return []
+    sets = [np.frombuffer(r["members"], np.uint64) for r in every]
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    rep, comp = (np.array([r[c] for r in every]) for c in ("rep", "comp"))
+    in_major = comp == every[0]["major"]
+    holders: dict[int, list[int]] = {}
+    for i, r in enumerate(every):
+        for k in r["keys"]:
+            holders.setdefault(k, []).append(i)
+    out = []
+    for r in minor:
+        own = np.frombuffer(r["members"], np.uint64)
+        wanted = (comp != r["comp"]) & (in_major | (rep < r["rep"]))
+        for k in r["keys"]:
+            if k < r["key"]:
+                wanted[holders.get(k, [])] = False
+        if not wanted.any():
+            continue
+        first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = last - first
+        hits = owner[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)]
+        both = np.bincount(hits, minlength=len(sets))
+        linked = np.flatnonzero(wanted & (100 * both >= percent * (sizes + len(own) - both)))
+        for i in np.unique(comp[linked], return_index=True)[1]:
+            out.append((min(r["rep"], int(rep[linked[i]])), max(r["rep"], int(rep[linked[i]]))))
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links but the roots; ``root`` is the smallest node of the component.
 
