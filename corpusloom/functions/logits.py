@@ -1,7 +1,7 @@
 """Softmax algebra over logit arrays: divergences, entropies, likelihoods.
 
-Column forms use higher-order functions and suit small vocabularies. ``divergences_arrow``
-computes the same numbers with NumPy over Arrow batches for large ones.
+Column forms use higher-order functions. Divergences are computed with NumPy over Arrow batches
+(``divergences_arrow``) at any vocabulary; ``divergence_terms`` is the same as one expression.
 """
 
 from __future__ import annotations
@@ -99,10 +99,22 @@ def divergence_terms(student: Column, teacher: Column, mix: float = MIX, skew: f
 
 
 def divergences_arrow(student: Column, teacher: Column, mix: float = MIX, skew: float = SKEW) -> Column:
-    """Same struct as ``divergence_terms`` by NumPy; rows of one batch share a vocabulary size."""
+    """Same struct as ``divergence_terms`` by NumPy, vocabulary by vocabulary.
+
+    Rows with a null on either side, no logits or unequal lengths have null fields; a null inside makes them null, too.
+    """
 
     @F.pandas_udf(", ".join(f"{n} double" for n in ALL))
     def run(s: pd.Series, t: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({n: np.full(len(s), np.nan) for n in ALL})
+        size = lambda x: -1 if x is None else len(x)
+        left, right = (np.array([size(x) for x in side], dtype=np.int64) for side in (s, t))
+        for n in np.unique(left[(left == right) & (left > 0)]):
+            rows = np.flatnonzero((left == n) & (right == n))
+            out.iloc[rows] = of_size(s.iloc[rows], t.iloc[rows]).to_numpy()
+        return out
+
+    def of_size(s: pd.Series, t: pd.Series) -> pd.DataFrame:
         a, b = np.stack(s.to_numpy()).astype(np.float64), np.stack(t.to_numpy()).astype(np.float64)
         with np.errstate(all="ignore"):
             norm = lambda x: x - (x.max(1, keepdims=True) + np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)))
@@ -139,7 +151,7 @@ def divergence_name(run_type: str) -> str:
 def divergence(name: str, student: Column, teacher: Column, **weights: float) -> Column:
     """One per-position divergence by its name (``ALL``) or by the run type that contains it."""
     field = name if name in ALL else divergence_name(name)
-    return divergence_terms(student, teacher, **weights)[field]
+    return divergences_arrow(student, teacher, **weights)[field]
 
 
 def masked_mean(value: Column, label: Column) -> Column:

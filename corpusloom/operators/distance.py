@@ -9,15 +9,12 @@ from corpusloom.functions.arrays import IGNORE
 from corpusloom.functions.logits import (
     ALL,
     cross_entropy,
-    divergence_terms,
     divergences_arrow,
     entropy,
     masked_mean,
     token_loss,
 )
 
-LARGE_VOCAB = 1024
-
 
 def pair_logits(student: DataFrame, teacher: DataFrame, keys: tuple[str, ...] = ("example_id", "pos")) -> DataFrame:
     """Join the two logit tables on example and position.
@@ -29,10 +26,9 @@ def pair_logits(student: DataFrame, teacher: DataFrame, keys: tuple[str, ...] =
     return student.withColumnRenamed("logits", "student").join(right, list(keys))
 
 
-def position_divergences(df: DataFrame, vocab_size: int | None = None, **weights: float) -> DataFrame:
-    """Per-position divergences; the Arrow path for vocabularies above ``LARGE_VOCAB``."""
-    compute = divergences_arrow if (vocab_size or 0) > LARGE_VOCAB else divergence_terms
-    return df.withColumn("d", compute(F.col("student"), F.col("teacher"), **weights))
+def position_divergences(df: DataFrame, **weights: float) -> DataFrame:
+    """Per-position divergences, by the same arithmetic at any vocabulary."""
+    return df.withColumn("d", divergences_arrow(F.col("student"), F.col("teacher"), **weights))
 
 
 def divergence_report(df: DataFrame, label: str = "label", by: tuple[str, ...] = (), **kwargs) -> DataFrame:

@@ -11,7 +11,6 @@ from corpusloom.functions.rouge import rouge_l
 from corpusloom.functions.text import normalize_answer
 
 Metric = Callable[[Column, Column], Column]
-EVAL_ROWS = 1000  # row cap of the command-line scorer
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:

@@ -25,8 +25,6 @@ from corpusloom.operators.ordered import number_sorted
 HASH_DIGITS = 6  # hex digits of a hashed word id: 24 bits
 HASH_EOS = 1 << 24  # first id outside the hashed range
 BYTE_EOS = 256
-BROADCAST_VOCAB_ROWS = 1 << 20  # far above any model's vocabulary, some 40 MB
-VOCAB_SALTS = 32
 
 
 class Encoder(Protocol):
@@ -73,10 +71,6 @@ def hashed_word_ids(text: Column) -> Column:
     return encode(text, HashedWordEncoder())
 
 
-def byte_ids(text: Column) -> Column:
-    return encode(text, ByteEncoder())
-
-
 def encode(text: Column, encoder: Encoder) -> Column:
     """Ids from a tokenizer; null text stays null. One flat Arrow buffer per batch."""
 
@@ -125,51 +119,25 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
     return number_sorted(kept, F.desc("count"), F.asc("token"), name="id")
 
 
-def encode_words(
-    df: DataFrame,
-    key: str,
-    text: str,
-    vocab: DataFrame,
-    unk_id: int,
-    name: str = "ids",
-    broadcast_rows: int = BROADCAST_VOCAB_ROWS,
-    salts: int = VOCAB_SALTS,
-) -> DataFrame:
-    """Add vocabulary ids of the words of ``text``; unknown words get ``unk_id``.
+def encode_words(df: DataFrame, key: str, text: str, vocab: DataFrame, unk_id: int, name: str = "ids") -> DataFrame:
+    """Add vocabulary ids of the words of ``text``; unknown words get ``unk_id``, a null text gets null.
 
-    ``key`` identifies a row. A vocabulary of at most ``broadcast_rows`` words is shipped to
-    the Python workers once and needs no shuffle. A larger one is joined: each row sends its
-    *distinct* words, and the vocabulary is replicated over ``salts`` so that a frequent
-    word is spread over that many tasks.
+    Ids depend on the text alone, so each different text sends its different words to the vocabulary once and takes
+    them back as one map: shared or null values of ``key`` do no harm. Both joins split skewed keys; nothing is
+    broadcast unless its size is known to be small. A word listed twice has its least id.
     """
-    table = vocab.select(F.col("token").alias("_w"), F.col("id").cast("int").alias("_id"))
-    small = table.limit(broadcast_rows + 1).toPandas()
-    if len(small) <= broadcast_rows:
-        shared = df.sparkSession.sparkContext.broadcast(dict(zip(small["_w"], small["_id"])))
-        return df.withColumn(name, _lookup_shared(words(F.col(text)), shared, unk_id))
-    wanted = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = wanted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    found = salted.join(copies, ["_w", "_salt"], "left")
-    # Bounded group: a row's own distinct words, already held together in that row.
-    maps = found.groupBy(key).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("_w", F.coalesce(F.col("_id"), F.lit(unk_id))))
-        ).alias("_map")
-    )
-    lookup = _lookup(words(F.col(text)), F.col("_map"))
-    joined = df.join(maps.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left")
-    return joined.withColumn(name, lookup).drop("_map", "_k")
-
-
-def _lookup_shared(tokens: Column, shared, unk_id: int) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(rows: pd.Series) -> pd.Series:
-        ids = shared.value
-        found = [None if row is None else [ids.get(w, unk_id) for w in row] for row in rows]
-        return pd.Series(found, index=rows.index, dtype=object)
-
-    return run(tokens)
+    del key  # rows are matched by their text
+    table = vocab.groupBy(F.col("token").alias("_w")).agg(F.min(F.col("id").cast("int")).alias("_id"))
+    digests = [F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.col(text), F.lit(1)).alias("_h2")]
+    wanted = df.where(F.col(text).isNotNull()).select(*digests, F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
+    found = wanted.join(table, "_w", "left")
+    # Bounded group: a text's own distinct words; copies of a text send the same entries, of which one set stays.
+    entry = F.struct("_w", F.coalesce(F.col("_id"), F.lit(unk_id)).alias("_id"))
+    maps = found.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_set(entry)).alias("_map"))
+    maps = maps.withColumnsRenamed({"_h1": "_m1", "_h2": "_m2"})
+    keyed = df.withColumn("_h1", digests[0]).withColumn("_h2", digests[1])
+    joined = keyed.join(maps, (F.col("_h1") == F.col("_m1")) & (F.col("_h2") == F.col("_m2")), "left")
+    return joined.withColumn(name, _lookup(words(F.col(text)), F.col("_map"))).drop("_map", "_h1", "_h2", "_m1", "_m2")
 
 
 def _lookup(tokens: Column, mapping: Column) -> Column:

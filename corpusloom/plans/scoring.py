@@ -170,7 +170,8 @@ def checkpoints(spark, folder) -> DataFrame:
 
 
 def _best(spark, folder, largest):
-    rows = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value")
+    value = F.when(F.col("event_id") % 10 == 3, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), value.alias("value"))
     return select.best_checkpoint(rows, "value", largest)
 
 
@@ -256,9 +257,9 @@ ORACLES = {
         arg_max(has_config, TRY_CAST(step AS BIGINT)) AS has_config FROM ck
         WHERE regexp_full_match(step, '\\d+') AND size_bytes > 100000000 GROUP BY 1""",
     "top2_best_checkpoint": """SELECT run, step, value FROM (SELECT user_id AS run, event_id AS step, value,
-        row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1""",
+        row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events WHERE event_id % 10 <> 3) WHERE n = 1""",
     "top2_best_checkpoint_loss": """SELECT run, step, value FROM (SELECT user_id AS run, event_id AS step, value,
-        row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events) WHERE n = 1""",
+        row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events WHERE event_id % 10 <> 3) WHERE n = 1""",
     "top3_eligible_runs": f"""WITH {CHECKPOINTS_SQL} SELECT run, step, size_bytes, mtime, has_config FROM (
         SELECT *, row_number() OVER (PARTITION BY run ORDER BY mtime DESC, step DESC) AS n FROM ck WHERE step <> 'eval' AND has_config) WHERE n = 1""",
     "top4_last_line": f"""WITH {LOG_SQL} SELECT run_id, max(line_no) AS line_no, max_by(raw, line_no) AS raw FROM log

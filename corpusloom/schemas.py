@@ -15,7 +15,6 @@ UPSTREAM = T.StructType(
     _strings("instruction", "prompt", "question", "context", "input", "response", "output", "answer", CORRUPT)
 )
 INSTRUCTION = T.StructType(_strings("instruction", "input", "output", CORRUPT))
-EVAL = T.StructType(_strings("prompt", "output", CORRUPT))
 EVENT_CORE = ("ts", "source", "event")
 QUEUE = T.StructType(
     [

@@ -66,15 +66,21 @@ def test_slice_ids(spark):
     assert (row.a, row.b, row.c) == ([6, 7], [8], [])
 
 
-def test_encode_words_both_ways(spark):
-    texts = [(i, " ".join(["the"] * (i % 5) + [f"w{i % 7}", "the"])) for i in range(60)] + [(99, None), (100, "")]
+def test_encode_words_with_shared_and_null_keys(spark):
+    texts = [(i % 7 or None, " ".join(["the"] * (i % 5) + [f"w{i % 7}", "the"])) for i in range(60)] + [(99, None), (100, "")]
     df = spark.createDataFrame(texts, "id long, text string")
     vocab = tokens.build_vocab(df, "text", min_count=9)
-    small = {r.id: r.ids for r in tokens.encode_words(df, "id", "text", vocab, -1).collect()}
-    joined = {r.id: r.ids for r in tokens.encode_words(df, "id", "text", vocab, -1, broadcast_rows=1, salts=3).collect()}
-    assert small[4] == [0, 0, 0, 0, next(r.id for r in vocab.where("token = 'w4'").collect()) if vocab.where("token = 'w4'").count() else -1, 0]
-    for key in small:
-        assert (small[key] or []) == (joined[key] or [])
+    ids = {r.token: r.id for r in vocab.collect()}
+    rows = tokens.encode_words(df, "id", "text", vocab, -1).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.ids == (None if r.text is None else [ids.get(w, -1) for w in r.text.split()])
+
+
+def test_pack_refuses_a_wrong_size(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3], 2)], "id long, ids array<int>, n int")
+    with pytest.raises(Exception, match="size is not the number of ids"):
+        packing.pack(df, "id", "ids", 1, size=F.col("n")).collect()
 
 
 def test_user_encoder_and_nulls(spark):

@@ -164,3 +164,43 @@ def test_log_blocks_follow_the_loop(spark, ga, interval):
         if step % ga == 0:
             gstep += 1
     assert found == expected
+
+
+def test_divergences_of_mixed_vocabularies_and_nulls(spark):
+    rows = [(0, [0.5, 1.0], [1.0, 0.2]), (1, [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]), (2, None, [1.0]), (3, [1.0], [1.0, 2.0]), (4, [], []), (5, [0.4] * 1500, [0.1] * 1500)]
+    df = spark.createDataFrame(rows, "i int, s array<double>, t array<double>").coalesce(1)
+    found = {r.i: r.d for r in df.select("i", lg.divergences_arrow(F.col("s"), F.col("t")).alias("d")).collect()}
+    for i in (0, 1, 5):
+        want = reference_divergences(np.array(rows[i][1]), np.array(rows[i][2]))
+        assert all(found[i][n] == pytest.approx(want[n], rel=1e-9, abs=1e-12) for n in lg.ALL)
+    assert all(found[i] is None or all(found[i][n] is None for n in lg.ALL) for i in (2, 3, 4))
+
+
+def test_nan_scores_never_win_and_never_move_the_threshold(spark):
+    from corpusloom.operators import rollouts, select
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, nan), (1, 2, 1.5), (1, 3, 2.0), (2, 0, nan), (2, 1, 5.0)], "run long, step long, loss double")
+    best = {r.run: r.step for r in select.best_checkpoint(df, "loss").collect()}
+    assert best == {1: 3, 2: 1}
+    found = {(r.run, r.step): r.threshold for r in rollouts.adaptive_threshold(df, "run", "step", "loss", 0.1).collect()}
+    assert [found[1, s] for s in range(4)] == pytest.approx([0.0, 0.0, 0.1, 0.2]) and found[2, 1] == 0.0
+
+
+@pytest.mark.parametrize("n", [2_000, 32_000])
+def test_folds_over_long_sequences(spark, n):
+    from corpusloom.functions import arrays, rewards
+
+    mask = [int(x) for x in np.arange(n) % 3 != 0]
+    values = np.sin(np.arange(n)).tolist()
+    df = spark.createDataFrame([(mask, values), (None, None), ([], []), ([1], [2.0])], "m array<int>, r array<double>")
+    rows = df.select(arrays.position_ids(F.col("m")).alias("p"), arrays.remaining_length(F.col("m")).alias("left"), rewards.suffix_returns(F.col("r"), 0.5).alias("g")).collect()
+    counted = np.cumsum(mask)
+    assert rows[0].p == [(int(c) - 1) * m for c, m in zip(counted, mask, strict=True)]
+    assert rows[0].left == [int(x) for x in np.cumsum(mask[::-1])[::-1]]
+    g, want = 0.0, []
+    for r in reversed(values):
+        g = g * 0.5 + r
+        want.append(g)
+    assert rows[0].g == pytest.approx(want[::-1])
+    assert tuple(rows[1]) == (None, None, None) and tuple(rows[2]) == ([], [], []) and (rows[3].p, rows[3].g) == ([0], [2.0])

@@ -109,3 +109,24 @@ def test_corpus_round_trip(spark, tmp_path):
     rows = readers.read_corpus(spark, str(tmp_path / "c")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in rows] == [(0, "one\ntwo"), (1, "three\n"), (2, "x")]
     assert spark.read.text(str(tmp_path / "c")).where(F.col("value").contains("<@x(x!>")).count() == 2
+
+
+def test_part_files_beyond_five_digits_keep_their_order(spark, tmp_path):
+    for name, text in (("part-99999-x.txt", "a\nb\n"), ("part-100000-x.txt", "c\n"), ("part-100001-x.txt", "d\n")):
+        (tmp_path / name).write_text(text)
+    rows = readers.number_lines(readers.read_lines(spark, str(tmp_path))).orderBy("row_id").collect()
+    assert [(r.row_id, r.value) for r in rows] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_nested_key_called_output(spark, tmp_path):
+    (tmp_path / "valid.jsonl").write_text('{"prompt":"p","output":"ans","meta":{"output":["x"]}}\n{"prompt":"p","output":["a","b"]}\n{"prompt":"p","output":[]}\n{"prompt":"p"}\n')
+    rows = readers.read_eval(spark, str(tmp_path), "valid", family="none").orderBy("idx").collect()
+    assert [r.references for r in rows] == [["ans"], ["a", "b"], [], None]
+
+
+def test_queue_without_any_run(spark, tmp_path):
+    (tmp_path / "queue").mkdir()
+    (tmp_path / "queue" / "a.json").write_text('{"exp_id": "a"}')
+    found = readers.read_run_states(spark, str(tmp_path / "queue"), str(tmp_path / "runs"))
+    assert [r.exp_id for r in found["queue"].collect()] == ["a"]
+    assert found["runs"].collect() == found["status"].collect() == found["failures"].collect() == []
