@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import NEWLINE_SENTINEL
 from corpusloom.operators.batching import shuffle_key
-from corpusloom.operators.runlogs import verdict
 from corpusloom.plans.binding import LOG_LINES
 from corpusloom.plans.runs import _VERDICTS
 from corpusloom.streaming import jobs
@@ -63,9 +62,7 @@ def _draw(spark, folder):
 
 def _classify(spark, folder):
     lines = jobs.stream_table(spark, folder, "events.parquet").selectExpr(*LOG_LINES)
-    flags = jobs.stream_classify(lines, ["run_id", "attempt"])
-    latest = jobs.run_to_table(flags, "update", jobs.newest_per_key("run_id", "attempt"))
-    return latest.select("run_id", F.col("attempt").cast("long").alias("attempt"), verdict("mask").alias("reason"))
+    return jobs.stream_classify(lines, ["run_id", "attempt"]).select("run_id", F.col("attempt").cast("long").alias("attempt"), "reason")
 
 
 def _latest(spark, folder):
@@ -87,8 +84,6 @@ QUERIES = {
 
 _DAY = "CAST(epoch(date_trunc('day', ts)) AS BIGINT)"
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)"
-# Without positions the two proximity rules are undecided, so they do not hold here.
-_UNPLACED = _VERDICTS.replace("(?s)out of memory", "(?s)no such phrase").replace("|cuda.{", "|no such phrase.{").replace("|killed.{", "|no such phrase.{")
 
 ORACLES = {
     "str1_stream_corpus": f"SELECT doc_id, md5(regexp_replace(text, '\\n+', '{NEWLINE_SENTINEL}', 'g')) AS line_md5 FROM documents WHERE text <> ''",
@@ -101,6 +96,6 @@ ORACLES = {
     "str4_stream_replay": f"WITH {_RANKED} SELECT user_id, event_id, event_type AS payload FROM r WHERE n <= {CAPACITY}",
     "str4_stream_replay_sample": f"""WITH {_RANKED}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat(event_id, '|3|0'))) AS m FROM r WHERE n <= {CAPACITY})
         SELECT user_id, event_id FROM k WHERE m <= {DRAW}""",
-    "str5_stream_classify": f"{_UNPLACED} SELECT v.* FROM verdicts v JOIN texts t ON t.run_id = v.run_id AND t.attempt = v.attempt",
+    "str5_stream_classify": f"{_VERDICTS} SELECT * FROM verdicts",
     "str6_stream_latest": "SELECT conv_id, md5(max_by(text, turn)) AS gen_md5, max(turn) AS turn FROM conversations GROUP BY 1",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -43,12 +46,24 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Only where none is named: a scratch folder of this machine for a local master, else a folder of the default file
+    system, which must not be a local one.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-ckpt-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and re.match(r"local(\[(?!-)|$)", context.master):
+        named = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if not named:
+        home = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration()).getHomeDirectory()
+        if home.toUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{home.toString()}/corpusloom-checkpoints"
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 

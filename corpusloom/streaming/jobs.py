@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.operators.prepare import prepare_corpus
-from corpusloom.operators.runlogs import is_noise, phrase_mask
+from corpusloom.operators.runlogs import LINE_ENDS, classify_failures, is_noise, phrase_mask
 from corpusloom.operators.runstate import status_summary
 from corpusloom.session import checkpoint_root
 
@@ -164,13 +164,24 @@ def stream_replay(examples: DataFrame, key: str, arrival: str, payload: str, cap
     )
 
 
-def stream_classify(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """Running phrase mask of each attempt; ``verdict`` over it is the class so far.
+def stream_phrases(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """Running phrase mask of each attempt; ``verdict`` over it is the class so far, but for the proximity rules.
 
-    Proximity rules need positions and are settled by the batch operator.
+    Screen lines inside a file line are told apart, and an attempt of noise alone has an empty mask.
     """
-    kept = lines.where(~is_noise(F.col(raw))).withColumn("text", F.lower(raw))
-    return kept.groupBy(*keys).agg(F.bit_or(phrase_mask("text")).alias("mask"))
+    pieces = lines.select(*keys, F.explode(F.split(F.col(raw), LINE_ENDS)).alias("text"))
+    kept = pieces.withColumn("text", F.when(~is_noise(F.col("text")), F.lower("text")))
+    return kept.groupBy(*keys).agg(F.coalesce(F.bit_or(phrase_mask("text")), F.lit(0)).alias("mask"))
+
+
+def stream_classify(lines: DataFrame, keys: list[str], order: str = "line_no", raw: str = "raw") -> DataFrame:
+    """Failure class of each attempt once the lines that are there have been read.
+
+    The proximity rules need the place of every line, which lines of later batches can still shift, so the stream lands
+    its lines without state and the verdict is worked out over what has landed: the same as for a stored log, however
+    the lines are cut into batches.
+    """
+    return classify_failures(run_to_table(lines.select(*keys, order, raw), "append"), keys, raw, order)
 
 
 def stream_latest(generations: DataFrame, key: str, text: str, seq: str, name: str = "gen_answer") -> DataFrame:

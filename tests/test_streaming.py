@@ -81,14 +81,32 @@ def test_silence(spark, table):
     assert found == {3: (1_700_000_000 + last * 60) * 1000}
 
 
-def test_classification(spark, table):
+def test_phrases_so_far(spark, table):
     lines = lambda df: df.select(F.col("key").alias("run_id"), F.lit(1).alias("attempt"), F.col("id").alias("line_no"), "raw")
-    flags = jobs.stream_classify(lines(stream(spark, table)), ["run_id", "attempt"])
+    flags = jobs.stream_phrases(lines(stream(spark, table)), ["run_id", "attempt"])
     found = jobs.run_to_table(flags, "update", jobs.newest_per_key("run_id", "attempt")).select("run_id", verdict("mask").alias("reason"))
     batch = classify_failures(lines(table[0]), ["run_id", "attempt"]).select("run_id", "reason")
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in batch.collect()}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_classification_whatever_the_cut(spark, tmp_path, files):
+    far = "x" * 600
+    logs = {
+        "near": ["cuda driver", "step", "Out of memory"], "far": ["cuda driver", far, "out of memory"], "noise": ["WARNING: slow", "INFO fine"],
+        "screen": ["10%\r20%\rloss is nan", "ok"], "killed": ["kernel: out of memory", "process was killed"], "plain": ["ok"],
+    }
+    rows = [(run, n, raw) for run, lines in logs.items() for n, raw in enumerate(lines)]
+    folder = str(tmp_path / "in")
+    for part in range(files):
+        spark.createDataFrame(rows[part::files], "run_id string, line_no long, raw string").coalesce(1).write.mode("append").parquet(folder)
+    stored = spark.read.parquet(folder)
+    live = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = {tuple(r) for r in jobs.stream_classify(live, ["run_id"]).collect()}
+    assert found == {("near", "oom"), ("far", "other"), ("noise", "other"), ("screen", "nan"), ("killed", "oom"), ("plain", "other")}
+    assert found == {tuple(r) for r in classify_failures(stored, ["run_id"]).collect()}
+
+
 def test_corpus_is_stateless(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("one\n\ntwo\n")
