@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, let, split_words, text_or_empty
 
 MIN_WORDS = 50
+FEW = 16  # different repeated windows up to which they are looked up one by one
 REPEAT_PERCENT = 50  # words in repeated 3-word windows
 LOSS_PERCENT = 50  # words in removed lines
 SYMBOLS = "[#*$%&|<>]"
@@ -23,16 +27,22 @@ BOILERPLATE_WORDS = 30  # longer lines are prose that mentions such a phrase
 def repeated_window_words(words: Column) -> Column:
     """Words inside a 3-word window that occurs twice or more in the text, the first one included.
 
-    Windows are sorted by digest, so a long text costs n log n and nothing leaves its row.
+    Windows are sorted by digest, so a long text costs n log n and nothing leaves its row. Few repeated digests are looked
+    up in the windows; many are found again by sorting the windows with their places. Both give the same.
     """
 
     def starts(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))
-        )
-        return let(F.array_sort(windows), lambda s: F.array_sort(F.filter(F.transform(s, lambda x, i: F.when(
-            F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)), x["i"],
-        )), lambda p: p.isNotNull())))
+        digests = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+        twice = lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False))))
+        return let(digests, lambda d: let(let(F.sort_array(d), twice), lambda t: F.when(F.size(t) <= FEW, few(d, t)).otherwise(many(d))))
+
+    def few(d: Column, t: Column) -> Column:
+        return F.filter(F.transform(d, lambda x, i: F.when(F.array_contains(t, x), i)), lambda p: p.isNotNull())
+
+    def many(d: Column) -> Column:
+        return let(F.sort_array(F.transform(d, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: F.sort_array(F.filter(F.transform(
+            s, lambda x, i: F.when(F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)), x["i"]),
+        ), lambda p: p.isNotNull())))
 
     def covered(at: Column) -> Column:
         state = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
@@ -42,16 +52,15 @@ def repeated_window_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(covered(starts(w))))
 
 
-def line_fails(line: Column) -> Column:
-    """Navigation, boilerplate or punctuation rule of one line. A line without words passes: it carries nothing."""
-    words = F.regexp_count(line, F.lit(WORD))
-    marks = F.regexp_count(line, F.lit(NAVIGATION_MARKS))
-    navigation = (marks >= 3) & (marks * 4 >= words)
-    boilerplate = (words <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))
+def line_fails(line: Column, words: Column) -> Column:
+    """Navigation, boilerplate or punctuation rule of one line of so many words. A line without words passes: it carries nothing."""
+    navigation = let(F.regexp_count(line, F.lit(NAVIGATION_MARKS)), lambda marks: (marks >= 3) & (marks * 4 >= words))
+    phrase = let(F.lower(line), lambda x: reduce(or_, [F.contains(x, F.lit(b)) for b in BOILERPLATE]))
+    boilerplate = (words <= BOILERPLATE_WORDS) & phrase
     # Runs of symbols or exclamation marks glued to every other word.
-    noisy = (F.regexp_count(line, F.lit(r"[#*$%&<>]{2,}|!!")) * 2 >= words) & (words > 2)
+    noisy = (words > 2) & (F.regexp_count(line, F.lit(r"[#*$%&<>]{2,}|!!")) * 2 >= words)
     # A long line without any sentence mark is a list of words, not prose.
-    unpunctuated = (words >= 40) & (F.regexp_count(line, F.lit(r"[.,;:!?…。，！？؟]")) == 0)
+    unpunctuated = (words >= 40) & ~line.rlike(r"[.,;:!?…。，！？؟]")
     return (words > 0) & (navigation | boilerplate | noisy | unpunctuated)
 
 
@@ -67,28 +76,30 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def measures(words: Column, lines: Column, text: Column) -> Column:
         n_words = F.size(words).cast("long")
-        worded = F.filter(lines, lambda x: x.rlike(WORD))
+        judged = F.transform(lines, lambda x: let(F.regexp_count(x, F.lit(WORD)), lambda n: F.struct(x.alias("line"), n.alias("n"), line_fails(x, n).alias("fails"))))
         return F.struct(
             n_words.alias("n_words"),
             F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_window_words(words).alias("n_repeat_words"),
-            F.filter(lines, lambda x: ~line_fails(x)).alias("passing"),
+            judged.alias("lines"),
         )
 
     text = text_or_empty(text_col)
     measured = let(split_words(text), lambda w: let(F.split(text, "\n"), lambda x: measures(w, x, text)))
     base = (F.col("_m.n_words") < MIN_WORDS) | (F.lit(100) * F.col("_m.n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("_m.n_words"))
-    left = F.aggregate("_m.passing", F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
+    worded = F.transform(F.filter("_m.lines", lambda x: x["n"] > 0), lambda x: x["line"])
+    removed = F.aggregate("_m.lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
+    passing = F.transform(F.filter("_m.lines", lambda x: ~x["fails"]), lambda x: x["line"])
     return (
         docs.withColumn("_m", measured)
-        .withColumn("_removed", F.col("_m.n_words") - left)
+        .withColumn("_removed", removed)
         .withColumn("quality", F.struct(
-            *[F.col(f"_m.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            *[F.col(f"_m.{n}") for n in ("n_words", "word_chars", "n_symbols")],
+            let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.col("_m.n_repeat_words"),
             F.col("_removed").alias("removed_words"), base.alias("base_failed"),
             (~base & (F.lit(100) * F.col("_removed") <= F.lit(LOSS_PERCENT) * F.col("_m.n_words"))).alias("kept"),
-            F.array_join("_m.passing", "\n").alias("text"),
+            F.array_join(passing, "\n").alias("text"),
         ))
         .drop("_m", "_removed")
     )
