@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions.text import expand_newlines, strip, unescape_newlines
-from corpusloom.operators.ordered import prefix_sum, prefix_sums
+from corpusloom.operators.ordered import prefix_sums
 from corpusloom.operators.prepare import cap
+from corpusloom.session import checkpointed
+
+BROADCAST_BLOCKS = 1 << 17  # files of 128 MB: up to 16 TB of text
 
 
 def read_lines(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
@@ -34,8 +37,19 @@ def _block() -> Column:
 
 
 def number_lines(lines: DataFrame, name: str = "row_id") -> DataFrame:
-    """0-based line number over all files."""
-    return prefix_sum(lines, "_seq", F.lit(1).cast("long"), name, bucket=_block())
+    """0-based line number over all files.
+
+    The rows of a block lie together in order, so a line's number is its place in the block plus the block's offset.
+    Only the table of blocks is shuffled, not the text; it is broadcast if it has at most ``BROADCAST_BLOCKS`` rows.
+    """
+    counted = lines.groupBy(_block().alias("_k")).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    blocks = checkpointed(counted)
+    before = Window.partitionBy(F.lit(0)).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(F.col("_k").alias("_block"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    joined = lines.withColumn("_k", _block()).join(offsets, F.col("_k") == F.col("_block"))
+    return joined.select(*lines.columns, (F.col("_seq") + F.col("_shift")).alias(name))
 
 
 def read_corpus(spark: SparkSession, path: str, max_docs: int = -1) -> DataFrame:
