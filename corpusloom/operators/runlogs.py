@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import let
+from corpusloom.functions.arrays import running_count
 from corpusloom.functions.text import strip
 from corpusloom.operators.ordered import int_div, prefix_sum, span_bucket
 
@@ -100,18 +100,10 @@ def near(text: Column, a: str, b: str, distance: int = NEAR_DISTANCE) -> Column:
 
 
 def _starts(text: Column, phrase: str) -> Column:
-    """0-based start of every non-overlapping occurrence."""
+    """0-based start of every non-overlapping occurrence, linear in the text."""
     parts = F.split(text, r"\Q" + phrase + r"\E", -1)
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        return let(
-            acc["at"] + F.length(part),
-            lambda at: F.struct((at + len(phrase)).alias("at"), F.array_append(acc["out"], at).alias("out")),
-        )
-
-    found = F.aggregate(parts, init, step, lambda acc: acc["out"])
-    return F.slice(found, F.lit(1), F.size(found) - 1)
+    ends = running_count(F.transform(parts, lambda p: F.length(p)))
+    return F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda at, i: at + i * len(phrase))
 
 
 def near_in_log(
