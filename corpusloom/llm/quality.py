@@ -87,6 +87,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     text = text_or_empty(text_col)
     measured = let(split_words(text), lambda w: let(F.split(text, "\n"), lambda x: measures(w, x, text)))
+    # A filter on the verdict would otherwise be pushed below and work all of this out again for each field it reads.
+    measured = F.when(F.monotonically_increasing_id() >= 0, measured)
     base = (F.col("_m.n_words") < MIN_WORDS) | (F.lit(100) * F.col("_m.n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("_m.n_words"))
     worded = F.transform(F.filter("_m.lines", lambda x: x["n"] > 0), lambda x: x["line"])
     removed = F.aggregate("_m.lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
