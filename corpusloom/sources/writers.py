@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_generation, inline_newlines
 from corpusloom.operators.prepare import prepare_corpus
-from corpusloom.sources.token_files import write_shard
+from corpusloom.sources.token_files import qualified, write_shard
 
 
 def write_split_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,6 +65,7 @@ def write_token_shards(df: DataFrame, folder: str, split: str, dtype_code: int,
     Rows are ranged on the id, one task per shard. A task streams ids to its data file and
     keeps only sizes, so a shard may exceed memory; a retried task rewrites its own files.
     """
+    folder = qualified(df.sparkSession, folder)
     ranged = df.select(seq_id, "ids").repartitionByRange(shards, seq_id).sortWithinPartitions(seq_id)
 
     def export(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
