@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,9 @@ from corpusloom.llm import kernels
 from corpusloom.llm.common import text_or_empty, written
 
 PREDICTORS = 3  # contexts: last four bytes, the word so far, the two words before and the word so far
-SLOT_BITS = 22  # hashed slots a predictor has: the model is 3 * 4 MB whatever the corpus
-BUCKET_BITS = 23  # hashed counters by which a predictor chooses its contexts
-CONTEXTS = 1 << 18  # contexts a predictor has room for: the most frequent, by a threshold on the counters
-BLOCK_BITS = 12  # slots that are summed and sent together
+SPARE_BITS = 7  # hash bits beyond one context a byte and predictor: fewer than one context in a hundred shares its hash
+PART_BYTES = 1 << 22  # training and scored bytes whose contexts one part of the model holds
+SLOT_BITS, BUCKET_BITS, CONTEXTS, BLOCK_BITS = 22, 23, 1 << 18, 12  # of the model that one process holds (``choose``)
 NODES = 256
 HEAVY_WORDS = 1 << 18  # most frequent words whose counts go to every task; all others are joined
 LOGIT_STEP = 16.0  # stored logits are whole sixteenths within a byte
@@ -29,7 +29,7 @@ FIRST_BLOCK, LAST_BLOCK = 256, 4096  # bytes between refinements of the weights:
 END = 10  # byte that ends a text; white space never occurs inside words
 _PAD = 4
 _GROUP = 1 << 20
-_COUNTED = 1 << 19
+_ASKED = 1 << 21  # bytes of texts that ask for their contexts together
 END_WORD = np.uint64(0x1234567ABCDEF01)
 _GRID = 128
 
@@ -91,8 +91,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, bounds
 
 
-def contexts(out: np.ndarray) -> list[np.ndarray]:
-    """Hash of the context of every byte in BUCKET_BITS bits, for each predictor."""
+def context_hashes(out: np.ndarray) -> Iterator[np.ndarray]:
+    """64-bit hash of the context of every byte, for each predictor in turn."""
     wide = out.astype(np.uint32)
     b1, b2 = np.concatenate([[np.uint32(END)], wide[:-1]]), np.concatenate([np.full(2, END, np.uint32), wide[:-2]])
     pair = b1 | (b2 << np.uint32(8))
@@ -105,12 +105,15 @@ def contexts(out: np.ndarray) -> list[np.ndarray]:
     before = begins[np.maximum(before - 1, 0)]
     sums = kernels.prefix_hash(kernels.BYTE_CODES[out])
     back = kernels.powers(len(out))[1]
-    shift = np.uint64(64 - BUCKET_BITS)
-    high = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int32)
-    return [
-        (_scatter(four) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32),
-        high((sums[:-1] - sums[begins]) * back[begins]), high((sums[:-1] - sums[before]) * back[before] ^ np.uint64(0x5851F42D)),
-    ]
+    spread = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    yield kernels.mix(four.astype(np.uint64) ^ np.uint64(0x3C6EF372FE94F82B))
+    yield spread((sums[:-1] - sums[begins]) * back[begins])
+    yield spread((sums[:-1] - sums[before]) * back[before] ^ np.uint64(0x5851F42D))
+
+
+def contexts(out: np.ndarray) -> list[np.ndarray]:
+    """Context of every byte in BUCKET_BITS bits, for each predictor."""
+    return [(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for h in context_hashes(out)]
 
 
 def slots(buckets: list[np.ndarray], chosen: list[np.ndarray]) -> list[np.ndarray]:
@@ -126,12 +129,6 @@ def choose(counts: np.ndarray) -> np.ndarray:
     return counts >= max(int(fits[0]) + 1 if len(fits) else len(above), 2)
 
 
-def _scatter(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
-    return x ^ (x >> np.uint32(15))
-
-
 _SLOTS = (1 << SLOT_BITS) + (1 << BLOCK_BITS)  # room for the nodes of the last contexts
 _EMPTY = _SLOTS  # a context's nodes lie in the NODES slots from its first one
 
@@ -168,17 +165,27 @@ class Mixer:
     """Frozen predictors, and weights that every document refines for itself."""
 
     def __init__(self, code: Code, chosen: list[np.ndarray], tables: list[np.ndarray]):
-        self.code, self.chosen = code, chosen
+        self._prepare(code)
+        self.chosen = chosen
         self.tables = [np.concatenate([t, np.zeros(NODES, np.int8)]) for t in tables]
+
+    def _prepare(self, code: Code) -> None:
+        self.code = code
         margin = np.arange(-12 * _GRID, 12 * _GRID + 1) / _GRID
         self.cost = (np.logaddexp(0, -margin) / np.log(2)).astype(np.float32)
         self.error = (1 / (1 + np.exp(margin))).astype(np.float32)
         self.start = np.array(START, np.float32) / np.float32(LOGIT_STEP)
 
     def bits(self, out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return self._bits(out, bounds, slots(contexts(out), self.chosen))
+
+    def _place(self, base: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+        return base + node
+
+    def _bits(self, out: np.ndarray, bounds: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
         """Bits of every text. Weights hold a set for each depth of the tree; a block is scored, then learned from."""
         n = len(bounds) - 1
-        total, bases = np.zeros(n), slots(contexts(out), self.chosen)
+        total = np.zeros(n)
         weights = np.repeat(self.start[None, :, None], len(self.code.nodes), 0).repeat(n, 2)
         begin, stop, size = bounds[:-1] + _PAD, bounds[1:], FIRST_BLOCK
         active = np.arange(n)
@@ -203,7 +210,7 @@ class Mixer:
             runs = np.diff(np.append(firsts, len(owner)))
             margin, inputs = None, []
             for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
-                x = table[base + node].astype(np.float32)
+                x = table[self._place(base, node, depth)].astype(np.float32)
                 part = np.repeat(weights[depth, k, docs], runs)
                 part *= x
                 margin = part if margin is None else np.add(margin, part, out=margin)
@@ -225,6 +232,21 @@ class Mixer:
             symbols, lengths, owner, bases = symbols[more], lengths[more], owner[more], [b[more] for b in bases]
 
 
+class PathMixer(Mixer):
+    """Mixes logits that were looked up beforehand: those of a context and byte lie in the order of the byte's path."""
+
+    def __init__(self, code: Code):
+        self._prepare(code)
+
+    def path_bits(self, out: np.ndarray, bounds: np.ndarray, firsts: list[np.ndarray], held: np.ndarray) -> np.ndarray:
+        """Bits of every text; ``firsts`` says for each predictor and byte where in ``held`` its path begins."""
+        self.tables = [held] * PREDICTORS
+        return self._bits(out, bounds, firsts)
+
+    def _place(self, base: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+        return base + depth
+
+
 def logits(counts: np.ndarray) -> np.ndarray:
     """Stored logit of each slot from its zeros and ones: more evidence, further from zero; none gives none."""
     pairs = counts.reshape(-1, 2).astype(np.float64)
@@ -238,41 +260,40 @@ def _groups(column: pa.Array, limit: int = _GROUP) -> Iterator[tuple[int, int, n
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, text, train as groups of about _ASKED bytes: a row each, with a number of its own."""
+    made = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        data, offsets = kernels.text_bytes(batch.column(1))
+        for a, b in kernels.text_batches(data, offsets, _ASKED):
+            one = pa.array([0, b - a], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, c.slice(a, b - a)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *lists], names=["g", "ids", "texts", "train"])
+            made += 1
+
+
+def _group(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return kernels.text_bytes(texts.values.slice(texts.offsets[0].as_py(), texts.offsets[-1].as_py() - texts.offsets[0].as_py()))
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0), of bytes of the canonical texts (1), and blocks of context counters (2)."""
+    """Counts of words (kind 0) and of bytes of the canonical texts (1) over the training rows."""
     bytes_seen = np.zeros(NODES, np.int64)
-    buckets = [np.zeros(1 << BUCKET_BITS, np.uint32) for _ in range(PREDICTORS)]
 
-    def rows(kind, keys, counts, packed=None):
-        n = len(keys)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, kind, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64)), pa.array(packed or [None] * n, pa.binary()),
-        ], names=["kind", "h", "c", "packed"])
+    def rows(kind, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["kind", "h", "c"])
 
     for batch in batches:
         held, texts = [], 0
-        for a, b, data, offsets in _groups(batch.column(0), _COUNTED):
+        for a, b, data, offsets in _groups(batch.column(0)):
             held.append(kernels.word_hashes(data, offsets)[0])
             texts += b - a
             out, bounds = canonical(data, offsets)
             bytes_seen += np.bincount(out[_live(out, bounds)], minlength=NODES)
-            count_contexts(out, bounds, buckets)
         if texts:
             yield rows(0, *_unique(np.concatenate([*held, np.full(texts, END_WORD, np.uint64)])))
     if bytes_seen.any():
         yield rows(1, np.arange(NODES, dtype=np.int64), bytes_seen)
-        for k, number, part in _parts(buckets):
-            yield rows(2, np.array([k * (len(buckets[0]) >> BLOCK_BITS) + number]), np.ones(1), [part])
-
-
-def _parts(tables: list[np.ndarray], width: int = 1 << BLOCK_BITS) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of counters that are not all zero, compressed: table, block, bytes."""
-    press = zstandard.ZstdCompressor(level=1)
-    for k, table in enumerate(tables):
-        for at in range(0, len(table), width):
-            part = table[at : at + width]
-            if part.any():
-                yield k, at // width, press.compress(part.tobytes())
 
 
 def _unique(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,56 +301,139 @@ def _unique(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), counts
 
 
-def _bit_counts(batches: Iterator[pa.RecordBatch], code: Code, chosen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    counts, seen = [np.zeros(2 * _SLOTS, np.uint32) for _ in range(PREDICTORS)], False
-    for batch in batches:
-        for _, _, data, offsets in _groups(batch.column(0), _COUNTED):
-            count_bits(*canonical(data, offsets), code, chosen, counts)
-            seen = True
-    if seen:
-        for k, number, part in _parts(counts, 2 << BLOCK_BITS):
-            yield pa.RecordBatch.from_arrays([pa.array([k * (_SLOTS >> BLOCK_BITS) + number], pa.int32()), pa.array([part], pa.binary())], names=["block", "counts"])
+def _keys(out: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Context in ``bits`` bits and byte, for each predictor and each of the places ``at``: predictor by predictor."""
+    symbols = out[at].astype(np.uint64)
+    return np.concatenate([(h[at] >> np.uint64(64 - bits) << np.uint64(8)) | symbols for h in context_hashes(out)])
 
 
-def _summed(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: add the counters of a block; ``finish`` makes bytes of the sums."""
-    opened, current, total = zstandard.ZstdDecompressor(), None, None
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]]))
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([finish(total).tobytes()], pa.binary())], names=["block", "held"])
 
-    for batch in batches:
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(opened.decompress(packed.as_buffer()), np.uint32)
-            if block != current:
-                if current is not None:
-                    yield row()
-                current, total = block, np.zeros(len(part), np.uint64)
-            total += part
-    if current is not None:
-        yield row()
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest of all first, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
 
 
-def _merged(blocks: DataFrame, finish, size: int, kind) -> list[np.ndarray]:
-    """Tables of ``size`` entries from ``block, counts``; their total size is fixed."""
-    tables = [np.zeros(size, kind) for _ in range(PREDICTORS)]
-    each = size >> BLOCK_BITS
-    placed = blocks.repartition("block").sortWithinPartitions("block")
-    for r in placed.mapInArrow(lambda it: _summed(it, finish), "block int, held binary").toLocalIterator():
-        at = (r.block % each) << BLOCK_BITS
-        tables[r.block // each][at : at + (1 << BLOCK_BITS)] = np.frombuffer(r.held, kind)
-    return tables
+def _opened(packed: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _steps(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, (1 << 16) - 1).astype(np.uint16)
+def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows g, texts, train: the contexts and bytes of a group in order, with their counts in training rows, part by part."""
+    edges = (np.arange(1, parts, dtype=object) * (1 << (bits + 8)) // parts).astype(np.uint64)
+    for batch in batches:
+        for i, g in enumerate(batch.column(0).to_pylist()):
+            data, offsets = _group(batch.column(1).slice(i, 1))
+            train = np.array(batch.column(2)[i].as_py(), bool)
+            out, bounds = canonical(data, offsets)
+            at = _live(out, bounds)
+            learned = np.repeat(train, np.diff(bounds) - _PAD).astype(np.uint64)
+            keys = _keys(out, at, bits)
+            keys <<= np.uint64(1)
+            keys |= np.tile(learned, PREDICTORS)
+            keys.sort()
+            first = _heads(keys >> np.uint64(1))
+            counts = np.add.reduceat(keys & np.uint64(1), first).astype(np.uint32)
+            keys = keys[first] >> np.uint64(1)
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            here = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p for p, _, _ in here], pa.int32()), pa.array([g] * len(here), pa.int64()),
+                pa.array([_pressed(np.diff(keys[a:b] >> np.uint64(8), prepend=np.uint64(0))) for _, a, b in here], pa.binary()),
+                pa.array([_pressed(keys[a:b].astype(np.uint8)) for _, a, b in here], pa.binary()),
+                pa.array([_pressed(counts[a:b]) for _, a, b in here], pa.binary()),
+            ], names=["part", "g", "contexts", "symbols", "counts"])
+
+
+def node_counts(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (context, node) in order and their zeros and ones, from distinct keys (context, byte) and their counts."""
+    symbols = (keys & np.uint64(255)).astype(np.int64)
+    base, number, depth = keys - symbols.astype(np.uint64), counts.astype(np.int64), 0
+    lengths, made, zeros, ones = code.length[symbols], [], [], []
+    while len(symbols):
+        up = code.signs[depth][symbols] > 0
+        places = base | code.nodes[depth][symbols].astype(np.uint64)
+        order = np.argsort(places, kind="stable")
+        first = _heads(places[order])
+        made.append(places[order][first])
+        zeros.append(np.add.reduceat(np.where(up, 0, number)[order], first))
+        ones.append(np.add.reduceat(np.where(up, number, 0)[order], first))
+        depth += 1
+        more = np.flatnonzero(lengths > depth)
+        symbols, lengths, base, number = symbols[more], lengths[more], base[more], number[more]
+    if not made:
+        return keys[:0], np.zeros((0, 2), np.int64)
+    # A node has one depth, so no key comes twice.
+    flat = np.concatenate(made)
+    order = np.argsort(flat)
+    return flat[order], np.stack([np.concatenate(zeros)[order], np.concatenate(ones)[order]], 1)
+
+
+def path_logits(asked: np.ndarray, nodes: np.ndarray, held: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Logits along the byte's path for each key (context, byte) asked for, end to end, and where each path begins."""
+    symbols = (asked & np.uint64(255)).astype(np.int64)
+    base, lengths = asked - symbols.astype(np.uint64), code.length[symbols]
+    first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    flat, at, depth = np.zeros(int(first[-1]), np.int8), first[:-1], 0
+    nodes, held = np.append(nodes, np.uint64(2**64 - 1)), np.append(held, np.int8(0))
+    while len(symbols):
+        places = base | code.nodes[depth][symbols].astype(np.uint64)
+        found = np.searchsorted(nodes, places)
+        flat[at + depth] = np.where(nodes[found] == places, held[found], 0)
+        depth += 1
+        more = np.flatnonzero(lengths > depth)
+        symbols, lengths, base, at = symbols[more], lengths[more], base[more], at[more]
+    return flat, first
+
+
+def _answer(asked: pa.Table, code: Code) -> pa.Table:
+    """The rows of a part: sum its counters over all groups and give each group the logits it asks for."""
+    keys, counts = [], []
+    for contexts_, symbols, number in zip(*(asked.column(c).to_pylist() for c in ("contexts", "symbols", "counts")), strict=True):
+        keys.append(np.cumsum(_opened(contexts_, np.uint64), dtype=np.uint64) << np.uint64(8) | _opened(symbols, np.uint8))
+        counts.append(_opened(number, np.uint32))
+    flat, number = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(flat)
+    flat = flat[order]
+    first = _heads(flat)
+    sums, distinct = np.add.reduceat(number[order].astype(np.int64), first), flat[first]
+    del flat, number, order
+    learned = sums > 0
+    nodes, held = node_counts(distinct[learned], sums[learned], code)
+    found, begins = path_logits(distinct, nodes, logits(held), code)
+    out = []
+    for own in keys:
+        at = np.searchsorted(distinct, own)
+        lengths = code.length[(own & np.uint64(255)).astype(np.int64)].astype(np.int64)
+        ends = np.cumsum(lengths)
+        out.append(_pressed(found[np.repeat(begins[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]))
+    return pa.table({"g": asked.column("g"), "part": asked.column("part"), "held": pa.array(out, pa.binary())})
+
+
+def _firsts(out: np.ndarray, bounds: np.ndarray, bits: int, code: Code) -> list[np.ndarray]:
+    """For each predictor and byte where its path begins in the answers to the texts' group; zero for pads."""
+    at = _live(out, bounds)
+    keys = _keys(out, at, bits)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _heads(keys)
+    lengths = code.length[(keys[first] & np.uint64(255)).astype(np.int64)]
+    begins = np.cumsum(lengths) - lengths
+    kind = np.int32 if lengths.sum() < 1 << 31 else np.int64
+    place = np.empty(len(keys), kind)
+    place[order] = np.repeat(begins.astype(kind), np.diff(np.append(first, len(keys))))
+    firsts = np.zeros((PREDICTORS, len(out)), kind)
+    firsts[:, at] = place.reshape(PREDICTORS, -1)
+    return list(firsts)
 
 
 @dataclass
 class Model:
     code: Code
-    chosen: list[np.ndarray]
-    tables: list[np.ndarray]
     counts: DataFrame  # h, c: every training token
     tokens: int
     types: int
@@ -379,20 +483,15 @@ class Heavy:
 
 
 def train(texts: DataFrame) -> Model:
-    """Learn from a table with one column ``text``."""
-    partial = written(texts.mapInArrow(_first_pass, "kind int, h long, c long, packed binary"))
+    """Learn code and token counts from a table with one column ``text``."""
+    partial = written(texts.mapInArrow(_first_pass, "kind int, h long, c long"))
     seen = np.zeros(NODES, np.int64)
     for r in partial.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).collect():  # one row a byte value
         seen[r.h] = r.c
-    code = Code.from_counts(seen)
     counts = written(partial.where("kind = 0").groupBy("h").agg(F.sum("c").alias("c")))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = _heavy(counts).toPandas().sort_values("h")
-    buckets = partial.where("kind = 2").select(F.col("h").cast("int").alias("block"), F.col("packed").alias("counts"))
-    chosen = [choose(c) for c in _merged(buckets, _steps, 1 << BUCKET_BITS, np.uint16)]
-    bits = texts.mapInArrow(lambda it: _bit_counts(it, code, chosen), "block int, counts binary")
-    tables = _merged(bits, logits, _SLOTS, np.int8)
-    return Model(code, chosen, tables, counts, size.n or 0, size.v or 0, (top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    return Model(Code.from_counts(seen), counts, size.n or 0, size.v or 0, (top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,41 +503,59 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     probabilities of all texts sum to one. ``score`` is the log10 probability, ``bits_per_byte`` the same per byte read.
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, the end included.
 
-    Counters are summed over all rows for which ``train_on`` is true; the tables have a fixed number of slots, so their
-    broadcast is bounded, and token counts beyond the most frequent are joined. Null texts are empty: one token, the
-    end. Repeated rows and null ids are scored one by one. Without training rows everything is unknown.
+    Counters are summed over all rows for which ``train_on`` is true. Every context of every text is counted and looked
+    up, in a table of (context, byte) that grows with the corpus and is cut into parts by hash: a group of texts sends
+    each part its distinct keys with their training counts, and gets the logits of those keys back. Only token counts of
+    the most frequent words are broadcast; all others are joined. Null texts are empty: one token, the end. Repeated
+    rows and null ids are scored one by one. Without training rows everything is unknown.
     """
-    text = text_or_empty(text_col)
+    text, spark = text_or_empty(text_col), docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.coalesce(train_on, F.lit(False)).alias("_train"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    groups = written(rows.mapInArrow(_grouped, f"g long, ids array<{kind}>, texts array<string>, train array<boolean>"))
     model = train(docs.where(train_on).select(text.alias("text")))
-    shared = docs.sparkSession.sparkContext.broadcast((model.code, model.chosen, model.tables, model.heavy))
+    size = rows.agg(F.sum(F.octet_length("_t") + 2)).first()[0] or 1
+    bits, parts = min(max(int(size * PREDICTORS).bit_length() + SPARE_BITS, 40), 55), -(-int(size) // PART_BYTES)
+    shared = spark.sparkContext.broadcast((model.code, model.heavy))
     scale = model.tokens + 0.5 * (model.types + 1)
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, chosen, tables, (keys, freq) = shared.value
-        mixer = Mixer(code, chosen, tables)
-        heavy = Heavy(keys, np.log10((freq + 0.5) / scale))
-        for batch in batches:
-            for a, b, data, offsets in _groups(batch.column(1)):
-                words, bounds = kernels.word_hashes(data, offsets)
-                words = np.insert(words, bounds[1:], END_WORD).view(np.int64)
-                bounds = bounds + np.arange(len(bounds))
-                at = heavy.find(words)
-                known = at >= 0
-                base = np.add.reduceat(heavy.gain[at], bounds[:-1])
-                n_known = np.add.reduceat(known.astype(np.int64), bounds[:-1])
-                rest = words[~known]
-                rest_bounds = np.concatenate([[0], np.cumsum(np.add.reduceat((~known).astype(np.int64), bounds[:-1]))])
-                out, ends = canonical(data, offsets)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base),
-                    pa.array(mixer.bits(out, ends)), pa.array(np.diff(ends) - _PAD),
-                    pa.ListArray.from_arrays(pa.array(rest_bounds.astype(np.int32)), pa.array(rest)),
-                ], names=["_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "rest"])
+    asked = groups.select("g", "texts", "train").mapInArrow(
+        lambda it: _ask(it, bits, parts), "part int, g long, contexts binary, symbols binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(lambda t: _answer(t, shared.value[0]), "g long, part int, held binary")
+
+    def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+        code, (keys, freq) = shared.value
+        mixer, heavy = PathMixer(code), Heavy(keys, np.log10((freq + 0.5) / scale))
+        texts = own.column("texts").combine_chunks()
+        ids = own.column("ids").combine_chunks()
+        ids = ids.values.slice(ids.offsets[0].as_py(), len(texts.flatten()))
+        data, offsets = _group(texts)
+        answered = answered.sort_by("part")
+        held = np.concatenate([_opened(x, np.int8) for x in answered.column("held").to_pylist()])
+        firsts = _firsts(*canonical(data, offsets), bits, code)
+        done, made = 0, []
+        for a, b in kernels.text_batches(data, offsets, _GROUP):
+            part, own_offsets = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            words, bounds = kernels.word_hashes(part, own_offsets)
+            words = np.insert(words, bounds[1:], END_WORD).view(np.int64)
+            bounds = bounds + np.arange(len(bounds))
+            at = heavy.find(words)
+            known = at >= 0
+            base = np.add.reduceat(heavy.gain[at], bounds[:-1])
+            n_known = np.add.reduceat(known.astype(np.int64), bounds[:-1])
+            rest = words[~known]
+            rest_bounds = np.concatenate([[0], np.cumsum(np.add.reduceat((~known).astype(np.int64), bounds[:-1]))])
+            out, ends = canonical(part, own_offsets)
+            score_bits = mixer.path_bits(out, ends, [f[done : done + len(out)] for f in firsts], held)
+            done += len(out)
+            made.append(pa.table([
+                ids.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base), pa.array(score_bits),
+                pa.array(np.diff(ends) - _PAD), pa.ListArray.from_arrays(pa.array(rest_bounds.astype(np.int32)), pa.array(rest)),
+            ], names=["_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "rest"]))
+        return pa.concat_tables(made)
 
     scored = written(
-        rows.mapInArrow(run, f"_id {kind}, n_tokens long, n_known long, base double, bits double, n_bytes long, rest array<long>")
+        groups.select("g", "ids", "texts").groupBy("g").cogroup(answers.groupBy("g"))
+        .applyInArrow(run, f"_id {kind}, n_tokens long, n_known long, base double, bits double, n_bytes long, rest array<long>")
         .withColumn("_row", F.monotonically_increasing_id()))
     rare = scored.where("size(rest) > 0").select("_row", F.explode("rest").alias("h"))
     rare = rare.join(model.counts, "h", "left").groupBy("_row").agg(
