@@ -515,7 +515,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     groups = written(rows.mapInArrow(_grouped, f"g long, ids array<{kind}>, texts array<string>, train array<boolean>"))
     model = train(docs.where(train_on).select(text.alias("text")))
     size = rows.agg(F.sum(F.octet_length("_t") + 2)).first()[0] or 1
-    bits, parts = min(max(int(size * PREDICTORS).bit_length() + SPARE_BITS, 40), 55), -(-int(size) // PART_BYTES)
+    bits, parts = min(max(int(size * PREDICTORS).bit_length() + SPARE_BITS, 32), 55), -(-int(size) // PART_BYTES)
     shared = spark.sparkContext.broadcast((model.code, model.heavy))
     scale = model.tokens + 0.5 * (model.types + 1)
     asked = groups.select("g", "texts", "train").mapInArrow(
