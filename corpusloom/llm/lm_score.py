@@ -122,11 +122,11 @@ def slots(buckets: list[np.ndarray], chosen: list[np.ndarray]) -> list[np.ndarra
 
 
 def choose(counts: np.ndarray) -> np.ndarray:
-    """The buckets whose contexts are modelled: the lowest threshold that leaves at most CONTEXTS of them."""
+    """The buckets whose contexts are modelled: the lowest threshold that leaves at most CONTEXTS; more if all of them tie."""
     sizes = np.bincount(counts.astype(np.int64))
     above = np.cumsum(sizes[::-1])[::-1]  # buckets with at least this count
     fits = np.flatnonzero(above[1:] <= CONTEXTS)
-    return counts >= max(int(fits[0]) + 1 if len(fits) else len(above), 2)
+    return counts >= max(int(fits[0]) + 1 if len(fits) else len(above) - 1, 2)
 
 
 _SLOTS = (1 << SLOT_BITS) + (1 << BLOCK_BITS)  # room for the nodes of the last contexts

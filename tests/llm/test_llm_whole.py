@@ -1,6 +1,7 @@
 """Nothing is left out where the input is large or has many groups."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.llm import lm_score
@@ -33,3 +34,20 @@ def test_every_context_is_learned(spark):
         firsts[:, 4:] = (np.cumsum(lengths) - lengths).reshape(3, -1)
         bits = lm_score.PathMixer(code).path_bits(np.array(read[k], np.uint8), np.array([0, len(t) + 4]), list(firsts), held)[0]
         assert np.isclose(got[k], -bits * np.log10(2), rtol=1e-5), k
+
+
+def test_counters_beyond_sixteen_bits(monkeypatch):
+    """Large counters are summed unclipped; buckets that tie at the top are kept, not dropped."""
+    code = lm_score.Code.from_counts(np.bincount(np.frombuffer(b"aaaabbc", np.uint8), minlength=256))
+    keys = np.array([5 << 8 | 97, 5 << 8 | 98], np.uint64)
+    asked = pa.table({
+        "part": [0, 0], "g": [1, 2], "contexts": [lm_score._pressed(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)))] * 2,
+        "symbols": [lm_score._pressed(keys.astype(np.uint8))] * 2, "counts": [lm_score._pressed(np.array(c, np.uint32)) for c in ([9_000_000, 65_535], [1, 65_537])],
+    })
+    nodes, held = lm_score.node_counts(keys, np.array([9_000_001, 131_072]), code)
+    expected = lm_score.path_logits(keys, nodes, lm_score.logits(held), code)[0].tolist()
+    assert held.max() == 9_131_073 and sorted(held[held[:, 0].astype(bool) & held[:, 1].astype(bool)][0].tolist()) == [131_072, 9_000_001]
+    for packed in lm_score._answer(asked, code).column("held").to_pylist():
+        assert lm_score._opened(packed, np.int8).tolist() == expected
+    monkeypatch.setattr(lm_score, "CONTEXTS", 4)
+    assert lm_score.choose(np.array([7, 7, 7, 1, 7, 7])).tolist() == [True, True, True, False, True, True]
