@@ -17,7 +17,8 @@ HIDDEN = 8
 STEPS = 64  # bytes a window; the state starts anew in each
 SAMPLE_DOCS = 512  # labelled documents per language that the network is fitted on, at most
 SAMPLE_WINDOWS = 4  # windows taken from each of them
-MAX_LANGS = 64  # languages learned, the most frequent first
+SAMPLE_ALL = 64 * SAMPLE_DOCS  # documents of all languages; with more languages each gives fewer, but LEAST_DOCS
+LEAST_DOCS = 32
 UNKNOWN = "und"
 _COLUMNS = 4096
 
@@ -121,20 +122,25 @@ class Network:
 
 
 def fit(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, rounds: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
-    """Adam on windows drawn evenly from the languages."""
+    """Adam on windows drawn evenly from the languages; those that do not fit a batch take turns, over more rounds."""
     langs = sorted(set(labels))
     net = Network.fresh(langs, hidden, seed)
     if len(langs) < 2:
         return net
     rng = np.random.default_rng(seed)
     codes, held = _windows_matrix(windows)
-    of_lang = [np.array([i for i, x in enumerate(labels) if x == lang]) for lang in langs]
+    number = np.searchsorted(np.array(langs, object), np.array(labels, object))
+    of_lang = np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number, minlength=len(langs)))[:-1])
     params = [net.tables, net.loops, net.out, net.bias]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    share = max(1, batch // len(langs))
+    share, turns = max(1, batch // len(langs)), -(-len(langs) // batch)
+    rounds *= turns
     for step in range(1, rounds + 1):
-        pick = np.concatenate([rng.choice(rows, share) for rows in of_lang])
-        _, grads = net.gradients(codes[:, pick], held[:, pick], np.repeat(np.arange(len(langs)), share))
+        if (step - 1) % turns == 0:
+            order = np.arange(len(langs)) if turns == 1 else rng.permutation(len(langs))
+        now_on = order[(step - 1) % turns :: turns]
+        pick = np.concatenate([rng.choice(of_lang[i], share) for i in now_on])
+        _, grads = net.gradients(codes[:, pick], held[:, pick], np.repeat(now_on, share))
         now = rate * min(1.0, 2 * (1 - step / (rounds + 1)))
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -162,33 +168,34 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
     starts = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STEPS
     ends = offsets[1:][owner]
     sums = np.zeros((len(sizes), len(net.langs)))
-    for a in range(0, len(starts), _COLUMNS):
-        at = starts[None, a : a + _COLUMNS] + np.arange(STEPS)[:, None]
-        held = at < ends[None, a : a + _COLUMNS]
+    columns = max(1, min(_COLUMNS, _COLUMNS * 64 // max(len(net.langs), 1)))
+    for a in range(0, len(starts), columns):
+        at = starts[None, a : a + columns] + np.arange(STEPS)[:, None]
+        held = at < ends[None, a : a + columns]
         codes = data[np.where(held, at, 0)]
         codes[~held] = 32
         p = net.window_probabilities(codes, held.astype(np.float32)).T
-        np.add.at(sums, owner[a : a + _COLUMNS], p)
+        np.add.at(sums, owner[a : a + columns], p)
     return sums / np.maximum(sizes, 1)[:, None]
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """Windows and labels of a bounded sample: per language the documents of lowest digest, the bound is in SAMPLE_DOCS."""
+    """Windows and labels of a sample of every language: the documents of lowest digest, at most SAMPLE_DOCS of each."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col)).alias("h"))
     rows = rows.where("lang is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row a language
     if not sizes:
         return [], []
+    most = max(LEAST_DOCS, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
     # About twice the wanted number per language passes a threshold on the digest; the driver keeps the lowest.
-    passing = F.lit(False)
-    for r in sizes:
-        passing = passing | ((F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE_DOCS / r["count"]) * (1 << 30))))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2 * most / r["count"]) * (1 << 30))) for r in sizes], "lang string, below long")
+    rows = rows.join(F.broadcast(limits), "lang")
     place = lambda i: F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - STEPS // 2, F.lit(1))) + 1
-    cut = rows.where(passing).select("lang", F.pmod("h", F.lit(1 << 30)).alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w"))
+    cut = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).select("lang", F.pmod("h", F.lit(1 << 30)).alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w"))
     windows, labels, taken = [], [], {}
     for r in sorted(cut.collect(), key=lambda r: (r.lang, r.o, r.h, r.w)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= SAMPLE_DOCS:
+        if taken[r.lang] <= most:
             windows += [w.encode()[:STEPS] for w in r.w]
             labels += [r.lang] * len(r.w)
     return windows, labels
@@ -200,8 +207,8 @@ def identify(
 ) -> DataFrame:
     """``id, lang_pred, score`` of every whole text.
 
-    The network is fitted on a bounded sample (``SAMPLE_DOCS`` documents a language) of the rows for which ``train`` is
-    true and the language is not null; prediction sees the text alone. Every byte gets language probabilities from the
+    The network learns every language, from a sample (at most ``SAMPLE_DOCS`` documents of each) of the rows for which
+    ``train`` is true and the language is not null; prediction sees the text alone. Every byte gets language probabilities from the
     states of both directions; a document takes their mean, the language with the highest (ties: first by name) and that
     value as score. Null texts and texts without a letter are ``und`` with score 0, as is everything if no language
     was learned. Rows are judged one by one: repeated rows and null ids get the verdict of their text.

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lm_score
+from corpusloom.llm import langid, lm_score
 from tests.llm.conftest import words
 
 
@@ -51,3 +51,25 @@ def test_counters_beyond_sixteen_bits(monkeypatch):
         assert lm_score._opened(packed, np.int8).tolist() == expected
     monkeypatch.setattr(lm_score, "CONTEXTS", 4)
     assert lm_score.choose(np.array([7, 7, 7, 1, 7, 7])).tolist() == [True, True, True, False, True, True]
+
+
+def test_every_language_is_learned(spark):
+    """Seventy languages with scripts of their own, the last ones rarer than the first 64."""
+    letters = [chr(0x4E00 + 97 * k) + chr(0x4E01 + 97 * k) for k in range(70)]
+    texts = [(k, (x[0] + x[1] + x[0]) * 12, f"l{k:02}") for k, x in enumerate(letters)]
+    docs = spark.createDataFrame([(100 * k + i, t, lang) for k, t, lang in texts for i in range(2 if k >= 64 else 4)], "doc_id long, text string, lang string")
+    _, labels = langid.training_sample(docs, "doc_id", "text", "lang")
+    assert set(labels) == {lang for _, _, lang in texts}
+    found = {(r.doc_id // 100, r.lang_pred) for r in langid.identify(docs, F.lit(True)).collect()}
+    assert sum((k, f"l{k:02}") in found for k in range(64, 70)) >= 5
+
+
+def test_languages_take_turns():
+    """More languages than a batch has windows: each still gets its share of rounds."""
+    rng = np.random.default_rng(1)
+    names = [f"l{k}" for k in range(6)]
+    windows = [bytes(rng.choice([65 + 3 * k, 66 + 3 * k], langid.STEPS).astype(np.uint8)) for k in range(6) for _ in range(8)]
+    net = langid.fit(windows, [n for n in names for _ in range(8)], batch=4, rounds=200)
+    flat = np.frombuffer(b"".join(windows), np.uint8)
+    p = langid.document_probabilities(net, flat, np.arange(len(windows) + 1) * langid.STEPS)
+    assert [net.langs[i] for i in p.argmax(axis=1)] == [n for n in names for _ in range(8)]
