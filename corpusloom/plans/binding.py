@@ -200,8 +200,9 @@ def rollout_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rollouts(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = rollout_tokens(spark, folder)
-    packed = tokens.groupBy("rollout_id").agg(
+    # The number packed into rollout_id is shared by users once event ids are large: it names a rollout, the pair is its key.
+    tokens = table(spark, folder, "events").selectExpr("user_id AS _user", "shiftright(event_id, 10) AS _window", *ROLLOUT_TOKENS)
+    packed = tokens.groupBy("_user", "_window", "rollout_id").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "token", "m", "t_lp", "s_lp", "r_lp"))).alias("_t")
     )
     part = lambda n: F.transform("_t", lambda x: x[n])

@@ -194,8 +194,8 @@ def _reference_list(spark, folder):
 
 
 def _label_map(spark, folder):
-    found = examples.label_map(pair_ids(spark, folder).join(pairs(spark, folder).select("pair_id", "output"), "pair_id"),
-                               "pair_id", "response_ids", "output")
+    rows = pairs(spark, folder).select("pair_id", tokens.hashed_word_ids(F.col("output")).alias("response_ids"), "output")
+    found = examples.label_map(rows, "pair_id", "response_ids", "output")
     return found.select("token", F.md5("answer").alias("answer_md5"))
 
 
