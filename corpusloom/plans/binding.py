@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ordered
 from corpusloom.session import checkpoint_root, spread
 
 TABLES = ("documents", "conversations", "embeddings", "events", "labels")
@@ -128,16 +129,36 @@ ids AS (SELECT pair_id, conv_id, {words_of('instruction')} AS prompt_ids, {words
 # --- evaluation -----------------------------------------------------------------------
 
 
+BLOCK = 512  # replies of a conversation that meet those of another block in one place
+
+
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    """A reply is the prediction; all other replies of its conversation, in their order, are its references."""
+    """A reply is the prediction; all other replies of its conversation are its references."""
     turns = table(spark, folder, "conversations").where("role = 'assistant'")
-    base = turns.select("conv_id", "turn", "text")
-    others = base.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
-    rest = F.filter("all", lambda x: x["turn"] != F.col("turn"))
-    return base.join(others, "conv_id").select(
-        (F.col("conv_id") * 10000 + F.col("turn")).alias("idx"), "text",
-        F.transform(rest, lambda x: x["text"]).alias("references"), F.pmod("conv_id", F.lit(5)).alias("grp"),
-    )
+    return turns.select("conv_id", "turn", (F.col("conv_id") * 10000 + F.col("turn")).alias("idx"), "text", F.pmod("conv_id", F.lit(5)).alias("grp"))
+
+
+def counted_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies with ``n``, the number of their references."""
+    rows = replies(spark, folder)
+    turns = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("_same"))
+    totals = turns.groupBy("conv_id").agg(F.sum("_same").alias("_all"))
+    return rows.join(turns, ["conv_id", "turn"]).join(totals, "conv_id").withColumn("n", F.col("_all") - F.col("_same"))
+
+
+def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each reply with each of its references, a row a pair; ``ref`` is the reference's place in their order.
+
+    A conversation is cut into blocks, and block meets block: no row and no task holds a whole conversation.
+    """
+    rows = ordered.number_rows(counted_replies(spark, folder), "turn", "_at", by="conv_id")
+    blocks = (F.col("_all") / BLOCK).cast("int") + 1
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("turn"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = rows.select("conv_id", "turn", "idx", "text", "grp", "_same", F.col("_block").alias("_l"), F.col("_other").alias("_r"))
+    right = rows.select("conv_id", F.col("turn").alias("_turn"), F.col("text").alias("reference"), "_at", F.col("_block").alias("_r"), F.col("_other").alias("_l"))
+    both = left.join(right, ["conv_id", "_l", "_r"]).where("turn <> _turn")
+    ref = F.when(F.col("_turn") < F.col("turn"), F.col("_at")).otherwise(F.col("_at") - F.col("_same"))
+    return both.select("conv_id", "turn", "idx", "text", "reference", ref.alias("ref"), "grp")
 
 
 REPLIES = """

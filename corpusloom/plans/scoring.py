@@ -18,7 +18,9 @@ from corpusloom.plans.binding import (
     log_lines,
     normalized,
     pairs,
+    counted_replies,
     replies,
+    reply_pairs,
     rounded,
     scratch,
     table,
@@ -60,10 +62,10 @@ def _normalize(spark, folder):
 
 
 def _align(spark, folder):
-    rows = replies(spark, folder)
+    rows = counted_replies(spark, folder)
     # Both sides have ids of their own besides, as real files do.
     predictions = rows.select("idx", "text").unionByName(rows.select((-1 - F.col("idx")).alias("idx"), "text"))
-    counted = rows.select("idx", F.size("references").cast("long").alias("n"))
+    counted = rows.select("idx", "n")
     references = counted.unionByName(counted.select((F.col("idx") + FOREIGN).alias("idx"), "n"))
     return metrics.align(predictions, references).select("idx", F.md5("text").alias("text_md5"), "n")
 
@@ -84,11 +86,13 @@ def _attach(spark, folder):
 
 
 def scored(spark, folder, chosen=None) -> DataFrame:
-    return metrics.max_over_references(replies(spark, folder), chosen or PLAIN, keep=("grp",))
+    pairs_ = reply_pairs(spark, folder).withColumn("_one", F.array("reference")).withColumn("_key", F.struct("conv_id", "turn"))
+    best = metrics.max_over_references(pairs_, chosen or PLAIN, key="_key", references="_one", keep=("idx", "grp"))
+    return best.drop("_key")
 
 
 def _pair_scores(spark, folder, stem: bool):
-    pairs_ = replies(spark, folder).select("idx", "text", F.posexplode("references").alias("ref", "reference"))
+    pairs_ = reply_pairs(spark, folder)
     return pairs_.select("idx", F.col("ref").cast("long").alias("ref"), rounded(rouge_l(F.col("text"), F.col("reference"), stem)).alias("rougeL"))
 
 
