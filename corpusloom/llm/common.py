@@ -45,6 +45,18 @@ def digest_long(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *shown)), 1, 8), 16, 10).cast("long")
 
 
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 

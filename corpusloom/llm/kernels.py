@@ -70,8 +70,20 @@ def _cuts(data: np.ndarray, is_start: np.ndarray) -> list[int]:
     return cuts
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word, A-Z in lower case, and the number of words before each text (one more than texts).
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` consecutive values."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    fill = np.full(-len(x) % width, np.iinfo(x.dtype).max, x.dtype)
+    blocks = np.concatenate([x, fill]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, A-Z in lower case if ``fold``, and the number of words before each text (one more than texts).
 
     Words are runs of bytes other than ASCII white space and end with their text. Long texts are hashed in pieces.
     """
@@ -86,7 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         last = solid.copy()
         last[:-1] &= ~solid[1:] | is_start[at + 1 : end]
         begin, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = prefix_hash(BYTE_CODES[LOWER[piece]])
+        sums = prefix_hash(BYTE_CODES[LOWER[piece] if fold else piece])
         hashes.append(mix((sums[stop] - sums[begin]) * powers(len(piece))[1][begin] + (stop - begin).astype(np.uint64)))
         starts.append(begin + at)
         at = end

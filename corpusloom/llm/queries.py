@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, langid, lm_score, mixing, near_dups, packing, quality, repeats, token_counts, topk
-from corpusloom.llm.common import table
+from corpusloom.llm import alignment, chat, copied, langid, lm_score, mixing, near_dups, packing, periodic, quality, repeats, token_counts, topk
+from corpusloom.llm.common import let, split_words, table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -71,9 +72,49 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
 
 
+def op11_relative_lempel_ziv(spark: SparkSession, folder: str) -> DataFrame:
+    cut = copied.remove_copied(table(spark, folder, "documents"), outputs=("kept_sha256",))
+    return cut.select("doc_id", "copied.n_words", "copied.n_removed", "copied.kept_sha256")
+
+
+def op12_pair_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(table(spark, folder, "documents").select("doc_id", "text"), *[tokenizer_path(n) for n in ALIGNED])
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return aligned.select("doc_id", *[F.col(f"aligned.{n}") for n in names])
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten goes on in rounds from some word, by the digest of its id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def rounds(words):
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i))), " "))
+
+    planted = let(split_words("text"), rounds)
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op13_block_convolution(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs, outputs=("runs", "kept_sha256")).select("doc_id", "periodic.*")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("top", longest)
+    length, start, period = (F.col("top")[c] for c in ("length", "col2", "col3"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-start).alias("start"), length.alias("length"), (-period).alias("period"),
+        F.floor(1000 * length / -period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.col("kept_sha256").alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_circulant_minhash, op3_token_counts, op4_best_fit_packing, op5_exact_top_k, op6_run_length_index, op7_source_mix, op8_quality_rules,
-    op9_byte_recurrent_langid, op10_chat_rotation,
+    op9_byte_recurrent_langid, op10_chat_rotation, op11_relative_lempel_ziv, op12_pair_alignment, op13_block_convolution,
 )}
 
 _TOP_K = """
@@ -212,10 +253,54 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
+_COPIED = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE doc_id > first),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_PERIODIC = r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS h
+  FROM documents
+), e AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM c),
+o AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM e),
+d AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM o
+), x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q, row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS r
+  FROM x JOIN x AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM same GROUP BY doc_id, q, i - r),
+run AS (SELECT doc_id, s, l, min(q) AS q FROM stretch WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l),
+shown AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    first([s, l, q] ORDER BY l DESC, s, q) AS top FROM run GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top[1] AS BIGINT) AS start, CAST(top[2] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period,
+  CAST(1000 * top[2] // top[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN shown USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op2_circulant_minhash": _NEAR,
     "op5_exact_top_k": _TOP_K,
     "op7_source_mix": _MIX,
     "op8_quality_rules": _QUALITY,
     "op10_chat_rotation": _CHAT,
+    "op11_relative_lempel_ziv": _COPIED,
+    "op13_block_convolution": _PERIODIC,
 }

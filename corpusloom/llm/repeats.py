@@ -21,18 +21,6 @@ _GROUP = 1 << 19
 _PLACE = np.uint64((1 << 26) - 1)
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values."""
-    n = len(x) - width + 1
-    if n <= 0:
-        return x[:0]
-    fill = np.full(-len(x) % width, np.iinfo(x.dtype).max, x.dtype)
-    blocks = np.concatenate([x, fill]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 class Anchors:
     """Anchors of texts laid end to end.
 
@@ -45,7 +33,7 @@ class Anchors:
         n = max(len(data) - GRAM + 1, 0)
         sums = kernels.prefix_hash(kernels.BYTE_CODES[data])
         self.grams = kernels.mix((sums[GRAM:] - sums[:n]) * kernels.powers(len(data))[1][:n]) if n else np.empty(0, np.uint64)
-        chosen = (_sliding_min((self.grams & ~_PLACE) | np.arange(n, dtype=np.uint64), STRETCH) & _PLACE).astype(np.int64)
+        chosen = (kernels.sliding_min((self.grams & ~_PLACE) | np.arange(n, dtype=np.uint64), STRETCH) & _PLACE).astype(np.int64)
         self.sums = sums
         # Stretches that end in the text where they begin.
         starts = np.arange(len(chosen))
@@ -99,7 +87,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             order = np.lexsort((np.arange(len(count)), found.digest, count))
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            best = order[_sliding_min(np.where(found.valid, rank[found.of_stretch], np.int32(2**31 - 1)), inner).clip(0, len(order) - 1)]
+            best = order[kernels.sliding_min(np.where(found.valid, rank[found.of_stretch], np.int32(2**31 - 1)), inner).clip(0, len(order) - 1)]
             starts = np.arange(len(best))
             home = np.searchsorted(bounds, starts, "right") - 1
             maybe = (starts + length <= bounds[home + 1]) & (count[best] > 1)
