@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels
-from corpusloom.llm.common import text_or_empty, written
+from corpusloom.llm.common import discard, text_or_empty, written
 
 BATCH_BYTES = 1 << 20  # texts encoded and aligned at once; a longer text stands alone
 LINKS = 1 << 20  # links of different ids spelled out at once
-HELD_PAIRS = 1 << 21  # counted pairs a task holds before it gives them out
+WIDE = 1 << 12  # links of a group above which equal ids of the group are taken together
+HELD_PAIRS = 1 << 19  # counted pairs a task holds before it gives them out
+MEMO_BYTES = 8 << 20  # stretches of text and their ids a worker keeps before it starts afresh
+LONG_STRETCH = 64  # characters of a stretch above which it isn't kept
 SHARD_KEYS = 1 << 16  # pairs a shard of the hash has on average
 FAN_IN = 16  # count vectors added at once
 TABLE_BYTES = 64 << 20  # shards looked up in one reading of the documents; they go to every worker
@@ -31,6 +34,9 @@ class Vocabulary:
 
     ``.json`` files are read by *tokenizers* (byte-level entries), ``.model`` files by *sentencepiece*, which puts a space
     before a text by itself. Special tokens are not added and their strings inside a text are plain text.
+
+    ``apart`` tells that no token reaches across a single space between two other characters: the byte-level pattern begins a
+    piece at such a space whatever stands around it, and no entry of a piece vocabulary holds a space behind another character.
     """
 
     def __init__(self, path: str):
@@ -40,7 +46,10 @@ class Vocabulary:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: model.encode(texts, num_threads=1)
-            entries = [_piece_bytes(model.id_to_piece(i)) for i in range(model.get_piece_size())]
+            pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+            entries = [_piece_bytes(p) for p in pieces]
+            plain = "  \u00e9\ufb01  x \u2126 "  # comes back with its spaces and characters only if nothing is normalised
+            self.apart = model.normalize(plain) == ("\u2581" + plain.replace(" ", "\u2581")) and not any("\u2581" in p.lstrip("\u2581") for p in pieces)
         else:
             from tokenizers import Tokenizer
 
@@ -52,17 +61,83 @@ class Vocabulary:
             alphabet = _byte_alphabet()
             named = {i: t for t, i in model.get_vocab(with_added_tokens=True).items()}
             with open(path, encoding="utf-8") as file:
-                added = {t["id"]: t["content"].encode() for t in json.load(file).get("added_tokens", [])}
+                spec = json.load(file)
+            added = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
             entries = [added[i] if i in added else bytes(alphabet[c] for c in named.get(i, "")) for i in range(max(named) + 1)]
+            cut = spec.get("pre_tokenizer") or {}
+            self.apart = (
+                spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+                and all(t.get("special") for t in spec.get("added_tokens", [])))
         self.sizes = np.array([len(e) for e in entries], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
+        digits = [str(i).encode() for i in range(len(entries))]
+        self.digits = np.frombuffer(b"".join(digits), np.uint8)
+        self.digit_sizes = np.array([len(d) for d in digits], np.int64)
+        self.digit_starts = np.cumsum(self.digit_sizes) - self.digit_sizes
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         sizes = self.sizes[ids]
         return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)]
 
 
+class Encoder:
+    """Ids of texts under two vocabularies. Where both allow it, texts are cut at single spaces and every different stretch is encoded once."""
+
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.sides = (a, b)
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
+
+    def _measured(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
+        found = [[np.array(ids, np.int32).tobytes() for ids in v.encode(stretches)] for v in self.sides]
+        return list(zip(*found, strict=True))
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of every text; none for texts that either vocabulary does not spell back as space and text."""
+        if all(v.apart for v in self.sides):
+            if self.held > MEMO_BYTES:
+                self.memo.clear()
+                self.held = 0
+            cut = [_stretches(t) for t in texts]
+            new = list({s for own in cut for s in own if s not in self.memo})
+            fresh = dict(zip(new, self._measured(new), strict=True)) if new else {}
+            short = {s: x for s, x in fresh.items() if len(s) <= LONG_STRETCH}
+            self.memo.update(short)
+            self.held += sum(len(s) + len(x[0]) + len(x[1]) for s, x in short.items())
+            look = fresh | self.memo if len(short) < len(fresh) else self.memo
+            whole = [[look[s] for s in own] for own in cut]
+            coded = [(b"".join([x[0] for x in own]), b"".join([x[1] for x in own])) for own in whole]
+        else:
+            coded = self._measured(texts) if texts else []
+        found = [[np.frombuffer(c[side], np.int32).astype(np.int64) for c in coded] for side in (0, 1)]
+        none = np.empty(0, np.int64)
+        for i, text in enumerate(texts):
+            raw = np.frombuffer((" " + text).encode(), np.uint8)
+            if not text or any(v.sizes[ids[i]].sum() != len(raw) or not np.array_equal(v.bytes_of(ids[i]), raw) for v, ids in zip(self.sides, found, strict=True)):
+                found[0][i] = found[1][i] = none
+        return found[0], found[1]
+
+
+def _stretches(text: str) -> list[str]:
+    """The text cut at its single spaces between two characters that are no white space."""
+    out: list[str] = []
+    solid = False
+    for part in text.split(" "):
+        if solid and part and not _blank(part[0]):
+            out.append(part)
+        elif out:
+            out[-1] = f"{out[-1]} {part}"
+        else:
+            out.append(part)
+        solid = bool(part) and not _blank(part[-1])
+    return out
+
+
+def _blank(sign: str) -> bool:
+    return sign.isspace() or sign == "\u2581"  # which stands for a space in pieces
+
+
 def _piece_bytes(piece: str) -> bytes:
     if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
         return bytes([int(piece[3:5], 16)])
@@ -83,15 +158,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def encoded(texts: list[str], a: Vocabulary, b: Vocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids of every text under both vocabularies; none for texts that either does not spell back as space and text."""
-    found = [[np.array(ids, np.int64) for ids in v.encode(texts)] if texts else [] for v in (a, b)]
-    none = np.empty(0, np.int64)
-    for i, text in enumerate(texts):
-        raw = np.frombuffer((" " + text).encode(), np.uint8)
-        if not text or any(v.sizes[ids[i]].sum() != len(raw) or not np.array_equal(v.bytes_of(ids[i]), raw) for v, ids in zip((a, b), found, strict=True)):
-            found[0][i] = found[1][i] = none
-    return found[0], found[1]
+def encoder(a_path: str, b_path: str) -> Encoder:
+    """One encoder a worker process, kept between tasks."""
+    if (a_path, b_path) not in _VOCABULARIES:
+        _VOCABULARIES[a_path, b_path] = Encoder(vocabulary(a_path), vocabulary(b_path))
+    return _VOCABULARIES[a_path, b_path]
 
 
 class Groups:
@@ -108,37 +179,65 @@ class Groups:
         self.doc = np.searchsorted(bytes_, self.ends)  # of every group
         self.docs = len(a_ids)
 
+        self.sides = (a, b)
+
     def per_document(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.docs, np.int64)
-        np.add.at(out, self.doc, values)
-        return out
+        return _sums(self.doc, values, self.docs)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Links (document, pair, how many), different pairs of a group each once, about LINKS at a time."""
+        """Links (document, pair, how many) by document, about LINKS at a time; equal ids of a wide group are taken together."""
+        wide = self.sizes[0] * self.sizes[1] > WIDE
         sides = []
         for ids, group in zip(self.ids, self.group, strict=True):
-            key, times = np.unique(group * (1 << 32) + ids, return_counts=True)
-            sides.append((key >> 32, key & 0xFFFFFFFF, times))
+            times = np.ones(len(ids), np.int64)
+            if wide.any():
+                many = wide[group]
+                key, n = np.unique(group[many] * (1 << 32) + ids[many], return_counts=True)
+                ids, group = np.concatenate([ids[~many], key & 0xFFFFFFFF]), np.concatenate([group[~many], key >> 32])
+                times = np.concatenate([times[~many], n])
+                order = np.argsort(group, kind="stable")
+                ids, group, times = ids[order], group[order], times[order]
+            sides.append((group, ids, times))
         (ga, ia, na), (gb, ib, nb) = sides
-        first = np.searchsorted(gb, np.arange(len(self.ends)))
-        fan = np.bincount(gb, minlength=len(self.ends))[ga]  # partners of every different id of a group
+        have = np.bincount(gb, minlength=len(self.ends))
+        first, fan = (np.cumsum(have) - have)[ga], have[ga]  # partners of every token
         total = np.cumsum(fan)
         at = 0
         while at < len(ga):
             to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + LINKS, "right")), at + 1)
             f = fan[at:to]
             own = np.repeat(np.arange(at, to), f)
-            other = first[ga[own]] + np.arange(len(own)) - np.repeat(np.cumsum(f) - f, f)
+            other = np.arange(len(own)) + np.repeat(first[at:to] - (np.cumsum(f) - f), f)
             yield self.doc[ga[own]], (ia[own] << 32) | ib[other], na[own] * nb[other]
             at = to
 
-    def spelled(self) -> list[str]:
+    def spelled(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of every document: decimal ids of its groups in order."""
-        a, b = (list(map(str, x.tolist())) for x in self.ids)
-        a_cut, b_cut = (np.cumsum([0, *s]).tolist() for s in self.sizes)
-        groups = [f"{','.join(a[a_cut[i] : a_cut[i + 1]])}|{','.join(b[b_cut[i] : b_cut[i + 1]])}" for i in range(len(self.ends))]
-        cut = np.searchsorted(self.doc, np.arange(self.docs + 1)).tolist()
-        return [";".join(groups[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+        a, b = self.sides
+        before = [np.cumsum(s) - s for s in self.sizes]
+        # Place of every token when groups stand one after the other, first side first, and the sign behind it.
+        places = (np.arange(len(self.ids[0])) + before[1][self.group[0]], np.arange(len(self.ids[1])) + (before[0] + self.sizes[0])[self.group[1]])
+        count = len(self.ids[0]) + len(self.ids[1])
+        size, source = np.empty(count, np.int64), np.empty(count, np.int64)
+        for place, v, ids, base in ((places[0], a, self.ids[0], 0), (places[1], b, self.ids[1], len(a.digits))):
+            size[place], source[place] = v.digit_sizes[ids] + 1, v.digit_starts[ids] + base
+        sign = np.full(count, ord(","), np.uint8)
+        for side, mark in ((0, "|"), (1, ";")):
+            sign[places[side][before[side] + self.sizes[side] - 1]] = ord(mark)
+        stop = np.cumsum(size)
+        table = np.concatenate([a.digits, b.digits, np.zeros(1, np.uint8)])
+        out = table[np.arange(stop[-1] if count else 0) + np.repeat(source - (stop - size), size)]
+        out[stop - 1] = sign
+        tokens = _sums(self.doc, self.sizes[0] + self.sizes[1], self.docs)
+        cut = np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(tokens)]]).tolist()
+        return [out[x : max(y - 1, x)].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def _sums(doc: np.ndarray, values: np.ndarray, docs: int) -> np.ndarray:
+    """Sum of the values of each document; documents in order."""
+    running = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    cut = np.searchsorted(doc, np.arange(docs + 1))
+    return running[cut[1:]] - running[cut[:-1]]
 
 
 class MinimalHash:
@@ -204,13 +303,13 @@ def _width(v: Vocabulary) -> type:
 
 def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     """Counts of every text, its ids under both vocabularies, and the digest of its groups."""
-    a, b = vocabulary(a_path), vocabulary(b_path)
+    a, b, encode = vocabulary(a_path), vocabulary(b_path), encoder(a_path, b_path)
     for batch in batches:
         data, offsets = kernels.text_bytes(batch.column(1))
         for x, y in kernels.text_batches(data, offsets, BATCH_BYTES):
-            a_ids, b_ids = encoded([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(x, y)], a, b)
+            a_ids, b_ids = encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(x, y)])
             groups = Groups(a_ids, b_ids, a, b)
-            digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in groups.spelled()]
+            digests = [hashlib.sha256(s).hexdigest() if s else "" for s in groups.spelled()]
             counts = [[len(i) for i in a_ids], [len(i) for i in b_ids], groups.per_document(np.ones(len(groups.ends), np.int64)), groups.per_document(groups.sizes[0] * groups.sizes[1])]
             ids = [pa.array([i.astype(_width(v)).tobytes() for i in found], pa.binary()) for v, found in ((a, a_ids), (b, b_ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), *ids], names=["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b"])
@@ -258,18 +357,21 @@ def _document_counts(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str
 
 def _by_document(groups: Groups) -> Iterator[np.ndarray]:
     """Pairs of documents, each once a document."""
-    doc_held, pairs_held = np.empty(0, np.int64), np.empty(0, np.int64)
+    wide = np.int64(len(groups.sides[1].sizes))
+    codes = np.int64(len(groups.sides[0].sizes)) * wide
+    held = np.empty(0, np.int64)
     for doc, pair, _ in groups.pairs():
-        doc_held, pairs_held = np.concatenate([doc_held, doc]), np.concatenate([pairs_held, pair])
-        order = np.lexsort((pairs_held, doc_held))
-        doc_held, pairs_held = doc_held[order], pairs_held[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (doc_held[1:] != doc_held[:-1]) | (pairs_held[1:] != pairs_held[:-1])
-        doc_held, pairs_held = doc_held[new], pairs_held[new]
-        done = doc_held < doc_held[-1] if len(doc_held) else np.empty(0, bool)
-        yield pairs_held[done]
-        doc_held, pairs_held = doc_held[~done], pairs_held[~done]
-    yield pairs_held
+        held = np.sort(np.concatenate([held, doc * codes + (pair >> 32) * wide + (pair & 0xFFFFFFFF)]))
+        held = held[np.concatenate([[True], held[1:] != held[:-1]])]
+        done = int(np.searchsorted(held, doc[-1] * codes))  # the last document may go on in the next slice
+        yield _pair_of(held[:done] % codes, wide)
+        held = held[done:]
+    yield _pair_of(held % codes, wide)
+
+
+def _pair_of(code: np.ndarray, wide: np.int64) -> np.ndarray:
+    first = code // wide
+    return (first << 32) | (code - first * wide)
 
 
 def _hashed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -331,7 +433,9 @@ def pair_table(counted: DataFrame, shard_keys: int = SHARD_KEYS, fan_in: int = F
     while leaves > 1:
         vectors = vectors.withColumn("leaf", F.floor(F.col("leaf") / fan_in).cast("int")).groupBy("shard", "leaf").applyInArrow(_summed, shape)
         leaves = -(-leaves // fan_in)
-    return written(hashes.join(vectors.drop("leaf"), "shard")), shards
+    table = written(hashes.join(vectors.drop("leaf"), "shard"))
+    discard(pairs, hashes)
+    return table, shards
 
 
 class PairTable:
@@ -370,8 +474,8 @@ def _scored(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, held: C
             for doc, pair, times in groups.pairs():
                 different, which = np.unique(pair, return_inverse=True)
                 counts, top = table.read(different)
-                np.add.at(best[x:y], doc, np.where(top[which], times, 0))
-                np.add.at(total[x:y], doc, counts[which] * times)
+                best[x:y] += _sums(doc, np.where(top[which], times, 0), y - x)
+                total[x:y] += _sums(doc, counts[which] * times, y - x)
         yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(total), *batch.columns[2:]], names=batch.schema.names)
 
 
@@ -388,9 +492,10 @@ def _lots(sizes: list[tuple[int, int]], limit: int) -> Iterator[list[int]]:
 
 
 def align(
-    docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", shard_keys: int = SHARD_KEYS, fan_in: int = FAN_IN, table_bytes: int = TABLE_BYTES,
+    docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", columns: Sequence[str] | None = None, shard_keys: int = SHARD_KEYS,
+    fan_in: int = FAN_IN, table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """Every row of the input with a struct ``aligned``: ``n_a, n_b, n_groups, n_links, n_best, count_sum`` (long), ``groups_sha256``, and the
+    """Every row of the input, in its ``columns`` (all, if None), with a struct ``aligned``: ``n_a, n_b, n_groups, n_links, n_best, count_sum`` (long), ``groups_sha256``, and the
     token ids ``a`` and ``b`` (little-endian numbers of two bytes, four where the vocabulary has more than 65,536 entries).
 
     Texts are encoded by the vocabulary files ``a_path`` and ``b_path`` (paths on the workers), a space before each. Byte places
@@ -405,13 +510,14 @@ def align(
     Repeated rows and ids are rows of their own; ids are not used; other columns stay as they are, but ``aligned`` is replaced.
     """
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c != "aligned"]
+    others = [c for c in (docs.columns if columns is None else columns) if c != "aligned"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     shape = f"row {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"
     aligned = written(rows.mapInArrow(lambda it: _aligned(it, a_path, b_path), shape))
     counted = written(aligned.select("a", "b").mapInArrow(lambda it: _document_counts(it, a_path, b_path), "pair long, n long, task int"))
     table, shards = pair_table(counted, shard_keys, fan_in)
+    discard(counted)
 
     zero = F.lit(0).cast("long")
     names = ["a", "b", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]

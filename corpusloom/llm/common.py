@@ -60,25 +60,46 @@ def own_names(docs: DataFrame, *names: str) -> list[str]:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors.
 
-    The folder is removed when the driver program ends.
+    The shuffle files of the writing are removed once it is done; the folder when ``discard`` is told so, or the driver program ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _WRITTEN:
         atexit.register(_remove_written)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._written_path = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_path)
+        _WRITTEN.remove((df.sparkSession, df._written_path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from corpusloom.llm import kernels
-from corpusloom.llm.common import own_names, text_or_empty, written
+from corpusloom.llm.common import discard, text_or_empty, written
 
 WINDOW = 13  # words of the shortest factor that counts as copied
 GRAM = 5  # words of an anchor
@@ -68,24 +68,25 @@ def _groups(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[byt
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        u, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b, texts in _groups(batch, 2):
+        u = batch.column(0).to_numpy()
+        for a, b, texts in _groups(batch, 1):
             found = Parts(texts, window, gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (found.anchor, u[a:b][found.owner], k[a:b][found.owner], found.place.astype(np.int32))], names=["h", "u", "k", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.anchor, u[a:b][found.owner], found.place.astype(np.int32))], names=["h", "u", "s"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The segments named by the lists of places, with their words."""
+    """The segments that begin at the named places, with their words."""
     for batch in batches:
-        u, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(3)
+        u, k = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        lists = batch.column(2)
         named = lists.flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        for a, b, texts in _groups(batch, 2):
+        for a, b, texts in _groups(batch, 1):
             found = Parts(texts, window, gram)
+            # Texts of one id share their places: some may lie beyond this text.
+            places = named[ends[a] : ends[b]] + np.repeat(found.bounds[:-1], np.diff(ends[a : b + 1]))
             wanted = np.zeros(found.bounds[-1] + 1, bool)
-            wanted[named[ends[a] : ends[b]] + np.repeat(found.bounds[:-1], np.diff(ends[a : b + 1]))] = True
+            wanted[places[places < np.repeat(found.bounds[1:], np.diff(ends[a : b + 1]))]] = True
             pick = np.flatnonzero(wanted[found.first])
             row = found.owner[pick]
             yield pa.RecordBatch.from_arrays([
@@ -202,27 +203,25 @@ def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
 
 def copied_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``u, k, a, b``: stretches of words (b exclusive, they may overlap) of texts ``u, k, text`` covered by windows that a text of smaller ``u`` has.
-
-    ``(u, k)`` is a key. Texts have ``window`` words at least.
+    """``u, k, a, b``: stretches of words (b exclusive, they may overlap) covered by windows that a row of smaller ``u`` has, from rows
+    ``u, text`` of ``window`` words or more; ``k`` is a digest of the text.
     """
-    ids = "h long, u long, k long, s int"
-    anchors = texts.mapInArrow(lambda it: _anchors(it, window, gram), ids)
+    anchors = texts.mapInArrow(lambda it: _anchors(it, window, gram), "h long, u long, s int")
     shared = written(anchors.groupBy("h").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x < y").select("h"))
-    lists = anchors.join(shared, "h").groupBy("u", "k").agg(F.collect_list("s").alias("named"))
+    places = anchors.join(shared, "h").groupBy("u").agg(F.collect_set("s").alias("named"))
     segments = written(
-        texts.join(lists, ["u", "k"]).select("u", "k", F.encode("text", "UTF-8").alias("text"), "named")
-        .mapInArrow(lambda it: _segments(it, window, gram), f"{ids}, n int, seg binary")
+        texts.join(places, "u").select("u", F.encode("text", "UTF-8").alias("raw"), "named", F.xxhash64("text").alias("k"))
+        .mapInArrow(lambda it: _segments(it, window, gram), "h long, u long, k long, s int, n int, seg binary")
         .withColumns({"d": F.xxhash64("seg"), "e": F.xxhash64(F.lit(1), "seg")}))
+    discard(shared)
     # Equal segments are one reference, of their earliest text; in all later texts they are copies as a whole.
     references = written(segments.groupBy("h", "d", "e", "seg").agg(F.min("u").alias("u"), F.max("u").alias("z")))
     sizes = references.groupBy("h").agg(F.count("*").alias("c"), F.min("u").alias("x"), F.max("u").alias("y")).where("c > 1 and x < y")
     sizes = written(sizes.select("h", (F.col("c") > crowd).alias("crowded")))
     routed = references.select("h", "u", "d", "e", "seg").join(sizes, "h")
-    spans = "h long, d long, e long, spans array<struct<a:int,b:int>>"
     few = (
         routed.where("not crowded").select("h", "u", "d", "e", "seg").repartition("h").sortWithinPartitions("h")
-        .mapInArrow(lambda it: _parsed(it, window), spans))
+        .mapInArrow(lambda it: _parsed(it, window), "h long, d long, e long, spans array<struct<a:int,b:int>>"))
     # An anchor with a crowd of different segments: its windows are routed by all their words, and again held by their earliest text.
     single = written(
         routed.where("crowded").select("h", "u", "d", "e", "seg")
@@ -230,48 +229,48 @@ def copied_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd
     earliest = written(single.groupBy("seg").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x < y").select("seg", "x"))
     copies = single.join(earliest, "seg").where("u > x")
     many = copies.groupBy("h", "d", "e").agg(F.collect_list(F.struct(F.col("o").alias("a"), (F.col("o") + window).alias("b"))).alias("spans"))
-    parsed = few.unionByName(many)
+    parsed = written(few.unionByName(many))
+    discard(single, earliest, sizes)
 
     held = references.where("z > u").select("h", "d", "e", F.col("u").alias("x"))
     later = segments.select("h", "d", "e", "u", "k", "s", "n").join(held, ["h", "d", "e"]).where("u > x")
     later = later.select("u", "k", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
     firsts = references.select("h", "d", "e", F.col("u").alias("x")).join(parsed, ["h", "d", "e"])
-    own = segments.select("h", "d", "e", "u", "k", "s").join(written(firsts), ["h", "d", "e"]).where("u = x")
+    own = segments.select("h", "d", "e", "u", "k", "s").join(firsts, ["h", "d", "e"]).where("u = x")
     own = own.select("u", "k", "s", F.explode("spans").alias("r")).select("u", "k", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))
     return later.unionByName(own)
 
 
 def _judged(batches: Iterator[pa.RecordBatch], outputs: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text, and the whole of it."""
+    """What is left of each text: rows (row, text, spans)."""
     run = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     for batch in batches:
-        found = batch.column(4)
+        found = batch.column(2)
         flat = found.flatten()
         a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
         ends = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())]).tolist()
-        counts, spans, left, whole = [], [], [], []
-        for i, text in enumerate(batch.column(3).to_pylist()):
-            words = text.split()
-            cover = np.zeros(len(words) + 1, np.int64)
-            np.add.at(cover, a[ends[i] : ends[i + 1]], 1)
-            np.add.at(cover, b[ends[i] : ends[i + 1]], -1)
-            gone = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
-            edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
-            runs = list(zip(edges[::2], edges[1::2], strict=True))
-            kept = [w for x, y in zip([0, *edges[1::2]], [*edges[::2], len(words)], strict=True) for w in words[x:y]] if runs else words
-            counts.append(len(words))
+        counts, spans, left, digests = [], [], [], []
+        data, offsets = kernels.text_bytes(batch.column(1))
+        for i in range(len(found)):
+            words = data[offsets[i] : offsets[i + 1]].tobytes().split()
+            runs = []
+            if ends[i] < ends[i + 1]:
+                cover = np.zeros(len(words) + 1, np.int64)
+                np.add.at(cover, a[ends[i] : ends[i + 1]], 1)
+                np.add.at(cover, b[ends[i] : ends[i + 1]], -1)
+                gone = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
+                edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+                runs = list(zip(edges[::2], edges[1::2], strict=True))
+                counts.append(len(words))
+                words = [w for x, y in zip([0, *edges[1::2]], [*edges[::2], len(words)], strict=True) for w in words[x:y]]
+            else:
+                counts.append(len(words))
+            kept = b" ".join(words)
             spans.append([{"a": x, "b": y} for x, y in runs])
-            left.append(b" ".join(kept))
-            whole.append(b" ".join(words) if runs else left[-1])
-        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(spans, run)]
-        names = ["u", "k", "l", "n_words", "spans"]
-        if "kept_sha256" in outputs:
-            columns += [pa.array([hashlib.sha256(x).hexdigest() for x in texts]) for texts in (left, whole)]
-            names += ["kept_sha256", "whole_sha256"]
-        if "kept" in outputs:
-            columns += [pa.array([x.decode() for x in texts], pa.string()) for texts in (left, whole)]
-            names += ["kept", "whole"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+            left.append(kept.decode() if "kept" in outputs else None)
+            digests.append(hashlib.sha256(kept).hexdigest() if "kept_sha256" in outputs else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, run), pa.array(left, pa.string()), pa.array(digests, pa.string())], names=["row", "n", "r", "k", "s"])
 
 
 OUTPUTS = ("spans", "kept")
@@ -296,31 +295,17 @@ def remove_copied(
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} has to be a whole number")
     text, key = text_or_empty(text_col), F.col(f"`{id_col}`").cast("long")
-    texts = docs.select(key.alias("u"), text.alias("text")).groupBy("text").agg(F.min("u").alias("u"))
-    texts = texts.select("u", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("l"), "text")
-    long = texts.where(F.col("u").isNotNull() & (F.octet_length("text") >= 2 * window - 1)).select("u", "k", "text")
-    spans = copied_spans(long, window, gram, crowd).groupBy("u", "k").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    run = "array<struct<a:bigint,b:bigint>>"
-    shape = f"u long, k long, l long, n_words long, spans {run}"
-    shape += ", kept_sha256 string, whole_sha256 string" if "kept_sha256" in outputs else ""
-    shape += ", kept string, whole string" if "kept" in outputs else ""
-    judged = texts.join(spans, ["u", "k"], "left").select("u", "k", "l", F.encode("text", "UTF-8").alias("text"), "found")
-    judged = written(judged.mapInArrow(lambda it: _judged(it, outputs), shape))
-
-    names = own_names(docs, "k", "l", "u")
-    k, l, u = (F.col(f"`{n}`") for n in names)
-    results = judged.select(F.col("k").alias(names[0]), F.col("l").alias(names[1]), F.col("u").alias(names[2]), F.struct("*").alias("copied"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "copied"]
-    rows = docs.select(*others, F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1]))
-    n, none = F.col("copied.n_words"), F.array().cast(run)
-    first, later = key == u, (key > u) & (n >= window)
-    shown = {
-        "spans": F.when(later, F.array(F.struct(F.lit(0).cast("long").alias("a"), n.alias("b")))).when(first, F.col("copied.spans")).otherwise(none),
-        "kept_sha256": F.when(later, F.lit(hashlib.sha256(b"").hexdigest())), "kept": F.when(later, F.lit("")),
-    }
-    for name, whole in (("kept_sha256", "whole_sha256"), ("kept", "whole")):
-        if name in outputs:
-            shown[name] = shown[name].when(first, F.col(f"copied.{name}")).otherwise(F.col(f"copied.{whole}"))
-    gone = F.aggregate(shown["spans"], F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    joined = rows.join(results, names[:2])
-    return joined.select(*others, F.struct(n.alias("n_words"), gone.alias("n_removed"), *[shown[o].alias(o) for o in outputs]).alias("copied"))
+    long = docs.where(F.col(f"`{id_col}`").isNotNull() & (F.octet_length(text) >= 2 * window - 1)).select(key.alias("u"), text.alias("text"))
+    spans = copied_spans(long, window, gram, crowd)
+    spans = spans.groupBy("u", "k").agg(F.collect_set(F.struct("a", "b")).alias("found"))
+    others = [c for c in docs.columns if c != "copied"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), key.alias("u"), F.xxhash64(text).alias("k"))
+    kind = rows.schema["row"].dataType.simpleString()
+    own = F.encode(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), "UTF-8")
+    judged = rows.join(spans, ["u", "k"], "left").select("row", own.alias("raw"), "found").mapInArrow(
+        lambda it: _judged(it, outputs), f"row {kind}, n long, r array<struct<a:bigint,b:bigint>>, k string, s string")
+    gone = F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    shown = {"spans": F.col("r"), "kept": F.col("k"), "kept_sha256": F.col("s")}
+    return judged.select(
+        *[F.col("row").getField(c).alias(c) for c in others],
+        F.struct(F.col("n").alias("n_words"), gone.alias("n_removed"), *[shown[o].alias(o) for o in outputs]).alias("copied"))

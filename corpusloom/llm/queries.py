@@ -73,12 +73,12 @@ def op10_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_relative_lempel_ziv(spark: SparkSession, folder: str) -> DataFrame:
-    cut = copied.remove_copied(table(spark, folder, "documents"), outputs=("kept_sha256",))
+    cut = copied.remove_copied(table(spark, folder, "documents").select("doc_id", "text"), outputs=("kept_sha256",))
     return cut.select("doc_id", "copied.n_words", "copied.n_removed", "copied.kept_sha256")
 
 
 def op12_pair_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    aligned = alignment.align(table(spark, folder, "documents").select("doc_id", "text"), *[tokenizer_path(n) for n in ALIGNED])
+    aligned = alignment.align(table(spark, folder, "documents"), *[tokenizer_path(n) for n in ALIGNED], columns=["doc_id"])
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return aligned.select("doc_id", *[F.col(f"aligned.{n}") for n in names])
 

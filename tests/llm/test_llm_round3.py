@@ -196,15 +196,42 @@ def test_alignment_of_odd_rows(spark, none, options):
 
 def test_links_come_in_slices(monkeypatch):
     a, b = (alignment.vocabulary(queries.tokenizer_path(n)) for n in queries.ALIGNED)
-    found = alignment.encoded([words(200), "-" * 500, "x"], a, b)
+    found = alignment.Encoder(a, b)([words(200), "-" * 500, "x"])
+    assert a.apart and b.apart
+    monkeypatch.setattr(a, "apart", False)
+    whole = alignment.Encoder(a, b)([words(200), "-" * 500, "x"])
+    assert all(np.array_equal(x, y) for s, t in zip(found, whole, strict=True) for x, y in zip(s, t, strict=True))
     whole = alignment.Groups(*found, a, b)
+    monkeypatch.setattr(alignment, "WIDE", 3)
+    few = Counter()
+    for d, p, n in whole.pairs():
+        for x, y, z in zip(d.tolist(), p.tolist(), n.tolist(), strict=True):
+            few[x, y] += z
+    monkeypatch.setattr(alignment, "WIDE", 1 << 12)
     total = Counter(dict_items for d, p, n in whole.pairs() for dict_items in zip(d.tolist(), p.tolist(), n.tolist(), strict=True))
     one = [x.tolist() for x in alignment._by_document(whole)]
+    counted = Counter()
+    for (d, p, n), times in total.items():
+        counted[d, p] += n * times
+    assert counted == few
     monkeypatch.setattr(alignment, "LINKS", 3)
     assert Counter(x for d, p, n in whole.pairs() for x in zip(d.tolist(), p.tolist(), n.tolist(), strict=True)) == total
     assert sorted(itertools.chain(*one)) == sorted(itertools.chain(*(x.tolist() for x in alignment._by_document(whole))))
 
 
+def test_stretches_do_not_change_ids():
+    """Cutting at single spaces gives the ids of whole texts, whatever stands around the spaces."""
+    a, b = (alignment.vocabulary(queries.tokenizer_path(n)) for n in queries.ALIGNED)
+    rng = np.random.default_rng(11)
+    signs = [" ", " ", "a", "B", "'s", "'", "1", ".", "\n", "\t", "\u00a0", "\u2003", "\u00e9", "\u4e2d", "\U0001f600", "\u2581", "\u0301", "<|endoftext|>", "</s>", "-", "word"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(4000)]
+    encode = alignment.Encoder(a, b)
+    for side, v in enumerate((a, b)):
+        whole = v.encode(texts)
+        cut = [[i for s in alignment._stretches(t) for i in np.frombuffer(encode._measured([s])[0][side], np.int32).tolist()] for t in texts]
+        assert [list(x) for x in whole] == cut
+
+
 def test_a_strange_pair_is_refused():
     keys = np.array([3, 5, 9])
     own = alignment.MinimalHash.of(keys)
