@@ -203,7 +203,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
 
 def copied_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``u, k, a, b``: stretches of words (b exclusive, they may overlap) covered by windows that a row of smaller ``u`` has, from rows
+    """``u, k, found``: stretches of words (a, b), b exclusive, they may overlap, covered by windows that a row of smaller ``u`` has, from rows
     ``u, text`` of ``window`` words or more; ``k`` is a digest of the text.
     """
     anchors = texts.mapInArrow(lambda it: _anchors(it, window, gram), "h long, u long, s int")
@@ -232,13 +232,15 @@ def copied_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd
     parsed = written(few.unionByName(many))
     discard(single, earliest, sizes)
 
-    held = references.where("z > u").select("h", "d", "e", F.col("u").alias("x"))
-    later = segments.select("h", "d", "e", "u", "k", "s", "n").join(held, ["h", "d", "e"]).where("u > x")
-    later = later.select("u", "k", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
-    firsts = references.select("h", "d", "e", F.col("u").alias("x")).join(parsed, ["h", "d", "e"])
-    own = segments.select("h", "d", "e", "u", "k", "s").join(firsts, ["h", "d", "e"]).where("u = x")
-    own = own.select("u", "k", "s", F.explode("spans").alias("r")).select("u", "k", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))
-    return later.unionByName(own)
+    # What a segment loses: all its words where its text isn't the earliest, else what its block has found.
+    known = references.select("h", "d", "e", F.col("u").alias("x"), "z").join(parsed, ["h", "d", "e"], "left").where("z > x or spans is not null")
+    met = segments.select("h", "d", "e", "u", "k", "s", "n").join(known, ["h", "d", "e"])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    lost = met.select("u", "k", "s", F.explode(F.when(F.col("u") > F.col("x"), whole).otherwise(F.col("spans"))).alias("r"))
+    spans = lost.groupBy("u", "k").agg(F.collect_set(F.struct((F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))).alias("found"))
+    spans = written(spans)
+    discard(segments, references, parsed)
+    return spans
 
 
 def _judged(batches: Iterator[pa.RecordBatch], outputs: Sequence[str]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +299,6 @@ def remove_copied(
     text, key = text_or_empty(text_col), F.col(f"`{id_col}`").cast("long")
     long = docs.where(F.col(f"`{id_col}`").isNotNull() & (F.octet_length(text) >= 2 * window - 1)).select(key.alias("u"), text.alias("text"))
     spans = copied_spans(long, window, gram, crowd)
-    spans = spans.groupBy("u", "k").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     others = [c for c in docs.columns if c != "copied"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), key.alias("u"), F.xxhash64(text).alias("k"))
     kind = rows.schema["row"].dataType.simpleString()
