@@ -47,8 +47,8 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
-    cut = repeats.remove_repeats(table(spark, folder, "documents"), outputs=("spans", "kept_sha256"))
-    return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), "repeats.kept_sha256")
+    cut = repeats.remove_repeats(table(spark, folder, "documents"), outputs=("spans", "kept_sha256", "text"))
+    return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), "repeats.kept_sha256", "repeats.text")
 
 
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels
-from corpusloom.llm.common import WORD, text_or_empty, written
+from corpusloom.llm.common import WORD, discard, own_names, text_or_empty, written
 
 LENGTH = 400
 GRAM = 24  # bytes of an anchor
-STRETCH = 160  # consecutive grams of which one becomes an anchor
+STRETCH = 160  # consecutive grams of which one becomes an anchor, at most: two stretches have to fit a string
 CROWD = 1000  # occurrences of an anchor above which its windows are counted by digest instead of indexed together
 ROWS = 4096  # rows an index holds
 _GROUP = 1 << 19
@@ -24,21 +24,21 @@ _PLACE = np.uint64((1 << 26) - 1)
 class Anchors:
     """Anchors of texts laid end to end.
 
-    Of every STRETCH consecutive grams the one with the least digest is an anchor (the leftmost of equals), so a string
+    Of every ``stretch`` consecutive grams the one with the least digest is an anchor (the leftmost of equals), so a string
     has the same inner anchors wherever it occurs: those that a stretch within the string chooses.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, stretch: int = STRETCH):
         self.data, self.bounds = data, bounds
         n = max(len(data) - GRAM + 1, 0)
         sums = kernels.prefix_hash(kernels.BYTE_CODES[data])
         self.grams = kernels.mix((sums[GRAM:] - sums[:n]) * kernels.powers(len(data))[1][:n]) if n else np.empty(0, np.uint64)
-        chosen = (kernels.sliding_min((self.grams & ~_PLACE) | np.arange(n, dtype=np.uint64), STRETCH) & _PLACE).astype(np.int64)
+        chosen = (kernels.sliding_min((self.grams & ~_PLACE) | np.arange(n, dtype=np.uint64), stretch) & _PLACE).astype(np.int64)
         self.sums = sums
         # Stretches that end in the text where they begin.
         starts = np.arange(len(chosen))
         owner = np.searchsorted(bounds, starts, "right") - 1
-        valid = starts + STRETCH + GRAM - 1 <= bounds[owner + 1]
+        valid = starts + stretch + GRAM - 1 <= bounds[owner + 1]
         first = valid.copy()
         first[1:] &= ~valid[:-1] | (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
         self.valid = valid
@@ -48,25 +48,25 @@ class Anchors:
         self.digest = self.grams[self.position].view(np.int64)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy()
         data, offsets = kernels.text_bytes(batch.column(1))
         for a, b in kernels.text_batches(data, offsets, _GROUP):
             bounds = offsets[a : b + 1] - offsets[a]
-            found = Anchors(data[offsets[a] : offsets[b]], bounds)
+            found = Anchors(data[offsets[a] : offsets[b]], bounds, stretch)
             yield pa.RecordBatch.from_arrays([
                 pa.array(found.digest), pa.array(keys[a:b][found.owner]), pa.array((found.position - bounds[found.owner]).astype(np.int32)),
             ], names=["h", "u", "p"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], length: int, stretch: int) -> Iterator[pa.RecordBatch]:
     """Stretches of windows that may repeat, by the rarest anchor inside them.
 
     A window with an inner anchor that occurs once is unique. All others go to their inner anchor of least (count,
     digest): equal windows choose the same one at the same distance. ``off`` is that distance at the first window.
     """
-    inner = length - GRAM - STRETCH + 2
+    inner = length - GRAM - stretch + 2
     for batch in batches:
         keys = batch.column(0).to_numpy()
         data, offsets = kernels.text_bytes(batch.column(1))
@@ -76,7 +76,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         for a, b in kernels.text_batches(data, offsets, _GROUP):
             bounds = offsets[a : b + 1] - offsets[a]
             text = data[offsets[a] : offsets[b]]
-            found = Anchors(text, bounds)
+            found = Anchors(text, bounds, stretch)
             if not len(found.position):
                 continue
             repeated = places[ends[a] : ends[b]] + np.repeat(bounds[:-1], np.diff(ends[a : b + 1]))
@@ -221,14 +221,15 @@ def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """``u, a, b``: byte spans that repeated windows cover (spans of one text may overlap), from distinct texts ``u, text``."""
-    if length < GRAM + 2 * STRETCH:
-        raise ValueError(f"length has to be {GRAM + 2 * STRETCH} at least")
+    stretch = min(STRETCH, (length - GRAM) // 2)
+    if stretch < 1:
+        raise ValueError(f"length has to be {GRAM + 2} at least")
     long = texts.where(F.octet_length("text") >= length)
-    anchors = long.mapInArrow(_anchor_rows, "h long, u long, p int")
-    counts = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    anchors = long.mapInArrow(lambda it: _anchor_rows(it, stretch), "h long, u long, p int")
+    counts = written(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     lists = anchors.join(counts, "h").groupBy("u").agg(F.collect_list(F.struct("p", "c")).alias("found"))
     segments = written(long.join(lists, "u").select("u", "text", "found").mapInArrow(
-        lambda it: _segments(it, length), "h long, c long, off int, seg binary, u long, s long"))
+        lambda it: _segments(it, length, stretch), "h long, c long, off int, seg binary, u long, s long"))
     few = segments.where(F.col("c") <= crowd).select("h", "off", "seg", "u", "s")
     indexed = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _indexed(it, length), "u long, a long, b long")
 
@@ -237,8 +238,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     distinct = written(many.groupBy("sid").agg(F.count("*").alias("n"), F.first("seg").alias("seg")))
     digests = written(distinct.select("sid", "n", "seg").mapInArrow(lambda it: _window_digests(it, length), "w long, n long, sid long, o int"))
     common = digests.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
-    windows = digests.join(common, "w").groupBy("sid").agg(F.collect_set("o").alias("o"))
-    counted = many.select("sid", "u", "s").join(windows, "sid").select("u", F.explode(_runs(F.array_sort("o"))).alias("r"), "s")
+    windows = written(digests.join(common, "w").groupBy("sid").agg(F.collect_set("o").alias("o")))
+    discard(counts, distinct, digests)
+    # One row for all occurrences of a segment that a task reads, so that a crowd meets its runs once a task.
+    places = many.groupBy("sid", F.spark_partition_id().alias("task")).agg(F.collect_list(F.struct("u", "s")).alias("at"))
+    counted = places.join(windows, "sid").select("at", _runs(F.array_sort("o")).alias("runs")).select(F.explode("at").alias("x"), "runs")
+    counted = counted.select(F.col("x.u").alias("u"), F.col("x.s").alias("s"), F.explode("runs").alias("r"))
     counted = counted.select("u", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") + length).alias("b"))
     return indexed.unionByName(counted)
 
@@ -331,9 +336,10 @@ def remove_repeats(
         "text": F.decode(_without(F.col("raw"), _whole_characters(F.col("raw"), F.col("spans"))), "UTF-8"),
     }
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    results = written(judged.select(F.col("u").alias("_of"), F.struct("n_bytes", removed.alias("n_removed"), *[forms[o].alias(o) for o in outputs]).alias("repeats")))
-    rows = docs.select(digest.alias("_u"), *[F.col(f"`{c}`") for c in columns])
-    return rows.join(results, F.col("_u") == F.col("_of")).drop("_u", "_of")
+    mine, theirs = own_names(docs, "_u", "_of")
+    results = written(judged.select(F.col("u").alias(theirs), F.struct("n_bytes", removed.alias("n_removed"), *[forms[o].alias(o) for o in outputs]).alias("repeats")))
+    rows = docs.select(digest.alias(mine), *[F.col(f"`{c}`") for c in columns])
+    return rows.join(results, F.col(f"`{mine}`") == F.col(f"`{theirs}`")).drop(mine, theirs)
 
 
 def cut_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -55,7 +55,7 @@ def test_stages(spark, tmp_path):
 
     # Repeated strings.
     raw = {r.doc_id: r.text.encode() for r in rows}
-    gone = cut_by_hand(raw)
+    gone = cut_by_hand(raw, corpus_pipeline.PASSAGE_BYTES)
     expected = {k: whole_characters(raw[k], gone[k]) for k in raw}
     docs = step(2, corpus_pipeline.STAGES[2][1](spark, docs, DATA))
     rows = docs.collect()

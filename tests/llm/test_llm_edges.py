@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, kernels, langid, lm_score, mixing, near_dups, packing, quality, repeats, token_counts, topk
 from corpusloom.llm.queries import tokenizer_path
-from tests.llm.conftest import BASE, LONG, odd_rows
+from tests.llm.conftest import BASE, LONG, odd_rows, words
 from tests.llm.test_llm_queries import cut_by_hand, packed_by_hand, tokens
 
 TEXTS = [r[1] for r in odd_rows()]
@@ -302,3 +302,17 @@ def test_kernels_hash_words_whatever_the_pieces(monkeypatch):
     assert (whole == pieces).all() and (bounds == same).all()
     assert np.diff(bounds).tolist() == [2, 0, 0, 1, 1, 2, 3]
     assert len(set(whole.tolist())) == 8  # "ab" occurs twice
+
+
+def test_repeats_with_names_of_its_own(odd):
+    clash = odd.withColumns({c: F.lit(k) for k, c in enumerate(("_u", "_of", "__u"))})
+    assert repeats.cut_documents(clash).columns == clash.columns
+    assert repeats.remove_repeats(clash).select("_u", "_of", "__u").distinct().collect() == [(0, 1, 2)]
+
+
+def test_shorter_strings_are_cut(spark):
+    """A passage of 55 words is cut in every text, by the length in bytes of 50 words."""
+    passage = words(55, 300)
+    df = spark.createDataFrame([(k, f"{words(30, 1000 + 40 * k)} {passage} {words(30, 3000 + 40 * k)}") for k in range(20)], "doc_id long, text string")
+    for r in repeats.cut_documents(df, length=250).collect():
+        assert len(r.text) <= 2 + len(words(30, 1000 + 40 * r.doc_id) + words(30, 3000 + 40 * r.doc_id)) + 20

@@ -128,6 +128,7 @@ def test_op6_is_exact(spark, texts):
         kept = bytes(b for b, x in zip(raw[r.doc_id], gone[r.doc_id], strict=True) if not x)
         runs = len(re.findall(b"\1+", bytes(gone[r.doc_id])))
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw[r.doc_id]), sum(gone[r.doc_id]), runs, hashlib.sha256(kept).hexdigest())
+        assert r.text.encode() == kept or len(r.text.encode()) > len(kept)
 
 
 def test_op9_on_held_out_documents(spark):
