@@ -10,6 +10,9 @@ from corpusloom.llm.common import table, written
 from corpusloom.session import ship_package
 
 
+PASSAGE_BYTES = 250  # strings cut where they repeat: 50 words with their spaces, five bytes each
+
+
 def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of documents, with the length of the text as it is now."""
     return df.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(docs.columns)
@@ -28,9 +31,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that occur twice or more are cut out."""
+    """Strings as long as 50 words that occur twice or more are cut out."""
     ship_package(spark)
-    return _documents(repeats.cut_documents(docs), docs)
+    return _documents(repeats.cut_documents(docs, length=PASSAGE_BYTES), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
