@@ -8,9 +8,9 @@ skewed the grouping key is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpointed
@@ -166,6 +166,46 @@ def running_max(
     return joined.select(*df.columns, F.greatest("_p", "_base").alias(name))
 
 
+def scan(
+    df: DataFrame,
+    order: str,
+    layers: Sequence[Callable[[WindowSpec], dict[str, Column]]],
+    state: Column,
+    combine: Callable[[Column, Column], Column],
+    empty: Column,
+    name: str,
+    by: Sequence[str] | str | None = None,
+    bits: int = CARRY_BITS,
+) -> DataFrame:
+    """State of all rows up to each row, itself included, for any associative summary, in one pass.
+
+    ``layers`` add columns by windows inside a bucket (a layer may read those before it), ``state`` is the summary of a
+    bucket's rows up to a row, and ``combine(earlier, later)`` joins the summaries of two stretches; ``empty`` is the one of
+    no rows. Rows are shuffled once, by bucket; the last state of each bucket goes through two levels of summaries.
+    """
+    keys = _by(by)
+    local = df.withColumn("_b", span_bucket(order, bits))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    for layer in layers:
+        local = local.withColumns(layer(inside))
+    local = local.withColumn("_state", state)
+    ends = local.groupBy(*keys, "_b").agg(F.max_by("_state", order).alias("_end")).withColumn("_s", span_bucket("_b", SUPER_BITS))
+
+    # The state before each bucket of a super-bucket, and the state of them all.
+    listed = ends.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("at"), F.col("_end").alias("v")))).alias("_a"))
+    none = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), empty.alias("before"))), lambda x: F.lit(False))
+    folded = F.aggregate("_a", F.struct(none.alias("out"), empty.alias("now")), lambda acc, x: F.struct(
+        F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), acc["now"].alias("before")))).alias("out"), combine(acc["now"], x["v"]).alias("now")))
+    inner = listed.select(*keys, "_s", folded.alias("_f"))
+    # Only here does one task see a whole group: a state for 2**(bits + SUPER_BITS) keys.
+    earlier = F.collect_list("_f.now").over(Window.partitionBy(*keys, F.lit(0)).orderBy("_s").rowsBetween(*_UP))
+    outer = inner.withColumn("_base", F.aggregate(earlier, empty, combine))
+    placed = outer.select(*keys, "_base", F.explode("_f.out").alias("_x"))
+    placed = placed.select(*keys, F.col("_x.at").alias("_b"), combine(F.col("_base"), F.col("_x.before")).alias("_before"))
+    joined = _join_null_safe(local, placed, [*keys, "_b"])
+    return joined.select(*df.columns, combine(F.col("_before"), F.col("_state")).alias(name))
+
+
 def number_rows(
     df: DataFrame,
     order: str,

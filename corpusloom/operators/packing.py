@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ordered import int_div, prefix_sum, span_bucket
+from corpusloom.operators.ordered import int_div, prefix_sum, scan, span_bucket
 
 DOCUMENT_BITS = 8  # documents are wide rows: 256 share a bucket
 
@@ -83,6 +83,17 @@ def token_index(df: DataFrame, ids: str, itemsize: int, seq_id: str = "seq_id")
     return placed.select(seq_id, "size", "pointer")
 
 
+def index_in_order(df: DataFrame, order: str, size: Column, itemsize: int) -> DataFrame:
+    """Number, size and byte pointer of each sequence in the order of an integer column: one pass, sizes worked out once."""
+    sized = df.select(order, size.cast("long").alias("size"))
+    layers = [lambda w: {"_n": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))}]
+    state = F.struct(F.col("_n").alias("n"), F.col("_total").alias("total"))
+    add = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["total"] + b["total"]).alias("total"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+    placed = scan(sized, order, layers, state, add, none, "_up")
+    return placed.select((F.col("_up.n") - 1).alias("seq_id"), "size", ((F.col("_up.total") - F.col("size")) * itemsize).alias("pointer"))
+
+
 def document_index(df: DataFrame, ids: str, seq_id: str = "seq_id") -> DataFrame:
     """Document boundaries: 0, and the number after every zero-size sequence."""
     ends = df.where(F.size(ids) == 0).select((F.col(seq_id) + 1).alias("doc_start"))

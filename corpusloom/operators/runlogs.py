@@ -219,6 +219,11 @@ def _bit(phrase: str) -> int:
     return 1 << _phrases().index(phrase)
 
 
+def near_bit(phrase: str) -> int:
+    """Bit of a phrase that starts near the anchor."""
+    return _bit(f"near:{phrase}")
+
+
 def phrase_mask(text: str) -> Column:
     """Phrases found in one line as the bits of a long; ``bit_or`` combines lines.
 
@@ -266,7 +271,7 @@ def classify_failures(
     close = near_in_log(kept, keys, "_order", "text", NEAR_ANCHOR, ["cuda", "killed"])
     placed = close.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
-        sum((F.when(F.col(f"`near:{p}`"), F.lit(_bit(f"near:{p}"))).otherwise(0) for p in ("cuda", "killed")), F.lit(0)).alias("_near"),
+        sum((F.when(F.col(f"`near:{p}`"), F.lit(near_bit(p))).otherwise(0) for p in ("cuda", "killed")), F.lit(0)).alias("_near"),
     )
     known = flags.join(placed, same, "left").withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("_near", F.lit(0))))
     return known.select(*keys, verdict("mask").alias("reason"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ordered import carry, prefix_sum
+from corpusloom.operators.ordered import carry, scan
 from corpusloom.operators.runlogs import HARD_FAILURE_THRESHOLD, attempt_markers
 
 MAX_BACKOFF_SECONDS = 900
@@ -55,15 +55,22 @@ def status_summary(runs: DataFrame, by: tuple[str, ...] = (), status: str = "sta
 def failure_streak(attempts: DataFrame, run: str, order: str, failed: Column, name: str = "streak") -> DataFrame:
     """Failures in a row up to each attempt, reset by a success.
 
-    Running failure count minus that count at the last success: two bucketed scans, so one
-    run may hold any share of the attempts.
+    One pass over the attempts, whatever share of them a run has: a stretch is summed up by the failures since its last success
+    and whether it has one.
     """
-    rows = attempts.withColumn("_fail", failed.cast("long"))
-    counted = prefix_sum(rows, order, F.col("_fail"), "_before", by=run)
-    at_success = F.when(F.col("_fail") == 0, F.col("_before"))
-    based = carry(counted, order, at_success, "_base", by=run, inclusive=True)
-    streak = F.col("_before") + F.col("_fail") - F.coalesce(F.col("_base"), F.lit(0))
-    return based.select(*attempts.columns, streak.alias(name))
+    lost = failed.cast("long")
+    layers = [
+        lambda w: {"_lost": F.coalesce(F.sum(lost).over(w), F.lit(0)), "_reset": F.max((~failed).cast("int")).over(w)},
+        lambda w: {"_kept": F.max(F.when(~failed, F.col("_lost"))).over(w)},
+    ]
+    state = F.struct((F.col("_lost") - F.coalesce("_kept", F.lit(0))).alias("fails"), F.coalesce(F.col("_reset") == 1, F.lit(False)).alias("reset"))
+
+    def combine(a: Column, b: Column) -> Column:
+        return F.struct((F.when(b["reset"], F.lit(0)).otherwise(a["fails"]) + b["fails"]).alias("fails"), (a["reset"] | b["reset"]).alias("reset"))
+
+    empty = F.struct(F.lit(0).cast("long").alias("fails"), F.lit(False).alias("reset"))
+    found = scan(attempts, order, layers, state, combine, empty, "_streak", by=run)
+    return found.select(*attempts.columns, F.col("_streak.fails").alias(name))
 
 
 def retry_report(
@@ -121,11 +128,33 @@ def hang_report(samples: DataFrame, run: str, ts: str, size: str, timeout: int,
     (null) sample.
     """
     order = order or ts
-    known = carry(samples, order, F.col(size), "_prev", by=run)
-    restart = F.col(size).isNull() | F.col("_prev").isNull() | (F.col(size) != F.col("_prev"))
-    since = carry(known, order, F.when(restart, F.col(ts)), "_since", by=run, inclusive=True)
-    silent = F.col(ts) - F.col("_since")
-    out = since.withColumn("silent_seconds", silent).where(F.col(size).isNotNull() & (F.col("silent_seconds") > timeout))
+    at, value = F.col(ts), F.col(size)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # Inside a bucket the clock of all rows is known but for the first that can be read: it restarts or not by the size before the bucket.
+    layers = [
+        lambda w: {"_prev": F.last(value, True).over(before(w)), "_first": F.first(F.when(value.isNotNull(), F.struct(value.alias("v"), at.alias("t"))), True).over(w),
+                   "_last": F.last(value, True).over(w)},
+        lambda w: {"_late": F.last(F.when((F.col("_prev").isNotNull() & (value.isNull() | (value != F.col("_prev")))), at), True).over(w),
+                   "_early": F.last(F.when(value.isNull() & F.col("_prev").isNull(), at), True).over(w)},
+    ]
+    state = F.struct(*[F.col(f"_{n}").alias(n) for n in ("first", "last", "late", "early")])
+
+    def combine(a: Column, b: Column) -> Column:
+        known, reads = a["last"].isNotNull(), b["first"].isNotNull()
+        restart = F.when(reads & (b["first"]["v"] != a["last"]), b["first"]["t"])
+        since = F.coalesce(b["late"], restart, b["early"])
+        return F.struct(
+            F.coalesce(a["first"], b["first"]).alias("first"), F.coalesce(b["last"], a["last"]).alias("last"),
+            F.when(known, F.coalesce(since, a["late"])).otherwise(b["late"]).alias("late"),
+            F.when(known, a["early"]).otherwise(F.coalesce(b["early"], a["early"])).alias("early"))
+
+    kinds = dict(samples.dtypes)
+    nothing = {"first": f"struct<v:{kinds[size]},t:{kinds[ts]}>", "last": kinds[size], "late": kinds[ts], "early": kinds[ts]}
+    empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in nothing.items()])
+    found = scan(samples, order, layers, state, combine, empty, "_clock", by=run)
+    clock = F.col("_clock")
+    since = F.coalesce(clock["late"], clock["first"]["t"], clock["early"])
+    out = found.withColumn("silent_seconds", at - since).where(value.isNotNull() & (F.col("silent_seconds") > timeout))
     return out.select(*samples.columns, "silent_seconds")
 
 
@@ -142,11 +171,17 @@ def repeat_failures(
     h = F.col(error_hash)
     ok = F.coalesce(F.col(success), F.lit(False)) if success and reset_on_success else F.lit(False)
     seen = F.when(ok, F.lit("")).otherwise(F.coalesce(h, F.lit("")))
-    prior = carry(failures, order, seen, "_prior", by=run)
-    counted = prefix_sum(prior, order, F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("long"), "_times", by=[run, error_hash])
-    repeats = F.col("_times") + F.when(ok, F.lit(0)).otherwise(F.lit(1))
+    # Both scans keep their rows in one shuffle; a stretch hands on its last fingerprint, or its count.
+    layers = [lambda w: {"_prior": F.lag(seen).over(w), "_seen": seen}]
+    state = F.struct(F.col("_prior").alias("prior"), F.col("_seen").alias("last"))
+    take = lambda a, b: F.struct(F.coalesce(b["prior"], a["last"]).alias("prior"), b["last"].alias("last"))
+    nothing = F.struct(F.lit(None).cast("string").alias("prior"), F.lit(None).cast("string").alias("last"))
+    prior = scan(failures, order, layers, state, take, nothing, "_p", by=run).withColumn("_prior", F.col("_p.prior"))
+    one = F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("long")
+    counts = [lambda w: {"_n": F.sum(one).over(w)}]
+    counted = scan(prior, order, counts, F.col("_n"), lambda a, b: a + b, F.lit(0).cast("long"), "repeats", by=[run, error_hash])
     hard = (F.coalesce(h, F.lit("")) != "") & ~ok & (h == F.col("_prior")) & (F.col("repeats") >= threshold)
-    return counted.withColumn("repeats", repeats).withColumn("hard_failure", F.coalesce(hard, F.lit(False))).select(
+    return counted.withColumn("hard_failure", F.coalesce(hard, F.lit(False))).select(
         *failures.columns, "repeats", "hard_failure"
     )
 

@@ -136,9 +136,8 @@ def _pack_capped(spark, folder):
 
 
 def _index(spark, folder):
-    return packing.token_index(numbered_sequences(spark, folder), "ids", itemsize=2).select(
-        "seq_id", F.col("size").cast("long").alias("size"), "pointer"
-    )
+    sizes = F.size(tokens.hashed_word_ids(F.col("text")))
+    return packing.index_in_order(documents(spark, folder), "doc_id", sizes, itemsize=2)
 
 
 def _document_index(spark, folder):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from corpusloom.operators import ordered
 
 
@@ -77,3 +78,23 @@ def test_no_single_task_holds_the_rows(df):
     # The only single partition is the one over super-bucket totals.
     for part in plan.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate" in part.split("\n")[1]
+
+
+def test_scan_of_a_summary_that_does_not_commute(spark):
+    """Words joined in order, over many buckets and super-buckets, for null keys and groups of all sizes."""
+    rows = [(None if k % 5 == 0 else k % 3, (k * 7919) % 40_000 * 613, chr(97 + k % 26)) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, at long, c string").repartition(7)
+    layers = [lambda w: {"_t": F.array_join(F.collect_list("c").over(w), "")}]
+    got = ordered.scan(df, "at", layers, F.col("_t"), lambda a, b: F.concat(a, b), F.lit(""), "up", by="g", bits=6)
+    want = {}
+    for g, at, c in sorted(rows, key=lambda r: r[1]):
+        want[g] = want.get(g, "") + c
+        assert want.setdefault((g, at), want[g])
+    assert {(r.g, r.at): r.up for r in got.collect()} == {k: v for k, v in want.items() if isinstance(k, tuple)}
+
+
+@pytest.mark.parametrize("name, scans", [("win7_failure_streak", 2), ("win12_hang_report", 2), ("snk3_token_index", 2), ("agg35_repeat_failures", 4)])
+def test_one_pass_reads_its_table_twice_at_most(spark, name, scans):
+    """Rows and bucket summaries share a shuffle; only the summaries are planned beside the rows."""
+    plan = driver.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= scans

@@ -107,6 +107,32 @@ def test_classification_whatever_the_cut(spark, tmp_path, files):
     assert found == {tuple(r) for r in classify_failures(stored, ["run_id"]).collect()}
 
 
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_verdict_after_every_trigger(spark, tmp_path, monkeypatch, files):
+    """Lines out of order, phrases around the edges of lines and segments: after each trigger the class of the lines so far."""
+    import random
+
+    draw = random.Random(files)
+    parts = ["cuda", "killed", "out of memory", "x" * 240, "x" * 470, "WARNING y", "ok", "cuda\rout of memory", "a killed b killed", "loss is nan", "Connection reset by peer"]
+    rows = [(run, n * (1 + 4095 * (run % 3)), f"{draw.choice(parts)} {draw.choice(parts)}") for run in range(24) for n in range(draw.randrange(1, 7))]
+    rows += [(None, 5, "cuda"), (None, 6, "out of memory")]
+    draw.shuffle(rows)
+    folder = str(tmp_path / "in")
+    schema = "run_id int, line_no long, raw string"
+    for part in range(files):
+        spark.createDataFrame(rows[part::files], schema).coalesce(1).write.mode("append").parquet(folder)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = {}
+    for r in jobs.stream_classify(live, ["run_id"], history=True).collect():
+        found[r.trigger, r.run_id] = r.reason
+    assert sorted({t for t, _ in found}) == list(range(files))
+    for part in range(files):
+        read = [r for k in range(part + 1) for r in rows[k::files]]
+        want = {r.run_id: r.reason for r in classify_failures(spark.createDataFrame(read, schema), ["run_id"]).collect()}
+        assert {k: max((t, x) for (t, i), x in found.items() if i == k and t <= part)[1] for k in want} == want
+    assert len(set(found.values())) >= 4
+
+
 def test_corpus_is_stateless(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("one\n\ntwo\n")
