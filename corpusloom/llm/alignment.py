@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,12 +21,13 @@ BATCH_BYTES = 1 << 20  # texts encoded and aligned at once; a longer text stands
 LINKS = 1 << 20  # links of different ids spelled out at once
 WIDE = 1 << 12  # links of a group above which equal ids of the group are taken together
 HELD_PAIRS = 1 << 19  # counted pairs a task holds before it gives them out
-MEMO_BYTES = 8 << 20  # stretches of text and their ids a worker keeps before it starts afresh
+MEMO_BYTES = 12 << 20  # stretches of text and their ids a worker keeps before it starts afresh
 LONG_STRETCH = 64  # characters of a stretch above which it isn't kept
 SHARD_KEYS = 1 << 16  # pairs a shard of the hash has on average
 FAN_IN = 16  # count vectors added at once
 TABLE_BYTES = 64 << 20  # shards looked up in one reading of the documents; they go to every worker
 _SHIFT = np.uint64(32)
+_BETWEEN = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 _VOCABULARIES: dict = {}
 
 
@@ -90,7 +92,7 @@ class Encoder:
         self.held = 0
 
     def _measured(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
-        found = [[np.array(ids, np.int32).tobytes() for ids in v.encode(stretches)] for v in self.sides]
+        found = [[np.array(ids, _width(v)).tobytes() for ids in v.encode(stretches)] for v in self.sides]
         return list(zip(*found, strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -110,7 +112,7 @@ class Encoder:
             coded = [(b"".join([x[0] for x in own]), b"".join([x[1] for x in own])) for own in whole]
         else:
             coded = self._measured(texts) if texts else []
-        found = [[np.frombuffer(c[side], np.int32).astype(np.int64) for c in coded] for side in (0, 1)]
+        found = [[np.frombuffer(c[side], _width(self.sides[side])).astype(np.int64) for c in coded] for side in (0, 1)]
         none = np.empty(0, np.int64)
         for i, text in enumerate(texts):
             raw = np.frombuffer((" " + text).encode(), np.uint8)
@@ -120,22 +122,8 @@ class Encoder:
 
 
 def _stretches(text: str) -> list[str]:
-    """The text cut at its single spaces between two characters that are no white space."""
-    out: list[str] = []
-    solid = False
-    for part in text.split(" "):
-        if solid and part and not _blank(part[0]):
-            out.append(part)
-        elif out:
-            out[-1] = f"{out[-1]} {part}"
-        else:
-            out.append(part)
-        solid = bool(part) and not _blank(part[-1])
-    return out
-
-
-def _blank(sign: str) -> bool:
-    return sign.isspace() or sign == "\u2581"  # which stands for a space in pieces
+    """The text cut at its single spaces between two characters that are no white space (nor the sign that stands for a space in pieces)."""
+    return _BETWEEN.split(text)
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -172,7 +160,9 @@ class Groups:
         empty = [np.empty(0, np.int64)]
         self.ids = [np.concatenate(x or empty) for x in (a_ids, b_ids)]
         ends = [np.cumsum(v.sizes[ids]) for v, ids in zip((a, b), self.ids, strict=True)]
-        self.ends = np.intersect1d(ends[0], ends[1])
+        at = np.searchsorted(ends[1], ends[0])
+        self.ends = ends[0][at < len(ends[1])]
+        self.ends = self.ends[ends[1][at[: len(self.ends)]] == self.ends]
         self.group = [np.searchsorted(self.ends, e) for e in ends]  # of every token
         self.sizes = [np.bincount(g, minlength=len(self.ends)) for g in self.group]
         bytes_ = np.cumsum([int(a.sizes[x].sum()) for x in a_ids]) if a_ids else np.empty(0, np.int64)

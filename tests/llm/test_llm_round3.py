@@ -228,7 +228,7 @@ def test_stretches_do_not_change_ids():
     encode = alignment.Encoder(a, b)
     for side, v in enumerate((a, b)):
         whole = v.encode(texts)
-        cut = [[i for s in alignment._stretches(t) for i in np.frombuffer(encode._measured([s])[0][side], np.int32).tolist()] for t in texts]
+        cut = [[i for s in alignment._stretches(t) for i in np.frombuffer(encode._measured([s])[0][side], np.uint16).tolist()] for t in texts]
         assert [list(x) for x in whole] == cut
 
 
