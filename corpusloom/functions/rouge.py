@@ -153,10 +153,14 @@ def rouge_f(prediction: str, reference: str, stem: bool = True) -> float:
     p, r = word_pieces(prediction, stem), word_pieces(reference, stem)
     if not p or not r:
         return 0.0
-    common = len(p) if p == r else lcs_length(p, r)
+    return f_measure(len(p) if p == r else lcs_length(p, r), len(p), len(r))
+
+
+def f_measure(common: int, predicted: int, referred: int) -> float:
+    """F measure of so many common words of texts of these lengths."""
     if common == 0:
         return 0.0
-    precision, recall = common / len(p), common / len(r)
+    precision, recall = common / predicted, common / referred
     return 2 * precision * recall / (precision + recall)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.rouge import rouge_l
+from corpusloom.operators.peers import Peer, best_of_peers
 from corpusloom.functions.text import normalize_answer
 
 Metric = Callable[[Column, Column], Column]
@@ -59,6 +63,55 @@ def max_over_references(
     return scored.groupBy(key, *keep).agg(*[F.max(n).alias(n) for n in metrics])
 
 
+PEER_TEXTS, PEER_BYTES = 512, 1 << 22  # different texts, and bytes of them, that a block of a group holds
+
+
+def max_over_peers(df: DataFrame, group: str, member: str, text: str, stem: bool = True) -> DataFrame:
+    """``group, member, exact_match, rougeL, pairs``: the best of each row's text over the texts of all other members of its group.
+
+    The members of a group are each other's references. Equal texts are scored once: a text that two members have is its
+    own best reference, and all others meet the different texts of the group, block against block, so no task holds a whole
+    group. Inside two blocks the words that two texts share, counted with repeats, bound their common subsequence, and
+    only pairs that can still beat the best so far are scored; ``pairs`` is how many. A member with several texts gets the best of them;
+    null texts score null and are no reference. Members of a group of one have no reference and do not appear, nor do null groups or members.
+    """
+    same = F.when(F.col(text).isNull(), F.lit("~")).otherwise(F.md5(text))
+    rows = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(
+        F.col(group).alias("_g"), F.col(member).alias("_m"), F.col(text).alias("_t"), same.alias("_k"))
+    units = rows.groupBy("_g", "_k").agg(F.first("_t").alias("_t"), F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    whole = units.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_texts"), F.sum(F.octet_length("_t")).alias("_bytes"), F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
+    blocks = F.greatest(F.col("_texts") / PEER_TEXTS, F.coalesce("_bytes", F.lit(0)) / PEER_BYTES).cast("int") + 1
+    whole = whole.where("_first < _last").select("_g", blocks.alias("_blocks"))
+    placed = units.join(whole, "_g").withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int"))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = placed.select(
+        "_g", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_lo",
+        (F.col("_lo") < F.col("_hi")).alias("_shared"), "_t", normalize_answer(F.col("_t")).alias("_n"))
+    kinds = dict(met.dtypes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (line for batch in batches for line in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (g, i, j), held in itertools.groupby(lines, key=lambda line: line[:3]):
+            found = best_of_peers([Peer(*line[3:]) for line in held], i, j, stem)
+            if found:
+                columns = [[g] * len(found), *zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=names)
+
+    names = ["_g", "_m", "exact_match", "rougeL", "pairs"]
+    in_place = met.repartition("_g", "_i", "_j").sortWithinPartitions("_g", "_i", "_j")
+    types = [kinds["_g"], kinds["_lo"], "double", "double", "long"]
+    arrow = to_arrow_schema(units.select("_g", "_lo").schema).types + [pa.float64(), pa.float64(), pa.int64()]
+    single = in_place.mapInArrow(meet, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+
+    shared = units.where("_lo < _hi").select("_g", "_k")
+    worded = F.lower("_t").rlike("[a-z0-9]").cast("double")
+    twice = rows.join(shared, ["_g", "_k"], "left_semi").select(
+        "_g", "_m", F.when(F.col("_t").isNotNull(), 1.0).alias("exact_match"), worded.alias("rougeL"), F.lit(0).cast("long").alias("pairs"))
+    return single.unionByName(twice).groupBy(F.col("_g").alias(group), F.col("_m").alias(member)).agg(
+        F.max("exact_match").alias("exact_match"), F.max("rougeL").alias("rougeL"), F.sum("pairs").alias("pairs"))
+
+
 def score(scored: DataFrame, metrics: tuple[str, ...] = ("exact_match", "rougeL")) -> DataFrame:
     """Corpus means times 100; null when nothing was scored."""
     return scored.agg(*[(100.0 * F.avg(m)).alias(m) for m in metrics], F.count(F.lit(1)).alias("rows"))

@@ -27,7 +27,6 @@ from corpusloom.plans.binding import (
 )
 from corpusloom.sources import writers
 
-PLAIN = {"exact_match": metrics.exact_match, "rougeL": partial(rouge_l, stem=False)}
 LANGS = ["de", "en", "es", "fr"]
 FOREIGN = 1 << 50  # ids beyond those of the tables
 
@@ -85,10 +84,9 @@ def _attach(spark, folder):
     return found.select("pair_id", F.md5("gen_answer").alias("gen_md5"))
 
 
-def scored(spark, folder, chosen=None) -> DataFrame:
-    pairs_ = reply_pairs(spark, folder).withColumn("_one", F.array("reference")).withColumn("_key", F.struct("conv_id", "turn"))
-    best = metrics.max_over_references(pairs_, chosen or PLAIN, key="_key", references="_one", keep=("idx", "grp"))
-    return best.drop("_key")
+def scored(spark, folder) -> DataFrame:
+    best = metrics.max_over_peers(replies(spark, folder), "conv_id", "turn", "text", stem=False)
+    return best.withColumn("idx", F.col("conv_id") * 10000 + F.col("turn")).withColumn("grp", F.pmod("conv_id", F.lit(5)))
 
 
 def _pair_scores(spark, folder, stem: bool):

@@ -1,4 +1,5 @@
 import random
+import string
 
 import numpy as np
 import pytest
@@ -204,3 +205,41 @@ def test_folds_over_long_sequences(spark, n):
         want.append(g)
     assert rows[0].g == pytest.approx(want[::-1])
     assert tuple(rows[1]) == (None, None, None) and tuple(rows[2]) == ([], [], []) and (rows[3].p, rows[3].g) == ([0], [2.0])
+
+
+def _peers_by_hand(rows, stem):
+    best = {}
+    for g, m, t in rows:
+        for h, other, r in rows:
+            if g is None or m is None or other is None or g != h or m == other:
+                continue
+            old = best.setdefault((g, m), (None, None))
+            if t is None or r is None:
+                continue
+            normal = lambda x: " ".join("".join(c for c in x.lower() if c not in string.punctuation).split())
+            new = (float(normal(t) == normal(r)), rouge_f(t, r, stem))
+            best[g, m] = new if old[0] is None else (max(old[0], new[0]), max(old[1], new[1]))
+    return best
+
+
+@pytest.mark.parametrize(("texts", "stem"), [(512, False), (3, True), (1, False)])
+def test_best_over_peers_equals_all_pairs(spark, monkeypatch, texts, stem):
+    monkeypatch.setattr(metrics, "PEER_TEXTS", texts)
+    rng = random.Random(5)
+    words = ["run", "runs", "Running", "cat!", "cats", "the", "of", "late"]
+    rows = [(rng.randint(1, 3), m, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for m in range(60)]
+    rows += [(1, 100 + m, "the same reply") for m in range(20)]  # a stock reply
+    rows += [(2, 200, None), (2, 201, ""), (2, 202, "?!"), (2, 203, None), (4, 1, "alone"), (None, 1, "x"), (None, 2, "x"), (5, None, "x")]
+    rows += [(6, 1, "two texts of one"), (6, 1, "two texts of one member"), (6, 2, "of one member"), (7, 1, "a"), (7, 1, "a"), (8, 1, None), (8, 2, "b")]
+    found = metrics.max_over_peers(spark.createDataFrame(rows, "g int, m int, t string"), "g", "m", "t", stem).collect()
+    wanted = _peers_by_hand(rows, stem)
+    assert len(found) == len(wanted)
+    assert {(r.g, r.m): (r.exact_match, r.rougeL and round(r.rougeL, 9)) for r in found} == {
+        k: (em, f and round(f, 9)) for k, (em, f) in wanted.items()}
+
+
+def test_stock_replies_are_scored_once(spark):
+    rows = [(1, m, f"thank you for call number {m % 4} and good bye") for m in range(400)] + [(1, 1000, "thank you all")]
+    found = metrics.max_over_peers(spark.createDataFrame(rows, "g int, m int, t string"), "g", "m", "t").collect()
+    assert len(found) == 401 and sum(r.pairs for r in found) <= 4  # all pairs would be 160,400
+    assert not metrics.max_over_peers(spark.createDataFrame([], "g int, m int, t string"), "g", "m", "t").collect()
