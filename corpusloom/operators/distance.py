@@ -19,7 +19,7 @@ from corpusloom.functions.logits import (
 def pair_logits(student: DataFrame, teacher: DataFrame, keys: tuple[str, ...] = ("example_id", "pos")) -> DataFrame:
     """Join the two logit tables on example and position.
 
-    Both sides are wide, so bucket them by example when stored: the join then needs no
+    Both sides are wide, so store them with ``write_logits``: the join then needs no
     shuffle. Nothing is broadcast.
     """
     right = teacher.select(*keys, F.col("logits").alias("teacher"))

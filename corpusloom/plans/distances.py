@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import logits as lg
 from corpusloom.operators import distance
-from corpusloom.plans.binding import LOGITS, logit_tables, rounded
+from corpusloom.plans.binding import LOGITS, logit_tables, rounded, scratch
+from corpusloom.sources import writers
 
 RATIO, COEF = 0.5, 0.1
 RUN_TYPES = ("sfkl", "adaptive-srkl", "jsd", "tvd", "fkl", "kd", "rkl")
@@ -24,6 +25,18 @@ def _pair(spark, folder):
                        rounded(F.array_max("teacher")).alias("teacher_max"))
 
 
+def _pair_stored(spark, folder):
+    """The same from tables stored in equal buckets: the join shuffles neither."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = []
+    for side, rows in zip(("student", "teacher"), logit_tables(spark, folder), strict=True):
+        path = scratch(spark, f"logits-{side}")
+        tables.append(writers.write_logits(rows, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets))
+    rows = distance.pair_logits(*(t.hint("merge") for t in tables))
+    return rows.select("example_id", "pos", "label", rounded(F.array_max("student")).alias("student_max"),
+                       rounded(F.array_max("teacher")).alias("teacher_max"))
+
+
 def _gather(spark, folder):
     rows = paired(spark, folder)
     return rows.select("example_id", "pos", rounded(lg.gather_token(F.col("student"), F.col("label"))).alias("logit"),
@@ -92,6 +105,7 @@ def _reward(spark, folder):
 
 QUERIES = {
     "jon3_pair_logits": _pair,
+    "jon3_pair_logits_stored": _pair_stored,
     "jon4_gather_token": _gather,
     "agg9_lm_loss": _lm_loss,
     "agg10_forward_kl": _one("fkl"),
@@ -136,6 +150,8 @@ _GROUPED = "WITH {} SELECT example_id % 4 AS grp, count(*) AS positions, {} FROM
 ORACLES = {
     "jon3_pair_logits": f"""WITH {LOGITS} SELECT example_id, pos, label, round(list_max(student), 6) AS student_max,
         round(list_max(teacher), 6) AS teacher_max FROM pairs""",
+    "jon3_pair_logits_stored": f"""WITH {LOGITS} SELECT example_id, pos, label, round(list_max(student), 6) AS student_max,
+        round(list_max(teacher), 6) AS teacher_max FROM pairs""",
     "jon4_gather_token": f"""WITH {LOGITS} SELECT example_id, pos, CASE WHEN label >= 0 THEN round(student[label + 1], 6) END AS logit,
         CASE WHEN label >= 0 THEN round(teacher[label + 1] - zt, 6) END AS logprob FROM logp""",
     "agg9_lm_loss": f"""WITH {LOGITS}, {NLL}, r AS (SELECT example_id, avg(s) AS m FROM nll GROUP BY 1)

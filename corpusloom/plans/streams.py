@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import NEWLINE_SENTINEL
 from corpusloom.operators.batching import shuffle_key
-from corpusloom.plans.binding import LOG_LINES
+from corpusloom.plans.corpus import _NUMBERED, _ONE
+from corpusloom.plans.binding import LOG_LINES, documents, scratch
 from corpusloom.plans.runs import _VERDICTS
+from corpusloom.sources import writers
 from corpusloom.streaming import jobs
 
 CAPACITY, DRAW = 5, 3
 HOUR = 3600
+CORPUS_CAP = 150  # documents
 
 
 def _events(spark, folder):
@@ -71,7 +74,21 @@ def _latest(spark, folder):
     return found.select("conv_id", F.md5("gen_answer").alias("gen_md5"), "turn")
 
 
+def _distinct(spark, folder):
+    """Different (user, kind, payload) among all events; the span of lateness is longer than the stored events."""
+    repeats = _events(spark, folder).select("user_id", "event_type", F.md5("props").alias("props_md5"), "ts")
+    return jobs.run_to_table(jobs.stream_distinct(repeats, ["user_id", "event_type", "props_md5"], "ts", "3650 days"), "append")
+
+
+def _capped(spark, folder):
+    path = scratch(spark, "stream-corpus")
+    writers.write_corpus(documents(spark, folder), path, order="doc_id")
+    found = jobs.stream_capped_corpus(spark, path, CORPUS_CAP)
+    return found.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
+    "src5_stream_capped_corpus": _capped,
     "str1_stream_corpus": _corpus,
     "str2_stream_status": _status,
     "str2_stream_status_report": _status_report,
@@ -80,12 +97,14 @@ QUERIES = {
     "str4_stream_replay_sample": _draw,
     "str5_stream_classify": _classify,
     "str6_stream_latest": _latest,
+    "str6_stream_distinct": _distinct,
 }
 
 _DAY = "CAST(epoch(date_trunc('day', ts)) AS BIGINT)"
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)"
 
 ORACLES = {
+    "src5_stream_capped_corpus": f"SELECT doc_id, md5({_ONE}) AS text_md5 FROM ({_NUMBERED}) WHERE doc_id < {CORPUS_CAP}",
     "str1_stream_corpus": f"SELECT doc_id, md5(regexp_replace(text, '\\n+', '{NEWLINE_SENTINEL}', 'g')) AS line_md5 FROM documents WHERE text <> ''",
     "str2_stream_status": f"SELECT {_DAY} AS window_start, event_type, count(*) AS n, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2",
     "str2_stream_status_report": f"""SELECT {_DAY} AS window_start, count_if(event_type NOT IN ('error', 'signup'))::BIGINT AS running, count_if(event_type = 'signup')::BIGINT AS done,
@@ -97,5 +116,6 @@ ORACLES = {
     "str4_stream_replay_sample": f"""WITH {_RANKED}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat(event_id, '|3|0'))) AS m FROM r WHERE n <= {CAPACITY})
         SELECT user_id, event_id FROM k WHERE m <= {DRAW}""",
     "str5_stream_classify": f"{_VERDICTS} SELECT * FROM verdicts",
+    "str6_stream_distinct": "SELECT DISTINCT user_id, event_type, md5(props) AS props_md5 FROM events",
     "str6_stream_latest": "SELECT conv_id, md5(max_by(text, turn)) AS gen_md5, max(turn) AS turn FROM conversations GROUP BY 1",
 }

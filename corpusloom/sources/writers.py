@@ -54,6 +54,17 @@ def write_predictions(
     answers.write.mode(mode).json(f"{folder}/answers")
 
 
+def write_logits(df: DataFrame, name: str, path: str, buckets: int, keys: tuple[str, ...] = ("example_id", "pos"), mode: str = "overwrite") -> DataFrame:
+    """Logits as table ``name``, hashed on ``keys`` into ``buckets`` sorted files: tables of equal buckets join without a shuffle.
+
+    Positions of one long example lie in different buckets. Take so many buckets that one, of both tables, fits a task: about
+    the larger table's bytes by 256 MB. Rows pass one shuffle here, so that a bucket is one file.
+    """
+    placed = df.repartition(buckets, *keys)
+    placed.write.mode(mode).option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_rollouts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rollouts as JSON lines, arrays as JSON arrays."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

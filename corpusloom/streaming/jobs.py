@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from corpusloom.operators.prepare import prepare_corpus
+from corpusloom.functions.text import unescape_newlines
+from corpusloom.operators.prepare import cap, prepare_corpus
 from corpusloom.operators.runlogs import LINE_ENDS, NEAR_ANCHOR, NEAR_DISTANCE, is_noise, near_bit, phrase_mask, verdict
 from corpusloom.operators.runstate import status_summary
 from corpusloom.session import checkpoint_root
+from corpusloom.sources.readers import number_lines
 
 # The stateful processors below also run in a Python process of the driver that does not get
 # the files sent to executors, so they travel by value.
@@ -41,6 +43,34 @@ def stream_corpus_lines(spark: SparkSession, path: str, files_per_trigger: int =
     return raw.withColumnRenamed("value", "text")
 
 
+def stream_capped_corpus(spark: SparkSession, path: str, max_docs: int = -1, files_per_trigger: int = 1000) -> DataFrame:
+    """The first documents of a corpus that arrives file by file: ``doc_id, text``, at most ``max_docs`` (all, if not positive).
+
+    Documents are numbered in the order of arrival, those of one trigger as ``read_corpus`` numbers them. What earlier triggers
+    kept says where the next begins, so the cap holds across triggers and restarts, and a trigger that is run again replaces
+    its own rows. Once the cap is reached later files are not read.
+    """
+    out = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("lineSep", "\n").text(path)
+    placed = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    shape = "doc_id long, text string"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        reader = batch.sparkSession.read.schema(shape)
+        earlier = [f"{out}/docs/_b={n}" for n in range(number)]
+        first = reader.parquet(*earlier).count() if earlier else 0  # from the footers
+        if 0 < max_docs <= first:
+            rows = batch.sparkSession.createDataFrame([], shape)
+        else:
+            rows = cap(number_lines(batch.withColumn("_seq", F.monotonically_increasing_id()), "doc_id"), max_docs - first if max_docs > 0 else max_docs, "doc_id")
+            rows = rows.select((F.col("doc_id") + first).alias("doc_id"), unescape_newlines(F.col("value")).alias("text"))
+        rows.write.mode("overwrite").parquet(f"{out}/docs/_b={number}")
+
+    query = placed.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/ckpt").foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(f"{out}/docs")
+
+
 def stream_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
     """Drop empty documents and put each on one line: stateless, so it runs on a stream as it is."""
     return prepare_corpus(docs, text)
@@ -321,6 +351,15 @@ def stream_latest(generations: DataFrame, key: str, text: str, seq: str, name: s
     return generations.groupBy(key).agg(F.max_by(text, seq).alias(name), F.max(seq).alias(seq))
 
 
+def stream_distinct(generations: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
+    """Rows whose ``keys`` have not come before: an exact repeat is dropped if its time is within ``late`` of the first one's.
+
+    State holds a key until the watermark has passed its time by ``late``. Null keys are equal to each other. Which of several
+    equal rows stays depends on their arrival, so only the keys are returned.
+    """
+    return generations.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys).select(*keys)
+
+
 def run_to_table(
     stream: DataFrame, mode: str, merge: Callable[[DataFrame], DataFrame] | None = None,
     after: Callable[[DataFrame, int, str], DataFrame] | None = None, after_schema: StructType | None = None,

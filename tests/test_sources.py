@@ -130,3 +130,21 @@ def test_queue_without_any_run(spark, tmp_path):
     found = readers.read_run_states(spark, str(tmp_path / "queue"), str(tmp_path / "runs"))
     assert [r.exp_id for r in found["queue"].collect()] == ["a"]
     assert found["runs"].collect() == found["status"].collect() == found["failures"].collect() == []
+
+
+def test_logits_in_equal_buckets_join_without_a_shuffle(spark, tmp_path):
+    from corpusloom.operators.distance import pair_logits
+
+    # One long example beside short ones; pairs that only one side has.
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("example_id"), F.col("id").cast("int").alias("pos"),
+                                    F.array(F.col("id") * 0.5).alias("logits"))
+    names = [f"logits_{side}_{os.getpid()}" for side in "st"]
+    student = writers.write_logits(rows.where("pos % 5 > 0"), names[0], str(tmp_path / "s"), 4)
+    teacher = writers.write_logits(rows.where("pos % 7 > 0"), names[1], str(tmp_path / "t"), 4)
+    both = pair_logits(student.hint("merge"), teacher)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {r.pos for r in both.collect()} == {n for n in range(3000) if n % 5 and n % 7}
+    assert len([f for f in os.listdir(tmp_path / "s") if f.endswith(".parquet")]) == 4
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")

@@ -1,5 +1,7 @@
 """Streams in several batches must end where one batch over everything does."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,27 @@ def test_corpus_is_stateless(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("one\n\ntwo\n")
     docs = jobs.stream_corpus_lines(spark, str(tmp_path / "in"))
     assert sorted(r.text for r in jobs.run_to_table(jobs.stream_corpus(docs), "append").collect()) == ["one", "two"]
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_cap_holds_across_triggers(spark, tmp_path, files):
+    from corpusloom.sources.readers import read_corpus
+
+    for part in range(5):  # names and times give the same order; one file is empty
+        lines = "" if part == 3 else "".join(f"{part} line {n}<@x(x!>rest\n" if n % 3 else "\n" for n in range(4 + part))
+        (tmp_path / f"part-0000{part}.txt").write_text(lines)
+        os.utime(tmp_path / f"part-0000{part}.txt", (1_700_000_000 + part, 1_700_000_000 + part))
+    for cap in (-1, 0, 6, 11, 1000):
+        live = jobs.stream_capped_corpus(spark, str(tmp_path), cap, files)
+        assert sorted(map(tuple, live.collect())) == sorted(map(tuple, read_corpus(spark, str(tmp_path), cap).collect())), cap
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_exact_repeats_whatever_the_cut(spark, tmp_path, files):
+    rows = [(n % 7 if n % 5 else None, "text" if n % 2 else None, n) for n in range(100)]
+    schema = "idx int, text string, at long"
+    for part in range(files):
+        spark.createDataFrame(rows[part::files], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("at"))
+    found = jobs.run_to_table(jobs.stream_distinct(live, ["idx", "text"], "ts", "1 hour"), "append")
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, {r[:2] for r in rows}))
