@@ -180,18 +180,20 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """Windows and labels of a sample of every language: the documents of lowest digest, at most SAMPLE_DOCS of each."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col)).alias("h"))
+    """Windows and labels of a sample of every language: the documents of lowest digest of id and text, at most SAMPLE_DOCS of each."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col).cast("string")).alias("h"))
     rows = rows.where("lang is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").count().collect()  # one row a language
+    order = F.pmod("h", F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("first")).collect()  # one row a language
     if not sizes:
         return [], []
     most = max(LEAST_DOCS, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
-    # About twice the wanted number per language passes a threshold on the digest; the driver keeps the lowest.
-    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2 * most / r["count"]) * (1 << 30))) for r in sizes], "lang string, below long")
+    # About twice the wanted number per language, and the lowest always, passes a threshold on the digest; the driver keeps the lowest.
+    limits = docs.sparkSession.createDataFrame([(r["lang"], max(int(min(1.0, 2 * most / r["n"]) * (1 << 30)), r["first"] + 1)) for r in sizes], "lang string, below long")
     rows = rows.join(F.broadcast(limits), "lang")
     place = lambda i: F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - STEPS // 2, F.lit(1))) + 1
-    cut = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).select("lang", F.pmod("h", F.lit(1 << 30)).alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w"))
+    # Repeated rows have one digest and count once.
+    cut = rows.where(order < F.col("below")).dropDuplicates(["lang", "h"]).select("lang", order.alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w"))
     windows, labels, taken = [], [], {}
     for r in sorted(cut.collect(), key=lambda r: (r.lang, r.o, r.h, r.w)):
         taken[r.lang] = taken.get(r.lang, 0) + 1

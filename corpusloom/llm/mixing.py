@@ -142,18 +142,27 @@ def _parts(seed: int, block: int) -> Column:
     return F.when(F.col("size") > 0, ranges).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options,
+) -> DataFrame:
     """The rows that the mix trains on, in the columns of the input: whole documents once a round, then the taken parts.
 
-    The white space behind each word stays with it. Documents of which nothing is taken give no row.
+    The white space behind each word stays with it. Documents of which nothing is taken give no row. Rows of equal id, text
+    and source are taken as often as the mix takes them together; of those that differ elsewhere the first by a digest of the row stands for all.
     """
-    mixed = mix(docs, id_col, text_col, seed=seed, **options).where("taken > 0")
-    turns = mixed.groupBy("_key").agg(F.collect_list(F.struct("rounds", "parts")).alias("_turns"))
+    mixed = mix(docs, id_col, text_col, source_col, seed=seed, **options).where("taken > 0")
+    turns = mixed.groupBy("_key", F.col(source_col).alias("_source"), "rounds", "parts").agg(F.count("*").alias("_times"))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(
+        _key(seed, id_col, text_col).alias("_k"), F.col(source_col).cast("string").alias("_s"), whole_row.alias("_row"),
+        text_or_empty(text_col).alias("_text"))
     # Equal rows share a key: one of them meets the turns of all.
-    rows = docs.withColumn("_key", _key(seed, id_col, text_col)).dropDuplicates(["_key"]).join(turns, "_key")
-    rows = rows.withColumn("_turn", F.explode("_turns"))
-    pieces = F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_turn.parts", lambda x: F.slice("_pieces", x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")))), "")
-    whole = rows.where("_turn.rounds > 0").withColumn("_round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_turn.rounds"))))
-    cut = rows.where("size(_turn.parts) > 0").withColumn("_pieces", pieces).withColumn(text_col, part)
-    return whole.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(cut.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = rows.groupBy("_k", "_s").agg(F.min_by(F.struct("_row", "_text"), F.md5(F.to_json("_row", {"ignoreNullFields": "false"}))).alias("_d"))
+    rows = turns.join(rows, (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
+    once = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    whole = rows.where("rounds > 0").select("_d", once(F.col("rounds") * F.col("_times"))).select("_d._row.*")
+    pieces = F.regexp_extract_all("_d._text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice("_pieces", x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")))), "")
+    cut = rows.where("size(parts) > 0").withColumn("_pieces", pieces).withColumn("_part", part).select("_d._row", "_part", once(F.col("_times")))
+    cut = cut.select(*[F.col("_part").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    return whole.unionByName(cut)

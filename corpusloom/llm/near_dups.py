@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusloom.llm import kernels
 from corpusloom.llm.common import text_or_empty, written
+from corpusloom.operators.ordered import number_sorted
 from corpusloom.session import checkpointed
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 32, 4  # a pair at the threshold is missed with probability (1 - 0.75**4)**32, five in a million
-SKETCH_BITS = 4  # low bits kept of each of the 128 minima
-SKETCH_AGREE = 74  # of 128; a pair at the threshold agrees in 98 on average, so this is five deviations away
+MINIMA = 128
+MISSED = 1e-5  # bands are so short that a pair at the threshold is missed with at most this probability; at 75 percent 32 bands of 4, five in a million
+SKETCH_BITS = 4  # low bits kept of each of the minima
+SKETCH_DEVIATIONS = 5  # a pair at the threshold passes the sketch unless it agrees in so many deviations less than on average
 WANTED_BITS = 26  # bitmap of documents to verify: 8 MB at any size
 CROWDED = 2000  # pairs across components above which a bucket is compared in blocks
 BLOCK = 512  # documents of a block
@@ -26,6 +30,19 @@ _BATCH = 1 << 22
 _CHUNK = 1 << 15
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band: the longest bands that miss a pair at the threshold with probability MISSED or less."""
+    rows = max([r for r in range(1, MINIMA + 1) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISSED], default=1)
+    return MINIMA // rows, rows
+
+
+def sketch_agreement(percent: int, minima: int) -> int:
+    """Places of a sketch in which a pair at the threshold agrees at least; minima that a short signature lacks always do."""
+    held = min(minima, MINIMA)
+    equal = percent / 100 + (1 - percent / 100) / (1 << SKETCH_BITS)
+    return MINIMA - held + math.floor(held * equal - SKETCH_DEVIATIONS * math.sqrt(held * equal * (1 - equal)))
+
+
 def circulant_signatures(shingles: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     """``size`` minima for every set that is not empty (``bounds`` of such sets): one row a set.
 
@@ -110,7 +127,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Rec
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Component of every document under links of ``100 * |A ∩ B| >= percent * |A ∪ B|``.
 
@@ -123,9 +140,16 @@ def near_duplicates(
     across components. So no bucket gives all its pairs, yet no candidate link between different components is lost.
     Links are confirmed on the full sets, and components grow by label propagation in Spark.
 
+    ``bands`` of ``rows`` minima follow from ``percent`` if not given.
+
     Repeated ids are one document with several rows: they share a component. Rows with a null id link with nothing, have
-    no component, and are kept.
+    no component, and are kept. Ids that are no whole numbers are numbered in their order first.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _numbered(docs, id_col, text_col, size=size, percent=percent, bands=bands, rows=rows)
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
+    agree = sketch_agreement(percent, bands * rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     signed = written(source.mapInArrow(
         lambda it: _signed(it, size, bands, rows), f"id long, n long, s1 long, s2 long, {', '.join(f'{b} long' for b in SKETCH)}, keys binary"))
@@ -140,12 +164,12 @@ def near_duplicates(
     members = written(members.join(classes.select("rep", "n", *SKETCH), "rep"))
 
     hubs = members.where("rep = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)]).distinct()
-    star = written(members.where("rep <> hub").join(hubs, "key").where(_close(percent)).select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct())
+    star = written(members.where("rep <> hub").join(hubs, "key").where(_close(percent, agree)).select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct())
     first = written(_verified(star, source, size, percent))
 
     twins = linked.join(classes.select(*of_set, "rep"), of_set).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     roots = components(first)
-    second = written(_across(members, roots, star, source, size, percent))
+    second = written(_across(members, roots, star, source, size, percent, agree))
     own = written(twins)
     roots = components(first.unionByName(second).unionByName(own))
     return (
@@ -156,17 +180,35 @@ def near_duplicates(
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, that with the smallest id, in the columns of the input; equal rows become one.
-
-    Rows with a null id stay as they are.
-    """
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(docs.columns).dropDuplicates()
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def _numbered(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """Near duplicates of documents whose ids are not whole numbers."""
+    named = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))
+    numbers = written(number_sorted(named.where("name is not null").select("name").distinct(), "name", name="id"))
+    found = near_duplicates(named.join(numbers, "name", "left"), "id", "text", **options)
+    first = numbers.select(F.col("name").alias("component_id"), F.col("id").alias("_first"))
+    return (
+        found.withColumnRenamed("component_id", "_first").join(numbers, "id", "left").join(first, "_first", "left")
+        .select(F.col("name").alias(id_col), "n_shingles", "component_id", "kept")
+    )
 
 
-def _close(percent: int):
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group, that with the smallest id, in the columns of the input; of several rows of that id one stays,
+    the first by a digest of the row. Rows with a null id stay as they are.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    kinds = found.groupBy(F.col(id_col).alias("_id")).agg((~F.bool_and("kept")).alias("gone"), F.count("*").alias("rows"))
+    other = written(kinds.where("gone or rows > 1").select("_id", "gone"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), whole.alias("_row"))
+    # Only rows of repeated ids are shuffled whole; nulls meet nothing.
+    single = rows.join(other, "_id", "left_anti")
+    order = F.md5(F.to_json("_row", {"ignoreNullFields": "false"}))
+    several = rows.join(other.where("not gone"), "_id", "left_semi").groupBy("_id").agg(F.min_by("_row", order).alias("_row"))
+    return single.unionByName(several).select("_row.*")
+
+
+def _close(percent: int, agree: int):
     """Sizes and low bits of the minima leave the threshold possible."""
     differ = F.lit(0)
     for b in SKETCH:
@@ -175,10 +217,10 @@ def _close(percent: int):
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
     small, large = F.least("n", "h_n"), F.greatest("n", "h_n")
-    return (small * 100 >= large * percent) & (differ <= 128 - SKETCH_AGREE)
+    return (small * 100 >= large * percent) & (differ <= MINIMA - agree)
 
 
-def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, source: DataFrame, size: int, percent: int, agree: int) -> DataFrame:
     """Links between different components of one bucket: all members against those outside its largest component.
 
     Buckets with few such pairs give them as rows; crowded ones are compared in blocks.
@@ -192,7 +234,7 @@ def _across(members: DataFrame, roots: DataFrame, tested: DataFrame, source: Dat
     open_rows = written(placed.join(mixed, "key"))
     calm = open_rows.where("not crowded")
     minor = calm.where("comp <> major").select("key", F.col("comp").alias("h_comp"), *[F.col(c).alias(f"h_{c}") for c in ("rep", "n", *SKETCH)])
-    pairs = calm.join(minor, "key").where((F.col("comp") != F.col("h_comp")) & ((F.col("comp") == F.col("major")) | (F.col("rep") < F.col("h_rep")))).where(_close(percent))
+    pairs = calm.join(minor, "key").where((F.col("comp") != F.col("h_comp")) & ((F.col("comp") == F.col("major")) | (F.col("rep") < F.col("h_rep")))).where(_close(percent, agree))
     pairs = pairs.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
     crowded = open_rows.where("crowded").select("key", "rep", "comp", "major", "many", "few")

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, let, split_words, text_or_empty
+from corpusloom.llm.common import WORD, let, own_names, split_words, text_or_empty
 
 MIN_WORDS = 50
 FEW = 16  # different repeated windows up to which they are looked up one by one
@@ -89,21 +89,22 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     measured = let(split_words(text), lambda w: let(F.split(text, "\n"), lambda x: measures(w, x, text)))
     # A filter on the verdict would otherwise be pushed below and work all of this out again for each field it reads.
     measured = F.when(F.monotonically_increasing_id() >= 0, measured)
-    base = (F.col("_m.n_words") < MIN_WORDS) | (F.lit(100) * F.col("_m.n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("_m.n_words"))
-    worded = F.transform(F.filter("_m.lines", lambda x: x["n"] > 0), lambda x: x["line"])
-    removed = F.aggregate("_m.lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
-    passing = F.transform(F.filter("_m.lines", lambda x: ~x["fails"]), lambda x: x["line"])
+    m, gone = own_names(docs, "_m", "_removed")
+    base = (F.col(f"{m}.n_words") < MIN_WORDS) | (F.lit(100) * F.col(f"{m}.n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col(f"{m}.n_words"))
+    worded = F.transform(F.filter(f"{m}.lines", lambda x: x["n"] > 0), lambda x: x["line"])
+    removed = F.aggregate(f"{m}.lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0))
+    passing = F.transform(F.filter(f"{m}.lines", lambda x: ~x["fails"]), lambda x: x["line"])
     return (
-        docs.withColumn("_m", measured)
-        .withColumn("_removed", removed)
+        docs.withColumn(m, measured)
+        .withColumn(gone, removed)
         .withColumn("quality", F.struct(
-            *[F.col(f"_m.{n}") for n in ("n_words", "word_chars", "n_symbols")],
-            let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.col("_m.n_repeat_words"),
-            F.col("_removed").alias("removed_words"), base.alias("base_failed"),
-            (~base & (F.lit(100) * F.col("_removed") <= F.lit(LOSS_PERCENT) * F.col("_m.n_words"))).alias("kept"),
+            *[F.col(f"{m}.{n}") for n in ("n_words", "word_chars", "n_symbols")],
+            let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.col(f"{m}.n_repeat_words"),
+            F.col(gone).alias("removed_words"), base.alias("base_failed"),
+            (~base & (F.lit(100) * F.col(gone) <= F.lit(LOSS_PERCENT) * F.col(f"{m}.n_words"))).alias("kept"),
             F.array_join(passing, "\n").alias("text"),
         ))
-        .drop("_m", "_removed")
+        .drop(m, gone)
     )
 
 
