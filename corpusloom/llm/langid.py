@@ -192,8 +192,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     limits = docs.sparkSession.createDataFrame([(r["lang"], max(int(min(1.0, 2 * most / r["n"]) * (1 << 30)), r["first"] + 1)) for r in sizes], "lang string, below long")
     rows = rows.join(F.broadcast(limits), "lang")
     place = lambda i: F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - STEPS // 2, F.lit(1))) + 1
-    # Repeated rows have one digest and count once.
-    cut = rows.where(order < F.col("below")).dropDuplicates(["lang", "h"]).select("lang", order.alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w"))
+    # Repeated rows have one digest and count once; only windows are shuffled for that.
+    cut = rows.where(order < F.col("below")).select("lang", order.alias("o"), "h", F.array(*[F.substring("text", place(i).cast("int"), F.lit(STEPS)) for i in range(SAMPLE_WINDOWS)]).alias("w")).dropDuplicates(["lang", "h"])
     windows, labels, taken = [], [], {}
     for r in sorted(cut.collect(), key=lambda r: (r.lang, r.o, r.h, r.w)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
