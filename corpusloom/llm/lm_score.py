@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from corpusloom.llm.common import text_or_empty, written
 
 PREDICTORS = 3  # contexts: last four bytes, the word so far, the two words before and the word so far
 SPARE_BITS = 7  # hash bits beyond one context a byte and predictor: fewer than one context in a hundred shares its hash
-PART_BYTES = 1 << 22  # training and scored bytes whose contexts one part of the model holds
+PART_BYTES = 1 << 23  # training and scored bytes whose contexts one part of the model holds
 SLOT_BITS, BUCKET_BITS, CONTEXTS, BLOCK_BITS = 22, 23, 1 << 18, 12  # of the model that one process holds (``choose``)
 NODES = 256
 HEAVY_WORDS = 1 << 18  # most frequent words whose counts go to every task; all others are joined
@@ -29,7 +30,7 @@ FIRST_BLOCK, LAST_BLOCK = 256, 4096  # bytes between refinements of the weights:
 END = 10  # byte that ends a text; white space never occurs inside words
 _PAD = 4
 _GROUP = 1 << 20
-_ASKED = 1 << 21  # bytes of texts that ask for their contexts together
+_ASKED = 1 << 22  # bytes of texts that ask for their contexts together
 END_WORD = np.uint64(0x1234567ABCDEF01)
 _GRID = 128
 
@@ -164,6 +165,8 @@ def count_bits(out: np.ndarray, bounds: np.ndarray, code: Code, chosen: list[np.
 class Mixer:
     """Frozen predictors, and weights that every document refines for itself."""
 
+    margins = False  # whether the tables hold logits of the bit that came rather than of a one
+
     def __init__(self, code: Code, chosen: list[np.ndarray], tables: list[np.ndarray]):
         self._prepare(code)
         self.chosen = chosen
@@ -211,18 +214,18 @@ class Mixer:
             margin, inputs = None, []
             for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
                 x = table[self._place(base, node, depth)].astype(np.float32)
+                if not self.margins:
+                    x *= sign
                 part = np.repeat(weights[depth, k, docs], runs)
                 part *= x
                 margin = part if margin is None else np.add(margin, part, out=margin)
                 inputs.append(x)
-            margin *= sign
             np.clip(margin, -12, 12, out=margin)
             margin *= _GRID
             cell = np.rint(margin, out=margin).astype(np.int64)
             cell += 12 * _GRID
             total[docs] += np.add.reduceat(self.cost[cell], firsts)
             error = self.error[cell]
-            error *= sign
             step = np.float32(RATE / LOGIT_STEP**2) / (runs + 32).astype(np.float32)
             for k, x in enumerate(inputs):
                 x *= error
@@ -247,6 +250,12 @@ class PathMixer(Mixer):
         return base + depth
 
 
+class MarginMixer(PathMixer):
+    """Mixes logits of the bits that came."""
+
+    margins = True
+
+
 def logits(counts: np.ndarray) -> np.ndarray:
     """Stored logit of each slot from its zeros and ones: more evidence, further from zero; none gives none."""
     pairs = counts.reshape(-1, 2).astype(np.float64)
@@ -261,19 +270,23 @@ def _groups(column: pa.Array, limit: int = _GROUP) -> Iterator[tuple[int, int, n
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows id, text, train as groups of about _ASKED bytes: a row each, with a number of its own."""
+    """Rows id, text, train as groups of about _ASKED bytes: a row each, with a number of its own and compressed texts."""
     made = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, offsets = kernels.text_bytes(batch.column(1))
         for a, b in kernels.text_batches(data, offsets, _ASKED):
             one = pa.array([0, b - a], pa.int32())
-            lists = [pa.ListArray.from_arrays(one, c.slice(a, b - a)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *lists], names=["g", "ids", "texts", "train"])
+            ids, train = (pa.ListArray.from_arrays(one, batch.column(c).slice(a, b - a)) for c in (0, 2))
+            texts = zstandard.ZstdCompressor(level=3).compress(data[offsets[a] : offsets[b]].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([made], pa.int64()), ids, pa.array([texts], pa.binary()), pa.array([_pressed(np.diff(offsets[a : b + 1]))], pa.binary()), train],
+                names=["g", "ids", "texts", "sizes", "train"])
             made += 1
 
 
-def _group(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return kernels.text_bytes(texts.values.slice(texts.offsets[0].as_py(), texts.offsets[-1].as_py() - texts.offsets[0].as_py()))
+def _group(texts: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts of a group, and where each begins."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8), np.concatenate([[0], np.cumsum(_opened(sizes, np.int64))])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +314,6 @@ def _unique(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), counts
 
 
-def _keys(out: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """Context in ``bits`` bits and byte, for each predictor and each of the places ``at``: predictor by predictor."""
-    symbols = out[at].astype(np.uint64)
-    return np.concatenate([(h[at] >> np.uint64(64 - bits) << np.uint64(8)) | symbols for h in context_hashes(out)])
-
-
 def _heads(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]]))
@@ -322,31 +329,193 @@ def _opened(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+@dataclass
+class Units:
+    """The words of canonical texts, each with the space behind it, and the ends: what the predictors ask for."""
+
+    at: np.ndarray  # places that are scored
+    begin: np.ndarray  # of every unit
+    sizes: np.ndarray
+    word: np.ndarray  # of every unit, by number
+    shown: np.ndarray  # a unit for each different word
+    near: np.ndarray  # contexts and bytes of the first predictor, for each place
+    own: np.ndarray  # those of the second, byte by byte for each different word
+    pairs: np.ndarray  # hash of the two units before and number of the word: different ones in order
+    words: np.ndarray
+    entry: np.ndarray  # which of these each unit is
+
+    def tell(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different contexts and bytes with the number of training bytes, and training units of each pair and word."""
+        learned = np.repeat(trained, self.sizes).astype(np.uint64)
+        near = self.near << np.uint64(1) | learned
+        near.sort()
+        first = _heads(near >> np.uint64(1))
+        counted = np.bincount(self.word, weights=trained, minlength=len(self.shown)).astype(np.int64)
+        keys = np.concatenate([near[first] >> np.uint64(1), self.own])
+        counts = np.concatenate([
+            np.add.reduceat((near & np.uint64(1)).astype(np.int64), first), np.repeat(counted, self.sizes[self.shown])])
+        order = np.argsort(keys)
+        keys, first = keys[order], _heads(keys[order])
+        return keys[first], np.add.reduceat(counts[order], first), np.bincount(self.entry, weights=trained, minlength=len(self.pairs)).astype(np.int64)
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+
+
+def units(out: np.ndarray, bounds: np.ndarray, bits: int) -> Units:
+    ends = np.flatnonzero((out == 32) | (out == END)) + 1
+    begin = np.concatenate([[0], ends[:-1]])
+    sums = kernels.prefix_hash(kernels.BYTE_CODES[out])
+    hashes = kernels.mix((sums[ends] - sums[begin]) * kernels.powers(len(out))[1][begin] + (ends - begin).astype(np.uint64))
+    pairs = np.zeros(len(begin), np.uint64)
+    pairs[2:] = kernels.mix(hashes[:-2] * np.uint64(0x9FB21C651E98DF25) + kernels.mix(hashes[1:-1])) >> np.uint64(64 - bits)
+    live = np.ones(len(begin), bool)
+    live[(np.searchsorted(begin, bounds[:-1])[:, None] + np.arange(_PAD)).ravel()] = False  # a pad is a unit
+    live = np.flatnonzero(live)
+    begin, sizes, pairs = begin[live], (ends - begin)[live], pairs[live]
+    _, shown, word = np.unique(hashes[live], return_index=True, return_inverse=True)
+    at = _spans(begin, sizes)
+    near, own = ((h[p] >> np.uint64(64 - bits) << np.uint64(8)) | out[p] for h, p in zip(
+        islice(context_hashes(out), 2), (at, _spans(begin[shown], sizes[shown])), strict=True))
+    order = np.lexsort((word, pairs))
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (word[order][1:] != word[order][:-1])
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return Units(at, begin, sizes, word, shown, near, own, pairs[order][new], word[order][new], entry)
+
+
 def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows g, texts, train: the contexts and bytes of a group in order, with their counts in training rows, part by part."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << (bits + 8)) // parts).astype(np.uint64)
+    """Rows g, texts, sizes, train: what a group asks for in order, with counts in training rows, part by part.
+
+    The first ``parts`` parts hold contexts and bytes of the first two predictors; the others pairs of words and the words
+    that follow them, as numbers in a list of words that comes along.
+    """
+    edges = (np.arange(1, parts, dtype=object) * (1 << bits) // parts).astype(np.uint64)
+
+    def cut(hashes):
+        cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+        return [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
     for batch in batches:
-        for i, g in enumerate(batch.column(0).to_pylist()):
-            data, offsets = _group(batch.column(1).slice(i, 1))
-            train = np.array(batch.column(2)[i].as_py(), bool)
-            out, bounds = canonical(data, offsets)
-            at = _live(out, bounds)
-            learned = np.repeat(train, np.diff(bounds) - _PAD).astype(np.uint64)
-            keys = _keys(out, at, bits)
-            keys <<= np.uint64(1)
-            keys |= np.tile(learned, PREDICTORS)
-            keys.sort()
-            first = _heads(keys >> np.uint64(1))
-            counts = np.add.reduceat(keys & np.uint64(1), first).astype(np.uint32)
-            keys = keys[first] >> np.uint64(1)
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            here = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([p for p, _, _ in here], pa.int32()), pa.array([g] * len(here), pa.int64()),
-                pa.array([_pressed(np.diff(keys[a:b] >> np.uint64(8), prepend=np.uint64(0))) for _, a, b in here], pa.binary()),
-                pa.array([_pressed(keys[a:b].astype(np.uint8)) for _, a, b in here], pa.binary()),
-                pa.array([_pressed(counts[a:b]) for _, a, b in here], pa.binary()),
-            ], names=["part", "g", "contexts", "symbols", "counts"])
+        for g, texts, sizes, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, bounds = canonical(*_group(texts, sizes))
+            asked = units(out, bounds, bits)
+            of = np.searchsorted(bounds, asked.begin, "right") - 1
+            keys, counts, followed = asked.tell(np.array(train, bool)[of])
+            rows = []
+            for p, a, b in cut(keys >> np.uint64(8)):
+                rows.append((p, g, _pressed(np.diff(keys[a:b] >> np.uint64(8), prepend=np.uint64(0))), _pressed(keys[a:b].astype(np.uint8)),
+                             _pressed(counts[a:b].astype(np.uint32)), None))
+            for p, a, b in cut(asked.pairs):
+                held, number = np.unique(asked.words[a:b], return_inverse=True)
+                shown = asked.shown[held]
+                words = zstandard.ZstdCompressor(level=3).compress(out[_spans(asked.begin[shown], asked.sizes[shown])].tobytes())
+                rows.append((parts + p, g, _pressed(np.diff(asked.pairs[a:b], prepend=np.uint64(0))), _pressed(number.astype(np.uint32)),
+                             _pressed(followed[a:b].astype(np.uint32)), words))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                names=["part", "g", "contexts", "symbols", "counts", "words"])
+
+
+def _margin(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Stored logit of a bit that came, from how often it and the other one were seen."""
+    return np.clip(np.rint(np.log((same + 0.2) / (other + 0.2)) * LOGIT_STEP), -127, 127).astype(np.int8)
+
+
+def _shared_bits(data: np.ndarray, a: np.ndarray, b: np.ndarray, bit: np.ndarray, code: Code) -> np.ndarray:
+    """Bits that the different words beginning at ``a`` and at ``b`` have in common; ``bit`` counts bits before each byte."""
+    up = code.signs > 0
+    found, ask, step = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    while len(ask):
+        x, y = data[a[ask] + step], data[b[ask] + step]
+        parted = np.flatnonzero(x != y)
+        if len(parted):
+            own, x, y = a[ask[parted]], x[parted], y[parted]
+            # Paths end in leaves of their own, so they part before the shorter one ends.
+            found[ask[parted]] = bit[own + step] - bit[own] + (up[:, x] != up[:, y]).argmax(0)
+            ask = np.delete(ask, parted)
+        step += 1
+    return found
+
+
+def follower_margins(pairs: np.ndarray, begin: np.ndarray, counts: np.ndarray, data: np.ndarray, bit: np.ndarray, nbits: np.ndarray, code: Code):
+    """Margins of all bits of every word behind its pair, end to end, and where each word's begin.
+
+    Rows are different (pair, word), pair by pair and words in the order of their bits, so all words that share a pair and
+    first bits lie together: the counts of a node of the tree are sums over such runs. A word alone in its run needs no sums.
+    """
+    n = len(pairs)
+    first = np.concatenate([[0], np.cumsum(nbits)])
+    flat = np.repeat(_margin(counts, 0), nbits)
+    common = np.full(n + 1, -1, np.int64)  # bits shared with the row before; -1 for another pair
+    same = np.flatnonzero(pairs[1:] == pairs[:-1]) + 1
+    common[same] = _shared_bits(data, begin[same - 1], begin[same], bit, code)
+    rows = np.flatnonzero((common[:-1] >= 0) | (common[1:] >= 0))
+    depth = 0
+    while len(rows):
+        before, after = common[rows], common[rows + 1]
+        start = np.flatnonzero(before < depth)
+        length = np.diff(np.append(start, len(rows)))
+        total = np.repeat(np.add.reduceat(counts[rows], start), length)
+        parts = int(np.where(before >= depth, before, np.iinfo(np.int64).max).min())  # the next bit at which any run splits
+        if parts > depth:
+            lone = _margin(total, 0)
+            flat[((first[rows] + depth)[:, None] + np.arange(parts - depth)).ravel()] = np.repeat(lone, parts - depth)
+        start = np.flatnonzero(before <= parts)
+        length = np.diff(np.append(start, len(rows)))
+        kept = np.repeat(np.add.reduceat(counts[rows], start), length)
+        flat[first[rows] + parts] = _margin(kept, total - kept)
+        depth = parts + 1
+        rows = rows[(before >= depth) | (after >= depth)]
+    return flat, first
+
+
+def _answer_pairs(asked: pa.Table, code: Code) -> pa.Table:
+    """The rows of a part of pairs: counts of all groups together, and the margins each group asks for."""
+    pairs, numbers, counts, data, shift = [], [], [], [], 0
+    for hashes, number, count, words in zip(*(asked.column(c).to_pylist() for c in ("contexts", "symbols", "counts", "words")), strict=True):
+        pairs.append(np.cumsum(_opened(hashes, np.uint64), dtype=np.uint64))
+        data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(words), np.uint8))
+        numbers.append(_opened(number, np.uint32).astype(np.int64) + shift)
+        shift += int(((data[-1] == 32) | (data[-1] == END)).sum())
+        counts.append(_opened(count, np.uint32).astype(np.int64))
+    sizes = [len(p) for p in pairs]
+    pairs, numbers, counts, data = (np.concatenate(x) for x in (pairs, numbers, counts, data))
+    ends = np.flatnonzero((data == 32) | (data == END)) + 1
+    begin = np.concatenate([[0], ends[:-1]])
+    sums = kernels.prefix_hash(kernels.BYTE_CODES[data])
+    hashes = kernels.mix((sums[ends] - sums[begin]) * kernels.powers(len(data))[1][begin] + (ends - begin).astype(np.uint64))
+    _, shown, word = np.unique(hashes, return_index=True, return_inverse=True)
+    del sums, hashes
+    leaf = np.empty(NODES, np.uint8)  # bytes in the order of their paths
+    leaf[np.lexsort((code.signs > 0)[::-1])] = np.arange(NODES)
+    spelt = leaf[data].tobytes()
+    order = sorted(range(len(shown)), key=[spelt[a:b] for a, b in zip(begin[shown].tolist(), ends[shown].tolist(), strict=True)].__getitem__)
+    rank = np.empty(len(shown), np.int64)
+    rank[order] = np.arange(len(shown))
+    begin, ends = begin[shown][order], ends[shown][order]
+    number = rank[word][numbers]
+    bit = np.concatenate([[0], np.cumsum(code.length[data], dtype=np.int64)])
+    order = np.lexsort((number, pairs))
+    pairs, number = pairs[order], number[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]) | (number[1:] != number[:-1])
+    counts = np.add.reduceat(counts[order], np.flatnonzero(new))
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    pairs, number = pairs[new], number[new]
+    nbits = (bit[ends] - bit[begin])[number]
+    flat, first = follower_margins(pairs, begin[number], counts, data, bit, nbits, code)
+    out, at = [], 0
+    for size in sizes:
+        own = entry[at : at + size]
+        out.append(_pressed(flat[_spans(first[own], nbits[own])]))
+        at += size
+    return pa.table({"g": asked.column("g"), "part": asked.column("part"), "held": pa.array(out, pa.binary())})
 
 
 def node_counts(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -414,21 +583,30 @@ def _answer(asked: pa.Table, code: Code) -> pa.Table:
     return pa.table({"g": asked.column("g"), "part": asked.column("part"), "held": pa.array(out, pa.binary())})
 
 
-def _firsts(out: np.ndarray, bounds: np.ndarray, bits: int, code: Code) -> list[np.ndarray]:
-    """For each predictor and byte where its path begins in the answers to the texts' group; zero for pads."""
-    at = _live(out, bounds)
-    keys = _keys(out, at, bits)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = _heads(keys)
-    lengths = code.length[(keys[first] & np.uint64(255)).astype(np.int64)]
+def _firsts(out: np.ndarray, asked: Units, code: Code) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """For each predictor and byte where its path begins in the answers to the texts' group, zero for pads.
+
+    The answers are those for contexts and bytes, then those for pairs. Also the signs of the paths of the former.
+    """
+    keys = np.unique(np.concatenate([np.unique(asked.near), asked.own]))
+    symbols = (keys & np.uint64(255)).astype(np.int64)
+    lengths = code.length[symbols].astype(np.int64)
     begins = np.cumsum(lengths) - lengths
-    kind = np.int32 if lengths.sum() < 1 << 31 else np.int64
-    place = np.empty(len(keys), kind)
-    place[order] = np.repeat(begins.astype(kind), np.diff(np.append(first, len(keys))))
-    firsts = np.zeros((PREDICTORS, len(out)), kind)
-    firsts[:, at] = place.reshape(PREDICTORS, -1)
-    return list(firsts)
+    total, signs, depth = int(lengths.sum()), np.ones(int(lengths.sum()), np.int8), 0
+    left = np.arange(len(keys))
+    while len(left):
+        signs[begins[left] + depth] = code.signs[depth][symbols[left]]
+        depth += 1
+        left = left[lengths[left] > depth]
+    bit = np.concatenate([[0], np.cumsum(code.length[out], dtype=np.int64)])
+    ends = asked.begin + asked.sizes
+    nbits = (bit[ends] - bit[asked.begin])[asked.shown][asked.words]
+    firsts = np.zeros((PREDICTORS, len(out)), np.int32 if total + int(nbits.sum()) < 1 << 31 else np.int64)
+    firsts[0, asked.at] = begins[np.searchsorted(keys, asked.near)]
+    sizes = asked.sizes[asked.shown]
+    firsts[1, asked.at] = begins[np.searchsorted(keys, asked.own)][_spans((np.cumsum(sizes) - sizes)[asked.word], asked.sizes)]
+    firsts[2, asked.at] = bit[asked.at] + np.repeat(total + (np.cumsum(nbits) - nbits)[asked.entry] - bit[asked.begin], asked.sizes)
+    return list(firsts), signs, total
 
 
 @dataclass
@@ -504,34 +682,39 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, the end included.
 
     Counters are summed over all rows for which ``train_on`` is true. Every context of every text is counted and looked
-    up, in a table of (context, byte) that grows with the corpus and is cut into parts by hash: a group of texts sends
-    each part its distinct keys with their training counts, and gets the logits of those keys back. Only token counts of
+    up, in tables that grow with the corpus and are cut into parts by hash: (context, byte) for the last four bytes and for
+    the word so far, (two words before, word) for the third. A group of texts sends each part its distinct keys with their
+    training counts, and gets the logits of those keys back. Only token counts of
     the most frequent words are broadcast; all others are joined. Null texts are empty: one token, the end. Repeated
     rows and null ids are scored one by one. Without training rows everything is unknown.
     """
     text, spark = text_or_empty(text_col), docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.coalesce(train_on, F.lit(False)).alias("_train"))
     kind = rows.schema["_id"].dataType.simpleString()
-    groups = written(rows.mapInArrow(_grouped, f"g long, ids array<{kind}>, texts array<string>, train array<boolean>"))
+    groups = written(rows.mapInArrow(_grouped, f"g long, ids array<{kind}>, texts binary, sizes binary, train array<boolean>"))
     model = train(docs.where(train_on).select(text.alias("text")))
     size = rows.agg(F.sum(F.octet_length("_t") + 2)).first()[0] or 1
     bits, parts = min(max(int(size * PREDICTORS).bit_length() + SPARE_BITS, 32), 55), -(-int(size) // PART_BYTES)
     shared = spark.sparkContext.broadcast((model.code, model.heavy))
     scale = model.tokens + 0.5 * (model.types + 1)
-    asked = groups.select("g", "texts", "train").mapInArrow(
-        lambda it: _ask(it, bits, parts), "part int, g long, contexts binary, symbols binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(lambda t: _answer(t, shared.value[0]), "g long, part int, held binary")
+    asked = groups.select("g", "texts", "sizes", "train").mapInArrow(
+        lambda it: _ask(it, bits, parts), "part int, g long, contexts binary, symbols binary, counts binary, words binary")
+
+    def answer(own: pa.Table) -> pa.Table:
+        return (_answer if own.column("part")[0].as_py() < parts else _answer_pairs)(own, shared.value[0])
+
+    answers = written(asked.groupBy("part").applyInArrow(answer, "g long, part int, held binary"))
 
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
         code, (keys, freq) = shared.value
-        mixer, heavy = PathMixer(code), Heavy(keys, np.log10((freq + 0.5) / scale))
-        texts = own.column("texts").combine_chunks()
+        mixer, heavy = MarginMixer(code), Heavy(keys, np.log10((freq + 0.5) / scale))
+        data, offsets = _group(own.column("texts")[0].as_py(), own.column("sizes")[0].as_py())
         ids = own.column("ids").combine_chunks()
-        ids = ids.values.slice(ids.offsets[0].as_py(), len(texts.flatten()))
-        data, offsets = _group(texts)
-        answered = answered.sort_by("part")
-        held = np.concatenate([_opened(x, np.int8) for x in answered.column("held").to_pylist()])
-        firsts = _firsts(*canonical(data, offsets), bits, code)
+        ids = ids.values.slice(ids.offsets[0].as_py(), len(offsets) - 1)
+        out, bounds = canonical(data, offsets)
+        firsts, signs, total = _firsts(out, units(out, bounds, bits), code)
+        held = np.concatenate([_opened(x, np.int8) for x in answered.sort_by("part").column("held").to_pylist()])
+        held[:total] *= signs
         done, made = 0, []
         for a, b in kernels.text_batches(data, offsets, _GROUP):
             part, own_offsets = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -554,7 +737,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
         return pa.concat_tables(made)
 
     scored = written(
-        groups.select("g", "ids", "texts").groupBy("g").cogroup(answers.groupBy("g"))
+        groups.select("g", "ids", "texts", "sizes").groupBy("g").cogroup(answers.groupBy("g"))
         .applyInArrow(run, f"_id {kind}, n_tokens long, n_known long, base double, bits double, n_bytes long, rest array<long>")
         .withColumn("_row", F.monotonically_increasing_id()))
     rare = scored.where("size(rest) > 0").select("_row", F.explode("rest").alias("h"))
