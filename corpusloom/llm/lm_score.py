@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +91,24 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, bounds
 
 
-def context_hashes(out: np.ndarray) -> Iterator[np.ndarray]:
-    """64-bit hash of the context of every byte, for each predictor in turn."""
+def last_four(out: np.ndarray) -> np.ndarray:
+    """The four bytes before every byte."""
     wide = out.astype(np.uint32)
     b1, b2 = np.concatenate([[np.uint32(END)], wide[:-1]]), np.concatenate([np.full(2, END, np.uint32), wide[:-2]])
     pair = b1 | (b2 << np.uint32(8))
-    four = pair | (np.concatenate([np.full(2, END, np.uint32), pair[:-2]]) << np.uint32(16))
+    return pair | (np.concatenate([np.full(2, END, np.uint32), pair[:-2]]) << np.uint32(16))
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+
+
+def _four_hash(four: np.ndarray) -> np.ndarray:
+    return kernels.mix(four.astype(np.uint64) ^ np.uint64(0x3C6EF372FE94F82B))
+
+
+def context_hashes(out: np.ndarray) -> Iterator[np.ndarray]:
+    """64-bit hash of the context of every byte, for each predictor in turn."""
     # Where the word so far begins, the word before it, and the one before that; pads stand before a text.
     gap = (out == 32) | (out == END)
     begins = np.where(np.concatenate([[True], gap[:-1]]), np.arange(len(out), dtype=np.int32), np.int32(0))
@@ -106,10 +117,9 @@ def context_hashes(out: np.ndarray) -> Iterator[np.ndarray]:
     before = begins[np.maximum(before - 1, 0)]
     sums = kernels.prefix_hash(kernels.BYTE_CODES[out])
     back = kernels.powers(len(out))[1]
-    spread = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    yield kernels.mix(four.astype(np.uint64) ^ np.uint64(0x3C6EF372FE94F82B))
-    yield spread((sums[:-1] - sums[begins]) * back[begins])
-    yield spread((sums[:-1] - sums[before]) * back[before] ^ np.uint64(0x5851F42D))
+    yield _four_hash(last_four(out))
+    yield _spread((sums[:-1] - sums[begins]) * back[begins])
+    yield _spread((sums[:-1] - sums[before]) * back[before] ^ np.uint64(0x5851F42D))
 
 
 def contexts(out: np.ndarray) -> list[np.ndarray]:
@@ -206,14 +216,14 @@ class Mixer:
     def _block(self, symbols, bases, owner, active, weights, total) -> None:
         lengths, depth = self.code.length[symbols], 0
         while len(symbols):
-            node, sign = self.code.nodes[depth][symbols], self.code.signs[depth][symbols]
+            node, sign = (None, None) if self.margins else (self.code.nodes[depth][symbols], self.code.signs[depth][symbols])
             firsts = np.flatnonzero(owner[1:] != owner[:-1])
             firsts = np.concatenate([[0], firsts + 1])
             docs = active[owner[firsts]]
             runs = np.diff(np.append(firsts, len(owner)))
             margin, inputs = None, []
             for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
-                x = table[self._place(base, node, depth)].astype(np.float32)
+                x = table.take(self._place(base, node, depth)).astype(np.float32)
                 if not self.margins:
                     x *= sign
                 part = np.repeat(weights[depth, k, docs], runs)
@@ -222,17 +232,20 @@ class Mixer:
                 inputs.append(x)
             np.clip(margin, -12, 12, out=margin)
             margin *= _GRID
-            cell = np.rint(margin, out=margin).astype(np.int64)
-            cell += 12 * _GRID
-            total[docs] += np.add.reduceat(self.cost[cell], firsts)
-            error = self.error[cell]
+            np.rint(margin, out=margin)
+            margin += 12 * _GRID
+            cell = margin.astype(np.intp)
+            total[docs] += np.add.reduceat(self.cost.take(cell), firsts)
+            error = self.error.take(cell)
             step = np.float32(RATE / LOGIT_STEP**2) / (runs + 32).astype(np.float32)
             for k, x in enumerate(inputs):
                 x *= error
                 weights[depth, k, docs] += step * np.add.reduceat(x, firsts)
             depth += 1
-            more = np.flatnonzero(lengths > depth)
-            symbols, lengths, owner, bases = symbols[more], lengths[more], owner[more], [b[more] for b in bases]
+            more = lengths > depth
+            if not more.all():
+                more = np.flatnonzero(more)
+                symbols, lengths, owner, bases = symbols[more], lengths[more], owner[more], [b[more] for b in bases]
 
 
 class PathMixer(Mixer):
@@ -338,7 +351,8 @@ class Units:
     sizes: np.ndarray
     word: np.ndarray  # of every unit, by number
     shown: np.ndarray  # a unit for each different word
-    near: np.ndarray  # contexts and bytes of the first predictor, for each place
+    near: np.ndarray  # different contexts and bytes of the first predictor
+    nearby: np.ndarray  # which of these each place has
     own: np.ndarray  # those of the second, byte by byte for each different word
     pairs: np.ndarray  # hash of the two units before and number of the word: different ones in order
     words: np.ndarray
@@ -346,14 +360,10 @@ class Units:
 
     def tell(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different contexts and bytes with the number of training bytes, and training units of each pair and word."""
-        learned = np.repeat(trained, self.sizes).astype(np.uint64)
-        near = self.near << np.uint64(1) | learned
-        near.sort()
-        first = _heads(near >> np.uint64(1))
+        learned = self.nearby[np.repeat(trained, self.sizes)]
         counted = np.bincount(self.word, weights=trained, minlength=len(self.shown)).astype(np.int64)
-        keys = np.concatenate([near[first] >> np.uint64(1), self.own])
-        counts = np.concatenate([
-            np.add.reduceat((near & np.uint64(1)).astype(np.int64), first), np.repeat(counted, self.sizes[self.shown])])
+        keys = np.concatenate([self.near, self.own])
+        counts = np.concatenate([np.bincount(learned, minlength=len(self.near)), np.repeat(counted, self.sizes[self.shown])])
         order = np.argsort(keys)
         keys, first = keys[order], _heads(keys[order])
         return keys[first], np.add.reduceat(counts[order], first), np.bincount(self.entry, weights=trained, minlength=len(self.pairs)).astype(np.int64)
@@ -364,6 +374,27 @@ def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, and which of them each key is: places of a table are taken by turns, one key a place and turn."""
+    table, like = np.empty(1 << 22, np.int32), np.empty(len(keys), np.int32)
+    left, own, multiplier = np.arange(len(keys), dtype=np.int32), keys, 0x9E3779B97F4A7C15
+    while len(left):
+        place = (own * np.uint64(multiplier) >> np.uint64(42)).astype(np.intp)
+        table[place] = left
+        found = table[place]
+        hit = keys[found] == own
+        if hit.all():
+            like[left] = found
+            break
+        like[left[hit]] = found[hit]
+        left, own = left[~hit], own[~hit]
+        multiplier = (multiplier * multiplier + 2) % (1 << 64)
+    shown = np.flatnonzero(like == np.arange(len(keys), dtype=np.int32))
+    number = np.empty(len(keys), np.int32)
+    number[shown] = np.arange(len(shown), dtype=np.int32)
+    return keys[shown], number[like]
+
+
 def units(out: np.ndarray, bounds: np.ndarray, bits: int) -> Units:
     ends = np.flatnonzero((out == 32) | (out == END)) + 1
     begin = np.concatenate([[0], ends[:-1]])
@@ -377,14 +408,17 @@ def units(out: np.ndarray, bounds: np.ndarray, bits: int) -> Units:
     begin, sizes, pairs = begin[live], (ends - begin)[live], pairs[live]
     _, shown, word = np.unique(hashes[live], return_index=True, return_inverse=True)
     at = _spans(begin, sizes)
-    near, own = ((h[p] >> np.uint64(64 - bits) << np.uint64(8)) | out[p] for h, p in zip(
-        islice(context_hashes(out), 2), (at, _spans(begin[shown], sizes[shown])), strict=True))
+    near, nearby = _different((last_four(out).astype(np.uint64) << np.uint64(8) | out)[at])
+    near = (_four_hash(near >> np.uint64(8)) >> np.uint64(64 - bits) << np.uint64(8)) | (near & np.uint64(255))
+    places, start = _spans(begin[shown], sizes[shown]), np.repeat(begin[shown], sizes[shown])
+    own = _spread((sums[places] - sums[start]) * kernels.powers(len(out))[1][start])
+    own = (own >> np.uint64(64 - bits) << np.uint64(8)) | out[places]
     order = np.lexsort((word, pairs))
     new = np.ones(len(order), bool)
     new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (word[order][1:] != word[order][:-1])
     entry = np.empty(len(order), np.int64)
     entry[order] = np.cumsum(new) - 1
-    return Units(at, begin, sizes, word, shown, near, own, pairs[order][new], word[order][new], entry)
+    return Units(at, begin, sizes, word, shown, near, nearby, own, pairs[order][new], word[order][new], entry)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -588,7 +622,8 @@ def _firsts(out: np.ndarray, asked: Units, code: Code) -> tuple[list[np.ndarray]
 
     The answers are those for contexts and bytes, then those for pairs. Also the signs of the paths of the former.
     """
-    keys = np.unique(np.concatenate([np.unique(asked.near), asked.own]))
+    keys = np.sort(np.concatenate([asked.near, asked.own]))
+    keys = keys[_heads(keys)]
     symbols = (keys & np.uint64(255)).astype(np.int64)
     lengths = code.length[symbols].astype(np.int64)
     begins = np.cumsum(lengths) - lengths
@@ -602,7 +637,7 @@ def _firsts(out: np.ndarray, asked: Units, code: Code) -> tuple[list[np.ndarray]
     ends = asked.begin + asked.sizes
     nbits = (bit[ends] - bit[asked.begin])[asked.shown][asked.words]
     firsts = np.zeros((PREDICTORS, len(out)), np.int32 if total + int(nbits.sum()) < 1 << 31 else np.int64)
-    firsts[0, asked.at] = begins[np.searchsorted(keys, asked.near)]
+    firsts[0, asked.at] = begins[np.searchsorted(keys, asked.near)][asked.nearby]
     sizes = asked.sizes[asked.shown]
     firsts[1, asked.at] = begins[np.searchsorted(keys, asked.own)][_spans((np.cumsum(sizes) - sizes)[asked.word], asked.sizes)]
     firsts[2, asked.at] = bit[asked.at] + np.repeat(total + (np.cumsum(nbits) - nbits)[asked.entry] - bit[asked.begin], asked.sizes)
