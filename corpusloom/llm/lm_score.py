@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels
-from corpusloom.llm.common import text_or_empty, written
+from corpusloom.llm.common import discard, text_or_empty, written
 
 PREDICTORS = 3  # contexts: last four bytes, the word so far, the two words before and the word so far
 SPARE_BITS = 7  # hash bits beyond one context a byte and predictor: fewer than one context in a hundred shares its hash
@@ -29,7 +29,8 @@ FIRST_BLOCK, LAST_BLOCK = 256, 4096  # bytes between refinements of the weights:
 END = 10  # byte that ends a text; white space never occurs inside words
 _PAD = 4
 _GROUP = 1 << 20
-_ASKED = 1 << 22  # bytes of texts that ask for their contexts together
+STEM = 4  # bytes of a word whose contexts are asked for one by one; the rest of it is asked for as a word behind its stem
+_ASKED = 3 << 20  # bytes of texts that ask for their contexts together
 END_WORD = np.uint64(0x1234567ABCDEF01)
 _GRID = 128
 
@@ -290,7 +291,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in kernels.text_batches(data, offsets, _ASKED):
             one = pa.array([0, b - a], pa.int32())
             ids, train = (pa.ListArray.from_arrays(one, batch.column(c).slice(a, b - a)) for c in (0, 2))
-            texts = zstandard.ZstdCompressor(level=3).compress(data[offsets[a] : offsets[b]].tobytes())
+            texts = zstandard.ZstdCompressor(level=6).compress(data[offsets[a] : offsets[b]].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([made], pa.int64()), ids, pa.array([texts], pa.binary()), pa.array([_pressed(np.diff(offsets[a : b + 1]))], pa.binary()), train],
                 names=["g", "ids", "texts", "sizes", "train"])
@@ -332,9 +333,9 @@ def _heads(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]]))
 
 
-def _pressed(numbers: np.ndarray) -> bytes:
+def _pressed(numbers: np.ndarray, level: int = 1) -> bytes:
     """Numbers byte by byte, the lowest of all first, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
 
 
 def _opened(packed: bytes, kind) -> np.ndarray:
@@ -353,20 +354,25 @@ class Units:
     shown: np.ndarray  # a unit for each different word
     near: np.ndarray  # different contexts and bytes of the first predictor
     nearby: np.ndarray  # which of these each place has
-    own: np.ndarray  # those of the second, byte by byte for each different word
-    pairs: np.ndarray  # hash of the two units before and number of the word: different ones in order
+    own: np.ndarray  # those of the second, byte by byte for the stem of each different word
+    stems: np.ndarray  # bytes of these stems
+    pairs: np.ndarray  # hash of the two units before, or of a stem, and number of the word: different ones in order
     words: np.ndarray
     entry: np.ndarray  # which of these each unit is
+    rest: np.ndarray  # and which each different word is behind its stem, if it goes on
 
     def tell(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different contexts and bytes with the number of training bytes, and training units of each pair and word."""
         learned = self.nearby[np.repeat(trained, self.sizes)]
         counted = np.bincount(self.word, weights=trained, minlength=len(self.shown)).astype(np.int64)
         keys = np.concatenate([self.near, self.own])
-        counts = np.concatenate([np.bincount(learned, minlength=len(self.near)), np.repeat(counted, self.sizes[self.shown])])
+        counts = np.concatenate([np.bincount(learned, minlength=len(self.near)), np.repeat(counted, self.stems)])
         order = np.argsort(keys)
         keys, first = keys[order], _heads(keys[order])
-        return keys[first], np.add.reduceat(counts[order], first), np.bincount(self.entry, weights=trained, minlength=len(self.pairs)).astype(np.int64)
+        followed = np.bincount(self.entry, weights=trained, minlength=len(self.pairs))
+        long = self.rest >= 0
+        followed += np.bincount(self.rest[long], weights=counted[long], minlength=len(self.pairs))
+        return keys[first], np.add.reduceat(counts[order], first), followed.astype(np.int64)
 
 
 def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -410,22 +416,29 @@ def units(out: np.ndarray, bounds: np.ndarray, bits: int) -> Units:
     at = _spans(begin, sizes)
     near, nearby = _different((last_four(out).astype(np.uint64) << np.uint64(8) | out)[at])
     near = (_four_hash(near >> np.uint64(8)) >> np.uint64(64 - bits) << np.uint64(8)) | (near & np.uint64(255))
-    places, start = _spans(begin[shown], sizes[shown]), np.repeat(begin[shown], sizes[shown])
-    own = _spread((sums[places] - sums[start]) * kernels.powers(len(out))[1][start])
+    back, stems = kernels.powers(len(out))[1], np.minimum(sizes[shown], STEM)
+    places, start = _spans(begin[shown], stems), np.repeat(begin[shown], stems)
+    own = _spread((sums[places] - sums[start]) * back[start])
     own = (own >> np.uint64(64 - bits) << np.uint64(8)) | out[places]
-    order = np.lexsort((word, pairs))
+    long = np.flatnonzero(sizes[shown] > STEM)
+    start = begin[shown][long]
+    stem = kernels.mix((sums[start + STEM] - sums[start]) * back[start] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)
+    pairs, word_of = np.concatenate([pairs, stem]), np.concatenate([word, long])
+    order = np.lexsort((word_of, pairs))
     new = np.ones(len(order), bool)
-    new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (word[order][1:] != word[order][:-1])
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (word_of[order][1:] != word_of[order][:-1])
     entry = np.empty(len(order), np.int64)
     entry[order] = np.cumsum(new) - 1
-    return Units(at, begin, sizes, word, shown, near, nearby, own, pairs[order][new], word[order][new], entry)
+    rest = np.full(len(shown), -1)
+    rest[long] = entry[len(word) :]
+    return Units(at, begin, sizes, word, shown, near, nearby, own, stems, pairs[order][new], word_of[order][new], entry[: len(word)], rest)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Rows g, texts, sizes, train: what a group asks for in order, with counts in training rows, part by part.
 
-    The first ``parts`` parts hold contexts and bytes of the first two predictors; the others pairs of words and the words
-    that follow them, as numbers in a list of words that comes along.
+    The first ``parts`` parts hold contexts and bytes of the first two predictors; the others pairs of words, or stems, and the
+    words that follow, as numbers in a list of words that comes along.
     """
     edges = (np.arange(1, parts, dtype=object) * (1 << bits) // parts).astype(np.uint64)
 
@@ -547,7 +560,7 @@ def _answer_pairs(asked: pa.Table, code: Code) -> pa.Table:
     out, at = [], 0
     for size in sizes:
         own = entry[at : at + size]
-        out.append(_pressed(flat[_spans(first[own], nbits[own])]))
+        out.append(_pressed(flat[_spans(first[own], nbits[own])], 3))
         at += size
     return pa.table({"g": asked.column("g"), "part": asked.column("part"), "held": pa.array(out, pa.binary())})
 
@@ -638,9 +651,14 @@ def _firsts(out: np.ndarray, asked: Units, code: Code) -> tuple[list[np.ndarray]
     nbits = (bit[ends] - bit[asked.begin])[asked.shown][asked.words]
     firsts = np.zeros((PREDICTORS, len(out)), np.int32 if total + int(nbits.sum()) < 1 << 31 else np.int64)
     firsts[0, asked.at] = begins[np.searchsorted(keys, asked.near)][asked.nearby]
-    sizes = asked.sizes[asked.shown]
-    firsts[1, asked.at] = begins[np.searchsorted(keys, asked.own)][_spans((np.cumsum(sizes) - sizes)[asked.word], asked.sizes)]
-    firsts[2, asked.at] = bit[asked.at] + np.repeat(total + (np.cumsum(nbits) - nbits)[asked.entry] - bit[asked.begin], asked.sizes)
+    start = total + np.cumsum(nbits) - nbits
+    firsts[2, asked.at] = bit[asked.at] + np.repeat(start[asked.entry] - bit[asked.begin], asked.sizes)
+    # The second predictor, byte by byte for each different word: stems from the contexts, the rest from the words behind them.
+    sizes, begin = asked.sizes[asked.shown], asked.begin[asked.shown]
+    places = _spans(begin, sizes)
+    of = bit[places] + np.repeat(start[asked.rest] - bit[begin], sizes)
+    of[_spans(np.cumsum(sizes) - sizes, asked.stems)] = begins[np.searchsorted(keys, asked.own)]
+    firsts[1, asked.at] = of[_spans((np.cumsum(sizes) - sizes)[asked.word], asked.sizes)]
     return list(firsts), signs, total
 
 
@@ -702,6 +720,7 @@ def train(texts: DataFrame) -> Model:
     for r in partial.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).collect():  # one row a byte value
         seen[r.h] = r.c
     counts = written(partial.where("kind = 0").groupBy("h").agg(F.sum("c").alias("c")))
+    discard(partial)
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = _heavy(counts).toPandas().sort_values("h")
     return Model(Code.from_counts(seen), counts, size.n or 0, size.v or 0, (top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
@@ -775,6 +794,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
         groups.select("g", "ids", "texts", "sizes").groupBy("g").cogroup(answers.groupBy("g"))
         .applyInArrow(run, f"_id {kind}, n_tokens long, n_known long, base double, bits double, n_bytes long, rest array<long>")
         .withColumn("_row", F.monotonically_increasing_id()))
+    discard(groups, answers)
     rare = scored.where("size(rest) > 0").select("_row", F.explode("rest").alias("h"))
     rare = rare.join(model.counts, "h", "left").groupBy("_row").agg(
         F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("_more"), F.count("c").alias("_found"))
