@@ -73,3 +73,43 @@ def test_languages_take_turns():
     flat = np.frombuffer(b"".join(windows), np.uint8)
     p = langid.document_probabilities(net, flat, np.arange(len(windows) + 1) * langid.STEPS)
     assert [net.langs[i] for i in p.argmax(axis=1)] == [n for n in names for _ in range(8)]
+
+
+def test_followers_of_pairs_by_hand():
+    """Margins behind pairs of words, and words behind their stems, are those of counting every bit of every word."""
+    texts = ["a ab abc abcd abcde abcdef abcdeg", "a ab abcdeg abcdef a ab abcdeg", "", "zz été abcdx a ab abcdex", "a ab abcd " * 9, "abcdefgh" * 40]
+    flat = "".join(texts).encode()
+    sizes = np.array([len(t.encode()) for t in texts])
+    train = [True, True, True, False, True, False]
+    batch = pa.record_batch({
+        "g": [0], "texts": pa.array([lm_score.zstandard.ZstdCompressor().compress(flat)], pa.binary()),
+        "sizes": pa.array([lm_score._pressed(sizes.astype(np.int64))], pa.binary()), "train": [train]})
+    out, bounds = lm_score.canonical(np.frombuffer(flat, np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+    code = lm_score.Code.from_counts(np.bincount(out, minlength=256))
+    parts, held = 3, []
+    for row in next(lm_score._ask(iter([batch]), 40, parts)).to_pylist():
+        own = pa.Table.from_pylist([row], pa.schema([("part", pa.int32()), ("g", pa.int64()), *((c, pa.binary()) for c in ("contexts", "symbols", "counts", "words"))]))
+        answered = (lm_score._answer if row["part"] < parts else lm_score._answer_pairs)(own, code)
+        held.append(lm_score._opened(answered.column("held")[0].as_py(), np.int8))
+    firsts, signs, total = lm_score._firsts(out, lm_score.units(out, bounds, 40), code)
+    held = np.concatenate(held)
+    held[:total] *= signs
+    read = [out[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def seen(t, i):
+        start = [j for j in range(4, i + 1) if j == 4 or t[j - 1] in (10, 32)]
+        return bytes(t[i - 4 : i]), bytes(t[start[-1] : i]), bytes(t[([2, 3] + start)[-3] : i])
+
+    counts = {}
+    for t in (t for t, use in zip(read, train, strict=True) if use):
+        for i in range(4, len(t)):
+            for k, c in enumerate(seen(t, i)):
+                for d in range(code.length[t[i]]):
+                    counts.setdefault((k, c, code.nodes[d, t[i]]), [0, 0])[int(code.signs[d, t[i]] > 0)] += 1
+    for t, a in zip(read, bounds[:-1].tolist(), strict=True):
+        for i in range(4, len(t)):
+            for k, c in enumerate(seen(t, i)):
+                b, at = t[i], firsts[k][a + i]
+                pairs = np.array([counts.get((k, c, code.nodes[d, b]), [0, 0]) for d in range(code.length[b])])
+                expected = lm_score.logits(pairs) * code.signs[: code.length[b], b]
+                assert held[at : at + len(expected)].tolist() == expected.tolist(), (bytes(t), i, k)
