@@ -29,12 +29,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of a Parquet table stored as ``name`` inside ``folder``; the schema is read, not inferred per batch."""
+    """Stream of a Parquet table stored as ``name`` inside ``folder``, a file or a folder of files; the schema is read, not inferred per batch."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # A plain path must be a folder for a stream; a pattern that only this name matches may be either.
+    return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def stream_corpus_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -164,3 +164,21 @@ def test_exact_repeats_whatever_the_cut(spark, tmp_path, files):
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("at"))
     found = jobs.run_to_table(jobs.stream_distinct(live, ["idx", "text"], "ts", "1 hour"), "append")
     assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, {r[:2] for r in rows}))
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_latest_of_a_table_of_any_layout(spark, tmp_path, files):
+    """A table is one file (0) or a folder of files; a neighbour with a longer name is not read."""
+    rows = [(c, t, f"{c}.{t}") for c in range(4) for t in range(3)]
+    _stored(spark.createDataFrame(rows, "conv_id long, turn long, text string"), tmp_path, "conversations.parquet", files)
+    _stored(spark.createDataFrame([(9, 9, "other")], "conv_id long, turn long, text string"), tmp_path, "conversations.parquet2", 1)
+    turns = jobs.stream_table(spark, str(tmp_path), "conversations.parquet", 1)
+    found = jobs.run_to_table(jobs.stream_latest(turns, "conv_id", "text", "turn"), "update", jobs.newest_per_key("conv_id"))
+    assert sorted(tuple(r) for r in found.collect()) == [(c, f"{c}.2", 2) for c in range(4)]
+
+
+def _stored(df, folder, name, files):
+    if files:
+        df.repartition(files).write.parquet(str(folder / name))
+    else:
+        df.toPandas().to_parquet(folder / name)
