@@ -182,3 +182,11 @@ def _stored(df, folder, name, files):
         df.repartition(files).write.parquet(str(folder / name))
     else:
         df.toPandas().to_parquet(folder / name)
+
+
+@pytest.mark.parametrize("files", [0, 2])
+def test_corpus_of_a_table_of_any_layout(spark, tmp_path, files):
+    _stored(spark.createDataFrame([(1, "a\n\nb"), (2, ""), (3, "c")], "doc_id long, text string"), tmp_path, "documents.parquet", files)
+    docs = jobs.stream_table(spark, str(tmp_path), "documents.parquet")
+    found = jobs.run_to_table(jobs.stream_corpus(docs), "append").collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "a<@x(x!>b"), (3, "c")]
