@@ -157,8 +157,9 @@ def near_in_log(
 def log_regions(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     """Byte windows of each log: the last 256 KB and, above 512 KB, the same from 65 % and 25 %.
 
-    Adds ``region`` (0 tail, 1 mid, 2 low). Windows may overlap, so a line may appear twice,
-    and a line across an edge is cut there.
+    Adds ``region`` (0 tail, 1 mid, 2 low) and ``bytes``, how many of the line's bytes lie in the window. Windows
+    may overlap, so a line may appear twice, and a line across an edge is cut there; a character cut in
+    two becomes a replacement character, whose own bytes are not those of the log.
     """
     size = F.octet_length(raw).cast("long")
     ends = lines.groupBy(*keys).agg(F.max(F.col("byte_offset") + size + 1).alias("_total"))
@@ -182,6 +183,7 @@ def log_regions(lines: DataFrame, keys: list[str], raw: str = "raw") -> DataFram
         *[c for c in lines.columns if c != raw],
         F.when(whole, F.col(raw)).otherwise(part).alias(raw),
         F.col("_w.region").alias("region"),
+        (hi - lo).alias("bytes"),
     )
 
 

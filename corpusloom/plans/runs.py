@@ -93,7 +93,7 @@ def _regions(spark, folder):
     found = runlogs.log_regions(region_lines(spark, folder), ["run_id"])
     return found.groupBy("run_id", "region").agg(
         F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first"), F.max("line_no").alias("last"),
-        F.sum(F.octet_length("raw")).alias("bytes"))
+        F.sum("bytes").alias("bytes"))
 
 
 def _classify(spark, folder):

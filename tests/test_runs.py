@@ -99,6 +99,19 @@ def test_region_text_is_the_byte_window(spark):
         assert got.strip("�\n") == want.strip("�\n")
 
 
+def test_region_bytes_are_those_of_the_log(spark):
+    text = "x" + "\n".join("é" * 50 + str(i) for i in range(8_000))  # an edge inside a character
+    data = text.encode()
+    total = len(data) + 1
+    edges = [(0, total - runlogs.TAIL_BYTES), (1, int(total * 0.65)), (2, int(total * 0.25))]
+    assert len(data) > runlogs.LARGE_BYTES and any(data[at] & 0xC0 == 0x80 for _, at in edges)
+    found = runlogs.log_regions(as_lines(spark, [("big", text)]), KEYS).groupBy("region").agg(F.sum("bytes"), F.count("*")).collect()
+    for region, size, lines in found:
+        begin = dict(edges)[region]
+        window = data[begin : min(begin + runlogs.TAIL_BYTES, total)] + (b"\n" if begin + runlogs.TAIL_BYTES >= total else b"")
+        assert size == len(window) - window.count(b"\n") and lines >= 1
+
+
 @pytest.mark.parametrize("gap,expected", [(493, True), (494, True), (500, False)])
 def test_near_boundary(spark, gap, expected):
     text = "killed" + "." * gap + "out of memory"  # the second phrase starts gap + 6 later
