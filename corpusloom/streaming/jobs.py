@@ -98,69 +98,16 @@ def stream_status_report(events: DataFrame, ts: str, status: str, window: str, l
     return status_summary(windowed, by=("w",), status=status)
 
 
-class SilenceDetector(StatefulProcessor):
-    """Per key: recent event times, with a timer at the end of every silence that may have begun.
-
-    An event followed by another within the timeout begins no silence and gets no timer; the others are judged when
-    the watermark has passed the end of their timeout, so it does not matter how rows are cut into batches. Times are
-    kept until the watermark of an earlier batch has passed them by the timeout.
-    """
-
-    def __init__(self, timeout_ms: int):
-        self._timeout = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._times = handle.getListState("times", StructType([StructField("ms", LongType())]))
-        self._seen = handle.getValueState("seen", StructType([StructField("ms", LongType())]))
-
-    def _known(self) -> list[int]:
-        return [int(r[0]) for r in self._times.get()] if self._times.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues):
-        # Timers up to an earlier batch's watermark have fired; those of this batch's still need their evidence.
-        settled = self._seen.get()[0] - self._timeout if self._seen.exists() else -(1 << 62)
-        self._seen.update((timerValues.getCurrentWatermarkInMs(),))
-        fresh = set()
-        for pdf in rows:
-            fresh.update(int(t) for t in pdf["event_ms"].unique())
-        known = self._known()
-        fresh.difference_update(known)
-        times = sorted(t for t in fresh.union(known) if t > settled)
-        for at, following in zip(times, [*times[1:], None], strict=True):
-            if at in fresh and (following is None or following > at + self._timeout):
-                self._handle.registerTimer(at + self._timeout)
-        if times:
-            self._times.put([(t,) for t in times])
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        begin, known = end - self._timeout, self._known()
-        if not [t for t in self._handle.listTimers() if t != end]:
-            self._times.clear()
-            self._seen.clear()
-        if not any(begin < t <= end for t in known):
-            yield pd.DataFrame({"key": [str(key[0])], "last_ms": [begin]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_hang(samples: DataFrame, key: str, ts: str, timeout_seconds: int, late: str = "1 hour") -> DataFrame:
     """Every silence of more than ``timeout_seconds`` of event time, as its key and the event before it.
 
-    A silence is reported once the watermark, ``late`` behind the newest event, has passed its timeout. Rows that come
-    later than that are left out.
+    Events at most the timeout apart, in whole milliseconds, form a session, and a session ends where a silence begins: state is
+    a row a session, merged before the shuffle. A silence is reported once the watermark, ``late`` behind the newest event, has
+    passed its timeout. Rows that come later than that are left out, once their own timeout has passed too.
     """
-    marked = samples.withWatermark(ts, late).withColumn("event_ms", F.unix_millis(ts))
-    return (
-        marked.select(key, ts, "event_ms")
-        .groupBy(key)
-        .transformWithStateInPandas(
-            SilenceDetector(timeout_seconds * 1000), "key string, last_ms long", "append", "EventTime"
-        )
-    )
+    marked = samples.select(F.col(key), F.timestamp_millis(F.unix_millis(ts)).alias("_at")).withWatermark("_at", late)
+    sessions = marked.groupBy(key, F.session_window("_at", f"{timeout_seconds} seconds")).agg(F.max(F.unix_millis("_at")).alias("last_ms"))
+    return sessions.select(F.col(key).cast("string").alias("key"), "last_ms")
 
 
 class ReplayBuffer(StatefulProcessor):

@@ -190,3 +190,15 @@ def test_corpus_of_a_table_of_any_layout(spark, tmp_path, files):
     docs = jobs.stream_table(spark, str(tmp_path), "documents.parquet")
     found = jobs.run_to_table(jobs.stream_corpus(docs), "append").collect()
     assert sorted((r.doc_id, r.text) for r in found) == [(1, "a<@x(x!>b"), (3, "c")]
+
+
+def test_silence_to_the_millisecond_without_a_row_a_timer(spark, tmp_path):
+    # An event exactly the timeout later ends no silence, one a millisecond more does; so does the watermark at that very time.
+    rows = [("a", 0), ("a", 1_800_000), ("b", 0), ("b", 1_800_001), ("c", 400_000), ("d", 400_001), (None, 0), ("z", 5_800_000)]
+    at = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ms"))
+    spark.createDataFrame(rows, "key string, ms long").select("key", at.alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
+    silent = jobs.stream_hang(live, "key", "ts", 1800)
+    assert "transformwith" not in silent._jdf.queryExecution().logical().toString().lower()
+    found = {(r.key, r.last_ms - 1_700_000_000_000) for r in jobs.run_to_table(silent, "append").collect()}
+    assert found == {("b", 0), ("c", 400_000), (None, 0)}
