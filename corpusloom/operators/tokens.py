@@ -7,9 +7,8 @@ an Arrow UDF runs any object with ``encode_batch``, and a vocabulary table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -25,6 +24,8 @@ from corpusloom.operators.ordered import number_sorted
 HASH_DIGITS = 6  # hex digits of a hashed word id: 24 bits
 HASH_EOS = 1 << 24  # first id outside the hashed range
 BYTE_EOS = 256
+SLICE_BYTES = 1 << 20  # text an encoder gets at once
+KNOWN_WORDS = 1 << 16  # words whose id a worker remembers: about 15 MB
 
 
 class Encoder(Protocol):
@@ -57,7 +58,7 @@ class HashedWordEncoder:
         return texts.map(lambda t: [_word_id(w) for w in t.split()])
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=KNOWN_WORDS)
 def _word_id(word: str) -> int:
     return int(hashlib.md5(word.encode("utf-8"), usedforsecurity=False).hexdigest()[:HASH_DIGITS], 16)
 
@@ -72,21 +73,38 @@ def hashed_word_ids(text: Column) -> Column:
 
 
 def encode(text: Column, encoder: Encoder) -> Column:
-    """Ids from a tokenizer; null text stays null. One flat Arrow buffer per batch."""
+    """Ids from a tokenizer; null text stays null. One flat Arrow buffer per batch.
+
+    The encoder gets ``SLICE_BYTES`` of text at a time, so its Python objects do not grow with the batch.
+    """
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        valid = texts.is_valid()
-        found = list(encoder.encode_batch(texts.filter(valid).to_pandas()))
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        sizes[valid.to_numpy(zero_copy_only=False)] = [len(ids) for ids in found]
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pc.invert(valid))
+        sizes, flat = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        for part in _slices(texts):
+            valid = part.is_valid()
+            found = list(encoder.encode_batch(part.filter(valid).to_pandas()))
+            lengths = np.zeros(len(part), dtype=np.int64)
+            lengths[valid.to_numpy(zero_copy_only=False)] = [len(ids) for ids in found]
+            sizes.append(lengths)
+            flat += [np.concatenate([np.asarray(ids, dtype=np.int32) for ids in found])] if found else []
+        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)), mask=pc.is_null(texts))
 
     return run(text)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive rows of about ``SLICE_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def with_eos(ids: Column, eos_id: int) -> Column:
     return F.array_append(ids, F.lit(eos_id))
 

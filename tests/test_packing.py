@@ -107,3 +107,16 @@ def test_pair_round_trip_without_sentinel(spark):
     df = spark.createDataFrame([([1, 2, -1, 3],), ([7, 8],), ([-1, 4],)], "ids array<int>")
     got = [r.d for r in df.select(prepare.decode_pair(F.col("ids")).alias("d")).collect()]
     assert [(d.prompt_ids, d.response_ids) for d in got] == [([1, 2], [3]), (None, [7, 8]), ([], [4])]
+
+
+def test_an_encoder_gets_bounded_slices(spark):
+    import pyarrow as pa
+
+    texts = pa.array([None, "a" * 700_000, "", "b" * 600_000, "é" * 900_000, None, "c", "d"])
+    parts = list(tokens._slices(texts))
+    assert len(parts) > 2 and sum(len(p) for p in parts) == len(texts)
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= tokens.SLICE_BYTES for p in parts)
+    assert pa.concat_arrays(parts).equals(texts) and list(tokens._slices(texts.slice(0, 0))) == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i long, t string").coalesce(1)
+    found = {r.i: r.n for r in df.select("i", F.size(tokens.encode(F.col("t"), tokens.ByteEncoder())).alias("n")).collect()}
+    assert found == {i: (None if t is None else len(t.encode())) for i, t in enumerate(texts.to_pylist())}
