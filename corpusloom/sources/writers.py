@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_generation, inline_newlines
 from corpusloom.operators.prepare import prepare_corpus
-from corpusloom.sources.token_files import qualified, write_shard
+from corpusloom.session import checkpointed
+from corpusloom.sources.token_files import DTYPES, qualified, write_shard
+
+SHARD_BYTES = 1 << 27  # what one task writes of a token dataset
 
 
 def write_split_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -70,14 +74,20 @@ def write_rollouts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_token_shards(df: DataFrame, folder: str, split: str, dtype_code: int, shards: int, seq_id: str = "seq_id") -> int:
-    """Export ``ids`` as indexed token shards ``{split}_{k}.bin/.idx``; returns the shard count.
+def write_token_shards(
+    df: DataFrame, folder: str, split: str, dtype_code: int, shards: int, seq_id: str = "seq_id", shard_bytes: int = SHARD_BYTES
+) -> int:
+    """Export ``ids`` as indexed token shards ``{split}_{k}.bin/.idx``: ``shards``, or as many more as keep one at about
+    ``shard_bytes``; returns their count.
 
     Rows are ranged on the id, one task per shard. A task streams ids to its data file and
-    keeps only sizes, so a shard may exceed memory; a retried task rewrites its own files.
+    keeps only sizes, so a shard may exceed memory; a retried task rewrites its own files. The ids are
+    worked out once and checkpointed, for their count, their ranges and the shards.
     """
     folder = qualified(df.sparkSession, folder)
-    ranged = df.select(seq_id, "ids").repartitionByRange(shards, seq_id).sortWithinPartitions(seq_id)
+    staged = checkpointed(df.select(seq_id, "ids"))
+    stored = (staged.agg(F.sum(F.size("ids").cast("long")).alias("n")).first().n or 0) * np.dtype(DTYPES[dtype_code]).itemsize
+    ranged = staged.repartitionByRange(max(shards, -(-stored // shard_bytes)), seq_id).sortWithinPartitions(seq_id)
 
     def export(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = TaskContext.get().partitionId()

@@ -148,3 +148,12 @@ def test_logits_in_equal_buckets_join_without_a_shuffle(spark, tmp_path):
     assert len([f for f in os.listdir(tmp_path / "s") if f.endswith(".parquet")]) == 4
     for name in names:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_shards_grow_in_number_not_in_size(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("seq_id"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda x: x + F.col("id")).cast("array<int>").alias("ids"))
+    made = writers.write_token_shards(rows, str(tmp_path / "d"), "train", dtype_code=4, shards=3, shard_bytes=1000)
+    assert made == 12
+    found = token_files.read_token_dataset(spark, str(tmp_path / "d"), "train").collect()
+    assert {r.seq_id: list(r.ids) for r in found} == {i: [i + x for x in range(1, 11)] for i in range(300)}
+    assert max(f.stat().st_size for f in (tmp_path / "d").glob("*.bin")) < 3000
