@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
 from corpusloom.sources import readers, token_files, writers
 
 
@@ -157,3 +158,10 @@ def test_shards_grow_in_number_not_in_size(spark, tmp_path):
     found = token_files.read_token_dataset(spark, str(tmp_path / "d"), "train").collect()
     assert {r.seq_id: list(r.ids) for r in found} == {i: [i + x for x in range(1, 11)] for i in range(300)}
     assert max(f.stat().st_size for f in (tmp_path / "d").glob("*.bin")) < 3000
+
+
+@pytest.mark.parametrize("found", [1, 3])
+def test_each_partition_of_a_short_scan_is_dealt_to_all_cores(spark, found):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, found)).rdd.getNumPartitions() == cores * found
+    assert spread(spark.range(0, 100, 1, cores)).rdd.getNumPartitions() == cores
