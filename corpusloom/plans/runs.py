@@ -39,8 +39,9 @@ def _read_logs(spark, folder):
     path = scratch(spark, "logs")
     lines = document_lines(spark, folder).withColumn("run", ordered.int_div(F.col("doc_id"), 20))
     rows = lines.repartition("run").sortWithinPartitions("run", "line_no")
-    rows.select("run", F.col("raw").alias("value")).write.partitionBy("run").text(path)
-    found = readers.read_run_logs(spark, f"{path}/run=*/*.txt")
+    # Files are put in place by the tasks that wrote them, not one by one at the end.
+    rows.select("run", F.col("raw").alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run").text(path)
+    found = readers.read_run_logs(spark, path)  # the folders are listed in parallel, those of a pattern one by one
     run = F.regexp_extract("run_id", r"run=(\d+)", 1).cast("long")
     return found.select(run.alias("run"), "line_no", "byte_offset", F.md5("raw").alias("raw_md5"))
 
