@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,10 @@ SHARD_KEYS = 1 << 16  # pairs a shard of the hash has on average
 FAN_IN = 16  # count vectors added at once
 TABLE_BYTES = 64 << 20  # shards looked up in one reading of the documents; they go to every worker
 _SHIFT = np.uint64(32)
-_BETWEEN = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
+LOT_BYTES = 1 << 12  # stretches an encoder gets as one text
+APART = 8  # stretches among which one isn't spelled back that are encoded one by one
+_BETWEEN = re.compile(r" (?<=[^\s\u2581] )(?=[^\s\u2581])")
+_EDGE = re.compile(r"\A[\s\u2581]|[\s\u2581]\Z|\A\Z")
 _VOCABULARIES: dict = {}
 
 
@@ -83,43 +88,205 @@ class Vocabulary:
         return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)]
 
 
+@dataclass
+class Measured:
+    """What is known of stretches laid end to end: ids under both vocabularies, spelled groups (the sign behind each included), and so on."""
+
+    ids: list[np.ndarray]
+    tokens: list[np.ndarray]  # of every stretch, by side
+    shown: np.ndarray
+    sizes: np.ndarray  # of the spelled groups
+    groups: np.ndarray
+    links: np.ndarray
+    whole: np.ndarray  # whether both sides spell the stretch back
+
+    def __add__(self, other: Measured) -> Measured:
+        both = lambda x, y: np.concatenate([x, y])
+        return Measured(
+            [both(x, y) for x, y in zip(self.ids, other.ids, strict=True)], [both(x, y) for x, y in zip(self.tokens, other.tokens, strict=True)],
+            *[both(getattr(self, n), getattr(other, n)) for n in ("shown", "sizes", "groups", "links", "whole")])
+
+    def take(self, which: np.ndarray) -> Measured:
+        spans = [_spans((np.cumsum(n, dtype=np.int64) - n)[which], n[which].astype(np.int64)) for n in (*self.tokens, self.sizes)]
+        return Measured(
+            [x[at] for x, at in zip(self.ids, spans, strict=False)], [t[which] for t in self.tokens],
+            self.shown[spans[2]], *[x[which] for x in (self.sizes, self.groups, self.links, self.whole)])
+
+    def head(self, n: int) -> Measured:
+        return Measured(
+            [x[: t[:n].sum(dtype=np.int64)] for x, t in zip(self.ids, self.tokens, strict=True)], [t[:n] for t in self.tokens],
+            self.shown[: self.sizes[:n].sum(dtype=np.int64)], *[x[:n] for x in (self.sizes, self.groups, self.links, self.whole)])
+
+
 class Encoder:
-    """Ids of texts under two vocabularies. Where both allow it, texts are cut at single spaces and every different stretch is encoded once."""
+    """Ids and groups of texts under two vocabularies.
+
+    Where both allow it, texts are cut at single spaces and every different stretch is encoded and aligned once: tokens of both end
+    where a stretch does, so the groups of a text are those of its stretches.
+    """
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.sides = (a, b)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.memo: dict[str, int] = {}  # in the order of ``known``
+        self.known = self._fresh([], [])
+        self.used = np.zeros(0, np.int64)  # how often since the last thinning
+        self.text = self.held = 0
 
     def _measured(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
         found = [[np.array(ids, _width(v)).tobytes() for ids in v.encode(stretches)] for v in self.sides]
         return list(zip(*found, strict=True))
 
+    def _together(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and their numbers by side, from the stretches as one text; none if that isn't spelled back."""
+        target, ends = _raw(stretches)
+        # Lots of a few kilobytes: an encoder's work on a text grows a little faster than the text.
+        lots = np.flatnonzero(np.diff(ends // LOT_BYTES, prepend=-1)).tolist()
+        texts, out = [" ".join(stretches[x:y]) for x, y in zip(lots, [*lots[1:], len(stretches)], strict=True)], []
+        for v in self.sides:
+            ids = np.fromiter(itertools.chain.from_iterable(v.encode(texts)), _width(v))
+            reached = np.cumsum(v.sizes[ids])
+            cut = np.searchsorted(reached, ends, "right")
+            if not np.array_equal(reached[cut - 1], ends) or len(reached) != cut[-1] or not np.array_equal(v.bytes_of(ids), target):
+                return None
+            out.append((ids, np.diff(cut, prepend=0)))
+        return out
+
+    def _ids(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and their numbers by side."""
+        if len(stretches) > 1 and (found := self._together(stretches)) is not None:
+            return found
+        if len(stretches) > APART:
+            # Some of them is not spelled back: the others are still taken together.
+            half = len(stretches) // 2
+            parts = [self._ids(stretches[:half]), self._ids(stretches[half:])]
+            return [tuple(np.concatenate(x) for x in zip(*own, strict=True)) for own in zip(*parts, strict=True)]
+        found = list(zip(*self._measured(stretches), strict=True)) if stretches else [(), ()]
+        kinds = [_width(v) for v in self.sides]
+        return [(np.frombuffer(b"".join(own), k), np.array([len(x) // np.dtype(k).itemsize for x in own], np.int64)) for own, k in zip(found, kinds, strict=True)]
+
+    def _fresh(self, stretches: list[str], edged: list[str]) -> Measured:
+        """Stretches, then those that begin or end with white space: these stand alone, the others meet at single spaces as in a text."""
+        parts = [self._ids(stretches), *[self._ids([s]) for s in edged]]
+        stretches = stretches + edged
+        raw, ends = _raw(stretches)
+        ids, tokens, whole = [], [], np.ones(len(stretches), bool)
+        for v, own in zip(self.sides, zip(*parts, strict=True), strict=True):
+            flat, n = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(np.int64)
+            reached = np.concatenate([[0], np.cumsum(v.sizes[flat])])[np.cumsum(n)]
+            if not np.array_equal(reached, ends) or not np.array_equal(v.bytes_of(flat), raw):
+                for i, (x, y) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n), strict=True)):
+                    whole[i] &= v.bytes_of(flat[x:y]).tobytes() == raw[ends[i - 1] if i else 0 : ends[i]].tobytes()
+            ids.append(flat)
+            tokens.append(n)
+        good = [(flat[np.repeat(whole, n)], np.where(whole, n, 0)) for flat, n in zip(ids, tokens, strict=True)]
+        own = Groups.laid([x[0].astype(np.int64) for x in good], good[0][1], *self.sides)
+        shown, cut = own.written()
+        return Measured(
+            ids, [n.astype(np.int32) for n in tokens], shown, np.diff(cut).astype(np.int32), own.per_document(np.ones(len(own.ends), np.int64)),
+            own.per_document(own.sizes[0] * own.sizes[1]), whole)
+
+    def _look(self, texts: list[str]) -> tuple[Measured, np.ndarray, np.ndarray]:
+        """Stretches at hand, which of them the texts consist of, and how many come before each text."""
+        if self.held > MEMO_BYTES:
+            self._thin()
+        cut = [_stretches(t) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        new = set(flat).difference(self.memo)
+        edged = new.intersection(s for own in cut if own for s in (own[0], own[-1]) if _EDGE.search(s))
+        plain = new - edged
+        short = [s for s in plain if len(s) <= LONG_STRETCH]
+        rest = [*(s for s in plain if len(s) > LONG_STRETCH), *edged]
+        table, at = self.known, len(self.memo)
+        if new:
+            table = self.known + self._fresh(short + rest[: len(rest) - len(edged)], rest[len(rest) - len(edged) :])
+            self.memo.update(zip(short + rest, range(at, at + len(new)), strict=True))
+        which = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        if new:
+            for s in rest:
+                del self.memo[s]
+            self.known = table.head(at + len(short))
+            self.used = np.concatenate([self.used, np.zeros(len(short), np.int64)])
+            self.text += sum(map(len, short))
+            self.held = self.text + sum(x.nbytes for x in (*self.known.ids, self.known.shown))
+        self.used += np.bincount(which, minlength=len(table.whole))[: len(self.used)]
+        return table, which, np.cumsum([0, *map(len, cut)])
+
+    def _thin(self) -> None:
+        """Keep the stretches that came again, the most frequent ones of them if these alone fill half the room."""
+        order = np.argsort(-self.used, kind="stable")
+        order = order[: np.searchsorted(-self.used[order], -1)]
+        weight = np.cumsum(self.held / len(self.used) * np.ones(len(order)))
+        keep = np.sort(order[: np.searchsorted(weight, MEMO_BYTES // 2)])
+        names = list(self.memo)
+        self.memo = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.known, self.used = self.known.take(keep), np.zeros(len(keep), np.int64)
+        self.text = sum(map(len, self.memo))
+        self.held = self.text + sum(x.nbytes for x in (*self.known.ids, self.known.shown))
+
+    def _laid(self, texts: list[str]) -> tuple[Measured, np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+        """The stretches of the texts, and the ids of every text by side: none for texts that are not spelled back."""
+        table, which, bounds = self._look(texts)
+        found = []
+        for ids, n in zip(table.ids, table.tokens, strict=True):
+            own = n[which].astype(np.int64)
+            flat, ends = ids[_spans((np.cumsum(n, dtype=np.int64) - n)[which], own)], np.concatenate([[0], np.cumsum(own)])[bounds].tolist()
+            found.append([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+        # A stretch that isn't spelled back: the whole text decides.
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(~table.whole[which]), "right") - 1).tolist():
+            if not self._spelled_back(texts[i], [f[i] for f in found]):
+                found[0][i], found[1][i] = found[0][i][:0], found[1][i][:0]
+        return table, which, bounds, found
+
+    def _spelled_back(self, text: str, ids: list[np.ndarray]) -> bool:
+        raw = (" " + text).encode()
+        return bool(text) and all(v.sizes[x].sum() == len(raw) and v.bytes_of(x).tobytes() == raw for v, x in zip(self.sides, ids, strict=True))
+
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of every text; none for texts that either vocabulary does not spell back as space and text."""
         if all(v.apart for v in self.sides):
-            if self.held > MEMO_BYTES:
-                self.memo.clear()
-                self.held = 0
-            cut = [_stretches(t) for t in texts]
-            new = list({s for own in cut for s in own if s not in self.memo})
-            fresh = dict(zip(new, self._measured(new), strict=True)) if new else {}
-            short = {s: x for s, x in fresh.items() if len(s) <= LONG_STRETCH}
-            self.memo.update(short)
-            self.held += sum(len(s) + len(x[0]) + len(x[1]) for s, x in short.items())
-            look = fresh | self.memo if len(short) < len(fresh) else self.memo
-            whole = [[look[s] for s in own] for own in cut]
-            coded = [(b"".join([x[0] for x in own]), b"".join([x[1] for x in own])) for own in whole]
+            found = [[x.astype(np.int64) for x in own] for own in self._laid(texts)[3]]
         else:
             coded = self._measured(texts) if texts else []
-        found = [[np.frombuffer(c[side], _width(self.sides[side])).astype(np.int64) for c in coded] for side in (0, 1)]
-        none = np.empty(0, np.int64)
-        for i, text in enumerate(texts):
-            raw = np.frombuffer((" " + text).encode(), np.uint8)
-            if not text or any(v.sizes[ids[i]].sum() != len(raw) or not np.array_equal(v.bytes_of(ids[i]), raw) for v, ids in zip(self.sides, found, strict=True)):
-                found[0][i] = found[1][i] = none
+            found = [[np.frombuffer(c[side], _width(self.sides[side])).astype(np.int64) for c in coded] for side in (0, 1)]
+            for i, text in enumerate(texts):
+                if not self._spelled_back(text, [f[i] for f in found]):
+                    found[0][i] = found[1][i] = np.empty(0, np.int64)
         return found[0], found[1]
 
+    def aligned(self, texts: list[str]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, list[str]]:
+        """Ids of every text by side, numbers of its groups and links, and the digest of its groups."""
+        if not all(v.apart for v in self.sides):
+            found = self(texts)
+            own = Groups(*found, *self.sides)
+            return [*found], own.per_document(np.ones(len(own.ends), np.int64)), own.per_document(own.sizes[0] * own.sizes[1]), [_digest(s) for s in own.spelled()]
+        table, which, bounds, found = self._laid(texts)
+        add = lambda x: np.concatenate([[0], np.cumsum(x[which], dtype=np.int64)])[bounds]
+        groups, links = np.diff(add(table.groups)), np.diff(add(table.links))
+        begin = np.cumsum(table.sizes, dtype=np.int64) - table.sizes
+        shown, cut = table.shown[_spans(begin[which], table.sizes[which].astype(np.int64))], add(table.sizes).tolist()
+        digests = [_digest(shown[x : max(y - 1, x)].tobytes()) for x, y in zip(cut, cut[1:], strict=False)]
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(~table.whole[which]), "right") - 1).tolist():
+            own = Groups([found[0][i].astype(np.int64)], [found[1][i].astype(np.int64)], *self.sides)
+            groups[i], links[i], digests[i] = len(own.ends), int((own.sizes[0] * own.sizes[1]).sum()), _digest(own.spelled()[0])
+        return found, groups, links, digests
+
+
+def _raw(stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the stretches, a space before each, and where each ends."""
+    data = [s.encode() for s in stretches]
+    joined = b" ".join([b"", *data])
+    return np.frombuffer(joined, np.uint8), np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+
+
+def _digest(shown: bytes) -> str:
+    return hashlib.sha256(shown).hexdigest() if shown else ""
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of spans end to end."""
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - sizes), sizes)
+
 
 def _stretches(text: str) -> list[str]:
     """The text cut at its single spaces between two characters that are no white space (nor the sign that stands for a space in pieces)."""
@@ -158,16 +325,26 @@ class Groups:
 
     def __init__(self, a_ids: list[np.ndarray], b_ids: list[np.ndarray], a: Vocabulary, b: Vocabulary):
         empty = [np.empty(0, np.int64)]
-        self.ids = [np.concatenate(x or empty) for x in (a_ids, b_ids)]
+        self._cut([np.concatenate(x or empty) for x in (a_ids, b_ids)], np.array([len(x) for x in a_ids], np.int64), a, b)
+
+    @classmethod
+    def laid(cls, ids: list[np.ndarray], tokens: np.ndarray, a: Vocabulary, b: Vocabulary) -> Groups:
+        """From ids end to end and how many of the first vocabulary each document has."""
+        own = cls.__new__(cls)
+        own._cut(ids, tokens, a, b)
+        return own
+
+    def _cut(self, ids: list[np.ndarray], tokens: np.ndarray, a: Vocabulary, b: Vocabulary) -> None:
+        self.ids = ids
         ends = [np.cumsum(v.sizes[ids]) for v, ids in zip((a, b), self.ids, strict=True)]
         at = np.searchsorted(ends[1], ends[0])
         self.ends = ends[0][at < len(ends[1])]
         self.ends = self.ends[ends[1][at[: len(self.ends)]] == self.ends]
         self.group = [np.searchsorted(self.ends, e) for e in ends]  # of every token
         self.sizes = [np.bincount(g, minlength=len(self.ends)) for g in self.group]
-        bytes_ = np.cumsum([int(a.sizes[x].sum()) for x in a_ids]) if a_ids else np.empty(0, np.int64)
+        bytes_ = np.concatenate([[0], ends[0]])[np.cumsum(tokens)]
         self.doc = np.searchsorted(bytes_, self.ends)  # of every group
-        self.docs = len(a_ids)
+        self.docs = len(tokens)
 
         self.sides = (a, b)
 
@@ -203,6 +380,12 @@ class Groups:
 
     def spelled(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of every document: decimal ids of its groups in order."""
+        out, cut = self.written()
+        cut = cut.tolist()
+        return [out[x : max(y - 1, x)].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same end to end, with the sign behind each document's last group, and where each document begins."""
         a, b = self.sides
         before = [np.cumsum(s) - s for s in self.sizes]
         # Place of every token when groups stand one after the other, first side first, and the sign behind it.
@@ -219,8 +402,7 @@ class Groups:
         out = table[np.arange(stop[-1] if count else 0) + np.repeat(source - (stop - size), size)]
         out[stop - 1] = sign
         tokens = _sums(self.doc, self.sizes[0] + self.sizes[1], self.docs)
-        cut = np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(tokens)]]).tolist()
-        return [out[x : max(y - 1, x)].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+        return out, np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(tokens)]])
 
 
 def _sums(doc: np.ndarray, values: np.ndarray, docs: int) -> np.ndarray:
@@ -297,10 +479,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
     for batch in batches:
         data, offsets = kernels.text_bytes(batch.column(1))
         for x, y in kernels.text_batches(data, offsets, BATCH_BYTES):
-            a_ids, b_ids = encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(x, y)])
-            groups = Groups(a_ids, b_ids, a, b)
-            digests = [hashlib.sha256(s).hexdigest() if s else "" for s in groups.spelled()]
-            counts = [[len(i) for i in a_ids], [len(i) for i in b_ids], groups.per_document(np.ones(len(groups.ends), np.int64)), groups.per_document(groups.sizes[0] * groups.sizes[1])]
+            (a_ids, b_ids), groups, links, digests = encode.aligned([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(x, y)])
+            counts = [[len(i) for i in a_ids], [len(i) for i in b_ids], groups, links]
             ids = [pa.array([i.astype(_width(v)).tobytes() for i in found], pa.binary()) for v, found in ((a, a_ids), (b, b_ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), *ids], names=["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b"])
 

@@ -232,6 +232,29 @@ def test_stretches_do_not_change_ids():
         assert [list(x) for x in whole] == cut
 
 
+@pytest.mark.parametrize("room", [1 << 20, 2000, 0])
+def test_stretches_are_aligned_once_and_together(monkeypatch, room):
+    """New stretches reach a vocabulary in lots, stretches known before not at all; groups are those of whole texts, however little is kept."""
+    a, b = (alignment.vocabulary(queries.tokenizer_path(n)) for n in queries.ALIGNED)
+    rng = np.random.default_rng(5)
+    odd = [" lead and trail ", "a  b   c d", "\u2581x \u2581 y", "", " ", "tab\t x", "\x00 \x01\ufffd z", "</s> <unk> </s>", "o" * 90 + " " + "o" * 90]
+    batches = [[" ".join(rng.choice(words(400).split(), 200)) for _ in range(20)] + odd for _ in range(4)]
+    asked = []
+    for v in (a, b):
+        monkeypatch.setattr(v, "encode", lambda texts, f=v.encode: asked.append(len(texts)) or f(texts))
+    monkeypatch.setattr(alignment, "MEMO_BYTES", room)
+    encode = alignment.Encoder(a, b)
+    found = [encode.aligned(texts) for texts in batches]
+    if room == 1 << 20:
+        assert sum(asked) < 400  # 4,000 words and more, about 330 different ones
+    monkeypatch.setattr(a, "apart", False)
+    plain = alignment.Encoder(a, b)
+    for texts, (ids, groups, links, digests) in zip(batches, found, strict=True):
+        whole, n, m, shown = plain.aligned(texts)
+        assert [[x.tolist() for x in side] for side in ids] == [[x.tolist() for x in side] for side in whole]
+        assert (groups.tolist(), links.tolist(), digests) == (n.tolist(), m.tolist(), shown)
+
+
 def test_a_strange_pair_is_refused():
     keys = np.array([3, 5, 9])
     own = alignment.MinimalHash.of(keys)
