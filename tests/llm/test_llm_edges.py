@@ -149,6 +149,27 @@ def test_top_k(spark):
     assert topk.top_k(frame.where("vec_id < 0"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_a_crowd_comes_out_by_text(spark):
+    """A passage in many texts: a row for each text, not for each of its segments; gaps, joined ends and several passages are kept apart."""
+    passages = [words(260, 1000 * i) for i in range(3)]
+    texts = {k: " ".join([f"own{k}" * (k + 1), passages[0], "x" * (1 + k % 3), passages[1 + k % 2], f"tail{k}"]) for k in range(24)}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "u long, text string").repartition(5)
+    spans = {}
+    for r in repeats.repeated_spans(df, crowd=2).collect():
+        spans.setdefault(r.u, []).append((r.a, r.b))
+    assert all(len(x) <= 3 for x in spans.values())  # a segment each before: 20 and more of them
+    raw = {k: t.encode() for k, t in texts.items()}
+    starts = {}
+    for k, t in raw.items():
+        for i in range(len(t) - repeats.LENGTH + 1):
+            starts.setdefault(t[i : i + repeats.LENGTH], []).append((k, i))
+    covered = {k: set() for k in raw}
+    for places in starts.values():
+        for k, i in places if len(places) > 1 else ():
+            covered[k].update(range(i, i + repeats.LENGTH))
+    assert {k: set().union(*(range(a, b) for a, b in spans.get(k, ()))) for k in raw} == covered
+
+
 @pytest.mark.parametrize("crowd", [1, 1000])
 def test_repeats(odd, none, crowd):
     raw = dict(enumerate((t or "").encode() for t in TEXTS))
