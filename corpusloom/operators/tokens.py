@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ HASH_EOS = 1 << 24  # first id outside the hashed range
 BYTE_EOS = 256
 SLICE_BYTES = 1 << 20  # text an encoder gets at once
 KNOWN_WORDS = 1 << 16  # words whose id a worker remembers: about 15 MB
+COMMON_WORDS = 1 << 18  # words of a vocabulary that go to every worker
+COMMON_BYTES = 64  # of such a word at most
 
 
 class Encoder(Protocol):
@@ -140,33 +143,60 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
 def encode_words(df: DataFrame, key: str, text: str, vocab: DataFrame, unk_id: int, name: str = "ids") -> DataFrame:
     """Add vocabulary ids of the words of ``text``; unknown words get ``unk_id``, a null text gets null.
 
-    Ids depend on the text alone, so each different text sends its different words to the vocabulary once and takes
-    them back as one map: shared or null values of ``key`` do no harm. Both joins split skewed keys; nothing is
-    broadcast unless its size is known to be small. A word listed twice has its least id.
+    The ``COMMON_WORDS`` short words of least ids, in a vocabulary by frequency the most frequent ones, go to every worker. Of each
+    different text the different other words alone meet the whole vocabulary, and those that are in it come back as one map: ids depend on the
+    text, so shared or null values of ``key`` do no harm. Both joins split skewed keys. A word listed twice has its least id.
     """
     del key  # rows are matched by their text
-    table = vocab.groupBy(F.col("token").alias("_w")).agg(F.min(F.col("id").cast("int")).alias("_id"))
+    table = vocab.groupBy(F.col("token").alias("_w")).agg(F.min(F.col("id").cast("int")).alias("_id")).where("_id IS NOT NULL")
+    common = table.where(F.octet_length("_w") <= COMMON_BYTES).orderBy("_id").limit(COMMON_WORDS).toArrow()
+    held = df.sparkSession.sparkContext.broadcast((common.column("_w").combine_chunks(), common.column("_id").to_numpy()))
     digests = [F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.col(text), F.lit(1)).alias("_h2")]
-    wanted = df.where(F.col(text).isNotNull()).select(*digests, F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
-    found = wanted.join(table, "_w", "left")
+    wanted = df.where(F.col(text).isNotNull()).select(*digests, F.explode(F.array_distinct(_others(words(F.col(text)), held))).alias("_w"))
+    found = wanted.join(table, "_w")
     # Bounded group: a text's own distinct words; copies of a text send the same entries, of which one set stays.
-    entry = F.struct("_w", F.coalesce(F.col("_id"), F.lit(unk_id)).alias("_id"))
-    maps = found.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_set(entry)).alias("_map"))
+    maps = found.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_id"))).alias("_map"))
     maps = maps.withColumnsRenamed({"_h1": "_m1", "_h2": "_m2"})
     keyed = df.withColumn("_h1", digests[0]).withColumn("_h2", digests[1])
     joined = keyed.join(maps, (F.col("_h1") == F.col("_m1")) & (F.col("_h2") == F.col("_m2")), "left")
-    return joined.withColumn(name, _lookup(words(F.col(text)), F.col("_map"))).drop("_map", "_h1", "_h2", "_m1", "_m2")
+    return joined.withColumn(name, _lookup(words(F.col(text)), F.col("_map"), held, unk_id)).drop("_map", "_h1", "_h2", "_m1", "_m2")
 
 
-def _lookup(tokens: Column, mapping: Column) -> Column:
-    """Ids of ``tokens`` through a per-row map (hash lookups; a SQL map is scanned linearly)."""
+def _others(tokens: Column, held: Broadcast) -> Column:
+    """Those of ``tokens`` that are not among the common words."""
 
-    @F.pandas_udf("array<int>")
-    def run(rows: pd.Series, maps: pd.Series) -> pd.Series:
-        found = [
-            None if row is None else [m[w] for w in row]
-            for row, m in zip(rows, (dict(m) if m is not None else {} for m in maps))
-        ]
-        return pd.Series(found, index=rows.index, dtype=object)
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        flat, offsets = _flat(rows)
+        rest = pc.is_null(pc.index_in(flat, value_set=held.value[0]))
+        before = np.concatenate([[0], np.cumsum(rest.to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(before[offsets].astype(np.int32)), flat.filter(rest), mask=pc.is_null(rows))
+
+    return run(tokens)
+
+
+def _lookup(tokens: Column, mapping: Column, held: Broadcast, unk_id: int) -> Column:
+    """Ids of ``tokens`` among the common words, else through a per-row map (hash lookups; a SQL map is scanned linearly)."""
+
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array, maps: pa.Array) -> pa.Array:
+        common, numbers = held.value
+        flat, offsets = _flat(rows)
+        place = pc.fill_null(pc.index_in(flat, value_set=common), -1).to_numpy(zero_copy_only=False)
+        ids = np.append(numbers, unk_id).astype(np.int32)[place]
+        open_ = np.flatnonzero(place < 0)
+        cut = np.searchsorted(open_, offsets)
+        for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            known = dict(maps[i].as_py() or ())
+            if known:
+                own = open_[cut[i] : cut[i + 1]]
+                ids[own] = [known.get(w, unk_id) for w in flat.take(pa.array(own)).to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pc.is_null(rows))
 
     return run(tokens, mapping)
+
+
+def _flat(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of all lists, and where those of each row begin; a null row has none."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return rows.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])

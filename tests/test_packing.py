@@ -120,3 +120,24 @@ def test_an_encoder_gets_bounded_slices(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i long, t string").coalesce(1)
     found = {r.i: r.n for r in df.select("i", F.size(tokens.encode(F.col("t"), tokens.ByteEncoder())).alias("n")).collect()}
     assert found == {i: (None if t is None else len(t.encode())) for i, t in enumerate(texts.to_pylist())}
+
+
+@pytest.mark.parametrize("room", [1 << 18, 2, 0])
+def test_common_words_do_not_meet_the_vocabulary(spark, monkeypatch, room):
+    """Only words beyond the common ones are joined; ids are the same however many are common, for odd texts and vocabularies too."""
+    monkeypatch.setattr(tokens, "COMMON_WORDS", room)
+    asked = []
+    monkeypatch.setattr(tokens, "_others", lambda words, held, f=tokens._others: asked.append(held) or f(words, held))
+    long = "x" * 100
+    listed = [("the", 0), ("a", 1), ("of", 2), (long, 3), ("of", 7), ("né", 4), ("no", None)]
+    ids = {"the": 0, "a": 1, "of": 2, long: 3, "né": 4}
+    texts = [None, "", "  ", "the a of", "the the the", f"of {long} new né no the", "the a of", "new new"]
+    vocab = spark.createDataFrame(listed, "token string, id int")
+    df = spark.createDataFrame([(k if k != 3 else None, t) for k, t in enumerate(texts)], "k int, t string").repartition(3)
+    found = tokens.encode_words(df, "k", "t", vocab, unk_id=-1)
+    expected = sorted((repr(t), None if t is None else [ids.get(w, -1) for w in t.split()]) for t in texts)
+    assert sorted((repr(r.t), r.ids) for r in found.collect()) == expected
+    assert len(asked[0].value[0]) == min(room, 4)
+    left = df.where("t IS NOT NULL").select(F.explode(tokens._others(tokens.words(F.col("t")), asked[0])).alias("w"))
+    common = set(asked[0].value[0].to_pylist())
+    assert {r.w for r in left.collect()} == {w for t in texts if t for w in t.split()} - common
