@@ -7,11 +7,12 @@ import os
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from corpusloom.llm import alignment, copied, kernels, periodic, queries
+from corpusloom.llm import alignment, copied, kernels, lm_score, periodic, queries
 from tests.llm.conftest import PASSAGE, words
 
 DATA = "/root/testdata/sf0.001"
@@ -255,6 +256,22 @@ def test_stretches_are_aligned_once_and_together(monkeypatch, room):
         assert (groups.tolist(), links.tolist(), digests) == (n.tolist(), m.tolist(), shown)
 
 
+@pytest.mark.parametrize("room", [1 << 19, 100])
+def test_first_pass_holds_a_bounded_number_of_words(monkeypatch, room):
+    """A row a word of all the batches of a task, or several where they do not fit; counts are the same."""
+    monkeypatch.setattr(lm_score, "HELD_WORDS", room)
+    texts = [words(300, 7 * (k % 3)) for k in range(12)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2])], names=["t"]) for i in range(0, 12, 2)]
+    found, rows = Counter(), 0
+    for batch in lm_score._first_pass(iter(batches)):
+        for kind, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found[h] += c if kind == 0 else 0
+            rows += kind == 0
+    assert sorted(c for c in found.values() if c) == sorted(Counter(w for t in texts for w in [*t.split(), None]).values())
+    if room > 100:
+        assert rows == len({w for t in texts for w in t.split()}) + 1
+
+
 def test_a_strange_pair_is_refused():
     keys = np.array([3, 5, 9])
     own = alignment.MinimalHash.of(keys)
