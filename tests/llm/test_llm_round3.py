@@ -4,10 +4,12 @@ import bisect
 import hashlib
 import itertools
 import os
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +287,57 @@ def test_case_of_words_counts():
     data = np.frombuffer(b"Abc abc", np.uint8)
     assert len(set(kernels.word_hashes(data, np.array([0, 7]), fold=False)[0].tolist())) == 2
     assert len(set(kernels.word_hashes(data, np.array([0, 7]))[0].tolist())) == 1
+
+
+def _asked_group(texts, train):
+    """What a group of texts asks for, and its canonical texts."""
+    flat = "".join(texts).encode()
+    sizes = np.array([len(t.encode()) for t in texts])
+    batch = pa.RecordBatch.from_pydict({
+        "g": [0], "texts": pa.array([lm_score.zstandard.ZstdCompressor().compress(flat)], pa.binary()),
+        "sizes": pa.array([lm_score._pressed(sizes.astype(np.int64))], pa.binary()), "train": [train]})
+    return batch, lm_score.canonical(np.frombuffer(flat, np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def test_context_mixing_asks_in_bounded_memory():
+    """A group of 3 MB of texts takes well under a hundred bytes a byte to ask for its contexts."""
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 12))) for _ in range(20_000)]
+    texts = [" ".join(pool[k] for k in rng.integers(0, len(pool), 300)) for _ in range(1500)]
+    batch, (out, _) = _asked_group(texts, [True] * len(texts))
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in lm_score._ask(iter([batch]), 40, 2)) == 4
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * len(out), peak / len(out)
+
+
+def test_context_mixing_sends_turns_once():
+    """Answers of pairs are counts where paths part; the margins made of them are those of counting every node."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["stem" + "".join(rng.choice(list("abc"), 3)) for _ in range(40)] + ["it", "is"], 60)) for _ in range(30)]
+    train = [k % 4 != 1 for k in range(len(texts))]
+    batch, (out, bounds) = _asked_group(texts, train)
+    code = lm_score.Code.from_counts(np.bincount(out, minlength=256))
+    asked = next(lm_score._ask(iter([batch]), 40, 1))
+    own = pa.Table.from_batches([asked.filter(pc.equal(asked.column("part"), 1))])
+    both = pa.concat_tables([own, own.set_column(1, "g", pa.array([1], pa.int64()))])  # two groups alike: all counts are doubled
+    answered, made = lm_score._answer_turns(both, code), lm_score.units(out, bounds, 40)
+    nbits = made.followed_bits(out, code)
+    for row in answered.to_pylist():
+        held = lm_score._held(pa.Table.from_pylist([row], answered.schema), np.empty(0, np.int8), nbits)
+        spelt = [out[b : b + n].tobytes() for b, n in zip(made.begin[made.shown], made.sizes[made.shown], strict=True)]
+        paths = [[int(s > 0) for b in w for s in code.signs[: code.length[b], b]] for w in spelt]
+        counts = lm_score._opened(own.column("counts")[0].as_py(), np.uint32).astype(int) * 2
+        nodes = defaultdict(int)
+        for pair, word, count in zip(made.pairs.tolist(), made.words.tolist(), counts.tolist(), strict=True):
+            for d in range(len(paths[word]) + 1):
+                nodes[pair, tuple(paths[word][:d])] += count
+        expected = [
+            int(lm_score._margin(np.float64(nodes[pair, tuple(path[: d + 1])]), nodes[pair, tuple(path[:d])] - nodes[pair, tuple(path[: d + 1])]))
+            for pair, path in zip(made.pairs.tolist(), (paths[w] for w in made.words.tolist()), strict=True) for d in range(len(path))]
+        assert held.tolist() == expected
+    turns, alike = lm_score._opened(answered.column("turns")[0].as_py(), np.uint32).reshape(2, -1)
+    assert alike.sum() > 0 and len(lm_score._opened(answered.column("gaps")[0].as_py(), np.uint32)) == turns.sum() - alike.sum()
