@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
+import unicodedata
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +21,11 @@ from corpusloom.functions.text import expand_newlines, strip, unescape_newlines
 from corpusloom.operators.ordered import prefix_sums
 from corpusloom.operators.prepare import cap
 from corpusloom.session import checkpointed
+from corpusloom.sources.token_files import _locate, qualified
 
+LISTED_NAMES = 1 << 14  # handed on at a time
+READ_BYTES = 1 << 20
+FILES_A_TASK = 1 << 12
 BROADCAST_BLOCKS = 1 << 17  # files of 128 MB: up to 16 TB of text
 
 
@@ -128,30 +142,115 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return parse_events(spark.read.text(path), "value")
 
 
-def _state_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One row per JSON file; ``path`` may be a glob, so Spark's own listing finds the files. None found: no rows."""
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders a path, maybe a glob, stands for."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(qualified(spark, path))
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [s.getPath().toString() for s in found or [] if s.isDirectory()]
+
+
+def _in_tasks(folders: list[str]) -> bool:
+    """Whether tasks can open the folders themselves, without Spark's readers."""
+    try:
+        return all(_locate(f) for f in folders)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _names(folder: str) -> Iterator[str]:
+    """Names in a folder, a local one listed bit by bit. A name that is not text is left out, as by Spark's own listing."""
+    system, path = _locate(folder)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(path) as entries:
+            yield from (e.name for e in entries if e.name == e.name.encode(errors="ignore").decode())
+    else:
+        yield from (i.base_name for i in system.get_file_info(fs.FileSelector(path)))
+
+
+def _listed(spark: SparkSession, folders: list[str], suffix: str = "") -> DataFrame:
+    """``folder, name`` of all that lies in the folders, listed by tasks: the driver holds no name."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                for names in itertools.batched((n for n in _names(folder) if n.endswith(suffix)), LISTED_NAMES):
+                    yield pd.DataFrame({"folder": folder, "name": names})
+
+    return checkpointed(spark.createDataFrame([(f,) for f in folders], "folder string").mapInPandas(entries, "folder string, name string"))
+
+
+def _stored(system: fs.FileSystem, path: str) -> Iterator[tuple[str, fs.FileInfo]]:
+    """The file at a path, or those of the folder there, with what their names add to it; none that Spark's readers skip."""
+    found = system.get_file_info(path)
+    inner = found.type == fs.FileType.Directory
+    for i in system.get_file_info(fs.FileSelector(path)) if inner else [found]:
+        hidden = i.base_name.startswith(".") or (i.base_name.startswith("_") and "=" not in i.base_name) or i.base_name.endswith("._COPYING_")
+        if i.type == fs.FileType.File and i.size != 0 and not hidden:
+            yield f"/{i.base_name}" if inner else "", i
+
+
+def _escaped(path: str) -> str:
+    """A path as Spark's readers show it: what a URI can't hold is escaped."""
+    return re.sub(r"[^\w.\-!~'()*,;:$&+=/@]", lambda c: c[0] if c[0] > "\x9f" and unicodedata.category(c[0])[0] != "Z" else quote(c[0]), path)
+
+
+def _contents(listed: DataFrame, inner: str = "") -> DataFrame:
+    """Path, time and text of the files listed, or of the file ``inner`` of the folders listed, where there is one."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        located = functools.cache(_locate)
+        for batch in batches:
+            rows, held = [], 0
+            for folder, name in zip(batch["folder"], batch["name"], strict=True):
+                system, base = located(folder)
+                for added, info in _stored(system, f"{base}/{name}{inner}"):
+                    with system.open_input_stream(info.path) as f:
+                        value = f.read()
+                    rows.append((_escaped(f"{folder}/{name}{inner}{added}"), None if info.mtime_ns is None else info.mtime_ns // 1000000, value))
+                    held += len(value)
+                    if held >= READ_BYTES:
+                        yield pd.DataFrame(rows, columns=["file_path", "ms", "value"])
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_path", "ms", "value"])
+
+    # A row is a name, the work behind it a file: tasks are dealt files, and grow in number with them.
+    tasks = max(4 * listed.sparkSession.sparkContext.defaultParallelism, -(-listed.count() // FILES_A_TASK))
+    found = listed.repartition(tasks, "folder", "name").mapInPandas(read, "file_path string, ms long, value binary")
+    return found.select(F.col("value").cast("string").alias("value"), "file_path", F.timestamp_millis("ms").alias("file_time"))
+
+
+def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The same by Spark's own listing, which the driver holds, for file systems that only Spark's readers can open. None found: no rows."""
     try:
         raw = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        empty = spark.createDataFrame([], "run_dir string, file_path string, file_time timestamp, value string")
-        return _from_json(empty, schema, ["run_dir", "file_path", "file_time"])
-    placed = raw.select("value", F.col("_metadata.file_path").alias("file_path"),
-                        F.col("_metadata.file_modification_time").alias("file_time"))
+        return spark.createDataFrame([], "value string, file_path string, file_time timestamp")
+    return raw.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_time"))
+
+
+def _state_files(texts: DataFrame, schema) -> DataFrame:
+    """One row per JSON file."""
     run_dir = F.element_at(F.split("file_path", "/"), -2)
-    return _from_json(placed.withColumn("run_dir", run_dir), schema, ["run_dir", "file_path", "file_time"])
+    return _from_json(texts.withColumn("run_dir", run_dir), schema, ["run_dir", "file_path", "file_time"])
 
 
 def read_run_states(spark: SparkSession, queue: str, runs: str) -> dict[str, DataFrame]:
     """Queue, run copies, statuses and load-failure events.
 
     ``queue`` and ``runs`` are folders. Malformed files and rows without an id are left out
-    and listed under ``failures``; status and attempt get their defaults.
+    and listed under ``failures``; status and attempt get their defaults. Tasks list the folders
+    and read the files, so many files take no more of the driver than few.
     """
-    q = _state_files(spark, f"{queue}/*.json", schemas.QUEUE)
-    r = _state_files(spark, f"{runs}/*/exp.json", schemas.QUEUE)
-    s = _state_files(spark, f"{runs}/*/status.json", schemas.STATUS)
+    queues, homes = _folders(spark, queue), _folders(spark, runs)
+    if _in_tasks(queues + homes):
+        listed = _listed(spark, homes)
+        texts = _contents(_listed(spark, queues, ".json")), _contents(listed, "/exp.json"), _contents(listed, "/status.json")
+    else:
+        texts = [_whole_texts(spark, f"{path}.json") for path in (f"{queue}/*", f"{runs}/*/exp", f"{runs}/*/status")]
+    q, r, s = (_state_files(t, schema) for t, schema in zip(texts, (schemas.QUEUE, schemas.QUEUE, schemas.STATUS), strict=True))
     sound = lambda df: df.where(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT, "file_path")
     defaulted = lambda df: df.withColumn("status", F.coalesce("status", F.lit("pending"))).withColumn(
         "attempt", F.coalesce("attempt", F.lit(0))

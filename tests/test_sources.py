@@ -133,6 +133,64 @@ def test_queue_without_any_run(spark, tmp_path):
     assert found["runs"].collect() == found["status"].collect() == found["failures"].collect() == []
 
 
+def test_state_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FILES_A_TASK", 5)
+    (tmp_path / "queue").mkdir()
+    for i in range(300):
+        (tmp_path / "queue" / f"e{i}.json").write_text(json.dumps({"exp_id": f"e{i}"}))
+        (tmp_path / "runs" / f"e{i}").mkdir(parents=True)
+        (tmp_path / "runs" / f"e{i}" / "exp.json").write_text(json.dumps({"exp_id": f"e{i}", "attempt": i})[: -1 if i % 13 == 0 else None])
+        if i % 2:
+            (tmp_path / "runs" / f"e{i}" / "status.json").write_text('{"status": "failed"}')
+    found = readers.read_run_states(spark, str(tmp_path / "queue"), str(tmp_path / "runs"))
+    # The driver holds no file, tasks grow in number with the files, and no size is made up that would send a table to all tasks.
+    assert [found[k].inputFiles() for k in found] == [[]] * 4
+    assert [found[k].rdd.getNumPartitions() for k in ("queue", "runs", "status")] == [60] * 3
+    assert "BroadcastHashJoin" not in found["queue"].join(found["status"], F.col("exp_id") == found["status"]["run_dir"])._jdf.queryExecution().sparkPlan().toString()
+    assert {r.exp_id for r in found["queue"].collect()} == {f"e{i}" for i in range(300)}
+    assert {(r.run_dir, r.exp_id, r.attempt) for r in found["runs"].collect()} == {(f"e{i}", f"e{i}", i) for i in range(300) if i % 13}
+    assert {(r.run_dir, r.status) for r in found["status"].collect()} == {(f"e{i}", "failed") for i in range(1, 300, 2)}
+    assert sorted(r.path for r in found["failures"].collect()) == sorted(f"file:{tmp_path}/runs/e{i}/exp.json" for i in range(0, 300, 13))
+
+
+def test_state_files_are_those_of_sparks_own_listing(spark, tmp_path, monkeypatch):
+    queue, runs = tmp_path / "queue", tmp_path / "runs"
+    queue.mkdir()
+    odd = ["a b", "x%20y", "\u00e9", "a+b&c=d", "q#1", "h?x", "[z]", "{k}", "t~!'()*", 'qu"ote', "nb\u00a0sp", "c\x01", "_hid", "_h=1", ".dot", "a|^`<>", "at@;,$", "nel\x85", "\u200b", "\U0001f600"]
+    for n, name in enumerate(odd):
+        (queue / f"{name}.json").write_text('{"exp_id": "e%d"}' % n)
+        (runs / name).mkdir(parents=True)
+        (runs / name / "exp.json").write_text('{"exp_id": "e%d"' % n)
+        (runs / name / "status.json").write_text('{"attempt":\r\n %d}' % n)
+    for name, data in {"empty.json": b"", "bad.json": b'{"exp_id": "\xff"}', "bom.json": b"\xef\xbb\xbf{}", "list.json": b"[{}]", "blank.json": b" \n", "other.txt": b"x", "up.JSON": b"{}"}.items():
+        (queue / name).write_bytes(data)
+    with open(os.fsencode(queue) + b"/\xff.json", "w") as f:
+        f.write("{}")
+    (queue / "link.json").symlink_to("a b.json")
+    (queue / "lost.json").symlink_to("nowhere")
+    (queue / "folder.json" / "deeper").mkdir(parents=True)
+    for name in ("in", "_SUCCESS", "deeper/x"):
+        (queue / "folder.json" / name).write_text('{"exp_id": "in"}')
+    (runs / "file").write_text("x")
+    (runs / "none").mkdir()
+    (runs / "linked").symlink_to(runs / "a b")
+    places = [(str(queue), str(runs)), (f"{tmp_path}/que*/", f"file:{tmp_path}/{{runs,absent}}"), (str(runs / "file"), str(queue / "empty.json"))]
+    read = lambda: [{k: sorted(map(ascii, df.collect())) for k, df in readers.read_run_states(spark, *p).items()} for p in places]
+    found = read()
+    monkeypatch.setattr(readers, "_in_tasks", lambda folders: False)
+    assert found == read()
+    assert len(found[0]["failures"]) > len(odd) and found[0]["queue"] and found[0]["status"] and not found[2]["queue"]
+
+
+def test_state_files_that_only_sparks_readers_can_open(spark, tmp_path):
+    (tmp_path / "queue").mkdir()
+    (tmp_path / "queue" / "a.json").write_text('{"exp_id": "a"}')
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.states.link./in", f"file://{tmp_path}")
+    found = readers.read_run_states(spark, "viewfs://states/in/queue", "viewfs://states/in/runs")
+    assert [r.exp_id for r in found["queue"].collect()] == ["a"]
+    assert found["runs"].collect() == found["failures"].collect() == []
+
+
 def test_logits_in_equal_buckets_join_without_a_shuffle(spark, tmp_path):
     from corpusloom.operators.distance import pair_logits
 
