@@ -168,7 +168,11 @@ def _names(folder: str) -> Iterator[str]:
 
 
 def _listed(spark: SparkSession, folders: list[str], suffix: str = "") -> DataFrame:
-    """``folder, name`` of all that lies in the folders, listed by tasks: the driver holds no name."""
+    """``folder, name`` of all that lies in the folders, listed by tasks: the driver holds no name.
+
+    A row is a name, the work behind it a file: rows are dealt to tasks that grow in number with them, and checkpointed so, as their few
+    bytes would else pass for the size of the files where a join picks the table to broadcast.
+    """
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,7 +180,9 @@ def _listed(spark: SparkSession, folders: list[str], suffix: str = "") -> DataFr
                 for names in itertools.batched((n for n in _names(folder) if n.endswith(suffix)), LISTED_NAMES):
                     yield pd.DataFrame({"folder": folder, "name": names})
 
-    return checkpointed(spark.createDataFrame([(f,) for f in folders], "folder string").mapInPandas(entries, "folder string, name string"))
+    found = checkpointed(spark.createDataFrame([(f,) for f in folders], "folder string").mapInPandas(entries, "folder string, name string"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-found.count() // FILES_A_TASK))
+    return checkpointed(found.repartition(tasks, "folder", "name"))
 
 
 def _stored(system: fs.FileSystem, path: str) -> Iterator[tuple[str, fs.FileInfo]]:
@@ -214,9 +220,7 @@ def _contents(listed: DataFrame, inner: str = "") -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["file_path", "ms", "value"])
 
-    # A row is a name, the work behind it a file: tasks are dealt files, and grow in number with them.
-    tasks = max(4 * listed.sparkSession.sparkContext.defaultParallelism, -(-listed.count() // FILES_A_TASK))
-    found = listed.repartition(tasks, "folder", "name").mapInPandas(read, "file_path string, ms long, value binary")
+    found = listed.mapInPandas(read, "file_path string, ms long, value binary")
     return found.select(F.col("value").cast("string").alias("value"), "file_path", F.timestamp_millis("ms").alias("file_time"))
 
 

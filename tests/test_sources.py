@@ -153,6 +153,24 @@ def test_state_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r.path for r in found["failures"].collect()) == sorted(f"file:{tmp_path}/runs/e{i}/exp.json" for i in range(0, 300, 13))
 
 
+def test_long_state_files_are_not_broadcast_for_their_short_names(spark, tmp_path):
+    (tmp_path / "queue").mkdir()
+    for i in range(40):
+        (tmp_path / "queue" / f"e{i}.json").write_text(json.dumps({"exp_id": f"e{i}", "cmd": "x" * 50000}))
+        (tmp_path / "runs" / f"e{i}").mkdir(parents=True)
+        (tmp_path / "runs" / f"e{i}" / "status.json").write_text('{"status": "failed"}')
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        found = readers.read_run_states(spark, str(tmp_path / "queue"), str(tmp_path / "runs"))
+        queue = found["queue"].select("exp_id", "cmd")
+        both = found["status"].select("run_dir").join(queue, F.col("run_dir") == F.col("exp_id"), "left")
+        assert sum(len(r.cmd) for r in both.collect()) == 2000000
+        assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_state_files_are_those_of_sparks_own_listing(spark, tmp_path, monkeypatch):
     queue, runs = tmp_path / "queue", tmp_path / "runs"
     queue.mkdir()
